@@ -36,6 +36,11 @@ CONSUMED_KEYS = ("level", "severity", "lvl", "msg", "message",
 STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
+def bind(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_ts(c) -> Column:
     """Timestamp of an accepted text form, else null. Zone-less forms follow the session zone (UTC)."""
     text = col(c)
@@ -133,42 +138,39 @@ def text_message(line, kind) -> Column:
 
 def parse_logfmt(c) -> Column:
     """Event of a logfmt line; null when the line is not logfmt."""
-    line = clean_line(c)
-    return F.when(is_logfmt(line), event(logfmt_time(line), logfmt_level(line),
-                                         logfmt_message(line)))
+    return bind(clean_line(c), lambda line: F.when(
+        is_logfmt(line), event(logfmt_time(line), logfmt_level(line), logfmt_message(line))))
 
 
-def _parse_kind(c, kinds) -> Column:
-    line = clean_line(c)
-    kind = text_kind(line)
-    return F.when(kind.isin(*kinds), event(text_time(line, kind), text_level(line, kind),
-                                           text_message(line, kind)))
+def _parse_kind(c, wanted) -> Column:
+    return bind(clean_line(c), lambda line: bind(text_kind(line), lambda kind: F.when(
+        wanted(kind),
+        event(text_time(line, kind), text_level(line, kind), text_message(line, kind)))))
 
 
 def parse_bracket(c) -> Column:
     """Event of a ``... [LEVEL] message`` line; null for other lines."""
-    return _parse_kind(c, ["bracket", "dated_bracket"])
+    return _parse_kind(c, lambda kind: kind.isin("bracket", "dated_bracket"))
 
 
 def parse_simple(c) -> Column:
     """Event of a ``date LEVEL message`` line; null for other lines."""
-    return _parse_kind(c, ["simple"])
+    return _parse_kind(c, lambda kind: kind == "simple")
 
 
 def parse_text(c) -> Column:
     """Event of any text line; lines of no known layout become UNKNOWN."""
-    line = clean_line(c)
-    kind = text_kind(line)
-    return event(text_time(line, kind), text_level(line, kind), text_message(line, kind))
+    return _parse_kind(c, lambda kind: F.lit(True))
 
 
 def json_fields(line) -> Column:
     """Top-level fields of a line that is exactly one JSON object, else null."""
     line = col(line)
-    parsed = F.from_json(F.concat(F.lit("["), line, F.lit("]")),
-                         "array<map<string,string>>", STRICT_JSON)
     whole = line.startswith("{") & F.rtrim(line).endswith("}")
-    return F.when(whole & (F.size(parsed) == 1), F.get(parsed, F.lit(0)))
+    # Null stands for "not JSON"; a second array element for text behind the object.
+    parsed = F.when(whole, F.from_json(F.concat(F.lit("["), line, F.lit("]")),
+                                       "array<map<string,string>>", STRICT_JSON))
+    return bind(parsed, lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
 
 
 def first_field(fields, keys) -> Column:
@@ -194,19 +196,16 @@ def json_level(fields) -> Column:
 
 
 def json_message(fields) -> Column:
-    message, extras = first_field(fields, MESSAGE_KEYS), extra_fields(fields)
-    return strip(F.when(message == "", extras)
-                  .when(extras != "", F.concat(message, F.lit(" | "), extras))
-                  .otherwise(message))
+    parts = F.array(first_field(fields, MESSAGE_KEYS), extra_fields(fields))
+    return strip(F.array_join(F.filter(parts, lambda part: part != ""), " | "))
 
 
 def parse_json(c) -> Column:
     """Event of a JSON line (no wrapper handling); anything else becomes UNKNOWN."""
-    line = strip(c)
-    fields = json_fields(line)
-    return F.when(fields.isNull(), event(F.lit(None).cast("string"), F.lit("UNKNOWN"), line)) \
-            .otherwise(event(first_field(fields, TIME_KEYS), json_level(fields),
-                             json_message(fields)))
+    return bind(strip(c), lambda line: bind(json_fields(line), lambda fields: (
+        F.when(fields.isNull(), event(F.lit(None).cast("string"), F.lit("UNKNOWN"), line))
+         .otherwise(event(first_field(fields, TIME_KEYS), json_level(fields),
+                          json_message(fields))))))
 
 
 def wrapped_line(line, fields) -> Column:

@@ -7,7 +7,7 @@ then runs once per distinct message and patterns are a roll-up of variants.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SIGNAL_LEVELS
@@ -172,17 +172,31 @@ def variant_list(events: DataFrame, pattern: str) -> DataFrame:
                      F.col("source")))
 
 
+def window_message_counts(events: DataFrame, every: str) -> DataFrame:
+    """Message counts per source and tumbling window."""
+    framed = events.withColumn("window", F.window("ts", every))
+    return (message_counts(framed, "window")
+            .withColumn("window_start", F.col("window.start")).drop("window"))
+
+
 def recent_patterns(events: DataFrame, every: str = "60 seconds", k: int = 3) -> DataFrame:
     """The k most frequent patterns per source, window and level, with their best message."""
-    framed = events.withColumn("window_start", F.window("ts", every)["start"])
-    found = message_counts(framed, "window_start")
-    per_pattern = _patterns(found, "window_start", more=[_best()])
+    return _recent_patterns(window_message_counts(events, every), k)
+
+
+def _recent_patterns(counts: DataFrame, k: int) -> DataFrame:
+    per_pattern = _patterns(counts, "window_start", more=[_best()])
     return top_per_key(per_pattern, ["source", "window_start", "level"],
                        [F.col("count").desc(), F.col("pattern")], k)
 
 
 def recent_summary(events: DataFrame, every: str = "60 seconds", k: int = 3) -> DataFrame:
     """(source, window_start, errors, warns): the top patterns of each window as text lines."""
+    return recent_summary_of(window_message_counts(events, every), k)
+
+
+def recent_summary_of(counts: DataFrame, k: int = 3) -> DataFrame:
+    """Summary of message counts per window."""
     line = F.format_string("- %s (%d hits)\n", "message", "count")
 
     def listing(level: str, empty: str):
@@ -190,6 +204,6 @@ def recent_summary(events: DataFrame, every: str = "60 seconds", k: int = 3) ->
         text = F.array_join(F.array_sort(F.collect_list(mine))["line"], "")
         return F.when(text == "", empty).otherwise(text)
 
-    return recent_patterns(events, every, k).groupBy("source", "window_start").agg(
+    return _recent_patterns(counts, k).groupBy("source", "window_start").agg(
         listing("ERROR", "No new errors.").alias("errors"),
         listing("WARN", "No new warnings.").alias("warns"))

@@ -21,14 +21,17 @@ def trigger_ticks(events: DataFrame, tick: str = "1 second", config: Config = DE
     recovered  both means stand below the minimum, which forgets the last report
     All are judged on completed ticks, so nothing holds in the first tick of a source.
     """
+    return trigger_rules(rate_table(events, tick, config), config)
+
+
+def trigger_rules(rates: DataFrame, config: Config) -> DataFrame:
     ran = F.col("age") >= 1
     critical = ran & (F.col("last_eps") >= config.eps_critical)
     spike = (ran & ~critical & (F.col("last_errors") >= config.eps_warn)
              & (F.col("last_errors") > config.spike_factor * F.col("last_eps")))
     recovered = ran & (F.col("last_eps") < config.eps_warn) & (F.col("last_wps") < config.eps_warn)
-    return (rate_table(events, tick, config)
-            .withColumn("critical", critical).withColumn("spike", spike)
-            .withColumn("recovered", recovered))
+    return (rates.withColumn("critical", critical).withColumn("spike", spike)
+                 .withColumn("recovered", recovered))
 
 
 def _flagged(rules: DataFrame) -> DataFrame:
@@ -52,17 +55,32 @@ def incidents(events: DataFrame, tick: str = "1 second", config: Config = DEFAUL
     peak_wps). `window_start` is the time of the report before, null when there is
     none or the source recovered since.
     """
-    rules = materialize(trigger_ticks(events, tick, config).select(
-        "source", "idx", "critical", "spike", "recovered", "last_peak_eps", "last_peak_wps"))
+    rules = materialize(trigger_ticks(events, tick, config).select(*RULE_COLUMNS))
+    rows = signals(events, levels).select("source", "seq", F.unix_micros("ts").alias("t"),
+                                          level_code(levels).alias("code"),
+                                          tick_index(tick).alias("idx"))
+    return report_times(rules, rows, tick, config, levels)
+
+
+RULE_COLUMNS = ("source", "idx", "critical", "spike", "recovered", "last_peak_eps", "last_peak_wps")
+
+
+def level_code(levels=SIGNAL_LEVELS):
+    return F.array_position(F.array(*[F.lit(level) for level in levels]), F.col("level"))
+
+
+def report_times(rules: DataFrame, rows: DataFrame, tick: str, config: Config,
+                 levels=SIGNAL_LEVELS, entry: DataFrame | None = None) -> DataFrame:
+    """Fold of trigger rules (per tick) and signals (source, idx, t, seq, code) into reports.
+
+    `entry` holds the last report time per source, as (source, last) in microseconds.
+    """
     slow = micros(config.spike_cooldown)
     fast = micros(config.critical_cooldown)
-    code = F.array_position(F.array(*[F.lit(level) for level in levels]), F.col("level"))
-    rows = signals(events, levels).select("source", "seq", "ts", code.alias("code"),
-                                          tick_index(tick).alias("idx"))
     # One row per distinct time: the first signal to arrive at that time is the trigger.
     found = materialize(
         join_small(rows, _flagged(rules), ["source", "idx"])
-        .groupBy("source", "idx", "critical", F.unix_micros("ts").alias("t"))
+        .groupBy("source", "idx", "critical", "t")
         .agg(F.min("seq").alias("trigger_seq"), F.min_by("code", "seq").alias("code")))
     timeline = (found.select("source", "t",
                              F.when(F.col("critical"), fast).otherwise(slow)
@@ -70,7 +88,7 @@ def incidents(events: DataFrame, tick: str = "1 second", config: Config = DEFAUL
                 .unionByName(rules.filter("recovered").select(
                     "source", (F.col("idx") * micros(tick)).alias("t"),
                     F.lit(None).cast("bigint").alias("cool"), F.lit(True).alias("reset"))))
-    picks = cooldown_picks(timeline, ["source"], SLICE_COOLDOWNS * max(slow, fast))
+    picks = cooldown_picks(timeline, ["source"], SLICE_COOLDOWNS * max(slow, fast), entry)
     in_order = Window.partitionBy("source").orderBy("t")
     name = F.element_at(F.array(*[F.lit(level) for level in levels]), F.col("code").cast("int"))
     return (picks.join(found, ["source", "t"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing as P
 from ..functions.text import clean_line, strip
 from ..plans.position import top_per_key
-from ..plans.scale import join_small
+from ..plans.scale import compute_once, join_small
 
 SAMPLE_LINES = 10
 
@@ -45,33 +45,34 @@ def parse_logs(raw: DataFrame, formats: DataFrame | str | None = None,
     if "ingest_ts" not in raw.columns:
         lines = lines.withColumn("ingest_ts", F.lit(None).cast("timestamp"))
 
-    json_line = F.col("_json") & F.col("_text").startswith("{")
-    staged = (lines.withColumn("_text", strip("line"))
-                   .filter(F.col("_text") != "")
-                   .withColumn("_json", F.coalesce(F.col("format") == "json", F.lit(False)))
-                   .withColumn("_fields", F.when(json_line, P.json_fields("_text"))))
+    def fields_of(text, is_json):
+        return F.when(is_json & text.startswith("{"), P.json_fields(text))
+
+    text, is_json = strip("line"), F.coalesce(F.col("format") == "json", F.lit(False))
+    staged = compute_once(lines, _text=text, _json=is_json).filter(F.col("_text") != "")
+    staged = compute_once(staged, _fields=fields_of(F.col("_text"), F.col("_json")))
     for _ in range(unwrap_depth):
-        staged = (staged
-                  .withColumn("_inner", P.wrapped_line("_text", "_fields"))
-                  .withColumn("_text", F.coalesce("_inner", "_text"))
-                  .withColumn("_json", F.when(F.col("_inner").isNull(), F.col("_json"))
-                                        .otherwise(F.col("_inner").startswith("{")))
-                  .withColumn("_fields", F.when(F.col("_inner").isNull(), F.col("_fields"))
-                                          .when(json_line, P.json_fields("_text"))))
+        staged = compute_once(staged, _inner=P.wrapped_line("_text", "_fields"))
+        inner = F.col("_inner")
+        staged = compute_once(
+            staged,
+            _text=F.coalesce(inner, F.col("_text")),
+            _json=F.when(inner.isNull(), F.col("_json")).otherwise(inner.startswith("{")),
+            _fields=F.when(inner.isNull(), F.col("_fields"))
+                     .otherwise(fields_of(inner, F.lit(True)))).drop("_inner")
+    staged = compute_once(staged, _text=F.when(F.col("_json"), F.col("_text"))
+                                         .otherwise(clean_line("_text")))
+    staged = compute_once(staged.filter(F.col("_text") != ""),
+                          _kind=F.when(F.col("_json"), "unknown").otherwise(P.text_kind("_text")))
     has_fields = F.col("_fields").isNotNull()
-    staged = (staged
-              .withColumn("_text", F.when(F.col("_json"), F.col("_text"))
-                                    .otherwise(clean_line("_text")))
-              .filter(F.col("_text") != "")
-              .withColumn("_kind", F.when(F.col("_json"), "unknown")
-                                    .otherwise(P.text_kind("_text")))
-              .withColumn("_time", F.when(has_fields, P.first_field("_fields", P.TIME_KEYS))
-                                    .otherwise(P.text_time("_text", "_kind")))
-              .withColumn("event_ts", P.parse_ts("_time"))
-              .withColumn("level", F.when(has_fields, P.json_level("_fields"))
-                                    .otherwise(P.text_level("_text", "_kind")))
-              .withColumn("message", F.when(has_fields, P.json_message("_fields"))
-                                      .otherwise(P.text_message("_text", "_kind"))))
+    staged = staged.select(
+        *lines.columns,
+        P.parse_ts(F.when(has_fields, P.first_field("_fields", P.TIME_KEYS))
+                    .otherwise(P.text_time("_text", "_kind"))).alias("event_ts"),
+        F.when(has_fields, P.json_level("_fields"))
+         .otherwise(P.text_level("_text", "_kind")).alias("level"),
+        F.when(has_fields, P.json_message("_fields"))
+         .otherwise(P.text_message("_text", "_kind")).alias("message"))
     for name, parser in parsers.items():
         mine = F.col("format") == name
         staged = (staged.withColumn("_own", F.when(mine, parser(F.col("line"))))
@@ -83,3 +84,8 @@ def parse_logs(raw: DataFrame, formats: DataFrame | str | None = None,
                                                 .otherwise(F.col("message"))))
     return staged.select("source", "seq", "event_ts", "ingest_ts",
                          F.coalesce("event_ts", "ingest_ts").alias("ts"), "level", "message")
+
+
+def order_by_time(events: DataFrame) -> DataFrame:
+    """Take the arrival position from the event time, for streams and rotated segments."""
+    return events.withColumn("seq", F.unix_micros("ts"))

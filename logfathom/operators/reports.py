@@ -41,22 +41,23 @@ def last_seen(events: DataFrame) -> DataFrame:
                                         last("WARN").alias("last_warn_ts"))
 
 
-def _window_messages(events: DataFrame, every: str) -> DataFrame:
+def window_messages(events: DataFrame, every: str) -> DataFrame:
     """Counts per source, window and signal message; all other rows share a null message.
 
     The level of a message is that of its last occurrence; 1 stands for ERROR.
     """
     signal = is_signal("level")
-    return (events.select("source", F.window("ts", every)["start"].alias("window_start"),
+    return (events.select("source", F.window("ts", every).alias("window"),
                           F.when(signal, F.col("message")).alias("message"),
                           F.when(signal, F.col("seq")).alias("seq"), "level")
-                  .groupBy("source", "window_start", "message")
+                  .groupBy("source", "window", "message")
                   .agg(F.count(F.lit(1)).alias("count"),
                        F.count_if(F.col("level") == "ERROR").alias("errors"),
                        F.count_if(F.col("level") == "WARN").alias("warns"),
                        F.count_if(F.col("level") == "INFO").alias("infos"),
                        F.max_by(F.when(F.col("level") == "ERROR", 1).otherwise(0), "seq")
-                        .alias("is_error")))
+                        .alias("is_error"))
+                  .withColumn("window_start", F.col("window.start")).drop("window"))
 
 
 def heartbeat(events: DataFrame, every: str = "60 minutes") -> DataFrame:
@@ -65,10 +66,15 @@ def heartbeat(events: DataFrame, every: str = "60 minutes") -> DataFrame:
     The top issue is the most frequent error message, else the most frequent
     warning message, else ``None``.
     """
+    return heartbeat_of(window_messages(events, every), every)
+
+
+def heartbeat_of(counts: DataFrame, every: str) -> DataFrame:
+    """Heartbeat of message counts per window."""
     seen = F.col("message").isNotNull()
     rank = F.struct(1 - F.col("is_error"), -F.col("count"), F.col("message"))
     top = F.min(F.when(seen, F.struct(rank.alias("rank"), F.col("count")))).alias("top")
-    rows = _window_messages(events, every).groupBy("source", "window_start").agg(
+    rows = counts.groupBy("source", "window_start").agg(
         F.sum("errors").alias("errors"), F.sum("warns").alias("warns"),
         F.sum("infos").alias("infos"), top)
     issue = (F.when(F.col("top").isNull(), "None (0 times)")

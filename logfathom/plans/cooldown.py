@@ -18,12 +18,18 @@ The result equals the sequential walk for any input.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scale import materialize
+from .scale import join_small, materialize
+
+# Workers get these functions with the task, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NEVER = -(1 << 62)     # state: no last pick
 ALWAYS = (1 << 62)     # step bound that every state satisfies
@@ -118,13 +124,22 @@ def cooldown_picks(df: DataFrame, keys: list[str], slice_us: int,
 
     df: keys, t (microseconds), cool (microseconds > 0, null for a pure reset row) and
         reset (boolean, takes effect before the candidate at the same time).
-    entry: optional (keys, last) holding the state before the first row.
+    entry: optional (keys, last) with the pick before the first row. Rows up to that time
+        are over and done with.
     """
     synthetic = not keys
     if synthetic:
         df = df.withColumn("_all", F.lit(0))
         entry = None if entry is None else entry.withColumn("_all", F.lit(0))
         keys = ["_all"]
+    if entry is not None:
+        # The known pick joins the timeline as a candidate that always passes.
+        entry = entry.select(*keys, F.col("last").alias("_last")).filter("_last is not null")
+        forced = entry.select(*keys, F.col("_last").alias("t"), F.lit(1).cast("bigint").alias("cool"),
+                              F.lit(True).alias("reset"))
+        df = (join_small(df, entry, keys, "left")
+              .filter(F.col("_last").isNull() | (F.col("t") > F.col("_last")))
+              .drop("_last").unionByName(forced))
     rows = (df.withColumn("node", F.floor(F.col("t") / slice_us).cast("bigint"))
               .groupBy(*keys, "node", "t")
               .agg(F.min("cool").alias("cool"), F.max("reset").alias("reset")))
@@ -182,14 +197,10 @@ def cooldown_picks(df: DataFrame, keys: list[str], slice_us: int,
         return keyed(key[:len(keys)], pd.DataFrame({"node": nodes, "state": states},
                                                    dtype="int64"))
 
-    if entry is None:
-        def start_from_nothing(key, pdf):
-            return hand_down(key, pdf, ())
-        states = levels[-1].groupBy(*keys).applyInPandas(start_from_nothing, state_ddl)
-    else:
-        given = entry.select(*keys, F.coalesce("last", F.lit(NEVER)).alias("state"))
-        states = (levels[-1].groupBy(*keys).cogroup(given.groupBy(*keys))
-                  .applyInPandas(hand_down, state_ddl))
+    def start(key, pdf):
+        return hand_down(key, pdf, ())
+
+    states = levels[-1].groupBy(*keys).applyInPandas(start, state_ddl)
     for table in reversed(levels[:-1]):
         parent = F.shiftright("node", FAN_BITS)
         states = (table.groupBy(*keys, parent.alias("parent"))
@@ -222,4 +233,7 @@ def cooldown_picks(df: DataFrame, keys: list[str], slice_us: int,
 
     picks = (rows.join(states, [*keys, "node"]).groupBy(*keys, "node")
              .applyInPandas(walk, f"{key_ddl}, t bigint, last bigint"))
+    if entry is not None:
+        picks = (join_small(picks, entry, keys, "left")
+                 .filter(F.col("_last").isNull() | (F.col("t") > F.col("_last"))).drop("_last"))
     return picks.drop("_all") if synthetic else picks

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rolling_ticks(ticks: DataFrame, n: int, run: int = 3600) -> DataFrame:
+def rolling_ticks(ticks: DataFrame, n: int, run: int = 3600,
+                  carry: DataFrame | None = None) -> DataFrame:
     """Add rates and peaks to (source, idx, errors, warns), one row per tick.
 
     eps / wps            mean of the last n ticks up to and including this one
@@ -22,7 +23,9 @@ def rolling_ticks(ticks: DataFrame, n: int, run: int = 3600) -> DataFrame:
     last_peak_eps / _wps running maximum before this tick
     age                  number of ticks of the source completed before this one
 
-    Ticks without rows count as zero; they need not be present.
+    Ticks without rows count as zero; they need not be present. `carry` may give
+    (source, low, top_errors, top_warns) for ticks before the series: the index of
+    the first one and the peaks.
     """
     run = max(run, 8 * n)
     block = F.floor(F.col("idx") / run).cast("bigint")
@@ -30,6 +33,10 @@ def rolling_ticks(ticks: DataFrame, n: int, run: int = 3600) -> DataFrame:
                     .groupBy("source", "block")
                     .agg(F.max("errors").alias("top_errors"), F.max("warns").alias("top_warns"),
                          F.min("idx").alias("low")))
+    if carry is not None:
+        before_all = F.lit(-(1 << 62)).cast("bigint").alias("block")
+        summary = summary.unionByName(
+            carry.select("source", before_all, "top_errors", "top_warns", "low"))
     earlier = (Window.partitionBy("source").orderBy("block")
                .rowsBetween(Window.unboundedPreceding, -1))
     whole = Window.partitionBy("source")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A broadcast side is a handful of narrow columns, so this many rows stay in the
@@ -57,3 +57,15 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     if small.count() <= max_rows:
         small = F.broadcast(small)
     return big.join(small, on, how)
+
+
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add (or replace) columns that later stages may use many times.
+
+    Catalyst substitutes projected expressions into filters and later projections, and
+    stacked stages then grow exponentially. A one-row lateral view is not substituted,
+    stays inside whole-stage code generation, and evaluates each column once per row.
+    """
+    kept = [F.col(f"`{name}`") for name in df.columns if name not in columns]
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*kept, F.inline(F.array(row)))

@@ -19,6 +19,15 @@ def split_paths(paths: str | list[str]) -> list[str]:
     return found
 
 
+def source_folder(c="source") -> Column:
+    """Last folder of a path: the source of a log that is kept as a folder of rotated segments.
+
+    A ``name=`` prefix, as partitioned writes leave it, is dropped.
+    """
+    folder = F.regexp_extract(F.col(c) if isinstance(c, str) else c, r"([^/]*)/[^/]*$", 1)
+    return F.regexp_replace(folder, "^[A-Za-z_]+=", "")
+
+
 def _position() -> Column:
     """Arrival position of a line within its file.
 
@@ -60,4 +69,5 @@ def stream_logs(spark: SparkSession, path: str, start_after: str | None = None,
     if start_after is not None:
         lines = lines.filter(F.col("_metadata.file_modification_time")
                              >= F.lit(start_after).cast("timestamp"))
-    return _tag(lines, _position())
+    # A stream has no row numbers; events take their order from their time (`order_by_time`).
+    return _tag(lines, F.lit(None).cast("bigint"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scale import compute_once
+
 # Severity, message and context key of each kind of action.
 LEVEL_OF = {"error": "ERROR", "signup": "WARN", "click": "DEBUG"}
 MESSAGE_OF = {"signup": "Failed login attempt", "purchase": "Order processed",
@@ -46,11 +48,14 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("head", F.lit(" | "), "key", F.lit("="), "value").alias("message"))
 
 
-def raw_lines(spark: SparkSession, sf_dir: str, by_layout: bool = False) -> DataFrame:
-    """(source, line, seq, ingest_ts): every event rendered in one of five layouts.
+LAYOUTS = ("logfmt", "bracket", "json", "simple", "container")
+
+
+def raw_lines(spark: SparkSession, sf_dir: str, layout: str = "logfmt") -> DataFrame:
+    """(source, line, seq, ingest_ts): every event rendered as a log line.
 
-    With `by_layout` the layout number is part of the source name, so that each
-    source has one format. Otherwise all lines are rendered as logfmt.
+    `layout` is one of LAYOUTS, or ``mixed``: then the five layouts take turns and the
+    number of the layout is part of the source name, so that each source has one format.
     """
     rows = load_events(spark, sf_dir)
     day, clock = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss.SSSSSS")
@@ -63,20 +68,22 @@ def raw_lines(spark: SparkSession, sf_dir: str, by_layout: bool = False) -> Data
     def join(*parts):
         return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
-    logfmt = join('time="', iso, '" level=', low, ' msg="', F.col("head"), '" ', pair)
-    if not by_layout:
-        source, line = F.col("source"), logfmt
+    rendered = {
+        "logfmt": join('time="', iso, '" level=', low, ' msg="', F.col("head"), '" ', pair),
+        "bracket": join(spaced, " [", F.col("level"), "] ", text),
+        "json": join('{"time":"', iso, '","level":"', low, '","msg":"', F.col("head"), '","',
+                     F.col("key"), '":"', F.col("value"), '"}'),
+        "simple": join(spaced, " ", F.col("level"), " ", text),
+        "container": join('{"log":"time=\\"', iso, '\\" level=', low, ' msg=\\"', F.col("head"),
+                          '\\" ', pair, '\\n","stream":"stdout","time":"', iso, '"}'),
+    }
+    if layout == "mixed":
+        turn = F.col("seq") % len(LAYOUTS)
+        source = join(F.col("source"), "-", turn.cast("string"))
+        line = F.lit(None).cast("string")
+        for number, name in enumerate(LAYOUTS):
+            line = F.when(turn == number, rendered[name]).otherwise(line)
     else:
-        layout = F.col("seq") % 5
-        source = join(F.col("source"), "-", layout.cast("string"))
-        line = (F.when(layout == 0, logfmt)
-                 .when(layout == 1, join(spaced, " [", F.col("level"), "] ", text))
-                 .when(layout == 2, join('{"time":"', iso, '","level":"', low, '","msg":"',
-                                         F.col("head"), '","', F.col("key"), '":"',
-                                         F.col("value"), '"}'))
-                 .when(layout == 3, join(spaced, " ", F.col("level"), " ", text))
-                 .otherwise(join('{"log":"time=\\"', iso, '\\" level=', low, ' msg=\\"',
-                                 F.col("head"), '\\" ', pair, '\\n","stream":"stdout","time":"',
-                                 iso, '"}')))
-    return rows.select(source.alias("source"), line.alias("line"), "seq",
-                       F.lit(None).cast("timestamp").alias("ingest_ts"))
+        source, line = F.col("source"), rendered[layout]
+    lines = compute_once(rows, source=source, line=line)
+    return lines.select("source", "line", "seq", F.lit(None).cast("timestamp").alias("ingest_ts"))
