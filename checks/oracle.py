@@ -308,7 +308,7 @@ def oracle_sql() -> dict[str, str]:
               peak_eps, peak_wps, {HEALTH} AS status, trend_error, trend_warn
             FROM lv JOIN ls USING (source) JOIN cur USING (source) JOIN tr USING (source)""", TREND),
         "situation_report": with_ev(f"""
-            , at AS (SELECT s.source, s.w, s.errors AS et, s.warns AS wt, s.w * 24 + 23 AS idx FROM rs s),
+            , wend AS (SELECT s.source, s.w, s.errors AS et, s.warns AS wt, s.w * 24 + 23 AS idx FROM rs s),
             x AS (SELECT a.source, a.w, a.et, a.wt,
                (SELECT sum(errors) FROM ticks t WHERE t.source = a.source AND t.idx BETWEEN a.idx - 59 AND a.idx)
                  / least(60, a.idx - e.lo + 1) AS eps,
@@ -316,7 +316,7 @@ def oracle_sql() -> dict[str, str]:
                  / least(60, a.idx - e.lo + 1) AS wps,
                (SELECT max(errors) FROM ticks t WHERE t.source = a.source AND t.idx <= a.idx)::DOUBLE AS peak_eps,
                (SELECT max(warns) FROM ticks t WHERE t.source = a.source AND t.idx <= a.idx)::DOUBLE AS peak_wps
-              FROM at a JOIN ends e USING (source))
+              FROM wend a JOIN ends e USING (source))
             SELECT source, {us(f'w * {DAY_US}')} AS window_start, round(eps, 6) AS eps, peak_eps, round(wps, 6) AS wps, peak_wps,
               format('[TELEMETRY]' || chr(10) || '- Errors/sec: {{:.2f}} avg | {{:.1f}} peak' || chr(10)
                 || '- Warns/sec:  {{:.2f}} avg | {{:.1f}} peak' || chr(10) || chr(10), round(eps, 9), peak_eps, round(wps, 9), peak_wps)

@@ -21,6 +21,11 @@ BRACKET_FORMAT = (r"(?d)(\d{4}-\d{2}-\d{2}[\t\n\f\r T]\d{2}:\d{2}:\d{2}).*?"
                   r"\[([a-zA-Z]+)\][\t\n\f\r ]+(.*)")
 SIMPLE_FORMAT = r"(?d)(\d{4}-\d{2}-\d{2}.*?)[\t\n\f\r ]+([a-zA-Z]+)[\t\n\f\r ]+(.*)"
 
+# Logfmt values. The last alternative always matches, which pins the first marker.
+LOGFMT_TIME = r'(?s)^.*?time=(?:"([^"]*)"|([^" ][^ ]*)|).*'
+LOGFMT_MESSAGE = (r'(?s)^.*?msg=(?:"([^"]*)"[\s\p{Z}\x85]*(.*)|("[^"]*)'
+                  r'|((?!")[^ ]*)[\s\p{Z}\x85]*(.*))\z')
+
 # Levels accepted between brackets without a date in front.
 BRACKET_LEVELS = ("INFO", "WARN", "ERROR", "DEBUG")
 
@@ -58,24 +63,14 @@ def _after(line: Column, marker: str) -> Column:
     return F.substring(line, F.instr(line, marker) + F.lit(len(marker)), F.length(line))
 
 
-def _until(text: Column, marker: str) -> Column:
-    return F.substring_index(text, marker, 1)
-
-
-def _cut(text: Column, start: int) -> Column:
-    return F.substring(text, F.lit(start), F.length(text))
-
-
 def is_logfmt(line) -> Column:
     return F.contains(col(line), F.lit("level=")) & F.contains(col(line), F.lit("msg="))
 
 
 def logfmt_time(line) -> Column:
-    """Raw time value of a logfmt line, null when absent or its quote is never closed."""
-    rest = _after(col(line), "time=")
-    quoted = F.when(F.contains(_cut(rest, 2), F.lit('"')), _until(_cut(rest, 2), '"'))
-    return F.when(F.contains(col(line), F.lit("time=")),
-                  F.when(rest.startswith('"'), quoted).otherwise(_until(rest, " ")))
+    """Raw time value of a logfmt line; empty when its quote is never closed, null when absent."""
+    value = F.regexp_replace(col(line), LOGFMT_TIME, "$1$2")
+    return F.when(F.contains(col(line), F.lit("time=")), value)
 
 
 def logfmt_level(line) -> Column:
@@ -83,15 +78,9 @@ def logfmt_level(line) -> Column:
 
 
 def logfmt_message(line) -> Column:
-    """Message of a logfmt line, fields behind it appended after a bar."""
-    rest = _after(col(line), "msg=")
-    closed = F.contains(_cut(rest, 2), F.lit('"'))
-    head = (F.when(rest.startswith('"'), F.when(closed, _until(_cut(rest, 2), '"')).otherwise(rest))
-             .otherwise(_until(rest, " ")))
-    quoted_tail = F.when(closed, _after(_cut(rest, 2), '"')).otherwise("")
-    tail = strip(F.when(rest.startswith('"'), quoted_tail)
-                  .when(F.contains(rest, F.lit(" ")), _after(rest, " ")).otherwise(""))
-    return F.when(tail == "", head).otherwise(F.concat(head, F.lit(" | "), tail))
+    """Message of a cleaned logfmt line, fields behind it appended after a bar."""
+    return F.regexp_replace(F.regexp_replace(col(line), LOGFMT_MESSAGE, "$1$3$4 | $2$5"),
+                            r" \| \z", "")
 
 
 def bracket_level(line) -> Column:
@@ -113,7 +102,7 @@ def text_kind(line) -> Column:
 def text_time(line, kind) -> Column:
     line, kind = col(line), col(kind)
     return (F.when(kind == "logfmt", logfmt_time(line))
-             .when(kind == "bracket", strip(_until(line, "[")))
+             .when(kind == "bracket", strip(F.substring_index(line, "[", 1)))
              .when(kind == "dated_bracket", F.regexp_extract(line, BRACKET_FORMAT, 1))
              .when(kind == "simple", F.regexp_extract(line, SIMPLE_FORMAT, 1)))
 
@@ -163,14 +152,24 @@ def parse_text(c) -> Column:
     return _parse_kind(c, lambda kind: F.lit(True))
 
 
-def json_fields(line) -> Column:
-    """Top-level fields of a line that is exactly one JSON object, else null."""
+def json_documents(line) -> Column:
+    """What a line holds between braces: null when it is no JSON, one map when it is one object.
+
+    Text behind the object shows as a second element.
+    """
     line = col(line)
     whole = line.startswith("{") & F.rtrim(line).endswith("}")
-    # Null stands for "not JSON"; a second array element for text behind the object.
-    parsed = F.when(whole, F.from_json(F.concat(F.lit("["), line, F.lit("]")),
-                                       "array<map<string,string>>", STRICT_JSON))
-    return bind(parsed, lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
+    return F.when(whole, F.from_json(F.concat(F.lit("["), line, F.lit("]")),
+                                     "array<map<string,string>>", STRICT_JSON))
+
+
+def single_document(documents) -> Column:
+    return F.when(F.size(col(documents)) == 1, F.get(col(documents), F.lit(0)))
+
+
+def json_fields(line) -> Column:
+    """Top-level fields of a line that is exactly one JSON object, else null."""
+    return bind(json_documents(line), single_document)
 
 
 def first_field(fields, keys) -> Column:
@@ -185,8 +184,8 @@ def first_field(fields, keys) -> Column:
 def extra_fields(fields) -> Column:
     """All fields without a role of their own as ``k=v | k=v``, ordered by key."""
     kept = F.map_filter(col(fields), lambda k, v: ~k.isin(*CONSUMED_KEYS))
-    pairs = F.transform(F.array_sort(F.map_keys(kept)), lambda k: F.concat(
-        k, F.lit("="), F.btrim(F.coalesce(F.element_at(kept, k), F.lit("null")), F.lit('"'))))
+    pairs = F.transform(F.sort_array(F.map_entries(kept)), lambda e: F.concat(
+        e["key"], F.lit("="), F.btrim(F.coalesce(e["value"], F.lit("null")), F.lit('"'))))
     return F.array_join(pairs, " | ")
 
 
@@ -209,8 +208,13 @@ def parse_json(c) -> Column:
 
 
 def wrapped_line(line, fields) -> Column:
-    """Line inside a container wrapper ({"log": "...", "stream": ...}), else null."""
-    inner = strip(col(fields)["log"])
-    is_text = col(line).rlike(r'"log"[ \t\r\n]*:[ \t\r\n]*"')
-    return F.when(F.map_contains_key(col(fields), "stream")
-                  & F.map_contains_key(col(fields), "log") & is_text & (inner != ""), inner)
+    """Line inside a container wrapper ({"log": "...", "stream": ...}), else null.
+
+    Inner text that is not JSON comes back cleaned.
+    """
+    line, fields = col(line), col(fields)
+    wrapper = (F.contains(line, F.lit('"stream"')) & line.rlike(r'"log"[ \t\r\n]*:[ \t\r\n]*"')
+               & F.map_contains_key(fields, "stream") & F.map_contains_key(fields, "log"))
+    inner = strip(fields["log"])
+    return F.when(wrapper & (inner != ""),
+                  F.when(inner.startswith("{"), inner).otherwise(clean_line(inner)))

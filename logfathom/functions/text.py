@@ -26,7 +26,10 @@ def strip(c) -> Column:
 
 def clean_line(c) -> Column:
     """Drop NUL and CR, turn tabs into spaces, strip."""
-    return strip(F.translate(col(c), "\t\x00\r", " "))
+    line = col(c)
+    odd = (F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r"))
+           | F.contains(line, F.lit("\x00")))
+    return strip(F.when(odd, F.translate(line, "\t\x00\r", " ")).otherwise(line))
 
 
 def fingerprint(c) -> Column:

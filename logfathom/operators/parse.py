@@ -45,30 +45,35 @@ def parse_logs(raw: DataFrame, formats: DataFrame | str | None = None,
     if "ingest_ts" not in raw.columns:
         lines = lines.withColumn("ingest_ts", F.lit(None).cast("timestamp"))
 
-    def fields_of(text, is_json):
-        return F.when(is_json & text.startswith("{"), P.json_fields(text))
-
-    text, is_json = strip("line"), F.coalesce(F.col("format") == "json", F.lit(False))
-    staged = compute_once(lines, _text=text, _json=is_json).filter(F.col("_text") != "")
-    staged = compute_once(staged, _fields=fields_of(F.col("_text"), F.col("_json")))
-    for _ in range(unwrap_depth):
-        staged = compute_once(staged, _inner=P.wrapped_line("_text", "_fields"))
-        inner = F.col("_inner")
-        staged = compute_once(
-            staged,
-            _text=F.coalesce(inner, F.col("_text")),
-            _json=F.when(inner.isNull(), F.col("_json")).otherwise(inner.startswith("{")),
-            _fields=F.when(inner.isNull(), F.col("_fields"))
-                     .otherwise(fields_of(inner, F.lit(True)))).drop("_inner")
-    staged = compute_once(staged, _text=F.when(F.col("_json"), F.col("_text"))
-                                         .otherwise(clean_line("_text")))
-    staged = compute_once(staged.filter(F.col("_text") != ""),
-                          _kind=F.when(F.col("_json"), "unknown").otherwise(P.text_kind("_text")))
+    # Every stage below adds columns the next one uses several times.
+    as_json = F.coalesce(F.col("format") == "json", F.lit(False))
+    staged = compute_once(lines, _json=as_json,
+                          _text=F.when(as_json, strip("line")).otherwise(clean_line("line")))
+    staged = staged.filter(F.col("_text") != "")
+    if formats == "text":
+        staged = staged.withColumn("_fields", F.lit(None).cast("map<string,string>"))
+    else:
+        staged = compute_once(staged, _docs=F.when(F.col("_json"), P.json_documents("_text")))
+        staged = compute_once(staged, _fields=P.single_document("_docs")).drop("_docs")
+        for _ in range(unwrap_depth):
+            staged = compute_once(staged, _inner=P.wrapped_line("_text", "_fields"))
+            inner = F.col("_inner")
+            staged = compute_once(
+                staged,
+                _text=F.coalesce(inner, F.col("_text")),
+                _json=F.when(inner.isNull(), F.col("_json")).otherwise(inner.startswith("{")),
+                _docs=F.when(inner.isNotNull(), P.json_documents(inner)))
+            staged = staged.withColumn(
+                "_fields", F.when(F.col("_inner").isNull(), F.col("_fields"))
+                            .otherwise(P.single_document("_docs"))).drop("_inner", "_docs")
+        staged = staged.filter(F.col("_text") != "")
+    staged = compute_once(staged, _kind=F.when(F.col("_json"), "unknown")
+                                         .otherwise(P.text_kind("_text")))
     has_fields = F.col("_fields").isNotNull()
+    staged = compute_once(staged, _time=F.when(has_fields, P.first_field("_fields", P.TIME_KEYS))
+                                         .otherwise(P.text_time("_text", "_kind")))
     staged = staged.select(
-        *lines.columns,
-        P.parse_ts(F.when(has_fields, P.first_field("_fields", P.TIME_KEYS))
-                    .otherwise(P.text_time("_text", "_kind"))).alias("event_ts"),
+        *lines.columns, P.parse_ts("_time").alias("event_ts"),
         F.when(has_fields, P.json_level("_fields"))
          .otherwise(P.text_level("_text", "_kind")).alias("level"),
         F.when(has_fields, P.json_message("_fields"))
