@@ -202,6 +202,9 @@ trend AS (SELECT f.source, f.idx, coalesce(t.errors, 0) AS errors, coalesce(t.wa
 SPACE = (r"[\x{9}\x{A}\x{B}\x{C}\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
          r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
+# What a stream has emitted at the end of its input: windows that ended before the watermark.
+CLOSED = "<= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 10000000 FROM ev)"
+
 PARSED = with_ev(f"SELECT {EVENT} FROM ev")
 
 
@@ -367,4 +370,16 @@ def oracle_sql() -> dict[str, str]:
         "signal_history": with_ev(f"""SELECT {EVENT} FROM ev WHERE {SIG}
             QUALIFY row_number() OVER (PARTITION BY source ORDER BY seq DESC) <= 1000"""),
         "state_merge": with_ev(f"SELECT source, pattern, level, count, {ts('last_ts')} AS last_ts FROM pats", PATTERNS),
+        "stream_totals": with_ev("SELECT source, level, count(*) AS count FROM ev GROUP BY source, level"),
+        "stream_patterns": with_ev(f"SELECT source, pattern, level, count, {ts('last_ts')} AS last_ts FROM pats", PATTERNS),
+        "stream_ticks": with_ev(f"""SELECT source, {tick} AS tick, errors, warns FROM ticks
+            WHERE (idx + 1) * {HOUR_US} {CLOSED}""", TICKS),
+        "stream_heartbeat": with_ev(f"""SELECT source, {us(f'w * {DAY_US}')} AS window_start, errors, warns, infos, top_issue
+            FROM hb WHERE (w + 1) * {DAY_US} {CLOSED}""", heart(DAY_US)),
+        "stream_recent_summary": with_ev(f"""SELECT source, {us(f'w * {DAY_US}')} AS window_start, errors, warns
+            FROM rs WHERE (w + 1) * {DAY_US} {CLOSED}""", recent(DAY_US)),
+        "stream_incidents": with_ev(f"""SELECT source, {us('t')} AS incident_ts, level, {us('last')} AS window_start,
+            after_recovery, peak_eps::DOUBLE AS peak_eps, peak_wps::DOUBLE AS peak_wps FROM inc
+            WHERE (idx + 1) * {HOUR_US} {CLOSED}""", RULES, True),
+        "stream_alerts": with_ev(f"SELECT {ts('ts')} AS ts, source, level, message, status, push FROM al", ALERTS, True),
     }

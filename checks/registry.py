@@ -217,6 +217,55 @@ def alert_rows(spark, sf):
     return A.alerts(ev(spark, sf), "2 hours", "1 hour", HOUR, "topic", CONFIG)
 
 
+def _streamed(spark, sf, start, *result):
+    """Run a stream over written log files to its end and return what it wrote."""
+    files = work_path(spark, "segments")
+    lines = tables.raw_lines(spark, sf)
+    # A ten-seconds delay and one pass over all files: nothing is late.
+    (lines.select("source", F.substring("line", 7, 10).alias("day"), F.col("line").alias("value"))
+          .write.partitionBy("source", "day").text(files))
+    events = S.stream_events(
+        spark, files, "text", source=lambda c: F.regexp_extract(c, "source=([^/]*)/", 1))
+    out = work_path(spark, "stream")
+    query = start(events, out, f"{out}-checkpoint")
+    query.awaitTermination()
+    return out if not result else spark.read.parquet("/".join([out, *result]))
+
+
+def stream_totals(spark, sf):
+    return state.state_level_counts(state.load_state(spark, _streamed(spark, sf, S.start_counts)))
+
+
+def stream_patterns(spark, sf):
+    return state.state_patterns(state.load_state(spark, _streamed(spark, sf, S.start_counts)))
+
+
+def stream_ticks(spark, sf):
+    return _streamed(spark, sf, lambda e, o, c: S.start_ticks(e, o, c, HOUR), "")
+
+
+def stream_heartbeat(spark, sf):
+    return _streamed(spark, sf, lambda e, o, c: S.start_heartbeat(e, o, c, "1 day"),
+                     "").drop("epoch", "report")
+
+
+def stream_recent_summary(spark, sf):
+    return _streamed(spark, sf, lambda e, o, c: S.start_recent_summary(e, o, c, "1 day"),
+                     "").drop("epoch")
+
+
+def stream_incidents(spark, sf):
+    rows = _streamed(spark, sf, lambda e, o, c: S.start_incidents(e, o, c, HOUR, CONFIG),
+                     "incidents")
+    return rows.drop("epoch", "idx", "trigger_seq")
+
+
+def stream_alerts(spark, sf):
+    rows = _streamed(spark, sf, lambda e, o, c: S.start_alerts(
+        e, o, c, "2 hours", "1 hour", HOUR, "topic", CONFIG), "alerts")
+    return rows.drop("epoch", "seq")
+
+
 def queries() -> dict:
     q = {
         "scan_lines": scan_lines,
@@ -288,7 +337,9 @@ def queries() -> dict:
         "signal_history": lambda s, d: L.signal_history(ev(s, d), 1000),
         "state_merge": state_merge,
     }
-    q.update(S.registered() if hasattr(S, "registered") else {})
+    q.update({f.__name__: f for f in (
+        stream_totals, stream_patterns, stream_ticks, stream_heartbeat, stream_recent_summary,
+        stream_incidents, stream_alerts)})
 
     def run(query):
         def call(spark: SparkSession, sf_dir: str) -> DataFrame:

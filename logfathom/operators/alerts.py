@@ -57,12 +57,16 @@ def alerts(events: DataFrame, cooldown: str = "20 seconds", gap: str = "10 secon
     the source stands at or above the alert threshold.
     """
     marked = materialize(notify(materialize(throttle(events, gap)), cooldown))
-    rates = (rate_table(events, tick, config)
-             .select("source", "idx", F.col("last_eps").alias("eps")))
-    rows = marked.withColumn("idx", tick_index(tick))
+    return with_push(marked, rate_table(events, tick, config), tick, topic, config)
+
+
+def with_push(marked: DataFrame, rates: DataFrame, tick: str, topic: str | None,
+              config: Config) -> DataFrame:
+    """Add push eligibility from the rate that stood when the alert came up."""
+    standing = rates.select("source", "idx", F.col("last_eps").alias("eps"))
     push = (F.lit(bool(topic)) & (F.col("status") == "NOTIFIED") & (F.col("level") == "ERROR")
             & (F.col("eps") >= config.alert_eps))
-    return (join_small(rates, rows, ["source", "idx"])
+    return (join_small(standing, marked.withColumn("idx", tick_index(tick)), ["source", "idx"])
             .select("ts", "source", "seq", "level", "message", "status", push.alias("push")))
 
 

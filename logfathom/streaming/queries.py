@@ -1,0 +1,219 @@
+"""Streaming forms of the operators.
+
+Counting uses Spark's own windowed state. Rules that look across windows run the
+batch operators on each micro-batch and keep what they must remember (last ticks,
+peaks, last report times) in a small table per batch. Every batch writes under its
+own number, so a repeated batch replaces its output instead of adding to it.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..config import DEFAULT, SIGNAL_LEVELS, Config, micros
+from ..functions.text import is_signal
+from ..operators import alerts as A
+from ..operators import cluster as C
+from ..operators import incidents as I
+from ..operators import parse as R
+from ..operators import reports as G
+from ..operators.rates import tick_counts, tick_index
+from ..plans.running import rolling_ticks
+from ..plans.scale import materialize
+from ..sources.logs import stream_logs
+from ..sources.state import partials, save_state
+
+# Columns of the tables remembered between batches.
+TICKS_DDL = "source string, idx bigint, errors bigint, warns bigint"
+CARRY_DDL = "source string, low bigint, top_errors bigint, top_warns bigint"
+LAST_DDL = "source string, last bigint, reported bigint"
+GATE_DDL = "alert_key string, last bigint"
+
+AVAILABLE_NOW = {"availableNow": True}
+
+
+def stream_events(spark: SparkSession, path: str, formats: DataFrame | str, delay: str = "10 seconds",
+                  source=None, start_after: str | None = None,
+                  max_files_per_trigger: int | None = None) -> DataFrame:
+    """Events of a folder of rotated log files, ordered by time and watermarked.
+
+    `source` may be a function from the file path column to the source name. Rows
+    later than the delay still count in totals but not in closed windows.
+    """
+    raw = stream_logs(spark, path, start_after, max_files_per_trigger)
+    if source is not None:
+        raw = raw.withColumn("source", source("source"))
+    return R.order_by_time(R.parse_logs(raw, formats)).withWatermark("ts", delay)
+
+
+def _start(rows: DataFrame, step, checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    return (rows.writeStream.foreachBatch(step).outputMode("append")
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or AVAILABLE_NOW)).start())
+
+
+def _write(rows: DataFrame, path: str, epoch: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+
+def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    try:
+        return spark.read.schema(ddl).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], ddl)
+
+
+def start_counts(events: DataFrame, path: str, checkpoint: str, trigger=None) -> StreamingQuery:
+    """Running totals, levels, patterns and variants as a saved state (see sources.state)."""
+    return _start(events, lambda batch, epoch: save_state(partials(batch, epoch), path, epoch),
+                  checkpoint, trigger)
+
+
+def tick_stream(events: DataFrame, tick: str = "1 second") -> DataFrame:
+    """(source, tick, errors, warns) of closed ticks."""
+    return (events.groupBy("source", F.window("ts", tick).alias("window"))
+                  .agg(F.count_if(F.col("level") == "ERROR").alias("errors"),
+                       F.count_if(F.col("level") == "WARN").alias("warns"))
+                  .select("source", F.col("window.start").alias("tick"), "errors", "warns"))
+
+
+def start_ticks(events: DataFrame, path: str, checkpoint: str, tick: str = "1 second",
+                trigger=None) -> StreamingQuery:
+    return (tick_stream(events, tick).writeStream.format("parquet").outputMode("append")
+            .option("path", path).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or AVAILABLE_NOW)).start())
+
+
+def start_heartbeat(events: DataFrame, path: str, checkpoint: str, every: str = "60 minutes",
+                    trigger=None) -> StreamingQuery:
+    """A heartbeat per source when a window closes."""
+    return _start(G.window_messages(events, every),
+                  lambda batch, epoch: _write(G.heartbeat_of(batch, every), path, epoch),
+                  checkpoint, trigger)
+
+
+def start_recent_summary(events: DataFrame, path: str, checkpoint: str, every: str = "60 seconds",
+                         k: int = 3, trigger=None) -> StreamingQuery:
+    """The top patterns of each window when it closes."""
+    return _start(C.window_message_counts(events, every),
+                  lambda batch, epoch: _write(C.recent_summary_of(batch, k), path, epoch),
+                  checkpoint, trigger)
+
+
+class _TickMemory:
+    """The tick series as far back as the next batch needs it."""
+
+    def __init__(self, spark: SparkSession, path: str, epoch: int, n: int):
+        self.path, self.epoch, self.n = path, epoch, n
+        before = f"{path}/epoch={epoch - 1}"
+        self.tail = _read(spark, f"{before}/ticks", TICKS_DDL)
+        self.carry = _read(spark, f"{before}/carry", CARRY_DDL)
+
+    def extend(self, counts: DataFrame) -> DataFrame:
+        """Rate table over remembered and new ticks; `new` marks ticks of this batch."""
+        self.series = materialize(
+            self.tail.withColumn("new", F.lit(False))
+            .unionByName(counts.withColumn("new", F.lit(True)))
+            .groupBy("source", "idx")
+            .agg(F.sum("errors").alias("errors"), F.sum("warns").alias("warns"),
+                 F.max("new").alias("new")))
+        return rolling_ticks(self.series, self.n, carry=self.carry)
+
+    def save(self) -> None:
+        here = f"{self.path}/epoch={self.epoch}"
+        ends = self.series.groupBy("source").agg(F.max("idx").alias("high"))
+        # Twice the window: late rows of the last ticks still find their neighbours.
+        kept = (self.series.join(ends, "source")
+                .filter(F.col("idx") > F.col("high") - 2 * self.n)
+                .select("source", "idx", "errors", "warns"))
+        kept.write.mode("overwrite").parquet(f"{here}/ticks")
+        seen = self.series.groupBy("source").agg(
+            F.min("idx").alias("low"), F.max("errors").alias("top_errors"),
+            F.max("warns").alias("top_warns"))
+        (self.carry.unionByName(seen).groupBy("source")
+         .agg(F.min("low").alias("low"), F.max("top_errors").alias("top_errors"),
+              F.max("top_warns").alias("top_warns"))
+         .write.mode("overwrite").parquet(f"{here}/carry"))
+
+
+def closed_signal_times(events: DataFrame, tick: str) -> DataFrame:
+    """Closed ticks, reduced to one row per distinct signal time (and one for the rest).
+
+    All rows of a tick leave in the batch that closes it.
+    """
+    signal = is_signal("level")
+    return (events.select("source", F.window("ts", tick).alias("window"),
+                          F.when(signal, F.unix_micros("ts")).alias("t"), "seq", "level",
+                          I.level_code().alias("code"))
+                  .groupBy("source", "window", "t")
+                  .agg(F.count_if(F.col("level") == "ERROR").alias("errors"),
+                       F.count_if(F.col("level") == "WARN").alias("warns"),
+                       F.min("seq").alias("seq"), F.min_by("code", "seq").alias("code"))
+                  .withColumn("idx", tick_index(tick, "window.start")).drop("window"))
+
+
+def start_incidents(events: DataFrame, path: str, checkpoint: str, tick: str = "1 second",
+                    config: Config = DEFAULT, trigger=None) -> StreamingQuery:
+    """Incidents under ``path/incidents``, found when their tick closes."""
+    state_path = f"{path}/state"
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rows = materialize(batch)
+        memory = _TickMemory(spark, state_path, epoch, config.rolling_ticks)
+        counts = rows.groupBy("source", "idx").agg(F.sum("errors").alias("errors"),
+                                                   F.sum("warns").alias("warns"))
+        rules = materialize(I.trigger_rules(memory.extend(counts), config)
+                            .filter("new").select(*I.RULE_COLUMNS))
+        last = _read(spark, f"{state_path}/epoch={epoch - 1}/last", LAST_DDL)
+        found = I.report_times(rules, rows.filter("t is not null"), tick, config, SIGNAL_LEVELS,
+                               last.select("source", "last"))
+        found = materialize(
+            found.join(last.select("source", "reported"), "source", "left")
+            .withColumn("after_recovery", F.col("after_recovery") | (
+                F.col("window_start").isNull() & F.col("reported").isNotNull()))
+            .drop("reported"))
+        _write(found, f"{path}/incidents", epoch)
+        newest = found.groupBy("source").agg(F.unix_micros(F.max("incident_ts")).alias("last"))
+        recovered = (rules.filter("recovered").groupBy("source")
+                     .agg((F.max("idx") * micros(tick)).alias("reset")))
+        merged = (last.unionByName(newest.withColumn("reported", F.col("last")))
+                  .groupBy("source").agg(F.max("last").alias("last"),
+                                         F.max("reported").alias("reported")))
+        (merged.join(recovered, "source", "left")
+         .select("source", F.when(F.col("reset").isNull() | (F.col("reset") <= F.col("last")),
+                                  F.col("last")).alias("last"), "reported")
+         .write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}/last"))
+        memory.save()
+
+    return _start(closed_signal_times(events, tick), step, checkpoint, trigger)
+
+
+def start_alerts(events: DataFrame, path: str, checkpoint: str, cooldown: str = "20 seconds",
+                 gap: str = "10 seconds", tick: str = "1 second", topic: str | None = None,
+                 config: Config = DEFAULT, trigger=None) -> StreamingQuery:
+    """Throttled alerts under ``path/alerts``, in arrival order of the batches."""
+    state_path = f"{path}/state"
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rows = materialize(batch.select("source", "seq", "ts", "level", "message"))
+        memory = _TickMemory(spark, state_path, epoch, config.rolling_ticks)
+        rates = memory.extend(tick_counts(rows, tick))
+        gate = _read(spark, f"{state_path}/epoch={epoch - 1}/gate", GATE_DDL)
+        taken = materialize(A.throttle(rows, gap, gate.filter("alert_key = 'ALL'").select("last")))
+        marked = materialize(A.notify(taken, cooldown, gate.filter("alert_key <> 'ALL'")))
+        _write(A.with_push(marked, rates, tick, topic, config), f"{path}/alerts", epoch)
+        key = F.when(F.col("level") == "WARN", "WARN").otherwise("ERROR")
+        (gate.unionByName(taken.select(F.lit("ALL").alias("alert_key"),
+                                       F.unix_micros("ts").alias("last")))
+         .unionByName(marked.filter("status = 'NOTIFIED'")
+                      .select(key.alias("alert_key"), F.unix_micros("ts").alias("last")))
+         .groupBy("alert_key").agg(F.max("last").alias("last"))
+         .write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}/gate"))
+        memory.save()
+
+    return _start(events, step, checkpoint, trigger)
