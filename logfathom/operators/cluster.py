@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SIGNAL_LEVELS
-from ..functions.text import fingerprint
+from ..functions.text import fingerprint, is_signal
 from ..plans.position import edge_rows, top_per_key
 from ..plans.scale import join_small
 from .filters import signals
@@ -36,8 +36,11 @@ def message_counts(events: DataFrame, *extra: str, levels=SIGNAL_LEVELS) -> Data
 
     The level is that of the first occurrence, `last_ts` the time of the last arrival.
     """
-    return (signals(events, levels)
-            .groupBy("source", *extra, "message")
+    return _count_messages(signals(events, levels), *extra, levels=levels)
+
+
+def _count_messages(events: DataFrame, *extra: str, levels=SIGNAL_LEVELS) -> DataFrame:
+    return (events.groupBy("source", *extra, "message")
             .agg(F.count(F.lit(1)).alias("count"),
                  F.min_by(_level_code(levels), "seq").alias("_code"),
                  F.min("seq").alias("first_seq"),
@@ -174,8 +177,22 @@ def variant_list(events: DataFrame, pattern: str) -> DataFrame:
 
 def window_message_counts(events: DataFrame, every: str) -> DataFrame:
     """Message counts per source and tumbling window."""
+    return _framed_counts(signals(events), every)
+
+
+def all_window_message_counts(events: DataFrame, every: str) -> DataFrame:
+    """Like `window_message_counts`, with all other rows counted under a null message.
+
+    In a stream every row has to reach the aggregate, or quiet stretches would not
+    move the watermark on.
+    """
+    return _framed_counts(events.withColumn(
+        "message", F.when(is_signal("level"), F.col("message"))), every)
+
+
+def _framed_counts(events: DataFrame, every: str) -> DataFrame:
     framed = events.withColumn("window", F.window("ts", every))
-    return (message_counts(framed, "window")
+    return (_count_messages(framed, "window")
             .withColumn("window_start", F.col("window.start")).drop("window"))
 
 

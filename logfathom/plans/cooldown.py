@@ -171,21 +171,21 @@ def cooldown_picks(df: DataFrame, keys: list[str], slice_us: int,
         upto, out = _slice_steps(*arrays(pdf), (node + low) * slice_us)
         return keyed(key, pd.DataFrame({"node": node, "upto": upto, "out": out}))
 
-    levels = [rows.groupBy(*keys, "node").applyInPandas(summarise, step_ddl)]
-    for level in range(depth):
-        width = slice_us << (FAN_BITS * (level + 1))
-
-        def merge(key, pdf, width=width):
+    def merger(width):
+        def merge(key, pdf):
             parent = int(key[-1])
-            start = parent * width + low * slice_us
             table = (np.empty(0, np.int64), np.empty(0, np.int64))
-            for _, nxt in _tables(pdf):
-                table = _compose(table, nxt, start)
+            for _, following in _tables(pdf):
+                table = _compose(table, following, parent * width + low * slice_us)
             return keyed(key, pd.DataFrame({"node": parent, "upto": table[0], "out": table[1]}))
+        return merge
 
+    levels = [rows.groupBy(*keys, "node").applyInPandas(summarise, step_ddl)]
+    for level in range(depth):
         levels[-1] = materialize(levels[-1])
         parent = F.shiftright("node", FAN_BITS).alias("parent")
-        levels.append(levels[-1].groupBy(*keys, parent).applyInPandas(merge, step_ddl))
+        levels.append(levels[-1].groupBy(*keys, parent).applyInPandas(
+            merger(slice_us << (FAN_BITS * (level + 1))), step_ddl))
 
     def hand_down(key, pdf, before):
         state = int(before["state"].iloc[0]) if len(before) else NEVER

@@ -53,14 +53,15 @@ def read_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def stream_logs(spark: SparkSession, path: str, start_after: str | None = None,
                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of the lines of new files under a folder.
+    """Stream of the lines of new files under a folder (or the folders a pattern matches).
 
     A file is read once, when it is complete; producers rotate files. With
     `start_after` only files changed at or after that time count. Nothing is
     dropped under load: `max_files_per_trigger` bounds a batch instead.
     """
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    matches = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder)
+    if matches is None or len(matches) == 0:
         raise FileNotFoundError(path)
     reader = spark.readStream.format("text")
     if max_files_per_trigger:

@@ -98,9 +98,11 @@ def start_heartbeat(events: DataFrame, path: str, checkpoint: str, every: str =
 def start_recent_summary(events: DataFrame, path: str, checkpoint: str, every: str = "60 seconds",
                          k: int = 3, trigger=None) -> StreamingQuery:
     """The top patterns of each window when it closes."""
-    return _start(C.window_message_counts(events, every),
-                  lambda batch, epoch: _write(C.recent_summary_of(batch, k), path, epoch),
-                  checkpoint, trigger)
+    def step(batch: DataFrame, epoch: int) -> None:
+        counts = batch.filter("message is not null")
+        _write(C.recent_summary_of(counts, k), path, epoch)
+
+    return _start(C.all_window_message_counts(events, every), step, checkpoint, trigger)
 
 
 class _TickMemory:
