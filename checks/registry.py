@@ -19,7 +19,7 @@ from logfathom.operators import incidents as I
 from logfathom.operators import parse as R
 from logfathom.operators import rates as V
 from logfathom.operators import reports as G
-from logfathom.plans.scale import compute_once, work_path
+from logfathom.plans.scale import compute_once, spread, work_path
 from logfathom.sources import logs, reports, state, tables
 from logfathom.streaming import queries as S
 
@@ -104,7 +104,7 @@ def multi_source(spark, sf):
 
 
 def clean_line(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet"))
     # Pages are cleaned as well: they hold tabs and line ends that prose does not.
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     rows = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
@@ -161,7 +161,7 @@ def age_label(spark, sf):
 
 
 def fingerprint_docs(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet"))
     return docs.select("doc_id", F.md5(X.fingerprint("text")).alias("digest"))
 
 

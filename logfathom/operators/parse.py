@@ -50,9 +50,8 @@ def parse_logs(raw: DataFrame, formats: DataFrame | str | None = None,
     staged = compute_once(lines, _json=as_json,
                           _text=F.when(as_json, strip("line")).otherwise(clean_line("line")))
     staged = staged.filter(F.col("_text") != "")
-    if formats == "text":
-        staged = staged.withColumn("_fields", F.lit(None).cast("map<string,string>"))
-    else:
+    text_only = formats == "text"
+    if not text_only:
         staged = compute_once(staged, _docs=F.when(F.col("_json"), P.json_documents("_text")))
         staged = compute_once(staged, _fields=P.single_document("_docs")).drop("_docs")
         for _ in range(unwrap_depth):
@@ -67,17 +66,21 @@ def parse_logs(raw: DataFrame, formats: DataFrame | str | None = None,
                 "_fields", F.when(F.col("_inner").isNull(), F.col("_fields"))
                             .otherwise(P.single_document("_docs"))).drop("_inner", "_docs")
         staged = staged.filter(F.col("_text") != "")
-    staged = compute_once(staged, _kind=F.when(F.col("_json"), "unknown")
-                                         .otherwise(P.text_kind("_text")))
-    has_fields = F.col("_fields").isNotNull()
-    staged = compute_once(staged, _time=F.when(has_fields, P.first_field("_fields", P.TIME_KEYS))
-                                         .otherwise(P.text_time("_text", "_kind")))
+    kind = P.text_kind("_text")
+    staged = compute_once(staged, _kind=kind if text_only else
+                          F.when(F.col("_json"), "unknown").otherwise(kind))
+
+    def either(from_fields, from_text):
+        """Value of a line: from its JSON fields where it has some, else from its text."""
+        text = from_text("_text", "_kind")
+        return text if text_only else F.when(F.col("_fields").isNotNull(),
+                                             from_fields("_fields")).otherwise(text)
+
+    staged = compute_once(staged, _time=either(lambda f: P.first_field(f, P.TIME_KEYS), P.text_time))
     staged = staged.select(
         *lines.columns, P.parse_ts("_time").alias("event_ts"),
-        F.when(has_fields, P.json_level("_fields"))
-         .otherwise(P.text_level("_text", "_kind")).alias("level"),
-        F.when(has_fields, P.json_message("_fields"))
-         .otherwise(P.text_message("_text", "_kind")).alias("message"))
+        either(P.json_level, P.text_level).alias("level"),
+        either(P.json_message, P.text_message).alias("message"))
     for name, parser in parsers.items():
         mine = F.col("format") == name
         staged = (staged.withColumn("_own", F.when(mine, parser(F.col("line"))))

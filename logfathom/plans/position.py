@@ -83,51 +83,65 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int,
               .drop("_salt", "_near"))
 
 
+def mark_ranks(marks: DataFrame, df: DataFrame, counts: DataFrame) -> DataFrame:
+    """(source, mark, total): rows of the source that arrived no later than each mark.
+
+    Only stretches with a mark are looked into, and each of their rows once.
+    """
+    at = (marks.select("source", "mark", "mark_seq").withColumn("stretch", stretch("mark_seq"))
+               .join(counts.select("source", "stretch", "before"), ["source", "stretch"]))
+    rows = join_small(df.select("source", "seq", stretch().alias("stretch")),
+                      at.select("source", "stretch").distinct(), ["source", "stretch"], "left_semi")
+    line = (rows.withColumn("mark", F.lit(None).cast("bigint"))
+                .withColumn("before", F.lit(0).cast("bigint"))
+                .unionByName(at.select("source", F.col("mark_seq").alias("seq"), "stretch",
+                                       "mark", "before")))
+    upto = (Window.partitionBy("source", "stretch").orderBy("seq", F.col("mark").asc_nulls_first())
+            .rowsBetween(Window.unboundedPreceding, 0))
+    return (line.withColumn("total", F.col("before") + F.count_if(F.col("mark").isNull()).over(upto))
+                .filter(F.col("mark").isNotNull()).select("source", "mark", "total"))
+
+
+def count_until(marks: DataFrame, df: DataFrame) -> DataFrame:
+    """(source, mark, total): rows of the source that arrived no later than each mark.
+
+    `marks` has columns (source, mark, mark_seq).
+    """
+    return mark_ranks(marks, df, stretch_counts(df))
+
+
 def rows_before(marks: DataFrame, df: DataFrame, n: int) -> DataFrame:
     """For every mark, the last n rows of its source that arrived no later than the mark.
 
     `marks` has columns (source, mark, mark_seq); the result has the columns of `df`
-    plus `mark` and `rank` (1 = newest). Marks and stretches are both laid on a grid
-    of arrival ranks, so they meet in an equi-join and no all-pairs step is needed.
+    plus `mark` and `rank` (1 = newest). Marks and rows are laid on a grid of arrival
+    ranks with cells of n: a row can only belong to marks in its own cell and the next,
+    so they meet in an equi-join, and every joined pair but the border ones is a result.
     """
     counts = materialize(stretch_counts(df))
-    marks = materialize(marks.select("source", "mark", "mark_seq"))
-    cell = max(n, 1 << STRETCH_BITS)
+    ranks = materialize(mark_ranks(marks, df, counts))
+    wide = max(n, 1 << STRETCH_BITS)
 
     def cells(first: Column, last: Column) -> Column:
-        return F.explode(F.sequence(F.floor(first / cell).cast("bigint"),
-                                    F.floor(last / cell).cast("bigint")))
-
-    # Rank range a mark can need: everything in its own stretch and n rows before it.
-    at = (marks.withColumn("stretch", stretch("mark_seq"))
-               .join(counts, ["source", "stretch"])
-               .select("source", "mark", "mark_seq",
-                       F.greatest(F.col("before") - n, F.lit(0)).alias("low"),
-                       (F.col("before") + F.col("n")).alias("high"))
-               .withColumn("cell", cells(F.col("low"), F.col("high") - 1)))
-    spans = (counts.withColumn("cell", cells(F.col("before"), F.col("before") + F.col("n") - 1))
-                   .select("source", "cell", "stretch", "before",
-                           (F.col("before") + F.col("n")).alias("after")))
-    wanted = (at.join(spans, ["source", "cell"])
-                .filter((F.col("after") > F.col("low")) & (F.col("before") < F.col("high")))
-                .select("source", "stretch", "mark", "mark_seq").distinct())
+        return F.explode(F.sequence(F.floor(first / wide).cast("bigint"),
+                                    F.floor(last / wide).cast("bigint")))
+
+    # Stretches that hold one of the ranks total - n + 1 .. total of some mark.
+    first = F.greatest(F.col("total") - n + 1, F.lit(1))
+    needs = ranks.select("source", first.alias("first"), F.col("total").alias("last")) \
+                 .withColumn("cell", cells(F.col("first"), F.col("last")))
+    spans = counts.withColumn("end", F.col("before") + F.col("n")) \
+                  .withColumn("cell", cells(F.col("before") + 1, F.col("end")))
+    wanted = (needs.join(spans, ["source", "cell"])
+                   .filter((F.col("end") >= F.col("first")) & (F.col("before") < F.col("last")))
+                   .select("source", "stretch", "before").distinct())
     rows = join_small(df.withColumn("stretch", stretch()), wanted, ["source", "stretch"])
-    newest = Window.partitionBy("source", "mark").orderBy(F.col("seq").desc())
-    return (rows.filter(F.col("seq") <= F.col("mark_seq"))
-                .withColumn("rank", F.row_number().over(newest))
-                .filter(F.col("rank") <= n)
-                .drop("stretch", "mark_seq"))
-
-
-def count_until(marks: DataFrame, df: DataFrame) -> DataFrame:
-    """(source, mark, total): rows of the source that arrived no later than each mark."""
-    counts = materialize(stretch_counts(df))
-    at = (marks.select("source", "mark", "mark_seq")
-               .withColumn("stretch", stretch("mark_seq"))
-               .join(counts, ["source", "stretch"])
-               .select("source", "stretch", "mark", "mark_seq", "before"))
-    rows = df.select("source", "seq", stretch().alias("stretch"))
-    return (join_small(rows, at, ["source", "stretch"])
-            .filter(F.col("seq") <= F.col("mark_seq"))
-            .groupBy("source", "mark")
-            .agg((F.count(F.lit(1)) + F.max("before")).alias("total")))
+    in_order = Window.partitionBy("source", "stretch").orderBy("seq")
+    placed = rows.withColumn("at", F.col("before") + F.row_number().over(in_order))
+    own = F.floor(F.col("at") / n).cast("bigint")
+    placed = placed.withColumn("cell", F.explode(F.array(own, own + 1)))
+    marked = ranks.withColumn("cell", F.floor(F.col("total") / n).cast("bigint"))
+    return (join_small(placed, marked, ["source", "cell"])
+            .withColumn("rank", F.col("total") - F.col("at") + 1)
+            .filter(F.col("rank").between(1, n))
+            .drop("stretch", "before", "at", "cell", "total"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A broadcast side is a handful of narrow columns, so this many rows stay in the
@@ -53,12 +53,20 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     """
     if shared_dir(small.sparkSession) is None:
         return big.join(small, on, how)
-    small = materialize(small)
-    if small.count() <= max_rows:
+    # The rows are counted while they are written; a retried task can only add to the count.
+    counted = Observation()
+    small = small.observe(counted, F.count(F.lit(1)).alias("rows")).checkpoint()
+    if counted.get["rows"] <= max_rows:
         small = F.broadcast(small)
     return big.join(small, on, how)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Input that arrives in fewer splits than there are cores, dealt out to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add (or replace) columns that later stages may use many times.
 

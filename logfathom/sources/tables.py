@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scale import compute_once
+from ..plans.scale import compute_once, spread
 
 # Severity, message and context key of each kind of action.
 LEVEL_OF = {"error": "ERROR", "signup": "WARN", "click": "DEBUG"}
@@ -57,7 +57,7 @@ def raw_lines(spark: SparkSession, sf_dir: str, layout: str = "logfmt") -> DataF
     `layout` is one of LAYOUTS, or ``mixed``: then the five layouts take turns and the
     number of the layout is part of the source name, so that each source has one format.
     """
-    rows = load_events(spark, sf_dir)
+    rows = spread(load_events(spark, sf_dir))
     day, clock = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss.SSSSSS")
     iso = F.concat(day, F.lit("T"), clock, F.lit("Z"))
     spaced = F.concat(day, F.lit(" "), clock)
