@@ -299,15 +299,16 @@ def oracle_sql() -> dict[str, str]:
             || 'Errors: ' || errors || ' | Warns: ' || warns || ' | Info: ' || infos || chr(10)
             || 'Top Issue: ' || top_issue || chr(10) AS report FROM hb""", heart(DAY_US)),
         "snapshot": with_ev(f"""
-            , lv AS (SELECT source, string_agg(level || '=' || n, ',' ORDER BY level) AS level_counts, sum(n)::BIGINT AS total_lines
-                     FROM (SELECT source, level, count(*) AS n FROM ev GROUP BY ALL) GROUP BY source),
+            , lv AS (SELECT source, count(*) AS total_lines, count(*) FILTER (level = 'ERROR') AS error,
+                     count(*) FILTER (level = 'WARN') AS warn, count(*) FILTER (level = 'INFO') AS info,
+                     count(*) FILTER (level = 'DEBUG') AS debug FROM ev GROUP BY source),
             ls AS (SELECT source, {ts("arg_max(ts, seq) FILTER (level = 'ERROR')")} AS last_error_ts,
                      {ts("arg_max(ts, seq) FILTER (level = 'WARN')")} AS last_warn_ts FROM ev GROUP BY source),
             cur AS (SELECT source, eps, wps, peak_eps::DOUBLE AS peak_eps, peak_wps::DOUBLE AS peak_wps FROM rates
                     QUALIFY row_number() OVER (PARTITION BY source ORDER BY idx DESC) = 1),
             tr AS (SELECT source, string_agg(errors::VARCHAR, ',' ORDER BY idx) AS trend_error,
                      string_agg(warns::VARCHAR, ',' ORDER BY idx) AS trend_warn FROM trend GROUP BY source)
-            SELECT source, level_counts, total_lines, last_error_ts, last_warn_ts, round(eps, 6) AS eps, round(wps, 6) AS wps,
+            SELECT source, total_lines, error, warn, info, debug, last_error_ts, last_warn_ts, round(eps, 6) AS eps, round(wps, 6) AS wps,
               peak_eps, peak_wps, {HEALTH} AS status, trend_error, trend_warn
             FROM lv JOIN ls USING (source) JOIN cur USING (source) JOIN tr USING (source)""", TREND),
         "situation_report": with_ev(f"""

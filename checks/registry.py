@@ -177,11 +177,7 @@ def state_merge(spark, sf):
 
 def snapshot(spark, sf):
     rows = G.snapshot_row(ev(spark, sf), HOUR)
-    levels = F.array_join(F.transform(
-        F.array_sort(F.map_entries("level_counts")),
-        lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
-    return (rows.withColumn("level_counts", levels)
-                .withColumn("trend_error", listing("trend_error"))
+    return (rows.withColumn("trend_error", listing("trend_error"))
                 .withColumn("trend_warn", listing("trend_warn")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config, micros
-from ..plans.cooldown import SLICE_COOLDOWNS, cooldown_picks
+from ..plans.cooldown import cooldown_picks
 from ..plans.scale import join_small, materialize
 from .filters import signals
 from .rates import rate_table, tick_index
@@ -26,7 +26,7 @@ def throttle(events: DataFrame, gap: str = "10 seconds", entry: DataFrame | None
     width = micros(gap)
     rows = signals(events)
     # "More than" the gap is "at least" one microsecond beyond it.
-    picks = cooldown_picks(_timeline(rows, width + 1), [], SLICE_COOLDOWNS * width, entry)
+    picks = cooldown_picks(_timeline(rows, width + 1), [], max(width // 4, 1), entry)
     taken = join_small(rows.withColumn("t", F.unix_micros("ts")), picks.select("t"), ["t"])
     first = F.min(F.struct("seq", "source", "level", "message")).alias("e")
     return (taken.groupBy("t").agg(first)
@@ -41,7 +41,7 @@ def notify(taken: DataFrame, cooldown: str = "20 seconds", entry: DataFrame | No
                                             .otherwise("ERROR"))
                   .withColumn("t", F.unix_micros("ts")))
     picks = cooldown_picks(_timeline(keyed, width, "alert_key"), ["alert_key"],
-                           SLICE_COOLDOWNS * width, entry)
+                           max(width // 4, 1), entry)
     return (keyed.join(picks.select("alert_key", "t", F.lit(True).alias("picked")),
                        ["alert_key", "t"], "left")
                  .withColumn("status", F.when(F.col("picked"), "NOTIFIED").otherwise("LOGGED"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, SIGNAL_LEVELS, Config, micros
-from ..plans.cooldown import SLICE_COOLDOWNS, cooldown_picks
+from ..plans.cooldown import cooldown_picks
 from ..plans.position import count_until, rows_before
 from ..plans.scale import join_small, materialize
 from .filters import min_level, signals
@@ -88,7 +88,7 @@ def report_times(rules: DataFrame, rows: DataFrame, tick: str, config: Config,
                 .unionByName(rules.filter("recovered").select(
                     "source", (F.col("idx") * micros(tick)).alias("t"),
                     F.lit(None).cast("bigint").alias("cool"), F.lit(True).alias("reset"))))
-    picks = cooldown_picks(timeline, ["source"], SLICE_COOLDOWNS * max(slow, fast), entry)
+    picks = cooldown_picks(timeline, ["source"], max(min(slow, fast) // 4, 1), entry)
     in_order = Window.partitionBy("source").orderBy("t")
     name = F.element_at(F.array(*[F.lit(level) for level in levels]), F.col("code").cast("int"))
     return (picks.join(found, ["source", "t"])

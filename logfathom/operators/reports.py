@@ -108,18 +108,16 @@ def heartbeat_lines(events: DataFrame, every: str = "60 minutes") -> DataFrame:
 
 def snapshot_row(events: DataFrame, tick: str = "1 second", config: Config = DEFAULT) -> DataFrame:
     """One row per source with everything that has a bounded size."""
-    counts = (level_counts(events).groupBy("source")
-              .agg(F.map_from_entries(F.collect_list(F.struct("level", "count")))
-                    .alias("level_counts"), F.sum("count").alias("total_lines")))
-    return (counts.join(last_seen(events), "source")
-                  .join(status(current_rates(events, tick, config), config), "source")
-                  .join(trend_arrays(events, config.rolling_ticks, tick), "source"))
+    return (level_pivot(events).join(last_seen(events), "source")
+            .join(status(current_rates(events, tick, config), config), "source")
+            .join(trend_arrays(events, config.rolling_ticks, tick), "source"))
 
 
 def snapshot(events: DataFrame, tick: str = "1 second",
              config: Config = DEFAULT) -> dict[str, DataFrame]:
-    """All parts of the live view: the row per source, the pattern list and the newest rows."""
+    """All parts of the live view: the row per source, levels, patterns and the newest rows."""
     return {"summary": snapshot_row(events, tick, config),
+            "levels": level_counts(events),
             "top_patterns": top_patterns(events),
             "sample": history(events, config.sample_rows)}
 

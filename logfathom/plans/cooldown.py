@@ -6,7 +6,9 @@ the last pick, or when there is none; a reset forgets the last pick. Walked
 plainly, one busy timeline is one long sequential task. Here it runs in three
 steps, each over bounded groups:
 
-1. Every time slice is reduced to a step table that maps the last pick before the
+1. The timeline is cut into slices. They are at least as fine as asked for, so that
+   a dense stretch stays bounded by its distinct microseconds, and wider where rows are
+   few. Every slice is reduced to a step table that maps the last pick before the
    slice to the last pick after it. Only candidates near the start of the slice
    can make a difference, so the table is short.
 2. Step tables are composed over groups of neighbouring slices, level by level,
@@ -34,7 +36,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NEVER = -(1 << 62)     # state: no last pick
 ALWAYS = (1 << 62)     # step bound that every state satisfies
 FAN_BITS = 7           # slices composed per group: 128
-SLICE_COOLDOWNS = 16   # slice length in units of the longest cooldown
+SLICE_ROWS = 1_000_000  # rows a slice is widened to while time is sparse
 
 
 def _successors(t, cool, reset):
@@ -144,9 +146,13 @@ def cooldown_picks(df: DataFrame, keys: list[str], slice_us: int,
               .groupBy(*keys, "node", "t")
               .agg(F.min("cool").alias("cool"), F.max("reset").alias("reset")))
     rows = materialize(rows)
-    low, high = rows.agg(F.min("node"), F.max("node")).first()
+    low, high, densest = (rows.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("n"))
+                          .agg(F.min("node"), F.max("node"), F.max("n")).first())
     if low is None:
-        low = high = 0
+        low, high, densest = 0, 0, 1
+    wider = max(1, SLICE_ROWS // densest)
+    low, high, slice_us = low // wider, high // wider, slice_us * wider
+    rows = rows.withColumn("node", F.floor(F.col("node") / wider).cast("bigint"))
     rows = rows.withColumn("node", F.col("node") - low)
     depth = 0
     while (high - low) >> (FAN_BITS * (depth + 1)):

@@ -60,6 +60,11 @@ def load_state(spark: SparkSession, path: str, reset: bool = False) -> DataFrame
         return empty
 
 
+def compact_state(spark: SparkSession, path: str, into: str, epoch: int = 0) -> None:
+    """Write all parts of a state as one part of a new state."""
+    save_state(load_state(spark, path), into, epoch)
+
+
 def state_level_counts(state: DataFrame) -> DataFrame:
     return state.groupBy("source", "level").agg(F.sum("count").alias("count"))
 

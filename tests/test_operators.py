@@ -102,7 +102,7 @@ def test_trend_and_scale(make_events):
 def test_snapshot(make_events):
     events = make_events([(0, "ERROR", "a 1"), (0, "ERROR", "a 2"), (1, "WARN", "b"), (3, "INFO", "c")])
     row = G.snapshot_row(events).first()
-    assert (row.total_lines, row.level_counts["ERROR"], row.eps, row.peak_eps, row.status) == (
+    assert (row.total_lines, row.error, row.eps, row.peak_eps, row.status) == (
         4, 2, 0.5, 2.0, "Minor Issues")
     assert row.trend_error == [2, 0, 0, 0]
     parts = G.snapshot(events)

@@ -42,10 +42,11 @@ DDL = "k string, t bigint, cool bigint, reset boolean"
 
 @pytest.mark.parametrize("cools,resets,slice_us", [
     ([11], 0.0, 37), ([20], 0.0, 20), ([6, 30], 0.0, 64), ([6, 30], 0.1, 50), ([5, 9, 40], 0.3, 7)])
-def test_parallel_picks_equal_the_loop(spark, cools, resets, slice_us):
+def test_parallel_picks_equal_the_loop(spark, monkeypatch, cools, resets, slice_us):
+    monkeypatch.setattr(cooldown, "SLICE_ROWS", 1)   # keep the slices as short as given
     rng = random.Random(len(cools) * 100 + slice_us)
-    lines = {f"k{i}": timeline(rng, rng.randint(1, 400), rng.choice([300, 3_000, 40_000]), cools, resets)
-             for i in range(12)}
+    lines = {f"k{i}": timeline(rng, rng.randint(1, 400), rng.choice([300, 3_000, 9_000]), cools, resets)
+             for i in range(6)}
     df = spark.createDataFrame([(k, *row) for k, rows in lines.items() for row in rows], DDL)
     got = {k: [] for k in lines}
     for r in cooldown.cooldown_picks(df, ["k"], slice_us).collect():
@@ -56,6 +57,7 @@ def test_parallel_picks_equal_the_loop(spark, cools, resets, slice_us):
 
 def test_step_tables_compose_over_several_levels(spark, monkeypatch):
     monkeypatch.setattr(cooldown, "FAN_BITS", 1)
+    monkeypatch.setattr(cooldown, "SLICE_ROWS", 1)
     rng = random.Random(3)
     rows = timeline(rng, 600, 2_000, [6, 30], 0.05)
     df = spark.createDataFrame([("k", *row) for row in rows], DDL).drop("k")
@@ -63,12 +65,15 @@ def test_step_tables_compose_over_several_levels(spark, monkeypatch):
     assert got == [(t, last) for t, last in walk(rows)]
 
 
-def test_picks_resume_from_a_known_state(spark):
+@pytest.mark.parametrize("widest", [1, 30, 1_000_000])
+def test_picks_resume_from_a_known_state(spark, monkeypatch, widest):
+    monkeypatch.setattr(cooldown, "SLICE_ROWS", widest)
     rng = random.Random(5)
     rows = sorted(timeline(rng, 300, 5_000, [6, 30], 0.05), key=lambda r: r[0])
     early = [r for r in rows if r[0] < 2_000]
     late = [r for r in rows if r[0] >= 2_000]
     last = walk(early)[-1][0]
+    late.append((last, 6, False))   # over already
     df = spark.createDataFrame([("k", *row) for row in late], DDL)
     entry = spark.createDataFrame([("k", last), ("other", 9)], "k string, last bigint")
     got = sorted(((r.t, r.last) for r in cooldown.cooldown_picks(df, ["k"], 64, entry).collect()), key=lambda p: p[0])
