@@ -155,9 +155,8 @@ def inspect(spark, sf):
 
 def age_label(spark, sf):
     rows = ev(spark, sf)
-    now = rows.agg(F.max("ts").alias("now"))
-    return (rows.join(F.broadcast(now))   # one row
-                .select("seq", X.age_label("ts", "now").alias("age")))
+    newest = rows.agg(F.unix_micros(F.max("ts"))).first()[0]
+    return rows.select("seq", X.age_label("ts", F.timestamp_micros(F.lit(newest))).alias("age"))
 
 
 def fingerprint_docs(spark, sf):

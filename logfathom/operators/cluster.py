@@ -146,8 +146,8 @@ def inspect(events: DataFrame, pattern: str) -> DataFrame:
     times = (variant_times(events, pattern=pattern).groupBy("source", "message")
              .agg(F.array_sort(F.collect_list(F.struct("rank", "ts"))).alias("hits"))
              .select("source", "message", F.col("hits.ts").alias("times")))
-    return (found.select("source", "pattern", "message", "count")
-                 .join(head, ["source", "pattern"])
+    return (join_small(found.select("source", "pattern", "message", "count"), head,
+                       ["source", "pattern"])
                  .join(times, ["source", "message"], "left")
                  .select("source", "pattern", "level", "total", "message", "count", "times"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config, micros
 from ..functions.text import health
 from ..plans.running import rolling_ticks
+from ..plans.scale import join_small
 
 
 def tick_index(tick: str, c="ts") -> Column:
@@ -99,7 +100,8 @@ def current_rates(events: DataFrame, tick: str = "1 second", config: Config = DE
         F.max("warns").cast("double").alias("peak_wps"))
     n = config.rolling_ticks
     span = F.least(F.lit(n), F.col("high") - F.col("low") + 1)
-    return (counts.join(ends, "source")
+    # A join on the source alone would gather all ticks of a source in one task.
+    return (join_small(counts, ends, ["source"])
                   .filter(F.col("idx") > F.col("high") - n)
                   .groupBy("source", "low", "high", "peak_eps", "peak_wps")
                   .agg((F.sum("errors")).alias("errors"), F.sum("warns").alias("warns"))

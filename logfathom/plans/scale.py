@@ -36,6 +36,13 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or a pattern of paths, matches anything."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a reduced table, so that later passes do not repeat its lineage.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..plans.scale import path_exists
 
 _ROW_BITS = (1 << 33) - 1
 
@@ -59,9 +60,7 @@ def stream_logs(spark: SparkSession, path: str, start_after: str | None = None,
     `start_after` only files changed at or after that time count. Nothing is
     dropped under load: `max_files_per_trigger` bounds a batch instead.
     """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    matches = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder)
-    if matches is None or len(matches) == 0:
+    if not path_exists(spark, path):
         raise FileNotFoundError(path)
     reader = spark.readStream.format("text")
     if max_files_per_trigger:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.scale import path_exists
 from ..schema import INCIDENT_META
 
 _NAME = re.compile(r"^incident_.*\.json$")
@@ -42,13 +42,11 @@ _PLACE = "source_key string, date string, incident_id string"
 
 def list_incidents(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
     """Incident headers, newest first. Corrupt documents are skipped, large arrays not parsed."""
-    try:
-        schema = T.StructType(INCIDENT_META.fields + T._parse_datatype_string(_PLACE).fields)
+    schema = T.StructType(INCIDENT_META.fields + T._parse_datatype_string(_PLACE).fields)
+    if not path_exists(spark, path):
+        rows = spark.createDataFrame([], schema)
+    else:
         rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    except AnalysisException:
-        return spark.createDataFrame(
-            [], "filename string, timestamp string, " + ", ".join(
-                f"{f.name} {f.dataType.simpleString()}" for f in INCIDENT_META))
     if source:
         rows = rows.filter((F.col("source_key") == source) & (F.col("source") == source))
     shown = F.translate(F.regexp_replace("incident_id", "^incident_", ""), "_", " ")

@@ -6,11 +6,11 @@ Each part carries an epoch, so `seq` of a later run never sorts before an earlie
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint, is_signal
+from ..plans.scale import path_exists
 
 # The persisted columns. `message` is null for rows that only count lines.
 STATE_DDL = ("source string, level string, message string, count bigint, "
@@ -51,13 +51,9 @@ def save_state(state: DataFrame, path: str, epoch: int = 0) -> None:
 
 def load_state(spark: SparkSession, path: str, reset: bool = False) -> DataFrame:
     """All saved parts merged; an empty state when nothing was saved or on reset."""
-    empty = spark.createDataFrame([], STATE_DDL)
-    if reset:
-        return empty
-    try:
-        return merge(spark.read.schema(STATE_DDL).parquet(path))
-    except AnalysisException:
-        return empty
+    if reset or not path_exists(spark, path):
+        return spark.createDataFrame([], STATE_DDL)
+    return merge(spark.read.schema(STATE_DDL).parquet(path))
 
 
 def compact_state(spark: SparkSession, path: str, into: str, epoch: int = 0) -> None:

@@ -8,7 +8,6 @@ own number, so a repeated batch replaces its output instead of adding to it.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -59,11 +58,12 @@ def _write(rows: DataFrame, path: str, epoch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
-def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    try:
-        return spark.read.schema(ddl).parquet(path)
-    except AnalysisException:
+def _remembered(spark: SparkSession, path: str, epoch: int, name: str, ddl: str) -> DataFrame:
+    """A table the batch before left behind. Only the first batch has nothing to remember;
+    a table missing later is an error, not an empty memory."""
+    if epoch == 0:
         return spark.createDataFrame([], ddl)
+    return spark.read.schema(ddl).parquet(f"{path}/epoch={epoch - 1}/{name}")
 
 
 def start_counts(events: DataFrame, path: str, checkpoint: str, trigger=None) -> StreamingQuery:
@@ -110,9 +110,8 @@ class _TickMemory:
 
     def __init__(self, spark: SparkSession, path: str, epoch: int, n: int):
         self.path, self.epoch, self.n = path, epoch, n
-        before = f"{path}/epoch={epoch - 1}"
-        self.tail = _read(spark, f"{before}/ticks", TICKS_DDL)
-        self.carry = _read(spark, f"{before}/carry", CARRY_DDL)
+        self.tail = _remembered(spark, path, epoch, "ticks", TICKS_DDL)
+        self.carry = _remembered(spark, path, epoch, "carry", CARRY_DDL)
 
     def extend(self, counts: DataFrame) -> DataFrame:
         """Rate table over remembered and new ticks; `new` marks ticks of this batch."""
@@ -170,7 +169,7 @@ def start_incidents(events: DataFrame, path: str, checkpoint: str, tick: str = "
                                                    F.sum("warns").alias("warns"))
         rules = materialize(I.trigger_rules(memory.extend(counts), config)
                             .filter("new").select(*I.RULE_COLUMNS))
-        last = _read(spark, f"{state_path}/epoch={epoch - 1}/last", LAST_DDL)
+        last = _remembered(spark, state_path, epoch, "last", LAST_DDL)
         found = I.report_times(rules, rows.filter("t is not null"), tick, config, SIGNAL_LEVELS,
                                last.select("source", "last"))
         found = materialize(
@@ -205,7 +204,7 @@ def start_alerts(events: DataFrame, path: str, checkpoint: str, cooldown: str =
         rows = materialize(batch.select("source", "seq", "ts", "level", "message"))
         memory = _TickMemory(spark, state_path, epoch, config.rolling_ticks)
         rates = memory.extend(tick_counts(rows, tick))
-        gate = _read(spark, f"{state_path}/epoch={epoch - 1}/gate", GATE_DDL)
+        gate = _remembered(spark, state_path, epoch, "gate", GATE_DDL)
         taken = materialize(A.throttle(rows, gap, gate.filter("alert_key = 'ALL'").select("last")))
         marked = materialize(A.notify(taken, cooldown, gate.filter("alert_key <> 'ALL'")))
         _write(A.with_push(marked, rates, tick, topic, config), f"{path}/alerts", epoch)
