@@ -8,24 +8,67 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, sharding, topk, warc
-from .common import table
+from logfathom.plans.scale import work_path
+
+from . import bpe, dedup, jaccard, licenses, packing, sharding, token_counts, topk, toxicity, warc
+from .common import staged, table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four commits: all documents arrive, arrive again (a retry, which changes
+    nothing), repeats of equal texts leave, and the others are counted anew with an end id."""
+    docs = table(spark, sf_dir, "documents")
+    counted = staged(token_counts.token_count(
+        docs.select("doc_id", "source", "lang", "text"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+        .drop("text").withColumn("tokenizer", F.lit("byte_bpe_50k")), "token-counts")
+    kept = dedup.exact_dedup(docs).select("doc_id", "kept")
+    marked = staged(counted.join(kept, "doc_id"), "kept-counts")
+    none = F.lit(None).cast("long").alias("old_tokens")
+    store = token_counts.TokenTotals(spark, work_path(spark, "token-totals"))
+    arrived = counted.select(*token_counts.KEYS, F.lit(token_counts.INSERT).alias("change"),
+                             "tokens", none)
+    store.commit("load", arrived)
+    store.commit("load", arrived)
+    store.commit("repeats", marked.filter("NOT kept").select(
+        *token_counts.KEYS, F.lit(token_counts.DELETE).alias("change"), "tokens", none))
+    store.commit("end-ids", marked.filter("kept").select(
+        *token_counts.KEYS, F.lit(token_counts.REVISE).alias("change"),
+        (F.col("tokens") + 1).alias("tokens"), F.col("tokens").alias("old_tokens")))
+    return store.totals()
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"),
+                        public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.even_tree(24)
     return sharding.assign(table(spark, sf_dir, "documents"), tree,
                            sharding.with_region(tree, "region-new", 24))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"),
                                 public_tokenizers.path("byte_bpe_50k.tiktoken"),
@@ -38,4 +81,5 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_exact_dedup, op4_sharding, op6_warc, op9_byte_bpe, op10_top_k)}
+        op1_exact_dedup, op2_token_counts, op3_packing, op4_sharding, op5_jaccard_join, op6_warc, op7_licenses,
+        op8_toxicity, op9_byte_bpe, op10_top_k)}

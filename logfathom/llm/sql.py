@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import licenses
+
 OP1 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size,
@@ -12,6 +14,45 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 FROM d JOIN g USING (body)
 """
 
+OP5 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(words) - 4, 1) + 1),
+                                     lambda i: array_to_string(words[i:i + 4], ' '))) AS shingle
+      FROM w WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+      FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+      WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a),
+g AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM g LEFT JOIN n USING (doc_id)
+"""
+
+# Bigrams of the templates are rows, made by the rule that the operator uses.
+OP7 = f"""
+WITH t(license, bigram) AS (VALUES {", ".join(
+    f"('{name}', '{b}')" for name, notice in licenses.TEMPLATES.items()
+    for b in licenses.template_bigrams(notice))}),
+n AS (SELECT license, count(*) AS n FROM t GROUP BY license),
+u AS (SELECT doc_id, unnest(string_split(regexp_replace(lower(regexp_replace(coalesce(text, ''),
+        '[\\n\\r]+|[.!?:;][ \\t]+', chr(10), 'g')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10))) AS unit
+      FROM documents),
+w AS (SELECT doc_id, row_number() OVER () AS unit_no, string_split(trim(unit), ' ') AS words FROM u),
+b AS (SELECT DISTINCT doc_id, unit_no, unnest(list_transform(range(1, len(words)),
+        lambda i: words[i] || ' ' || words[i + 1])) AS bigram FROM w WHERE len(words) > 1),
+a AS (SELECT doc_id, unit_no, count(*) AS a FROM b GROUP BY ALL),
+m AS (SELECT doc_id, unit_no, license, count(*) AS c FROM b JOIN t USING (bigram) GROUP BY ALL),
+d AS (SELECT m.doc_id, license, 2.0::DOUBLE * c / (a + n) AS dice
+      FROM m JOIN a USING (doc_id, unit_no) JOIN n USING (license))
+SELECT doc_id, license, round(max(dice), 6) AS dice, count(*) AS n_units
+FROM d WHERE dice >= 0.8 GROUP BY doc_id, license
+"""
+
 OP10 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS vector
            FROM embeddings
@@ -27,4 +68,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op10_top_k": OP10}
+    return {"op1_exact_dedup": OP1, "op5_jaccard_join": OP5, "op7_licenses": OP7, "op10_top_k": OP10}
