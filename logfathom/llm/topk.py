@@ -33,7 +33,7 @@ LEVEL = 4
 #: Vectors that are scored exactly once the others are ruled out.
 RESCORED = 128
 #: Segments are visited in so many steps, with a look at the bounds after each.
-STEPS = 24
+STEPS = 16
 
 RESULT = "query_id long, vec_id long, score long"
 
@@ -80,10 +80,12 @@ class ImpactIndex:
         possible, floor = np.arange(n), None
         step = max(1, -(-len(visit) // STEPS))
         for begin in range(0, len(visit), step):
-            for s in visit[begin:begin + step]:
-                own = self.postings[self.starts[s]:self.ends[s]]
-                gathered[own] += impact[s]
-                met[own] += 1
+            segments = visit[begin:begin + step]
+            own = np.concatenate([self.postings[s:e] for s, e in zip(
+                self.starts[segments].tolist(), self.ends[segments].tolist())])
+            added = np.repeat(impact[segments], self.ends[segments] - self.starts[segments])
+            gathered += np.bincount(own, added, n).astype(np.int64)
+            met += np.bincount(own, minlength=n)
             if begin + step >= len(visit):
                 break
             reach = int(impact[visit[begin + step]])
@@ -107,9 +109,8 @@ class ImpactIndex:
         return self.matrix[rows] @ query
 
 
-#: Up to this size of component, sums over any number of components that fits in memory stay
-#: within 64 bits.
-SAFE = 1 << 20
+#: Up to this size of component, sums over thousands of components are exact in a double.
+SAFE = 1 << 18
 
 
 def _plain_top(ids, vectors, query_id, query, k):
