@@ -6,7 +6,7 @@ Of records with equal payloads the one with the largest page_id is a response an
 are revisits that refer to it.
 
 Reading: each archive is parsed by the Content-Length of its records. The captures of an archive
-are sorted by (URL key, time, page_id): a run. Runs are cut into ranges of that order, and in
+are sorted by (URL key, time, page_id, copy): a run. Runs are cut into ranges of that order, and in
 each range a loser tree merges the pieces of the runs into one globally ordered history.
 
 Cases: a null html is an empty payload; empty payloads are equal to each other; a null url gives
@@ -24,22 +24,22 @@ import hashlib
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logfathom.plans.scale import work_path
 
 from .common import shares, staged, text_of
 
-#: Archives hold about this many bytes, so that a task can read a whole one.
-ARCHIVE_BYTES = 8 << 20
+#: Records in an archive, at most, so that a task can read a whole one.
+ARCHIVE_RECORDS = 5_000
 #: Captures that one task merges, about.
 RANGE_CAPTURES = 20_000
 END = "\r\n\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-READ_SCHEMA = ("archive string, offset long, page_id long, row_no long, url string, "
+READ_SCHEMA = ("archive string, offset long, page_id long, copy long, url string, "
                "url_key string, at string, record_type string, payload_bytes long, "
-               "payload_digest string, refers_row long")
+               "payload_digest string, record_id string, refers_id string")
 READ_ARROW = pa.schema([(name, pa.int64() if kind == "long" else pa.string())
                         for name, kind in map(str.split, READ_SCHEMA.split(", "))])
 NO_ID = -(1 << 63)
@@ -65,59 +65,66 @@ def url_key(url: Column) -> Column:
 
 
 def typed(pages: DataFrame) -> DataFrame:
-    """Pages with payload digest, record type and the row each revisit refers to."""
+    """Pages with payload digest, record type and the record each revisit refers to.
+
+    Only digests are grouped. The payloads move once, to meet their group, and are dealt into
+    archives by that same shuffle. Repeated rows (same page_id and html) are numbered as copies.
+    """
     html = text_of("html")
-    rows = staged(pages.select(
-        F.col("page_id").cast("long").alias("page_id"), base32_digest(html.cast("binary")).alias("digest"),
-        F.octet_length(html).alias("bytes"), F.col("url").cast("string").alias("url"),
-        html.alias("html")).withColumn("row_no", F.monotonically_increasing_id()), "pages")
-    locator = F.struct(F.coalesce("page_id", F.lit(NO_ID)).alias("page"), F.col("row_no").alias("row"))
-    winners = rows.groupBy("digest", "bytes").agg(F.max(locator).alias("win"))
-    narrow = rows.select("row_no", "digest", "bytes").join(winners, ["digest", "bytes"])
-    marks = narrow.select("row_no", F.col("win.row").alias("win_row"),
-                          F.when(F.col("win.page") != NO_ID, F.col("win.page")).alias("win_page"))
-    return rows.join(marks, "row_no").withColumn("revisit", F.col("row_no") != F.col("win_row"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"),
+                        F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page"),
+                        base32_digest(html.cast("binary")).alias("digest"),
+                        F.octet_length(html).alias("bytes"), F.col("url").cast("string").alias("url"),
+                        html.alias("html"))
+    narrow = staged(rows.select("page", "digest", "bytes"), "payload-digests")
+    winners = narrow.groupBy("digest", "bytes").agg(F.max("page").alias("win"))
+    marks = narrow.distinct().join(winners, ["digest", "bytes"]).select("page", "digest", "win")
+    copies = Window.partitionBy("page", "digest").orderBy("url")
+    return (rows.join(marks, ["page", "digest"])
+            .withColumn("copy", F.row_number().over(copies))
+            .withColumn("revisit", (F.col("page") != F.col("win")) | (F.col("copy") > 1)))
 
 
 def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
 
-def record(page: str = "page_id") -> Column:
+def record() -> Column:
     """Header and payload of a record, without the line ends that follow it.
 
     A revisit has no body: its payload is that of the record it refers to.
     """
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
-    name = lambda row: F.concat(F.lit("<urn:row:"), row.cast("string"), F.lit(">"))
+
+    def name(page: Column, copy: Column) -> Column:
+        number = F.when(page == NO_ID, "null").otherwise(page.cast("string"))
+        return F.concat(F.lit("<urn:page:"), number, F.lit(":"), copy.cast("string"), F.lit(">"))
+
     # Pages carry no time of capture; the number of the page stands for its second.
-    at = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000)
-                                           + F.pmod(F.coalesce(F.col(page), F.lit(0)), F.lit(10 ** 9))),
+    at = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod("page", F.lit(10 ** 9))),
                        "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    revisit = F.col("revisit")
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
-        _line("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")),
-        _line("WARC-Record-ID", name(F.col("row_no"))),
+        _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
+        _line("WARC-Record-ID", name(F.col("page"), F.col("copy"))),
         _line("WARC-Date", at),
         F.when(F.col("url").isNotNull(), _line("WARC-Target-URI", uri)).otherwise(""),
         _line("X-URL-Key", F.regexp_replace(url_key(F.col("url")), "[\r\n]", " ")),
-        _line("X-Page-ID", F.coalesce(F.col(page).cast("string"), F.lit("null"))),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(F.col("revisit"), F.concat(
+        F.when(revisit, F.concat(
             F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"),
-            _line("WARC-Refers-To", name(F.col("win_row"))))).otherwise(""),
+            _line("WARC-Refers-To", name(F.col("win"), F.lit(1))))).otherwise(""),
         F.lit("Content-Type: text/html\r\n"),
-        _line("Content-Length", F.when(F.col("revisit"), "0").otherwise(F.col("bytes").cast("string"))),
+        _line("Content-Length", F.when(revisit, "0").otherwise(F.col("bytes").cast("string"))),
         F.lit("\r\n"))
-    return F.concat(head, F.when(F.col("revisit"), "").otherwise(F.col("html")))
+    return F.concat(head, F.when(revisit, "").otherwise(F.col("html")))
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Write what ``typed`` returns as gzip archives of about ARCHIVE_BYTES each."""
-    size = pages.agg(F.sum("bytes")).first()[0] or 0
-    (pages.select(record().alias("value"), "row_no")
-     .repartition(shares(size, ARCHIVE_BYTES), "row_no").select("value")
-     .write.option("lineSep", END).option("compression", "gzip").text(path))
+    """Write what ``typed`` returns as gzip archives; a partition is an archive or several."""
+    (pages.select(record().alias("value")).write.option("lineSep", END)
+     .option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path))
 
 
 def parse_archive(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -138,7 +145,6 @@ def parse_archive(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    row_of = lambda name: int(name[len("<urn:row:"):-1])
     for batch in batches:
         for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
             archive, found = path.rsplit("/", 1)[-1], []
@@ -148,19 +154,20 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     full = len(payload)
                     if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                         raise ValueError(f"{archive}: payload at byte {offset} is not what was written")
-                page, refers = h["X-Page-ID"], h.get("WARC-Refers-To")
+                page, copy = h["WARC-Record-ID"][len("<urn:page:"):-1].split(":")
                 found.append({
                     "archive": archive, "offset": offset, "url": h.get("WARC-Target-URI"),
                     "page_id": None if page == "null" else int(page), "url_key": h["X-URL-Key"],
-                    "row_no": row_of(h["WARC-Record-ID"]), "at": h["WARC-Date"],
+                    "copy": int(copy), "at": h["WARC-Date"], "record_id": h["WARC-Record-ID"],
                     "record_type": h["WARC-Type"], "payload_bytes": full, "payload_digest": digest,
-                    "refers_row": row_of(refers) if refers else None})
+                    "refers_id": h.get("WARC-Refers-To")})
             # A run: the captures of one archive in the order of the index.
             yield pa.RecordBatch.from_pylist(sorted(found, key=_order), READ_ARROW)
 
 
 def _order(capture: dict) -> tuple:
-    return capture["url_key"], capture["at"], capture["row_no"]
+    return (capture["url_key"], capture["at"],
+            NO_ID if capture["page_id"] is None else capture["page_id"], capture["copy"])
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -226,7 +233,7 @@ def merged_index(runs: DataFrame) -> DataFrame:
     the captures share still goes to many tasks.
     """
     ranges = shares(runs.count(), RANGE_CAPTURES)
-    return (runs.repartitionByRange(ranges, "url_key", "at", "row_no")
+    return (runs.repartitionByRange(ranges, "url_key", "at", "page_id", "copy")
             .mapInArrow(_merge, f"{READ_SCHEMA}, position long").withColumn("range_no", F.spark_partition_id()))
 
 
@@ -238,12 +245,12 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = pages.sparkSession
     path = path or work_path(spark, "warc")
-    write_archives(staged(typed(pages), "typed-pages"), path)
+    write_archives(typed(pages), path)
     index = staged(merged_index(staged(read_archives(spark, path), "runs")), "warc-index")
     responses = index.filter("record_type = 'response'").select(
-        F.col("row_no").alias("refers_row"), F.col("page_id").alias("refers_to"),
+        F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"),
         F.col("payload_bytes").alias("full_bytes"))
-    return index.join(responses, "refers_row", "left").select(
+    return index.join(responses, "refers_id", "left").select(
         "page_id", F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"),
         "payload_digest", "record_type", "refers_to", "url_key", "archive", "offset", "range_no",
         "position")
