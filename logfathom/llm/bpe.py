@@ -5,7 +5,8 @@ adjacent pair that has a rank waits in the bucket of that rank. A hierarchical b
 ranks marks the buckets in use: finding the first set bit at each level gives the lowest rank.
 Positions in a bucket are merged from left to right; entries whose pair has changed meanwhile
 are stale and skipped. A merge takes constant time, so a match of n bytes takes O(n) steps (and
-sorting within buckets), where scanning for the lowest rank takes O(n^2).
+sorting within buckets), where scanning for the lowest rank takes O(n^2). Short matches share a
+queue, so that a bucket is worked off for thousands of them at once; long ones have their own.
 
 Cases: a null text is empty and has no ids; repeated rows are encoded alike; a null doc_id stays
 null; an empty table gives an empty result. Only ``doc_id`` and ``text`` are read.
@@ -16,18 +17,21 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: Encoded matches that a worker remembers; it starts anew beyond them.
-REMEMBERED = 250_000
-#: Longer matches are not remembered.
-REMEMBERED_CHARS = 64
+#: Encoded matches that a worker remembers.
+REMEMBERED = 500_000
+#: Matches of more bytes have a queue of their own.
+LONG = 64
+#: Texts whose matches are encoded together.
+TOGETHER = 2_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -42,7 +46,7 @@ class RankQueue:
     """Buckets of positions by rank, under three levels of 64-bit words."""
 
     def __init__(self, ranks: int) -> None:
-        words = -(-ranks // 64)
+        words = -(-max(1, ranks) // 64)
         self.leaves = [0] * words
         self.middle = [0] * -(-words // 64)
         self.top = 0
@@ -51,9 +55,13 @@ class RankQueue:
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is not None:
-            heappush(bucket, position)
+            bucket.append(position)
             return
-        self.buckets[rank] = [position]
+        self.put(rank, [position])
+
+    def put(self, rank: int, positions: list[int]) -> None:
+        """A bucket for a rank that has none."""
+        self.buckets[rank] = positions
         self.leaves[rank >> 6] |= 1 << (rank & 63)
         self.middle[rank >> 12] |= 1 << (rank >> 6 & 63)
         self.top |= 1 << (rank >> 12)
@@ -69,14 +77,15 @@ class RankQueue:
         word = self.leaves[middle]
         return middle << 6 | (word & -word).bit_length() - 1
 
-    def drop(self, rank: int) -> None:
-        del self.buckets[rank]
+    def take(self, rank: int) -> list[int]:
+        """The bucket of a rank, which is then gone."""
         leaf, middle = rank >> 6, rank >> 12
         self.leaves[leaf] &= ~(1 << (rank & 63))
         if not self.leaves[leaf]:
             self.middle[middle] &= ~(1 << (leaf & 63))
             if not self.middle[middle]:
                 self.top &= ~(1 << middle)
+        return self.buckets.pop(rank)
 
 
 class ByteBPE:
@@ -87,86 +96,158 @@ class ByteBPE:
 
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.size = max(ranks.values(), default=0) + 1
-        self.single = [ranks[bytes([i])] for i in range(256)]
-        # Ids of two tokens to the id of the merged one, filled as pairs are met.
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.queue = RankQueue(self.size)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _rank(self, left: int, right: int) -> int:
-        """Rank of a pair of ids, or -1."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            found = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
-            self.pairs[left, right] = found
-        return found
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one match."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
+        self.bytes_of = {rank: token for token, rank in ranks.items()}
+        # One object for each id, so that what is remembered stays small.
+        self.number = list(range(self.size)).__getitem__
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        # Every pair of tokens that is a token: the pair as a number, and its rank.
+        self.pairs = {ranks[token[:i]] << 32 | ranks[token[i:]]: rank
+                      for token, rank in ranks.items() for i in range(1, len(token))
+                      if token[:i] in ranks and token[i:] in ranks}
+        self.keys = np.array(sorted(self.pairs) or [-1], np.int64)
+        self.key_ranks = np.array([self.pairs.get(k, -1) for k in self.keys.tolist()], np.int64)
+        self.recent: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, or -1."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.key_ranks[at], -1)
+
+    def merge_long(self, piece: bytes) -> list[int]:
+        """Ids of one match of any length; a bucket is a heap, so that the leftmost goes first."""
         n = len(piece)
-        ids = [self.single[b] for b in piece]
+        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue, rank_of = self.queue, self._rank
-        # waiting[i]: the rank under which the pair that begins at i is in the queue now.
-        waiting = [-1] * n
-        for i in range(n - 1):
-            rank = rank_of(ids[i], ids[i + 1])
-            waiting[i] = rank
+        queue, pairs = RankQueue(self.size), self.pairs.get
+        waiting = [pairs(a << 32 | b, -1) for a, b in zip(ids, ids[1:])] + [-1]
+        for i, rank in enumerate(waiting):
             if rank >= 0:
                 queue.push(rank, i)
         while (rank := queue.first()) >= 0:
-            bucket = queue.buckets[rank]
-            while bucket:
+            bucket = queue.take(rank)
+            heapify(bucket)
+            lowest = rank
+            while bucket and lowest >= rank:
                 i = heappop(bucket)
                 if waiting[i] != rank:
                     continue  # stale: one of its two tokens is part of another by now
                 gone = after[i]
-                ids[i] = rank
-                waiting[gone] = -1
+                ids[i], waiting[i], waiting[gone] = rank, -1, -1
                 after[i] = following = after[gone]
-                waiting[i] = -1
+                changed = []
                 if following < n:
                     before[following] = i
-                    waiting[i] = new = rank_of(rank, ids[following])
-                    if new >= 0:
-                        queue.push(new, i)
-                previous = before[i]
-                if previous >= 0:
-                    waiting[previous] = new = rank_of(ids[previous], rank)
-                    if new >= 0:
-                        queue.push(new, previous)
-                if queue.first() < rank:
-                    break  # a merge can make a pair of lower rank
-            if not bucket:
-                queue.drop(rank)
+                    changed.append((i, pairs(rank << 32 | ids[following], -1)))
+                if before[i] >= 0:
+                    changed.append((before[i], pairs(ids[before[i]] << 32 | rank, -1)))
+                for position, new in changed:
+                    waiting[position] = new
+                    if new == rank:
+                        heappush(bucket, position)
+                    elif new >= 0:
+                        queue.push(new, position)
+                        lowest = min(lowest, new)
+            if bucket:
+                queue.put(rank, bucket)  # a merge made a pair of lower rank, which goes first
         out, i = [], 0
         while i < n:
             out.append(ids[i])
             i = after[i]
         return out
 
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each of many matches, all of them under one queue.
+
+        The lowest rank of all matches is the lowest rank of those that have it, so each match
+        sees its merges in its own order. A bucket is taken as a whole, and of each match its
+        leftmost valid position is merged; as that can make a pair of lower rank, what is left of
+        the bucket waits until its rank is the lowest again.
+        """
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        n, ends = int(sizes.sum()), np.cumsum(sizes)
+        # One slot more than there are bytes stands for the outside of every match.
+        ids = np.append(self.single[np.frombuffer(b"".join(pieces), np.uint8)], -1)
+        match = np.repeat(np.arange(len(pieces)), sizes)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[ends - 1] = after[n] = n
+        before[ends - sizes] = before[n] = n
+        alive = np.ones(n, bool)
+        # waiting[i]: the rank under which the pair that begins at i is in the queue now.
+        waiting = self._ranks_of(ids, ids[after])
+        waiting[n] = -1
+        queue = RankQueue(self.size)
+        spots = np.nonzero(waiting >= 0)[0]
+        spots = spots[np.argsort(waiting[spots], kind="stable")]
+        ranks, first = np.unique(waiting[spots], return_index=True)
+        for rank, own in zip(ranks.tolist(), np.split(spots, first[1:])):
+            queue.put(rank, own.tolist())
+        while (rank := queue.first()) >= 0:
+            spots = np.unique(np.array(queue.take(rank), np.int64))
+            spots = spots[waiting[spots] == rank]  # the others are stale
+            lead = np.ones(len(spots), bool)
+            lead[1:] = match[spots[1:]] != match[spots[:-1]]
+            if not lead.all():
+                queue.put(rank, spots[~lead].tolist())
+                spots = spots[lead]
+            gone = after[spots]
+            following, previous = after[gone], before[spots]
+            ids[spots], alive[gone], waiting[gone] = rank, False, -1
+            after[spots], before[following] = following, spots
+            waiting[spots] = self._ranks_of(ids[spots], ids[following])
+            waiting[previous] = self._ranks_of(ids[previous], ids[spots])
+            waiting[n], before[n] = -1, n
+            changed = np.concatenate([spots, previous])
+            new = waiting[changed]
+            for position, found in zip(changed[new >= 0].tolist(), new[new >= 0].tolist()):
+                queue.push(found, position)
+        tokens, counts = ids[:n][alive].tolist(), np.bincount(match[alive], minlength=len(pieces))
+        bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
+        return [tokens[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def learn(self, matches: set[str]) -> None:
+        """Remember the ids of these matches. Memory is bounded: what was not used since the
+        last time it was full goes."""
+        if len(self.recent) + len(matches) > REMEMBERED:
+            self.older, self.recent = self.recent, {}
+        new = []
+        for match in matches:
+            ids = self.older.get(match)
+            if ids is None:
+                new.append(match)
+            else:
+                self.recent[match] = ids
+        raw = [m.encode() for m in new]
+        short = [i for i, r in enumerate(raw) if len(r) <= LONG]
+        merged = self.merge([raw[i] for i in short]) if short else []
+        for i, ids in zip(short, merged):
+            self.recent[new[i]] = tuple(map(self.number, ids))
+        for match, r in zip(new, raw):
+            if len(r) > LONG:
+                self.recent[match] = tuple(map(self.number, self.merge_long(r)))
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of whole texts, some texts at a time so that their matches share a queue."""
+        for begin in range(0, len(texts), TOGETHER):
+            split = [self.split(text) for text in texts[begin:begin + TOGETHER]]
+            known = self.recent
+            self.learn({m for matches in split for m in matches if m not in known})
+            known = self.recent
+            for matches in split:
+                ids: list[int] = []
+                add = ids.extend
+                try:
+                    for match in matches:
+                        add(known[match])
+                except KeyError:  # the memory was renewed after a match had been looked up
+                    ids = [i for m in matches for i in known.get(m) or self.older[m]]
+                yield ids
+
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
-        ids: list[int] = []
-        add, known = ids.extend, self.known.get
-        for match in self.split(text):
-            add(known(match) or self._encode_match(match))
-        return ids
-
-    def _encode_match(self, match: str) -> tuple[int, ...]:
-        ids = tuple(self.merge(match.encode()))
-        if len(match) <= REMEMBERED_CHARS:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[match] = ids
-        return ids
+        return next(self.encode_all([text]))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -192,8 +273,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         written = {i: str(i) for i in bpe.bytes_of}
         for batch in batches:
             counts, ids_sha, decoded_sha = [], [], []
-            for text in batch["text"]:
-                ids = bpe.encode(text.as_py())
+            for ids in bpe.encode_all(batch["text"].to_pylist()):
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(
                     " ".join(map(written.__getitem__, ids)).encode()).hexdigest())
