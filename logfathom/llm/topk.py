@@ -116,9 +116,9 @@ SAFE = 1 << 18
 def _plain_top(ids, vectors, query_id, query, k):
     """For components so large that sums could pass 64 bits: whole numbers of any size."""
     cut = lambda v: max(-(1 << 63), min((1 << 63) - 1, v))
-    scored = sorted((-sum(int(a) * int(b) for a, b in zip(v, query)), int(i))
+    scored = sorted((-cut(sum(int(a) * int(b) for a, b in zip(v, query))), int(i))
                     for i, v in zip(ids, vectors) if i != query_id)[:k]
-    return [i for _, i in scored], [cut(-s) for s, _ in scored]
+    return [i for _, i in scored], [-s for s, _ in scored]
 
 
 def _search(k: int):
