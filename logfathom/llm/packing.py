@@ -21,7 +21,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain, combinations_with_replacement
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,9 @@ DEPTH = 4
 QUANTUM = 64
 #: Documents that one task places, about.
 CHUNK_DOCUMENTS = 20_000
-#: Words whose ids a worker remembers; it starts anew beyond them.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers, words that are tokenized together, and bytes of texts whose
+#: words are.
+REMEMBERED, TOGETHER, PART_BYTES = 400_000, 20_000, 16 << 20
 
 TOKENS_SCHEMA = ("doc_id long, doc_tokens long, windows array<long>, quanta array<long>, "
                  "tail binary")
@@ -59,29 +60,56 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Memory is bounded: what was not used since the last time it was full
+        goes."""
+        if len(self.recent) >= REMEMBERED:
+            self.older, self.recent = self.recent, {}
+        recent, older = self.recent, self.older
+        new = []
+        for word in words:
+            if word not in recent:
+                ids = older.get(word)
+                if ids is None:
+                    new.append(word)
+                else:
+                    recent[word] = ids
+        for begin in range(0, len(new), TOGETHER):
+            some = new[begin:begin + TOGETHER]
+            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                recent[word] = np.array(got.ids, self.kind).tobytes()
+        return list(map(recent.__getitem__, words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text ends in them."""
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        unique = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in unique if w not in self.known]
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = got.ids
-        ids = [self.known[w] for w in unique]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        codes = np.asarray(coded.indices, np.int64)
+        ids = self._ids_of(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        codes = np.asarray(coded.indices)
         counts = sizes[codes]
         ends = np.cumsum(counts)
-        begins = (np.cumsum(sizes) - sizes)[codes]
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(begins - (ends - counts), counts) + np.arange(total)
-        per_text = np.asarray(words.offsets, np.int64)[1:] - int(words.offsets[0].as_py())
-        return flat[at], np.concatenate([[0], ends])[per_text]
+        # Where each word's ids are, counted on from where they go.
+        shift = (np.cumsum(sizes) - sizes)[codes] - (ends - counts)
+        at = np.repeat(shift, counts)
+        at += np.arange(len(at))
+        offsets = np.asarray(words.offsets, np.int64)
+        return flat[at], np.concatenate([[0], ends])[offsets[1:] - offsets[0]]
+
+    def parts(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What ``encode`` returns, for some MB of texts at a time."""
+        begin, held = 0, 0
+        for i, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+            if held and held + size > PART_BYTES:
+                yield self.encode(texts[begin:i])
+                begin, held = i, 0
+            held += size
+        yield self.encode(texts[begin:])
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -98,12 +126,9 @@ def tokenized(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _loaded(path)
         for batch in batches:
-            flat, ends = words.encode(batch["text"])
             sizes, windows, quanta, tails = [], [], [], []
-            begin = 0
-            for end in ends.tolist():
-                ids = np.append(flat[begin:end], np.uint32(end_id)).astype("<u4")
-                begin = end
+            for ids in (np.append(flat[a:b], end_id).astype("<u4") for flat, ends in words.parts(batch["text"])
+                        for a, b in zip([0, *ends.tolist()], ends.tolist())):
                 raw, n = memoryview(ids).cast("B"), len(ids)
                 full, main = n // window * window, n // QUANTUM * QUANTUM
                 sizes.append(n)
