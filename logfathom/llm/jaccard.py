@@ -47,9 +47,14 @@ FREQUENT_IN_BATCH, FREQUENT = 8_192, 65_536
 PART = 10_000
 #: Lists with more regions than this are cut by a second shingle.
 MANY_REGIONS = 64
+#: Largest distance of a link, with room for rounding.
+REACH = 1 - SIMILAR / 100 + 1e-9
+#: Most bits that a set's parities take.
+MOST_BITS = 1 << 15
 NO_ID = -(1 << 63)
 
-SETS_SCHEMA = "doc_id long, n int, digest binary, prefix array<long>, parts array<int>"
+SETS_SCHEMA = ("doc_id long, n int, digest binary, prefix array<long>, parts array<int>, "
+               "bits binary")
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -91,6 +96,38 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
 
 
+def parities(found: np.ndarray) -> bytes:
+    """For each value of the last bits of the hashes, whether an odd number of shingles has it.
+
+    Every shingle that only one of two sets holds flips one bit, so the bits in which two sets
+    differ are at most the shingles in which they do.
+    """
+    size = 64
+    while size < min(2 * len(found), MOST_BITS):
+        size *= 2
+    counts = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits(counts & 1, bitorder="little").tobytes()
+
+
+def _differing(a: bytes, b: bytes) -> int:
+    """Bits in which parities differ; the longer ones are folded to the length of the shorter."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+@F.pandas_udf(T.DoubleType())
+def _least_distance(n_a: pd.Series, n_b: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """A distance that two sets have at least, by their sizes and their parities."""
+    out = []
+    for m, n, x, y in zip(n_a, n_b, a, b):
+        apart = max(abs(m - n), _differing(x, y))
+        out.append(2.0 * apart / (m + n + apart))
+    return pd.Series(out, dtype="float64")
+
+
 def _digest(found: np.ndarray) -> bytes:
     import xxhash
 
@@ -127,17 +164,18 @@ def prefix_length(n: int, similar: int = SIMILAR) -> int:
 
 
 def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
-    """Per document: size and digest of its set, its first shingles (and one more), and into how
-    many parts the list of each is cut."""
+    """Per document: size, digest and parities of its set, its first shingles (and one more), and
+    into how many parts the list of each is cut."""
     known, times = frequent
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, firsts, parts = [], [], [], []
+            sizes, digests, firsts, parts, bits = [], [], [], [], []
             for found in shingle_sets(batch["text"]):
                 n = len(found)
                 sizes.append(n)
                 digests.append(_digest(found) if n else b"")
+                bits.append(parities(found))
                 if not n:
                     firsts.append([])
                     parts.append([])
@@ -151,8 +189,9 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
                 parts.append(often[first] // PART + 1)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()),
-                 pa.array(firsts, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))],
-                ["doc_id", "n", "digest", "prefix", "parts"])
+                 pa.array(firsts, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32())),
+                 pa.array(bits, pa.binary())],
+                ["doc_id", "n", "digest", "prefix", "parts", "bits"])
     return prefixes
 
 
@@ -171,8 +210,22 @@ def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
                                          assume_unique=True)) for x, y in zip(a, b)], dtype="int32")
 
 
+def possible(pairs: DataFrame, profiles: DataFrame, slack=0.0) -> DataFrame:
+    """Pairs (a, b) whose distance may be at most the threshold plus ``slack`` (a column).
+
+    This compares a few bits for each shingle; most pairs that only share a passage end here.
+    """
+    for end in ("a", "b"):
+        pairs = pairs.join(profiles.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"),
+                                           F.col("bits").alias(f"bits_{end}")), end)
+    least = _least_distance("n_a", "n_b", "bits_a", "bits_b")
+    return pairs.withColumn("least", least).filter(
+        F.col("least") <= F.lit(REACH) + (slack if isinstance(slack, Column) else F.lit(slack))).drop(
+        "n_a", "n_b", "bits_a", "bits_b", "least")
+
+
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes allow a link or that are wanted anyway, with their distance."""
+    """Pairs (a, b) with their exact distance and whether they link."""
     first = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
     second = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
     shared = pairs.join(first, "a").join(second, "b").withColumn("shared", _shared("s_a", "s_b"))
@@ -181,6 +234,24 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                          (100 * F.col("shared").cast("long") >= SIMILAR * union.cast("long")).alias("linked"))
 
 
+def shingles_of(pairs: list[DataFrame], plain: DataFrame, profiles: DataFrame, have: DataFrame | None) -> DataFrame:
+    """Sets of all nodes in some pairs, made anew from their texts; those at hand are not."""
+    ends = [p.select(F.col(end).alias("node")) for p in pairs for end in ("a", "b")]
+    nodes = ends[0]
+    for more in ends[1:]:
+        nodes = nodes.union(more)
+    nodes = nodes.distinct()
+    if have is not None:
+        nodes = nodes.join(have.select("node"), "node", "left_anti")
+    wanted = staged(nodes.join(profiles.select("node", "key", "n", "digest"), "node"), "wanted")
+    keyed = plain.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text")
+    made = keyed.join(wanted.select("key").distinct(), "key", "left_semi").mapInArrow(
+        _set_rows, "key long, digest binary, shingles binary")
+    made = staged(made.join(wanted, ["key", "digest"]).dropDuplicates(["node"])
+                  .select("node", "n", "shingles"), "sets")
+    return made if have is None else have.union(made)
+
+
 def _differ(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs whose ends are in different components; ``labels``: node, component."""
     for end in ("a", "b"):
@@ -204,8 +275,11 @@ def groups(docs: DataFrame) -> DataFrame:
     # A node is a distinct set; it has the number of one of its rows.
     nodes = staged(rows.filter("n > 0").groupBy("digest").agg(
         F.min("row_no").alias("node"), F.min("doc_id").alias("doc")), "nodes")
-    firsts = nodes.select(F.col("node").alias("row_no")).join(rows, "row_no").select(
-        F.col("row_no").alias("node"), "n", F.arrays_zip("prefix", "parts").alias("first"))
+    own_rows = nodes.select(F.col("node").alias("row_no")).join(rows, "row_no")
+    profiles = staged(own_rows.select(F.col("row_no").alias("node"), "n", "digest", "bits",
+                                      F.coalesce("doc_id", F.lit(NO_ID)).alias("key")), "profiles")
+    firsts = own_rows.select(F.col("row_no").alias("node"), "n",
+                             F.arrays_zip("prefix", "parts").alias("first"))
     length = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100).cast("int") + 1
     entries = firsts.select("node", F.explode(F.slice("first", F.lit(1), length)).alias("e")).select(
         "node", F.col("e.prefix").alias("hash"), F.col("e.parts").alias("parts"))
@@ -221,60 +295,58 @@ def groups(docs: DataFrame) -> DataFrame:
     stars = lists.select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(
         lists.filter("parts > 1").select("hash", F.col("pivot").alias("a")).distinct()
         .join(heads, "hash").select("a", "b")).filter("a <> b").distinct()
-    stars = staged(stars, "stars")
-    wanted = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))) \
-        .union(lists.filter("parts > 1").select("node")).distinct()
-    wanted = staged(wanted.join(nodes, "node").join(
-        rows.select(F.col("row_no").alias("node"), "n", F.coalesce("doc_id", F.lit(NO_ID)).alias("key")),
-        "node").select("node", "key", "n", "digest"), "wanted")
-    keyed = plain.withColumn("key", F.coalesce("doc_id", F.lit(NO_ID))).select("key", "text")
-    sets = keyed.join(wanted.select("key").distinct(), "key", "left_semi").mapInArrow(
-        _set_rows, "key long, digest binary, shingles binary")
-    sets = staged(sets.join(wanted, ["key", "digest"]).dropDuplicates(["node"])
-                  .select("node", "n", "shingles"), "sets")
-    close = staged(measured(stars, sets), "star-distances").filter("linked")
+    stars = staged(possible(stars, profiles), "stars")
+    sets = shingles_of([stars], plain, profiles, None)
+    close = staged(measured(stars, sets).filter("linked"), "star-links")
     links = close.select("a", "b")
     nearest = close.groupBy("a").agg(F.min(F.struct("d", F.col("b"))).alias("best"))
     first = components(links)
     regions = staged(
-        sets.select("node").join(nearest, F.col("node") == F.col("a"), "left").join(first, "node", "left")
+        lists.select("node").distinct().join(nearest, F.col("node") == F.col("a"), "left")
+        .join(first, "node", "left")
         .select("node", F.coalesce("best.b", "node").alias("region"),
                 F.coalesce("best.d", F.lit(0.0)).alias("d"),
                 F.coalesce("component", "node").alias("component")), "regions")
 
     # Round 2: lists in which more than one component is left.
     placed = lists.select("hash", "node").join(regions.select("node", "region", "component"), "node")
-    open_ = placed.groupBy("hash").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                       ).filter("low < high").select("hash")
-    found = staged(placed.join(open_, "hash", "left_semi"), "open-lists")
-    meeting = staged(found.select("hash", "region", "component").distinct(), "meeting")
-    many = meeting.groupBy("hash").agg(F.count(F.lit(1)).alias("regions")).filter(
-        F.col("regions") > MANY_REGIONS).select("hash")
-    pairs = _list_pairs(meeting.join(many, "hash", "left_anti"))
-    cut = found.join(many, "hash", "left_semi").join(
-        firsts.select("node", F.explode("first.prefix").alias("second")), "node").filter("hash <> second")
-    cut = cut.select(F.xxhash64(F.least("hash", "second"), F.greatest("hash", "second")).alias("hash"),
-                     "region", "component").distinct()
-    pairs = staged(pairs.union(_list_pairs(cut)).distinct(), "region-pairs")
+    meeting = staged(placed.select("hash", "region", "component").distinct(), "meeting")
+    sizes = staged(meeting.groupBy("hash").agg(
+        F.countDistinct("component").alias("components"), F.count(F.lit(1)).alias("regions"))
+        .filter("components > 1"), "open-lists")
+    few, many = sizes.filter(F.col("regions") <= MANY_REGIONS), sizes.filter(F.col("regions") > MANY_REGIONS)
+    pairs = _list_pairs(meeting.join(few.select("hash"), "hash", "left_semi"))
+    if not many.isEmpty():
+        cut = placed.join(many.select("hash"), "hash", "left_semi").join(
+            firsts.select("node", F.explode("first.prefix").alias("second")), "node").filter("hash <> second")
+        cut = cut.select(F.xxhash64(F.least("hash", "second"), F.greatest("hash", "second")).alias("hash"),
+                         "region", "component").distinct()
+        pairs = pairs.union(_list_pairs(cut)).distinct()
+    wide = staged(regions.groupBy("region").agg(F.max("d").alias("radius")), "radii")
+    for end in ("a", "b"):
+        pairs = pairs.join(wide.select(F.col("region").alias(end), F.col("radius").alias(f"r_{end}")), end)
+    # No member of one region can link with one of the other beyond the sum of the radii.
+    pairs = staged(possible(pairs, profiles, F.col("r_a") + F.col("r_b")), "region-pairs")
+    sets = shingles_of([pairs], plain, profiles, sets)
     pivots = staged(measured(pairs, sets), "pivot-distances")
     links = links.union(pivots.filter("linked").select("a", "b"))
     second = staged(components(links), "second")
 
     # Windows: members of two regions that the triangle inequality allows to link.
-    reach = 1 - SIMILAR / 100 + 1e-9
-    wide = regions.groupBy("region").agg(F.max("d").alias("radius"))
-    apart = _differ(second, pivots.filter("NOT linked").select("a", "b", "d"))
-    for end in ("a", "b"):
-        apart = apart.join(wide.select(F.col("region").alias(end), F.col("radius").alias(f"r_{end}")), end)
+    apart = _differ(second, pivots.filter("NOT linked").select("a", "b", "d", "r_a", "r_b"))
     apart = apart.filter((F.col("r_a") + F.col("r_b") > 0)
-                         & (F.col("d") - F.col("r_a") - F.col("r_b") <= reach))
-    member = lambda end: regions.select(F.col("region").alias(end), F.col("node").alias(f"m_{end}"),
-                                        F.col("d").alias(f"d_{end}"))
-    windows = (apart.join(member("a"), "a").filter(F.col("d") - F.col("d_a") - F.col("r_b") <= reach)
-               .join(member("b"), "b").filter(F.col("d") - F.col("d_a") - F.col("d_b") <= reach)
-               .select(F.col("m_a").alias("a"), F.col("m_b").alias("b")))
-    last = measured(staged(windows.distinct(), "windows"), sets).filter("linked").select("a", "b")
-    final = components(links.union(staged(last, "window-links")))
+                         & (F.col("d") - F.col("r_a") - F.col("r_b") <= REACH))
+
+    def member(end: str) -> DataFrame:
+        return regions.select(F.col("region").alias(end), F.col("node").alias(f"m_{end}"),
+                              F.col("d").alias(f"d_{end}"))
+
+    windows = (apart.join(member("a"), "a").filter(F.col("d") - F.col("d_a") - F.col("r_b") <= REACH)
+               .join(member("b"), "b").filter(F.col("d") - F.col("d_a") - F.col("d_b") <= REACH)
+               .select(F.col("m_a").alias("a"), F.col("m_b").alias("b")).distinct())
+    windows = staged(possible(windows, profiles), "windows")
+    last = measured(windows, shingles_of([windows], plain, profiles, sets)).filter("linked")
+    final = components(links.union(staged(last.select("a", "b"), "window-links")))
 
     labels = nodes.join(final, "node", "left").select(
         "digest", "doc", F.coalesce("component", "node").alias("component"))
