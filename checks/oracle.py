@@ -11,20 +11,20 @@ EV = r"""
 base AS (
   SELECT event_id AS seq, ts, 'svc-' || (user_id % 3)::VARCHAR AS source,
     CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' WHEN 'click' THEN 'DEBUG' ELSE 'INFO' END AS level,
-    CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'Query timeout'
-         WHEN event_type = 'error' THEN 'S3 upload failed'
-         WHEN event_type = 'signup' THEN 'Failed login attempt'
-         WHEN event_type = 'purchase' THEN 'Order processed'
-         WHEN event_type = 'view' THEN 'User logged in' ELSE 'Cache hit' END AS msg,
-    CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'duration'
-         WHEN event_type IN ('error', 'click') THEN 'key'
-         WHEN event_type = 'signup' THEN 'ip'
-         WHEN event_type = 'purchase' THEN 'amount' ELSE 'user_id' END AS k,
+    CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'Ledger write refused'
+         WHEN event_type = 'error' THEN 'Thumbnail job gave up'
+         WHEN event_type = 'signup' THEN 'Door code rejected'
+         WHEN event_type = 'purchase' THEN 'Basket paid'
+         WHEN event_type = 'view' THEN 'Shelf opened' ELSE 'Tile served' END AS msg,
+    CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'waited'
+         WHEN event_type = 'error' THEN 'asset' WHEN event_type = 'click' THEN 'tile'
+         WHEN event_type = 'signup' THEN 'door'
+         WHEN event_type = 'purchase' THEN 'cents' ELSE 'shopper' END AS k,
     CASE WHEN (event_type = 'error' AND event_id % 2 = 0) OR event_type = 'purchase'
               THEN round(value * 100)::BIGINT::VARCHAR
-         WHEN event_type = 'error' THEN 'img_' || user_id::VARCHAR
-         WHEN event_type = 'click' THEN 'user_profile_' || user_id::VARCHAR
-         WHEN event_type = 'signup' THEN '192.168.1.' || (user_id % 255)::VARCHAR
+         WHEN event_type = 'error' THEN 'asset_' || user_id::VARCHAR
+         WHEN event_type = 'click' THEN 'tile_page_' || user_id::VARCHAR
+         WHEN event_type = 'signup' THEN '10.7.0.' || (user_id % 255)::VARCHAR
          ELSE user_id::VARCHAR END AS v,
     strftime(ts, '%Y-%m-%d') AS d, strftime(ts, '%H:%M:%S.%f') AS t
   FROM events),
@@ -203,13 +203,19 @@ SPACE = (r"[\x{9}\x{A}\x{B}\x{C}\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}
          r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
 # What a stream has emitted at the end of its input: windows that ended before the watermark.
-CLOSED = "<= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 10000000 FROM ev)"
-
 PARSED = with_ev(f"SELECT {EVENT} FROM ev")
 
 
+TICK = us(f"idx * {HOUR_US}")
+STREAM_TICKS = with_ev(f"SELECT source, {TICK} AS tick, errors, warns FROM ticks", TICKS)
+STREAM_HEART = with_ev(f"""SELECT source, {us(f'w * {DAY_US}')} AS window_start, errors, warns, infos, top_issue
+    FROM hb""", heart(DAY_US))
+STREAM_INCIDENTS = with_ev(f"""SELECT source, {us('t')} AS incident_ts, level, {us('last')} AS window_start,
+    after_recovery, peak_eps::DOUBLE AS peak_eps, peak_wps::DOUBLE AS peak_wps FROM inc""", RULES, True)
+
+
 def oracle_sql() -> dict[str, str]:
-    tick = us(f"idx * {HOUR_US}")
+    tick = TICK
     return {
         "scan_lines": with_ev("SELECT source, line FROM mixed"),
         "multi_source": with_ev("SELECT source, count(*) AS lines FROM mixed GROUP BY source"),
@@ -236,7 +242,7 @@ def oracle_sql() -> dict[str, str]:
         "signals": with_ev(f"SELECT {EVENT} FROM ev WHERE {SIG}"),
         "min_level": with_ev(f"SELECT {EVENT} FROM ev WHERE level IN ('INFO', 'WARN', 'ERROR')"),
         "search_logs": with_ev(f"""SELECT {EVENT} FROM ev WHERE level = 'WARN'
-            AND contains(lower(message), 'login attempt | ip') ORDER BY seq DESC LIMIT 500"""),
+            AND contains(lower(message), 'code rejected | door') ORDER BY ts DESC, source, seq DESC LIMIT 500"""),
         "filter_logs": with_ev(f"""SELECT {EVENT} FROM ev
             WHERE contains(lower(message), 'error') OR contains(lower(level), 'error')"""),
         "by_source": with_ev("SELECT source AS name, source, seq, message FROM ev WHERE source = 'svc-1'"),
@@ -373,14 +379,25 @@ def oracle_sql() -> dict[str, str]:
         "state_merge": with_ev(f"SELECT source, pattern, level, count, {ts('last_ts')} AS last_ts FROM pats", PATTERNS),
         "stream_totals": with_ev("SELECT source, level, count(*) AS count FROM ev GROUP BY source, level"),
         "stream_patterns": with_ev(f"SELECT source, pattern, level, count, {ts('last_ts')} AS last_ts FROM pats", PATTERNS),
-        "stream_ticks": with_ev(f"""SELECT source, {tick} AS tick, errors, warns FROM ticks
-            WHERE (idx + 1) * {HOUR_US} {CLOSED}""", TICKS),
-        "stream_heartbeat": with_ev(f"""SELECT source, {us(f'w * {DAY_US}')} AS window_start, errors, warns, infos, top_issue
-            FROM hb WHERE (w + 1) * {DAY_US} {CLOSED}""", heart(DAY_US)),
+        "stream_ticks": STREAM_TICKS, "stream_ticks_segments": STREAM_TICKS,
+        "stream_heartbeat": STREAM_HEART, "stream_heartbeat_segments": STREAM_HEART,
         "stream_recent_summary": with_ev(f"""SELECT source, {us(f'w * {DAY_US}')} AS window_start, errors, warns
-            FROM rs WHERE (w + 1) * {DAY_US} {CLOSED}""", recent(DAY_US)),
-        "stream_incidents": with_ev(f"""SELECT source, {us('t')} AS incident_ts, level, {us('last')} AS window_start,
-            after_recovery, peak_eps::DOUBLE AS peak_eps, peak_wps::DOUBLE AS peak_wps FROM inc
-            WHERE (idx + 1) * {HOUR_US} {CLOSED}""", RULES, True),
+            FROM rs""", recent(DAY_US)),
+        "stream_incidents": STREAM_INCIDENTS, "stream_incidents_segments": STREAM_INCIDENTS,
+        "parse_json_duplicates": with_ev("""SELECT source, seq, level, msg || ' | ' || k || '=' || v AS message FROM base"""),
+        "parse_docker_deep": PARSED,
+        "parse_untimed": with_ev(f"""SELECT source, seq, {ts("coalesce(last_value(CASE WHEN seq % 3 = 1 THEN ts END IGNORE NULLS) OVER (PARTITION BY source ORDER BY seq), first_value(CASE WHEN seq % 3 = 1 THEN ts END IGNORE NULLS) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")} AS ts,
+            level, message, seq % 3 = 1 AS timed FROM ev"""),
+        "inspect_map": with_ev("""SELECT source, sum(count(*)) OVER (PARTITION BY source)::BIGINT AS total,
+            count(*) OVER (PARTITION BY source) AS n_variants, message, count(*) AS count FROM ev
+            WHERE message LIKE 'Shelf opened | shopper=%' GROUP BY source, message"""),
+        "heartbeat_lines": with_ev(f"""SELECT source, '[' || strftime(make_timestamp((w + 1) * {DAY_US}), '%Y-%m-%d %H:%M:%S')
+            || '] System Heartbeat: HEARTBEAT [' || strftime(make_timestamp(w * {DAY_US}), '%H:%M') || ']' || chr(10)
+            || 'Duration: 24h0m0s' || chr(10) || 'Errors: ' || errors || ' | Warns: ' || warns || ' | Info: ' || infos || chr(10)
+            || 'Top Issue: ' || top_issue || chr(10) AS line FROM hb""", heart(DAY_US)),
+        "alert_log": with_ev(f"""SELECT '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] [' || status || '] '
+            || level || ': ' || message AS line FROM al""", ALERTS, True),
+        "own_parser": with_ev(f"""SELECT source, seq, {ts("date_trunc('second', ts)")} AS ts, level,
+            replace(message, '|', '/') AS message FROM ev"""),
         "stream_alerts": with_ev(f"SELECT {ts('ts')} AS ts, source, level, message, status, push FROM al", ALERTS, True),
     }

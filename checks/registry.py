@@ -29,7 +29,7 @@ HOUR = "1 hour"
 CONFIG = Config(eps_critical=1.6, eps_warn=0.9, critical_cooldown="6 hours",
                 spike_cooldown="24 hours", hourly_ticks=48, context_rows=300, signal_rows=100,
                 alert_eps=0.9)
-IP_PATTERN = "Failed login attempt | ip=*.*.*.*"
+IP_PATTERN = "Door code rejected | door=*.*.*.*"
 
 
 def stamp(c) -> Column:
@@ -212,19 +212,42 @@ def alert_rows(spark, sf):
     return A.alerts(ev(spark, sf), "2 hours", "1 hour", HOUR, "topic", CONFIG)
 
 
-def _streamed(spark, sf, start, *result):
-    """Run a stream over written log files to its end and return what it wrote."""
+def _segments(spark, sf) -> str:
+    """Log files of three sources, two segments each, one source wholly before the other.
+
+    Every first segment ends with a line without a time.
+    """
     files = work_path(spark, "segments")
+    rows = tables.raw_lines(spark, sf).persist()
+    middle = rows.agg(F.floor((F.min("seq") + F.max("seq")) / 2)).first()[0]
+    for number in range(3):
+        for late in (False, True):
+            own = rows.filter((F.col("source") == f"svc-{number}") & ((F.col("seq") > middle) == late))
+            text = own.select(F.col("line").alias("value"))
+            if not late:
+                text = text.union(spark.range(1).select(F.lit("a line without a time").alias("value")))
+            text.coalesce(1).write.text(f"{files}/source=svc-{number}/part={int(late)}")
+    rows.unpersist()
+    return files
+
+
+def _all_files(spark, sf) -> str:
+    files = work_path(spark, "days")
     lines = tables.raw_lines(spark, sf)
-    # A ten-seconds delay and one pass over all files: nothing is late.
     (lines.select("source", F.substring("line", 7, 10).alias("day"), F.col("line").alias("value"))
           .write.partitionBy("source", "day").text(files))
+    return files
+
+
+def _streamed(spark, sf, start, one_by_one=False):
+    """Run a stream over written log files to its end and return where it wrote."""
+    files = _segments(spark, sf) if one_by_one else _all_files(spark, sf)
     events = S.stream_events(
-        spark, files, "text", source=lambda c: F.regexp_extract(c, "source=([^/]*)/", 1))
+        spark, files, "text", source=lambda c: F.regexp_extract(c, "source=([^/]*)/", 1),
+        max_files_per_trigger=1 if one_by_one else None)
     out = work_path(spark, "stream")
-    query = start(events, out, f"{out}-checkpoint")
-    query.awaitTermination()
-    return out if not result else spark.read.parquet("/".join([out, *result]))
+    start(events, out, f"{out}-checkpoint").awaitTermination()
+    return out
 
 
 def stream_totals(spark, sf):
@@ -235,30 +258,104 @@ def stream_patterns(spark, sf):
     return state.state_patterns(state.load_state(spark, _streamed(spark, sf, S.start_counts)))
 
 
-def stream_ticks(spark, sf):
-    return _streamed(spark, sf, lambda e, o, c: S.start_ticks(e, o, c, HOUR), "")
+def stream_ticks(spark, sf, one_by_one=False):
+    out = _streamed(spark, sf, lambda e, o, c: S.start_ticks(e, o, c, HOUR), one_by_one)
+    return S.read_ticks(spark, out, HOUR)
+
+
+def stream_ticks_segments(spark, sf):
+    return stream_ticks(spark, sf, True)
+
+
+def stream_heartbeat(spark, sf, one_by_one=False):
+    out = _streamed(spark, sf, lambda e, o, c: S.start_heartbeat(e, o, c, "1 day"), one_by_one)
+    return S.read_heartbeat(spark, out, "1 day").drop("report")
 
 
-def stream_heartbeat(spark, sf):
-    return _streamed(spark, sf, lambda e, o, c: S.start_heartbeat(e, o, c, "1 day"),
-                     "").drop("epoch", "report")
+def stream_heartbeat_segments(spark, sf):
+    return stream_heartbeat(spark, sf, True)
 
 
 def stream_recent_summary(spark, sf):
-    return _streamed(spark, sf, lambda e, o, c: S.start_recent_summary(e, o, c, "1 day"),
-                     "").drop("epoch")
+    out = _streamed(spark, sf, lambda e, o, c: S.start_recent_summary(e, o, c, "1 day"))
+    return S.read_recent_summary(spark, out, "1 day")
 
 
-def stream_incidents(spark, sf):
-    rows = _streamed(spark, sf, lambda e, o, c: S.start_incidents(e, o, c, HOUR, CONFIG),
-                     "incidents")
-    return rows.drop("epoch", "idx", "trigger_seq")
+def stream_incidents(spark, sf, one_by_one=False):
+    out = _streamed(spark, sf, lambda e, o, c: S.start_incidents(e, o, c, HOUR, CONFIG), one_by_one)
+    S.finish_incidents(spark, out, HOUR, CONFIG)
+    return spark.read.parquet(f"{out}/incidents").drop("epoch", "idx", "trigger_seq")
+
+
+def stream_incidents_segments(spark, sf):
+    return stream_incidents(spark, sf, True)
 
 
 def stream_alerts(spark, sf):
-    rows = _streamed(spark, sf, lambda e, o, c: S.start_alerts(
-        e, o, c, "2 hours", "1 hour", HOUR, "topic", CONFIG), "alerts")
-    return rows.drop("epoch", "seq")
+    out = _streamed(spark, sf, lambda e, o, c: S.start_alerts(
+        e, o, c, "2 hours", "1 hour", HOUR, "topic", CONFIG))
+    return spark.read.parquet(f"{out}/alerts").drop("epoch", "seq")
+
+
+# Lines that test the parsers, made from every event: the same key twice, several wrappers around
+# a line, and lines without a time between timed ones.
+def parse_json_duplicates(spark, sf):
+    rows = tables.load_events(spark, sf)
+    line = F.format_string(
+        '{"level":"trace","%s":"first","msg":"x","level":"%s","msg":"%s","%s":"%s"}',
+        "key", F.lower("level"), "head", "key", "value")
+    return R.parse_logs(rows.select("source", "seq", line.alias("line")), "json").select(
+        "source", "seq", "level", "message")
+
+
+def parse_docker_deep(spark, sf):
+    rows = tables.raw_lines(spark, sf, "logfmt")
+    line = F.col("line")
+    for depth in range(5):
+        line = F.when(depth < 3 + F.col("seq") % 3, F.to_json(F.struct(
+            F.concat(line, F.lit("\n")).alias("log"), F.lit("stdout").alias("stream")))).otherwise(line)
+    return R.parse_logs(rows.withColumn("line", line), "json").select(
+        "source", "seq", "ts", "level", "message")
+
+
+def parse_untimed(spark, sf):
+    rows = tables.raw_lines(spark, sf, "logfmt")
+    line = F.when(F.col("seq") % 3 == 1, F.col("line")).otherwise(
+        F.regexp_replace("line", '^time="[^"]*" ', ""))
+    events = R.parse_logs(rows.withColumn("line", line), "text")
+    return R.times_from_neighbours(events).select("source", "seq", "ts", "level", "message", "timed")
+
+
+def inspect_map(spark, sf):
+    rows = C.inspect_map(ev(spark, sf).withColumn("level", F.lit("ERROR")), "Shelf opened | shopper=*")
+    return rows.select("source", "total", "n_variants", F.explode("variants").alias("message", "v")) \
+        .select("source", "total", "n_variants", "message", F.col("v.count").alias("count"))
+
+
+def heartbeat_lines(spark, sf):
+    return G.heartbeat_lines(ev(spark, sf), "1 day")
+
+
+def alert_log(spark, sf):
+    """Alert lines written to the log and read again."""
+    path = work_path(spark, "alert-log")
+    reports.write_alerts(A.format_alert(alert_rows(spark, sf)), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def own_parser(spark, sf):
+    """Lines in a format of their own: level|message|seconds."""
+    rows = tables.events(spark, sf)
+    line = F.concat_ws("|", "level", F.replace("message", F.lit("|"), F.lit("/")),
+                       F.unix_seconds("ts").cast("string"))
+
+    def bars(c):
+        parts = F.split(c, "[|]")
+        return F.struct(F.timestamp_seconds(parts[2].cast("bigint")).alias("event_ts"),
+                        parts[0].alias("level"), parts[1].alias("message"))
+
+    return R.parse_logs(rows.select("source", "seq", line.alias("line")), "bars", {"bars": bars}).select(
+        "source", "seq", "ts", "level", "message")
 
 
 def queries() -> dict:
@@ -277,7 +374,7 @@ def queries() -> dict:
         "parse_all": parse_all,
         "signals": lambda s, d: L.signals(ev(s, d)),
         "min_level": lambda s, d: L.min_level(ev(s, d), "info"),
-        "search_logs": lambda s, d: L.search(ev(s, d), "LOGIN attempt | IP", "warn", 500),
+        "search_logs": lambda s, d: L.search(ev(s, d), "CODE rejected | DOOR", "warn", 500),
         "filter_logs": lambda s, d: L.filter_logs(ev(s, d), "Error"),
         "by_source": lambda s, d: L.for_source(ev(s, d), "svc-1", ["svc-0", "svc-1", "svc-2"])
             .select(X.source_name(F.concat(F.lit("C:\\logs/"), "source")).alias("name"),
@@ -334,7 +431,9 @@ def queries() -> dict:
     }
     q.update({f.__name__: f for f in (
         stream_totals, stream_patterns, stream_ticks, stream_heartbeat, stream_recent_summary,
-        stream_incidents, stream_alerts)})
+        stream_incidents, stream_alerts, stream_ticks_segments, stream_heartbeat_segments,
+        stream_incidents_segments, parse_json_duplicates, parse_docker_deep, parse_untimed, inspect_map,
+        heartbeat_lines, alert_log, own_parser)})
 
     def run(query):
         def call(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,7 +164,18 @@ def json_documents(line) -> Column:
 
 
 def single_document(documents) -> Column:
-    return F.when(F.size(col(documents)) == 1, F.get(col(documents), F.lit(0)))
+    return F.when(F.size(col(documents)) == 1, last_wins(F.get(col(documents), F.lit(0))))
+
+
+def last_wins(fields) -> Column:
+    """Fields with the last value of every key, as far as keys are repeated."""
+    def once(found):
+        keys = F.map_keys(found)
+        later = F.filter(F.map_entries(found), lambda entry, i: ~F.array_contains(
+            F.slice(keys, i + 2, F.size(keys)), entry["key"]))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), found).otherwise(
+            F.map_from_entries(later))
+    return bind(fields, once)
 
 
 def json_fields(line) -> Column:
@@ -218,3 +229,26 @@ def wrapped_line(line, fields) -> Column:
     inner = strip(fields["log"])
     return F.when(wrapper & (inner != ""),
                   F.when(inner.startswith("{"), inner).otherwise(clean_line(inner)))
+
+
+def unwrapped(line, depth: int | None = None) -> Column:
+    """Innermost line inside container wrappers and whether it is to be read as JSON:
+    ``struct<text, json>``.
+
+    A line can't hold more wrappers than keys named log, so their number ends the walk; a
+    `depth` ends it earlier.
+    """
+    line = col(line)
+    mark = F.lit('"log')
+    mentions = ((F.length(line) - F.length(F.replace(line, mark, F.lit("")))) / 4).cast("int")
+    if depth is not None:
+        mentions = F.least(mentions, F.lit(depth))
+    steps = F.when(F.contains(line, F.lit('"stream"')) & (mentions > 0), F.sequence(F.lit(1), mentions)) \
+             .otherwise(F.array().cast("array<int>"))
+
+    def inside(now, _):
+        return bind(wrapped_line(now["text"], F.when(now["json"], json_fields(now["text"]))),
+                    lambda inner: F.when(inner.isNull(), now).otherwise(F.struct(
+                        inner.alias("text"), inner.startswith("{").alias("json"))))
+
+    return F.aggregate(steps, F.struct(line.alias("text"), F.lit(True).alias("json")), inside)

@@ -16,7 +16,6 @@ from ..plans.position import edge_rows, top_per_key
 from ..plans.scale import join_small
 from .filters import signals
 
-PATTERN_LIMIT = 10_001
 VARIANT_TIMES = 20
 VARIANTS_WITH_TIMES = 50
 PATTERN_TIMES = 100
@@ -152,15 +151,16 @@ def inspect(events: DataFrame, pattern: str) -> DataFrame:
                  .select("source", "pattern", "level", "total", "message", "count", "times"))
 
 
-def inspect_map(events: DataFrame, pattern: str, max_variants: int = 1_000) -> DataFrame:
+def inspect_map(events: DataFrame, pattern: str, max_variants: int | None = None) -> DataFrame:
     """Drill-down as one row per source with a map from variant to its counts and times.
 
-    A map is a single value, so it lists only the first `max_variants` variants by
-    count; `n_variants` tells how many there are and `inspect` returns all of them.
+    A map is a single value; `inspect` has the same as rows. On request it lists only the first
+    `max_variants` variants by count; `n_variants` tells how many there are.
     """
     rows = inspect(events, pattern)
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_variants"))
-    listed = top_per_key(rows, ["source"], [F.col("count").desc(), F.col("message")], max_variants)
+    listed = rows if max_variants is None else top_per_key(
+        rows, ["source"], [F.col("count").desc(), F.col("message")], max_variants)
     entry = F.struct(F.col("message"), F.struct("count", F.col("times").alias("timestamps")))
     return (listed.groupBy("source", "pattern", "level", "total")
                   .agg(F.map_from_entries(F.collect_list(entry)).alias("variants"))
@@ -196,6 +196,14 @@ def _framed_counts(events: DataFrame, every: str) -> DataFrame:
             .withColumn("window_start", F.col("window.start")).drop("window"))
 
 
+def merged_window_counts(parts: DataFrame) -> DataFrame:
+    """Sum of several parts of `all_window_message_counts`."""
+    return (parts.groupBy("source", "window_start", "message", "pattern")
+            .agg(F.sum("count").alias("count"), F.min_by("_code", "first_seq").alias("_code"),
+                 F.max_by("last_ts", "last_seq").alias("last_ts"),
+                 F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq")))
+
+
 def recent_patterns(events: DataFrame, every: str = "60 seconds", k: int = 3) -> DataFrame:
     """The k most frequent patterns per source, window and level, with their best message."""
     return _recent_patterns(window_message_counts(events, every), k)

@@ -26,6 +26,7 @@ def min_level(events: DataFrame, level: str | None) -> DataFrame:
 def search(events: DataFrame, q: str = "", level: str = "", limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Newest events whose message contains `q` and whose level equals `level`, ignoring case.
 
+    Newest is by time; positions are those of one file and only order rows of the same time.
     A limit of 0 returns everything; the query text is matched literally.
     """
     found = events
@@ -33,7 +34,7 @@ def search(events: DataFrame, q: str = "", level: str = "", limit: int = DEFAULT
         found = found.filter(F.upper("level") == level.upper())
     if q:
         found = found.filter(F.contains(F.lower("message"), F.lit(q.lower())))
-    found = found.orderBy(F.col("seq").desc(), F.col("source"))
+    found = found.orderBy(F.col("ts").desc_nulls_last(), F.col("source"), F.col("seq").desc())
     return found.limit(limit) if limit > 0 else found
 
 

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
 from ..functions.text import clean_line, strip
-from ..plans.position import top_per_key
+from ..plans.position import TURNS, stretch, top_per_key
 from ..plans.scale import compute_once, join_small
 
 SAMPLE_LINES = 10
+# Stands for formats that the rows have themselves, in a column `format`.
+IN_ROWS = "format column"
 
 
 def detect_format(raw: DataFrame) -> DataFrame:
@@ -28,16 +30,19 @@ def detect_format(raw: DataFrame) -> DataFrame:
 
 def parse_logs(raw: DataFrame, formats: DataFrame | str | None = None,
                parsers: dict[str, Callable[[Column], Column]] | None = None,
-               unwrap_depth: int = 2) -> DataFrame:
+               unwrap_depth: int | None = None) -> DataFrame:
     """Events of raw lines, one row per non-blank line.
 
     formats  a (source, format) table, one format name for all sources, or None to detect.
     parsers  extra formats by name: a function from the line column to
              ``struct<event_ts, level, message>``; may be a pandas UDF.
+    unwrap_depth  most container wrappers to take off a line; all of them by default.
     `ts` is the time in the line, or `ingest_ts` where the line has none.
     """
     parsers = parsers or {}
-    if isinstance(formats, str):
+    if isinstance(formats, str) and formats == IN_ROWS:
+        lines = raw
+    elif isinstance(formats, str):
         lines = raw.withColumn("format", F.lit(formats))
     else:
         table = detect_format(raw) if formats is None else formats.select("source", "format")
@@ -50,22 +55,14 @@ def parse_logs(raw: DataFrame, formats: DataFrame | str | None = None,
     staged = compute_once(lines, _json=as_json,
                           _text=F.when(as_json, strip("line")).otherwise(clean_line("line")))
     staged = staged.filter(F.col("_text") != "")
-    text_only = formats == "text"
+    text_only = isinstance(formats, str) and formats == "text"
     if not text_only:
+        staged = compute_once(staged, _inner=F.when(F.col("_json"), P.unwrapped("_text", unwrap_depth)))
+        staged = compute_once(staged, _text=F.coalesce("_inner.text", "_text"),
+                              _json=F.coalesce("_inner.json", F.lit(False))).drop("_inner")
+        staged = staged.filter(F.col("_text") != "")
         staged = compute_once(staged, _docs=F.when(F.col("_json"), P.json_documents("_text")))
         staged = compute_once(staged, _fields=P.single_document("_docs")).drop("_docs")
-        for _ in range(unwrap_depth):
-            staged = compute_once(staged, _inner=P.wrapped_line("_text", "_fields"))
-            inner = F.col("_inner")
-            staged = compute_once(
-                staged,
-                _text=F.coalesce(inner, F.col("_text")),
-                _json=F.when(inner.isNull(), F.col("_json")).otherwise(inner.startswith("{")),
-                _docs=F.when(inner.isNotNull(), P.json_documents(inner)))
-            staged = staged.withColumn(
-                "_fields", F.when(F.col("_inner").isNull(), F.col("_fields"))
-                            .otherwise(P.single_document("_docs"))).drop("_inner", "_docs")
-        staged = staged.filter(F.col("_text") != "")
     kind = P.text_kind("_text")
     staged = compute_once(staged, _kind=kind if text_only else
                           F.when(F.col("_json"), "unknown").otherwise(kind))
@@ -95,5 +92,42 @@ def parse_logs(raw: DataFrame, formats: DataFrame | str | None = None,
 
 
 def order_by_time(events: DataFrame) -> DataFrame:
-    """Take the arrival position from the event time, for streams and rotated segments."""
-    return events.withColumn("seq", F.unix_micros("ts"))
+    """Take the arrival position from the event time, for streams and rotated segments.
+
+    Positions are total: rows of the same time follow each other by their position in the file.
+    A stream has no such positions; there the hash of the message decides, so that the order does
+    at least not depend on how rows are dealt to tasks.
+    """
+    if events.isStreaming:
+        turn = F.pmod(F.xxhash64("message"), F.lit(TURNS))
+    else:
+        turn = F.row_number().over(Window.partitionBy("source", "ts").orderBy("seq", "message")) - 1
+    return events.withColumn("seq", F.unix_micros("ts") * F.lit(TURNS) + turn)
+
+
+def times_from_neighbours(events: DataFrame) -> DataFrame:
+    """Give lines without a time of their own that of the last timed line before them.
+
+    Lines before the first timed line of a source get the time of that one; a source without any
+    keeps the time of its file. `timed` tells which lines had a time. Stretches of arrival
+    positions are filled each by itself, and what a stretch begins with comes from a table with
+    one row per stretch.
+    """
+    rows = events.withColumn("stretch", stretch())
+    ends = rows.groupBy("source", "stretch").agg(
+        F.max_by("event_ts", F.when(F.col("event_ts").isNotNull(), F.col("seq"))).alias("last"),
+        F.min_by("event_ts", F.when(F.col("event_ts").isNotNull(), F.col("seq"))).alias("first"))
+    order = Window.partitionBy("source").orderBy("stretch")
+    ends = ends.select(
+        "source", "stretch",
+        F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+         .alias("before"),
+        F.first("first", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+         .alias("after"))
+    upto = Window.partitionBy("source", "stretch").orderBy("seq").rowsBetween(
+        Window.unboundedPreceding, 0)
+    return (rows.join(ends, ["source", "stretch"])
+            .withColumn("near", F.last("event_ts", ignorenulls=True).over(upto))
+            .select(*[c for c in events.columns if c not in ("ts", "timed")],
+                    F.coalesce("near", "before", "after", "ingest_ts").alias("ts"),
+                    F.col("event_ts").isNotNull().alias("timed")))

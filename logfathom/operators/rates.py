@@ -22,8 +22,11 @@ def tick_time(tick: str, c="idx") -> Column:
 
 
 def tick_counts(events: DataFrame, tick: str = "1 second") -> DataFrame:
-    """(source, idx, errors, warns) of every tick that has an event of any level."""
-    return (events.select("source", tick_index(tick).alias("idx"),
+    """(source, idx, errors, warns) of every tick that has an event of any level.
+
+    Events without a time belong to no tick.
+    """
+    return (events.filter(F.col("ts").isNotNull()).select("source", tick_index(tick).alias("idx"),
                           (F.col("level") == "ERROR").alias("e"),
                           (F.col("level") == "WARN").alias("w"))
                   .groupBy("source", "idx")

@@ -49,17 +49,25 @@ def window_messages(events: DataFrame, every: str) -> DataFrame:
     signal = is_signal("level")
     return (events.select("source", F.window("ts", every).alias("window"),
                           F.when(signal, F.col("message")).alias("message"),
-                          F.when(signal, F.col("seq")).alias("seq"), "level")
+                          F.when(signal, F.col("seq")).alias("seq"), "level", "ts")
                   .groupBy("source", "window", "message")
                   .agg(F.count(F.lit(1)).alias("count"),
                        F.count_if(F.col("level") == "ERROR").alias("errors"),
                        F.count_if(F.col("level") == "WARN").alias("warns"),
                        F.count_if(F.col("level") == "INFO").alias("infos"),
                        F.max_by(F.when(F.col("level") == "ERROR", 1).otherwise(0), "seq")
-                        .alias("is_error"))
+                        .alias("is_error"),
+                       F.max("seq").alias("last_seq"), F.max("ts").alias("last_ts"))
                   .withColumn("window_start", F.col("window.start")).drop("window"))
 
 
+def merged_window_messages(parts: DataFrame) -> DataFrame:
+    """Sum of several parts of `window_messages`."""
+    return parts.groupBy("source", "window_start", "message").agg(
+        *[F.sum(c).alias(c) for c in ("count", "errors", "warns", "infos")],
+        F.max_by("is_error", "last_seq").alias("is_error"), F.max("last_ts").alias("last_ts"))
+
+
 def heartbeat(events: DataFrame, every: str = "60 minutes") -> DataFrame:
     """Periodic report per source: counts, the top issue and the report text.
 

@@ -14,19 +14,46 @@ from pyspark.sql import functions as F
 from .scale import join_small, materialize
 
 STRETCH_BITS = 16
+# Positions made from times (`order_by_time`): so many per microsecond, all of them beyond TIMES,
+# and cut into stretches of about 17 seconds.
+TURNS = 1024
+TIMES = 1 << 59
+TIME_STRETCH_BITS = 34
+# Stretches that one task sums up.
+STRETCHES = 4096
 
 
 def stretch(position: str = "seq") -> Column:
-    return F.shiftright(F.col(position), STRETCH_BITS)
+    place = F.col(position)
+    return F.when(place >= TIMES, F.shiftright(place, TIME_STRETCH_BITS)).otherwise(
+        F.shiftright(place, STRETCH_BITS))
+
+
+def running_total(counts: DataFrame, newest: bool = False) -> DataFrame:
+    """Add `before`: rows of the source in the stretches before (or, newest first, behind) each.
+
+    In two levels: a task sums up the stretches of one group, and one row per group is left to
+    carry over, so a source of millions of stretches is no single task's work.
+    """
+    def ordered(c):
+        return F.col(c).desc() if newest else F.col(c)
+
+    grouped = counts.withColumn("_group", F.floor(F.col("stretch") / STRETCHES).cast("bigint"))
+    past = Window.unboundedPreceding, -1
+    sums = grouped.groupBy("source", "_group").agg(F.sum("n").alias("_n"))
+    sums = sums.select("source", "_group", F.coalesce(F.sum("_n").over(
+        Window.partitionBy("source").orderBy(ordered("_group")).rowsBetween(*past)), F.lit(0)).alias("_carry"))
+    inner = Window.partitionBy("source", "_group").orderBy(ordered("stretch")).rowsBetween(*past)
+    return (grouped.withColumn("_inner", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+            .join(sums, ["source", "_group"])
+            .withColumn("before", F.col("_inner") + F.col("_carry")).drop("_group", "_inner", "_carry"))
 
 
 def stretch_counts(df: DataFrame, position: str = "seq") -> DataFrame:
     """(source, stretch, n, before): rows per stretch and rows of the source in earlier stretches."""
     counts = (df.select("source", stretch(position).alias("stretch"))
                 .groupBy("source", "stretch").agg(F.count(F.lit(1)).alias("n")))
-    earlier = (Window.partitionBy("source").orderBy("stretch")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    return counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    return running_total(counts)
 
 
 def edge_rows(df: DataFrame, n: int, newest: bool = True, position: str = "seq",
@@ -35,14 +62,10 @@ def edge_rows(df: DataFrame, n: int, newest: bool = True, position: str = "seq",
 
     With ``slack`` a source is trimmed only when it holds more than n + slack rows.
     """
-    key = F.col("stretch").desc() if newest else F.col("stretch")
-    nearer = (Window.partitionBy("source").orderBy(key)
-              .rowsBetween(Window.unboundedPreceding, -1))
     counts = (df.select("source", stretch(position).alias("stretch"))
                 .groupBy("source", "stretch").agg(F.count(F.lit(1)).alias("n")))
     bound = F.min("stretch") if newest else F.max("stretch")
-    per_source = (counts
-                  .withColumn("nearer", F.coalesce(F.sum("n").over(nearer), F.lit(0)))
+    per_source = (running_total(counts, newest).withColumnRenamed("before", "nearer")
                   .groupBy("source")
                   .agg(F.sum("n").alias("_total"),
                        (F.min(F.when(F.col("nearer") < n, F.col("stretch"))) if newest

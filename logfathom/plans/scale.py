@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A broadcast side is a handful of narrow columns, so this many rows stay in the
-# low tens of megabytes.
+# A side is broadcast up to so many rows and so many bytes of values.
 MAX_BROADCAST_ROWS = 250_000
+MAX_BROADCAST_BYTES = 64 << 20
+
+_SCOPE = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str | None:
@@ -43,27 +49,70 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a reduced table, so that later passes do not repeat its lineage.
+def last_number(spark: SparkSession, path: str, key: str = "epoch") -> int | None:
+    """The largest number among the folders ``key=<number>`` of a path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}=*")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    return max((int(status.getPath().getName().split("=")[1]) for status in found), default=None)
 
-    Without a shared folder the lineage is kept, which is slower and still right.
-    """
-    return df if shared_dir(df.sparkSession) is None else df.checkpoint()
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that `materialize` writes inside are deleted at the end, as a stream would
+    otherwise add some with every batch. Results have to be written before."""
+    outer = getattr(_SCOPE, "paths", None)
+    _SCOPE.paths = paths = []
+    try:
+        yield
+    finally:
+        _SCOPE.paths = outer
+        for path in paths:
+            delete_path(spark, path)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """A reduced table, written once to the shared folder so that later passes do not repeat its
+    lineage. On a cluster without such a folder this is an error."""
+    spark = df.sparkSession
+    if shared_dir(spark) is None:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    paths = getattr(_SCOPE, "paths", None)
+    if paths is None:
+        return df.checkpoint()
+    paths.append(work_path(spark, "table"))
+    df.write.parquet(paths[-1])
+    return spark.read.schema(df.schema).parquet(paths[-1])
+
+
+def _value_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values, nested ones by their text."""
+    size = F.lit(8 * len(df.columns))
+    for field in df.schema:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return size
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-               max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+               max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Join with a side that is expected to be small.
 
-    The side is written once and counted. It is broadcast when the count allows;
-    otherwise the join stays a shuffle join, which AQE can split on skewed keys.
+    The side is written once; its rows and bytes are counted meanwhile. It is broadcast when both
+    are within bounds; otherwise the join stays a shuffle join, which AQE can split on skewed keys.
     """
-    if shared_dir(small.sparkSession) is None:
-        return big.join(small, on, how)
-    # The rows are counted while they are written; a retried task can only add to the count.
+    # A retried task can only add to the counts.
     counted = Observation()
-    small = small.observe(counted, F.count(F.lit(1)).alias("rows")).checkpoint()
-    if counted.get["rows"] <= max_rows:
+    small = materialize(small.observe(counted, F.count(F.lit(1)).alias("rows"),
+                                      F.sum(_value_bytes(small)).alias("bytes")))
+    if counted.get["rows"] <= max_rows and (counted.get["bytes"] or 0) <= max_bytes:
         small = F.broadcast(small)
     return big.join(small, on, how)
 

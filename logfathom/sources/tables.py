@@ -7,37 +7,37 @@ from pyspark.sql import functions as F
 
 from ..plans.scale import compute_once, spread
 
-# Severity, message and context key of each kind of action.
+# How each kind of action reads as a log line.
 LEVEL_OF = {"error": "ERROR", "signup": "WARN", "click": "DEBUG"}
-MESSAGE_OF = {"signup": "Failed login attempt", "purchase": "Order processed",
-              "view": "User logged in"}
+MESSAGE_OF = {"signup": "Door code rejected", "purchase": "Basket paid",
+              "view": "Shelf opened"}
 
 
 def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the columns the operators expect; `event_id` is the arrival position."""
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
     kind = F.col("event_type")
-    failed_query = (kind == "error") & (F.col("event_id") % 2 == 0)
+    refused = (kind == "error") & (F.col("event_id") % 2 == 0)
     level: Column = F.lit("INFO")
     for name, value in LEVEL_OF.items():
         level = F.when(kind == name, value).otherwise(level)
-    head = F.when(failed_query, "Query timeout").when(kind == "error", "S3 upload failed")
+    head = F.when(refused, "Ledger write refused").when(kind == "error", "Thumbnail job gave up")
     for name, value in MESSAGE_OF.items():
         head = head.when(kind == name, value)
-    key = (F.when(failed_query, "duration").when(kind.isin("error", "click"), "key")
-            .when(kind == "signup", "ip").when(kind == "purchase", "amount").otherwise("user_id"))
+    key = (F.when(refused, "waited").when(kind == "error", "asset").when(kind == "click", "tile")
+            .when(kind == "signup", "door").when(kind == "purchase", "cents").otherwise("shopper"))
     user = F.col("user_id").cast("string")
     cents = F.round(F.col("value") * 100).cast("bigint").cast("string")
-    value = (F.when(failed_query | (kind == "purchase"), cents)
-              .when(kind == "error", F.concat(F.lit("img_"), user))
-              .when(kind == "click", F.concat(F.lit("user_profile_"), user))
-              .when(kind == "signup", F.concat(F.lit("192.168.1."),
+    value = (F.when(refused | (kind == "purchase"), cents)
+              .when(kind == "error", F.concat(F.lit("asset_"), user))
+              .when(kind == "click", F.concat(F.lit("tile_page_"), user))
+              .when(kind == "signup", F.concat(F.lit("10.7.0."),
                                                (F.col("user_id") % 255).cast("string")))
               .otherwise(user))
     return table.select(
         F.concat(F.lit("svc-"), (F.col("user_id") % 3).cast("string")).alias("source"),
         F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
-        level.alias("level"), head.otherwise("Cache hit").alias("head"),
+        level.alias("level"), head.otherwise("Tile served").alias("head"),
         key.alias("key"), value.alias("value"))
 
 

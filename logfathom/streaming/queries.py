@@ -1,9 +1,14 @@
 """Streaming forms of the operators.
 
-Counting uses Spark's own windowed state. Rules that look across windows run the
-batch operators on each micro-batch and keep what they must remember (last ticks,
-peaks, last report times) in a small table per batch. Every batch writes under its
-own number, so a repeated batch replaces its output instead of adding to it.
+Files of different sources reach a stream in any order, so nothing here depends on one watermark
+for all of them. Counts of windows are additive: each batch writes its part under its own number,
+and readers add the parts up, so late rows correct their window. A window is closed when its own
+source has moved on; readers tell closed windows from open ones.
+
+Rules that look across ticks (incidents, alerts) run the batch operators on each micro-batch and
+keep what they must remember (open ticks, last ticks, peaks, last report times) in a small table
+per batch. Every batch writes under its own number, so a repeated batch replaces its output
+instead of adding to it. Memories older than the last batch are deleted.
 """
 
 from __future__ import annotations
@@ -19,10 +24,10 @@ from ..operators import cluster as C
 from ..operators import incidents as I
 from ..operators import parse as R
 from ..operators import reports as G
-from ..operators.rates import tick_counts, tick_index
+from ..operators.rates import tick_counts, tick_index, tick_time
 from ..plans.running import rolling_ticks
-from ..plans.scale import materialize
-from ..sources.logs import stream_logs
+from ..plans.scale import delete_path, last_number, materialize, temporary_tables
+from ..sources.logs import read_logs, stream_logs
 from ..sources.state import partials, save_state
 
 # Columns of the tables remembered between batches.
@@ -30,22 +35,43 @@ TICKS_DDL = "source string, idx bigint, errors bigint, warns bigint"
 CARRY_DDL = "source string, low bigint, top_errors bigint, top_warns bigint"
 LAST_DDL = "source string, last bigint, reported bigint"
 GATE_DDL = "alert_key string, last bigint"
+OPEN_DDL = ("source string, idx bigint, t bigint, errors bigint, warns bigint, seq bigint, "
+            "code bigint")
+MARKS_DDL = "source string, mark bigint"
 
 AVAILABLE_NOW = {"availableNow": True}
 
 
-def stream_events(spark: SparkSession, path: str, formats: DataFrame | str, delay: str = "10 seconds",
-                  source=None, start_after: str | None = None,
+def stream_events(spark: SparkSession, path: str, formats: DataFrame | str | None = None, source=None,
+                  start_after: str | None = None,
                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """Events of a folder of rotated log files, ordered by time and watermarked.
+    """Events of a folder of rotated log files, ordered by time.
 
-    `source` may be a function from the file path column to the source name. Rows
-    later than the delay still count in totals but not in closed windows.
+    `source` may be a function from the file path column to the source name. Without `formats`
+    the sources present at the start are detected by their first lines; in later ones a line
+    that begins with a brace is JSON.
     """
     raw = stream_logs(spark, path, start_after, max_files_per_trigger)
     if source is not None:
         raw = raw.withColumn("source", source("source"))
-    return R.order_by_time(R.parse_logs(raw, formats)).withWatermark("ts", delay)
+    if formats is None:
+        heads = read_logs(spark, path)
+        heads = heads if source is None else heads.withColumn("source", source("source"))
+        known = materialize(R.detect_format(heads)).withColumnRenamed("format", "known")
+        raw = raw.join(F.broadcast(known), "source", "left").withColumn("format", F.coalesce(
+            "known", F.when(F.startswith("line", F.lit("{")), "json").otherwise("text")))
+    return R.order_by_time(R.parse_logs(raw, formats or R.IN_ROWS))
+
+
+def timed(batch: DataFrame) -> DataFrame:
+    """Rows of a batch, lines without a time at the last time their source has in the batch.
+
+    A file's own time of change, which may be far from what it tells of, is used only where a
+    source has no timed line at all.
+    """
+    latest = batch.groupBy("source").agg(F.max("event_ts").alias("_latest"))
+    return batch.join(latest, "source").withColumn(
+        "ts", F.coalesce("event_ts", "_latest", "ingest_ts")).drop("_latest")
 
 
 def _start(rows: DataFrame, step, checkpoint: str, trigger: dict | None) -> StreamingQuery:
@@ -68,41 +94,84 @@ def _remembered(spark: SparkSession, path: str, epoch: int, name: str, ddl: str)
 
 def start_counts(events: DataFrame, path: str, checkpoint: str, trigger=None) -> StreamingQuery:
     """Running totals, levels, patterns and variants as a saved state (see sources.state)."""
-    return _start(events, lambda batch, epoch: save_state(partials(batch, epoch), path, epoch),
+    return _start(events, lambda batch, epoch: save_state(partials(timed(batch), epoch), path, epoch),
                   checkpoint, trigger)
 
 
-def tick_stream(events: DataFrame, tick: str = "1 second") -> DataFrame:
-    """(source, tick, errors, warns) of closed ticks."""
-    return (events.groupBy("source", F.window("ts", tick).alias("window"))
-                  .agg(F.count_if(F.col("level") == "ERROR").alias("errors"),
-                       F.count_if(F.col("level") == "WARN").alias("warns"))
-                  .select("source", F.col("window.start").alias("tick"), "errors", "warns"))
+def _start_parts(events: DataFrame, path: str, checkpoint: str, part, trigger) -> StreamingQuery:
+    return _start(events, lambda batch, epoch: _write(part(timed(batch)), path, epoch), checkpoint, trigger)
+
+
+def _parts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("mergeSchema", "false").parquet(path).drop("epoch")
+
+
+def _closed(windows: DataFrame, end, delay: str | None) -> DataFrame:
+    """Windows that their own source has left behind by `delay`; all of them without a delay.
+
+    `windows` has the time of its last row as ``last_ts``.
+    """
+    if delay is None:
+        return windows
+    marks = windows.groupBy("source").agg(F.max("last_ts").alias("_mark"))
+    over = F.unix_micros(end) + micros(delay) <= F.unix_micros("_mark")
+    return windows.join(marks, "source").filter(over).drop("_mark")
 
 
 def start_ticks(events: DataFrame, path: str, checkpoint: str, tick: str = "1 second",
                 trigger=None) -> StreamingQuery:
-    return (tick_stream(events, tick).writeStream.format("parquet").outputMode("append")
-            .option("path", path).option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or AVAILABLE_NOW)).start())
+    def part(rows: DataFrame) -> DataFrame:
+        return (rows.groupBy("source", tick_index(tick).alias("idx"))
+                .agg(F.count_if(F.col("level") == "ERROR").alias("errors"),
+                     F.count_if(F.col("level") == "WARN").alias("warns"), F.max("ts").alias("last_ts")))
+
+    return _start_parts(events, path, checkpoint, part, trigger)
+
+
+def read_ticks(spark: SparkSession, path: str, tick: str = "1 second",
+               delay: str | None = None) -> DataFrame:
+    """(source, tick, errors, warns): all ticks so far, or with a delay those that are closed."""
+    rows = _parts(spark, path).groupBy("source", "idx").agg(
+        F.sum("errors").alias("errors"), F.sum("warns").alias("warns"), F.max("last_ts").alias("last_ts"))
+    end = F.timestamp_micros((F.col("idx") + 1) * micros(tick))
+    return _closed(rows, end, delay).select("source", tick_time(tick).alias("tick"), "errors", "warns")
 
 
 def start_heartbeat(events: DataFrame, path: str, checkpoint: str, every: str = "60 minutes",
                     trigger=None) -> StreamingQuery:
-    """A heartbeat per source when a window closes."""
-    return _start(G.window_messages(events, every),
-                  lambda batch, epoch: _write(G.heartbeat_of(batch, every), path, epoch),
-                  checkpoint, trigger)
+    """Parts of the heartbeats of each source and window."""
+    return _start_parts(events, path, checkpoint, lambda rows: G.window_messages(rows, every), trigger)
+
+
+def read_heartbeat(spark: SparkSession, path: str, every: str = "60 minutes",
+                   delay: str | None = None) -> DataFrame:
+    """A heartbeat per source and window: of all windows, or with a delay of closed ones."""
+    counts = G.merged_window_messages(_parts(spark, path))
+    return G.heartbeat_of(_closed(counts, _window_end(every), delay), every)
 
 
 def start_recent_summary(events: DataFrame, path: str, checkpoint: str, every: str = "60 seconds",
-                         k: int = 3, trigger=None) -> StreamingQuery:
-    """The top patterns of each window when it closes."""
-    def step(batch: DataFrame, epoch: int) -> None:
-        counts = batch.filter("message is not null")
-        _write(C.recent_summary_of(counts, k), path, epoch)
+                         trigger=None) -> StreamingQuery:
+    """Parts of the message counts of each source and window."""
+    return _start_parts(events, path, checkpoint,
+                        lambda rows: C.all_window_message_counts(rows, every), trigger)
+
 
-    return _start(C.all_window_message_counts(events, every), step, checkpoint, trigger)
+def read_recent_summary(spark: SparkSession, path: str, every: str = "60 seconds", k: int = 3,
+                        delay: str | None = None) -> DataFrame:
+    """The top patterns of every window, or with a delay of closed ones."""
+    counts = _closed(C.merged_window_counts(_parts(spark, path)), _window_end(every), delay)
+    return C.recent_summary_of(counts.filter("message is not null"), k)
+
+
+def _window_end(every: str):
+    return F.timestamp_micros(F.unix_micros("window_start") + micros(every))
+
+
+def _forget(spark: SparkSession, path: str, epoch: int) -> None:
+    """Delete memories that no batch reads again; the one before stays for a repeated batch."""
+    if epoch > 1:
+        delete_path(spark, f"{path}/epoch={epoch - 2}")
 
 
 class _TickMemory:
@@ -140,57 +209,93 @@ class _TickMemory:
          .write.mode("overwrite").parquet(f"{here}/carry"))
 
 
-def closed_signal_times(events: DataFrame, tick: str) -> DataFrame:
-    """Closed ticks, reduced to one row per distinct signal time (and one for the rest).
-
-    All rows of a tick leave in the batch that closes it.
-    """
+def signal_times(events: DataFrame, tick: str) -> DataFrame:
+    """Ticks, reduced to one row per distinct signal time (and one for the rest)."""
     signal = is_signal("level")
-    return (events.select("source", F.window("ts", tick).alias("window"),
+    return (events.select("source", tick_index(tick).alias("idx"),
                           F.when(signal, F.unix_micros("ts")).alias("t"), "seq", "level",
                           I.level_code().alias("code"))
-                  .groupBy("source", "window", "t")
+                  .groupBy("source", "idx", "t")
                   .agg(F.count_if(F.col("level") == "ERROR").alias("errors"),
                        F.count_if(F.col("level") == "WARN").alias("warns"),
-                       F.min("seq").alias("seq"), F.min_by("code", "seq").alias("code"))
-                  .withColumn("idx", tick_index(tick, "window.start")).drop("window"))
+                       F.min("seq").alias("seq"),
+                       F.min_by("code", "seq").cast("bigint").alias("code")))
+
+
+def _incident_step(spark: SparkSession, path: str, epoch: int, rows: DataFrame | None,
+                   tick: str, config: Config, delay: str) -> None:
+    """Judge the ticks that their own source has left behind; all of them without new rows."""
+    state = f"{path}/state"
+    here = f"{state}/epoch={epoch}"
+    waiting = _remembered(spark, state, epoch, "open", OPEN_DDL)
+    marks = _remembered(spark, state, epoch, "marks", MARKS_DDL)
+    if rows is None:
+        closed, still = waiting, waiting.limit(0)
+    else:
+        new = materialize(signal_times(rows, tick))
+        # Only times that lines tell of move a source on.
+        now = rows.groupBy("source").agg(F.unix_micros(F.max("event_ts")).alias("mark"))
+        marks = materialize(marks.unionByName(now).groupBy("source").agg(F.max("mark").alias("mark")))
+        limit = F.floor((F.col("mark") - micros(delay)) / micros(tick))
+        found = materialize(
+            waiting.unionByName(new.select(*waiting.columns)).groupBy("source", "idx", "t")
+            .agg(F.sum("errors").alias("errors"), F.sum("warns").alias("warns"),
+                 F.min_by("code", "seq").alias("code"), F.min("seq").alias("seq"))
+            .join(marks.select("source", limit.alias("limit")), "source", "left"))
+        over = F.coalesce(F.col("idx") < F.col("limit"), F.lit(False))
+        closed, still = found.filter(over).drop("limit"), found.filter(~over).drop("limit")
+    memory = _TickMemory(spark, state, epoch, config.rolling_ticks)
+    counts = closed.groupBy("source", "idx").agg(F.sum("errors").alias("errors"),
+                                                 F.sum("warns").alias("warns"))
+    rules = materialize(I.trigger_rules(memory.extend(counts), config)
+                        .filter("new").select(*I.RULE_COLUMNS))
+    last = _remembered(spark, state, epoch, "last", LAST_DDL)
+    found = I.report_times(rules, closed.filter("t is not null"), tick, config, SIGNAL_LEVELS,
+                           last.select("source", "last"))
+    found = materialize(
+        found.join(last.select("source", "reported"), "source", "left")
+        .withColumn("after_recovery", F.col("after_recovery") | (
+            F.col("window_start").isNull() & F.col("reported").isNotNull()))
+        .drop("reported"))
+    _write(found, f"{path}/incidents", epoch)
+    newest = found.groupBy("source").agg(F.unix_micros(F.max("incident_ts")).alias("last"))
+    recovered = (rules.filter("recovered").groupBy("source")
+                 .agg((F.max("idx") * micros(tick)).alias("reset")))
+    merged = (last.unionByName(newest.withColumn("reported", F.col("last")))
+              .groupBy("source").agg(F.max("last").alias("last"),
+                                     F.max("reported").alias("reported")))
+    (merged.join(recovered, "source", "left")
+     .select("source", F.when(F.col("reset").isNull() | (F.col("reset") <= F.col("last")),
+                              F.col("last")).alias("last"), "reported")
+     .write.mode("overwrite").parquet(f"{here}/last"))
+    still.select(*waiting.columns).write.mode("overwrite").parquet(f"{here}/open")
+    marks.write.mode("overwrite").parquet(f"{here}/marks")
+    memory.save()
+    _forget(spark, state, epoch)
 
 
 def start_incidents(events: DataFrame, path: str, checkpoint: str, tick: str = "1 second",
-                    config: Config = DEFAULT, trigger=None) -> StreamingQuery:
-    """Incidents under ``path/incidents``, found when their tick closes."""
-    state_path = f"{path}/state"
-
+                    config: Config = DEFAULT, delay: str = "10 seconds", trigger=None) -> StreamingQuery:
+    """Incidents under ``path/incidents``, found when their source has left their tick behind by
+    `delay`. `finish_incidents` judges the ticks that are open when a stream has ended."""
     def step(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = materialize(batch)
-        memory = _TickMemory(spark, state_path, epoch, config.rolling_ticks)
-        counts = rows.groupBy("source", "idx").agg(F.sum("errors").alias("errors"),
-                                                   F.sum("warns").alias("warns"))
-        rules = materialize(I.trigger_rules(memory.extend(counts), config)
-                            .filter("new").select(*I.RULE_COLUMNS))
-        last = _remembered(spark, state_path, epoch, "last", LAST_DDL)
-        found = I.report_times(rules, rows.filter("t is not null"), tick, config, SIGNAL_LEVELS,
-                               last.select("source", "last"))
-        found = materialize(
-            found.join(last.select("source", "reported"), "source", "left")
-            .withColumn("after_recovery", F.col("after_recovery") | (
-                F.col("window_start").isNull() & F.col("reported").isNotNull()))
-            .drop("reported"))
-        _write(found, f"{path}/incidents", epoch)
-        newest = found.groupBy("source").agg(F.unix_micros(F.max("incident_ts")).alias("last"))
-        recovered = (rules.filter("recovered").groupBy("source")
-                     .agg((F.max("idx") * micros(tick)).alias("reset")))
-        merged = (last.unionByName(newest.withColumn("reported", F.col("last")))
-                  .groupBy("source").agg(F.max("last").alias("last"),
-                                         F.max("reported").alias("reported")))
-        (merged.join(recovered, "source", "left")
-         .select("source", F.when(F.col("reset").isNull() | (F.col("reset") <= F.col("last")),
-                                  F.col("last")).alias("last"), "reported")
-         .write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}/last"))
-        memory.save()
+        with temporary_tables(batch.sparkSession):
+            rows = materialize(timed(batch).select("source", "event_ts", "ts", "seq", "level"))
+            _incident_step(batch.sparkSession, path, epoch, rows, tick, config, delay)
+
+    return _start(events, step, checkpoint, trigger)
+
 
-    return _start(closed_signal_times(events, tick), step, checkpoint, trigger)
+def finish_incidents(spark: SparkSession, path: str, tick: str = "1 second",
+                     config: Config = DEFAULT) -> None:
+    """End of input: judge what is still open, as a batch of its own after the last one.
+
+    The stream is not to be resumed afterwards.
+    """
+    newest = last_number(spark, f"{path}/state")
+    if newest is not None:
+        with temporary_tables(spark):
+            _incident_step(spark, path, newest + 1, None, tick, config, "0 seconds")
 
 
 def start_alerts(events: DataFrame, path: str, checkpoint: str, cooldown: str = "20 seconds",
@@ -200,8 +305,12 @@ def start_alerts(events: DataFrame, path: str, checkpoint: str, cooldown: str =
     state_path = f"{path}/state"
 
     def step(batch: DataFrame, epoch: int) -> None:
+        with temporary_tables(batch.sparkSession):
+            judge(batch, epoch)
+
+    def judge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        rows = materialize(batch.select("source", "seq", "ts", "level", "message"))
+        rows = materialize(timed(batch).select("source", "seq", "ts", "level", "message"))
         memory = _TickMemory(spark, state_path, epoch, config.rolling_ticks)
         rates = memory.extend(tick_counts(rows, tick))
         gate = _remembered(spark, state_path, epoch, "gate", GATE_DDL)
@@ -216,5 +325,6 @@ def start_alerts(events: DataFrame, path: str, checkpoint: str, cooldown: str =
          .groupBy("alert_key").agg(F.max("last").alias("last"))
          .write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}/gate"))
         memory.save()
+        _forget(spark, state_path, epoch)
 
     return _start(events, step, checkpoint, trigger)

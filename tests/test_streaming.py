@@ -47,20 +47,26 @@ def source_of(path):
     return F.regexp_extract(path, "([^/]*)/[^/]*$", 1)
 
 
-def run(spark, tmp_path, segments, start):
-    """Feed the files in turn; after each one the stream runs to its end and stops."""
+def run(spark, tmp_path, segments, start, apart=False):
+    """Feed the files in turn; after each one the stream runs to its end and stops.
+
+    With `apart` the files of one source all come before those of the other.
+    """
     folder = tmp_path / "logs"
     for svc in "ab":
         (folder / svc).mkdir(parents=True)
     out = str(tmp_path / "out")
-    for number, lines in enumerate(segments):
-        for svc in "ab":
+    turns = [(n, svc) for svc in "ab" for n in range(len(segments))] if apart else [
+        (n, "ab") for n in range(len(segments))]
+    for number, sources in turns:
+        for svc in sources:
             (folder / svc / f"{number}.log").write_text(
-                "".join(line + "\n" for line in lines if line.endswith(f"svc={svc}")))
-        events = S.stream_events(spark, f"{folder}/*", "text", source=source_of)
+                "".join(line + "\n" for line in segments[number] if line.endswith(f"svc={svc}"))
+                + ("no time here\n" if apart else ""))
+        events = S.stream_events(spark, f"{folder}/*", source=source_of)
         start(events, out, f"{out}-checkpoint").awaitTermination()
     raw = logs.read_logs(spark, f"{folder}/*").withColumn("source", source_of("source"))
-    return out, order_by_time(parse_logs(raw, "text")).cache()
+    return out, order_by_time(parse_logs(raw, "text").filter("event_ts is not null")).cache()
 
 
 def same(got, want, *columns):
@@ -76,28 +82,35 @@ def test_counts(spark, tmp_path, segments):
     same(state.state_last_seen(loaded), G.last_seen(events), "source", "last_error_ts", "last_warn_ts")
 
 
-def test_ticks_and_reports(spark, tmp_path, segments):
-    closed = F.col("window_start") < F.lit(START + timedelta(hours=2)).cast("timestamp")
-    out, events = run(spark, tmp_path / "t", segments, S.start_ticks)
-    same(spark.read.parquet(out), V.ticks(events).filter(closed_tick()), "source", "tick", "errors", "warns")
+@pytest.mark.parametrize("apart", [False, True])
+def test_ticks(spark, tmp_path, segments, apart):
+    out, events = run(spark, tmp_path, segments, S.start_ticks, apart)
+    same(S.read_ticks(spark, out), V.ticks(events), "source", "tick", "errors", "warns")
+    ends = events.groupBy("source").agg(F.max("ts").alias("end"))
+    closed = V.ticks(events).join(ends, "source").filter("tick + INTERVAL 11 SECONDS <= end")
+    same(S.read_ticks(spark, out, delay="10 seconds"), closed, "source", "tick", "errors", "warns")
+
+
+def test_reports(spark, tmp_path, segments):
     out, events = run(spark, tmp_path / "h", segments,
-                      lambda e, o, c: S.start_heartbeat(e, o, c, "1 minute"))
-    same(spark.read.parquet(out), G.heartbeat(events, "1 minute").filter(closed), "source", "window_start", "report")
+                      lambda e, o, c: S.start_heartbeat(e, o, c, "1 minute"), True)
+    same(S.read_heartbeat(spark, out, "1 minute").drop("infos"), G.heartbeat(events, "1 minute"),
+         "source", "window_start", "report")
     out, events = run(spark, tmp_path / "r", segments,
                       lambda e, o, c: S.start_recent_summary(e, o, c, "30 seconds"))
-    same(spark.read.parquet(out), C.recent_summary(events, "30 seconds").filter(closed),
+    same(S.read_recent_summary(spark, out, "30 seconds"), C.recent_summary(events, "30 seconds"),
          "source", "window_start", "errors", "warns")
 
 
-def closed_tick():
-    return F.col("tick") < F.lit(START + timedelta(hours=2)).cast("timestamp")
-
-
-def test_incidents(spark, tmp_path, segments):
+@pytest.mark.parametrize("apart", [False, True])
+def test_incidents(spark, tmp_path, segments, apart):
     out, events = run(spark, tmp_path, segments,
-                      lambda e, o, c: S.start_incidents(e, o, c, config=CONFIG))
+                      lambda e, o, c: S.start_incidents(e, o, c, config=CONFIG), apart)
+    S.finish_incidents(spark, out, config=CONFIG)
     columns = ("source", "incident_ts", "level", "window_start", "after_recovery", "peak_eps", "peak_wps")
     same(spark.read.parquet(f"{out}/incidents"), I.incidents(events, config=CONFIG), *columns)
+    epochs = list((tmp_path / "out" / "state").glob("epoch=*"))
+    assert len(epochs) == 2
 
 
 def test_alerts(spark, tmp_path, segments):
