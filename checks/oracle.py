@@ -397,6 +397,13 @@ def oracle_sql() -> dict[str, str]:
             || 'Top Issue: ' || top_issue || chr(10) AS line FROM hb""", heart(DAY_US)),
         "alert_log": with_ev(f"""SELECT '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] [' || status || '] '
             || level || ': ' || message AS line FROM al""", ALERTS, True),
+        "event_store": with_ev(f"""SELECT {EVENT}, {fp('message')} AS pattern FROM ev
+            WHERE source IN ('svc-0', 'svc-2') AND {SIG} AND {fp('message')} = '{IP_PATTERN}'"""),
+        "detect_sources": with_ev(
+            "SELECT DISTINCT source, CASE WHEN seq % 5 IN (2, 4) THEN 'json' ELSE 'text' END AS format FROM mixed"),
+        "incident_signals_all": with_ev(f"""SELECT i.source, {us('i.t')} AS incident_ts, e.seq, {ts('e.ts')} AS ts, e.level,
+            e.message FROM inc i JOIN ev e ON e.source = i.source AND e.seq <= i.trigger_seq AND e.{SIG}
+            WHERE i.last IS NULL OR epoch_us(e.ts) > i.last""", RULES, True),
         "own_parser": with_ev(f"""SELECT source, seq, {ts("date_trunc('second', ts)")} AS ts, level,
             replace(message, '|', '/') AS message FROM ev"""),
         "stream_alerts": with_ev(f"SELECT {ts('ts')} AS ts, source, level, message, status, push FROM al", ALERTS, True),

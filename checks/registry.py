@@ -20,6 +20,7 @@ from logfathom.operators import parse as R
 from logfathom.operators import rates as V
 from logfathom.operators import reports as G
 from logfathom.plans.scale import compute_once, spread, work_path
+from logfathom.sources import events as store
 from logfathom.sources import logs, reports, state, tables
 from logfathom.streaming import queries as S
 
@@ -332,6 +333,25 @@ def inspect_map(spark, sf):
         .select("source", "total", "n_variants", "message", F.col("v.count").alias("count"))
 
 
+def event_store(spark, sf):
+    """Events written twice (a retry), then one source, some days and one pattern read back."""
+    path = work_path(spark, "events")
+    rows = parsed(spark, sf)
+    for _ in range(2):
+        store.write_events(rows, path)
+    found = store.read_events(spark, path, ["svc-0", "svc-2"], since="1000-01-01")
+    return found.filter(F.col("pattern") == IP_PATTERN).select("source", "seq", "ts", "level", "message", "pattern")
+
+
+def detect_sources(spark, sf):
+    files = written_lines(spark, sf)
+    return logs.detect_sources(spark, f"{files}/*", logs.source_folder)
+
+
+def incident_signals_all(spark, sf):
+    return incident_part(lambda f, e: I.incident_signals(f, e, None))(spark, sf)
+
+
 def heartbeat_lines(spark, sf):
     return G.heartbeat_lines(ev(spark, sf), "1 day")
 
@@ -433,7 +453,7 @@ def queries() -> dict:
         stream_totals, stream_patterns, stream_ticks, stream_heartbeat, stream_recent_summary,
         stream_incidents, stream_alerts, stream_ticks_segments, stream_heartbeat_segments,
         stream_incidents_segments, parse_json_duplicates, parse_docker_deep, parse_untimed, inspect_map,
-        heartbeat_lines, alert_log, own_parser)})
+        heartbeat_lines, alert_log, own_parser, event_store, detect_sources, incident_signals_all)})
 
     def run(query):
         def call(spark: SparkSession, sf_dir: str) -> DataFrame:

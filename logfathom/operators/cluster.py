@@ -100,6 +100,11 @@ def representative(events: DataFrame) -> DataFrame:
             .agg(_best(), F.max("count").alias("count")))
 
 
+def _of_pattern(events: DataFrame, pattern: str) -> DataFrame:
+    """Events of a pattern as far as the rows know theirs (stored events do): a pushed-down filter."""
+    return events.filter(F.col("pattern") == pattern) if "pattern" in events.columns else events
+
+
 def _hits(events: DataFrame) -> DataFrame:
     return signals(events).select("source", fingerprint("message").alias("pattern"),
                                   "message", "seq", "ts")
@@ -112,6 +117,8 @@ def variant_times(events: DataFrame, k: int = VARIANT_TIMES,
 
     Only the `max_variants` variants of a pattern that appeared first are tracked.
     """
+    if pattern is not None:
+        events = _of_pattern(events, pattern)
     hits = _hits(events)
     found = message_counts(events)
     if pattern is not None:
@@ -140,6 +147,7 @@ def inspect(events: DataFrame, pattern: str) -> DataFrame:
 
     A pattern nobody has seen gives no rows.
     """
+    events = _of_pattern(events, pattern)
     found = message_counts(events).filter(F.col("pattern") == pattern)
     head = _patterns(found).select("source", "pattern", "level", F.col("count").alias("total"))
     times = (variant_times(events, pattern=pattern).groupBy("source", "message")
@@ -169,7 +177,7 @@ def inspect_map(events: DataFrame, pattern: str, max_variants: int | None = None
 
 def variant_list(events: DataFrame, pattern: str) -> DataFrame:
     """Variants of a pattern, most frequent first, then most recently hit."""
-    return (variants(events).filter(F.col("pattern") == pattern)
+    return (variants(_of_pattern(events, pattern)).filter(F.col("pattern") == pattern)
             .select("source", "message", "count", "last_ts")
             .orderBy(F.col("count").desc(), F.col("last_ts").desc(), F.col("message"),
                      F.col("source")))

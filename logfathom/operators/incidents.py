@@ -108,13 +108,26 @@ def _marks(found: DataFrame) -> DataFrame:
                         F.col("trigger_seq").alias("mark_seq"))
 
 
-def incident_signals(found: DataFrame, events: DataFrame, cap: int = DEFAULT.signal_rows) -> DataFrame:
-    """Signals of each incident: of the last `cap` before the trigger, those after the last report."""
+def incident_signals(found: DataFrame, events: DataFrame,
+                     cap: int | None = DEFAULT.signal_rows) -> DataFrame:
+    """Signals of each incident: of the last `cap` before the trigger, those after the last report.
+
+    Without a cap these are all signals since the last report. Incidents and signals then meet by
+    source and day, so a long period is spread over its days.
+    """
     starts = found.select("source", F.unix_micros("incident_ts").alias("mark"),
                           "incident_ts", "window_start")
-    recent = rows_before(_marks(found), signals(events), cap)
-    return (join_small(recent, starts, ["source", "mark"])
-            .filter(F.col("window_start").isNull() | (F.col("ts") > F.col("window_start")))
+    if cap is None:
+        begun = events.groupBy("source").agg(F.min("ts").alias("begun"))
+        frames = (found.join(begun, "source")
+                  .select("source", "incident_ts", "window_start", "trigger_seq", F.explode(F.sequence(
+                      F.to_date(F.least("incident_ts", F.coalesce("window_start", "begun"))),
+                      F.to_date("incident_ts"))).alias("day")))
+        recent = signals(events).withColumn("day", F.to_date("ts")).join(frames, ["source", "day"]).filter(
+            F.col("seq") <= F.col("trigger_seq"))
+    else:
+        recent = join_small(rows_before(_marks(found), signals(events), cap), starts, ["source", "mark"])
+    return (recent.filter(F.col("window_start").isNull() | (F.col("ts") > F.col("window_start")))
             .select("source", "incident_ts", "seq", "ts", "level", "message"))
 
 

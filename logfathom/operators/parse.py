@@ -11,14 +11,17 @@ from ..functions import parsing as P
 from ..functions.text import clean_line, strip
 from ..plans.position import TURNS, stretch, top_per_key
 from ..plans.scale import compute_once, join_small
+from ..sources.logs import SAMPLE_LINES
 
-SAMPLE_LINES = 10
 # Stands for formats that the rows have themselves, in a column `format`.
 IN_ROWS = "format column"
 
 
 def detect_format(raw: DataFrame) -> DataFrame:
-    """(source, format): json when most of the first ten lines of a source start with ``{``."""
+    """(source, format): json when most of the first ten lines of a source start with ``{``.
+
+    This reads all rows; `sources.logs.detect_sources` reads only the heads of files.
+    """
     start = strip("line")
     lines = (raw.select("source", "seq", F.substring(start, 1, 1).alias("mark"))
                 .filter(F.col("mark") != ""))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..plans.scale import path_exists
 
+SAMPLE_LINES = 10
 _ROW_BITS = (1 << 33) - 1
 
 
@@ -71,3 +74,43 @@ def stream_logs(spark: SparkSession, path: str, start_after: str | None = None,
                              >= F.lit(start_after).cast("timestamp"))
     # A stream has no row numbers; events take their order from their time (`order_by_time`).
     return _tag(lines, F.lit(None).cast("bigint"))
+
+
+def head_lines(spark: SparkSession, path: str, n: int) -> list[str]:
+    """The first n non-blank lines of a file, of which no more is read than a buffer beyond them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(conf).open(where)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(where)
+        text = jvm.java.io.InputStreamReader(
+            stream if codec is None else codec.createInputStream(stream), "UTF-8")
+        reader, found = jvm.java.io.BufferedReader(text), []
+        while len(found) < n and (line := reader.readLine()) is not None:
+            if line.strip():
+                found.append(line.strip())
+        return found
+    finally:
+        stream.close()
+
+
+def detect_sources(spark: SparkSession, paths: str | list[str], source=None) -> DataFrame:
+    """(source, format) of log files by their first ten non-blank lines, for `parse_logs`.
+
+    Spark cannot stop a scan at the tenth line of every file, so the heads are read through the
+    file system, a few files at a time. Sources of several files are voted on by the first file
+    in the order of names. `source` is as in `stream_events`.
+    """
+    files = sorted(spark.read.text(split_paths(paths)).inputFiles())
+    named = spark.createDataFrame([(f, f) for f in files], "path string, source string")
+    if source is not None:
+        named = named.withColumn("source", source("source"))
+    first = {r.source: r.path for r in named.groupBy("source").agg(F.min("path").alias("path")).collect()}
+
+    def vote(path: str) -> str:
+        lines = head_lines(spark, path, SAMPLE_LINES)
+        return "json" if sum(line.startswith("{") for line in lines) > len(lines) // 2 else "text"
+
+    with ThreadPoolExecutor(8) as pool:
+        formats = list(pool.map(vote, first.values()))
+    return spark.createDataFrame(list(zip(first, formats)), "source string, format string")

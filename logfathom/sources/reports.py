@@ -26,13 +26,14 @@ def _document(reports: DataFrame) -> DataFrame:
         F.to_json(F.struct(*body), {"timestampFormat": iso}).alias("value"))
 
 
-def write_incidents(reports: DataFrame, path: str, mode: str = "append") -> None:
+def write_incidents(reports: DataFrame, path: str) -> None:
     """One JSON document per incident under ``source_key=/date=/incident_id=``.
 
-    The identity of an incident is its source and trigger time, so two sources that
-    report within the same second do not overwrite each other.
+    The identity of an incident is its source and trigger time, so two sources that report within
+    the same second do not overwrite each other, and writing an incident again replaces it.
+    Documents of other incidents stay.
     """
-    (_document(reports).write.mode(mode)
+    (_document(reports).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("source_key", "date", "incident_id").text(path))
 
 

@@ -27,7 +27,7 @@ from ..operators import reports as G
 from ..operators.rates import tick_counts, tick_index, tick_time
 from ..plans.running import rolling_ticks
 from ..plans.scale import delete_path, last_number, materialize, temporary_tables
-from ..sources.logs import read_logs, stream_logs
+from ..sources.logs import detect_sources, stream_logs
 from ..sources.state import partials, save_state
 
 # Columns of the tables remembered between batches.
@@ -55,10 +55,8 @@ def stream_events(spark: SparkSession, path: str, formats: DataFrame | str | Non
     if source is not None:
         raw = raw.withColumn("source", source("source"))
     if formats is None:
-        heads = read_logs(spark, path)
-        heads = heads if source is None else heads.withColumn("source", source("source"))
-        known = materialize(R.detect_format(heads)).withColumnRenamed("format", "known")
-        raw = raw.join(F.broadcast(known), "source", "left").withColumn("format", F.coalesce(
+        known = detect_sources(spark, path, source).withColumnRenamed("format", "known")
+        raw = raw.join(known, "source", "left").withColumn("format", F.coalesce(
             "known", F.when(F.startswith("line", F.lit("{")), "json").otherwise("text")))
     return R.order_by_time(R.parse_logs(raw, formats or R.IN_ROWS))
 
