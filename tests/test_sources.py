@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from logfathom.config import Config
 from logfathom.operators import alerts as A
 from logfathom.operators import cluster as C
+from logfathom.operators import cluster
 from logfathom.operators import incidents as I
 from logfathom.operators import reports as G
-from logfathom.operators.parse import parse_logs
-from logfathom.sources import logs, reports, state
+from logfathom.operators.parse import order_by_time, parse_logs
+from logfathom.plans.scale import materialize, path_exists, temporary_tables
+from logfathom.sources import events, logs, reports, state
 
 
 def test_lines_are_stripped_and_keep_their_order(spark, tmp_path):
@@ -110,3 +112,52 @@ def test_state_survives_sessions(spark, make_events, tmp_path):
     assert state.state_last_seen(loaded).first() == G.last_seen(events).first()
     assert state.load_state(spark, path, reset=True).count() == 0
     assert state.load_state(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_stored_events_are_pruned(spark, tmp_path, make_events):
+    rows = make_events([(i, "ERROR" if i % 2 else "INFO", f"job {i} failed", "ab"[i % 3 == 0]) for i in range(90)])
+    path = str(tmp_path / "events")
+    for _ in range(2):
+        events.write_events(rows, path, "first")
+    events.write_events(rows.withColumn("ts", F.lit(None).cast("timestamp")), path, "second")
+    found = events.read_events(spark, path, "a", since="2026-03-08", until="2026-03-08")
+    found = found.filter("pattern = 'job * failed'")
+    assert found.count() == rows.filter("source = 'a' and level = 'ERROR'").count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "source#" in plan.split("PartitionFilters")[1][:200]
+    assert "EqualTo(pattern,job * failed)" in plan
+    assert events.read_events(spark, path).count() == 2 * rows.count()
+    listed = {r.message: r["count"] for r in cluster.variant_list(found, "job * failed").collect()}
+    assert set(listed.values()) == {1}
+
+
+def test_heads_of_files_tell_their_format(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.log").write_text("\n \n" + '{"m":1}\n' * 6 + "text\n" * 500)
+    (tmp_path / "b.log").write_text("text\n" * 6 + '{"m":1}\n' * 500)
+    (tmp_path / "c.log").write_text("")
+    with gzip.open(tmp_path / "d.log.gz", "wt") as f:
+        f.write('{"m":1}\n' * 3)
+    rows = logs.detect_sources(spark, f"{tmp_path}/*").collect()
+    assert {r.source.rsplit("/", 1)[-1]: r.format for r in rows} == {
+        "x.log": "json", "b.log": "text", "c.log": "text", "d.log.gz": "json"}
+    assert logs.head_lines(spark, str(tmp_path / "b.log"), 3) == ["text"] * 3
+
+
+@pytest.mark.parametrize("parts", [1, 7, 64])
+def test_order_within_a_second_is_that_of_the_file(spark, parts):
+    stamp = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    rows = [("s", i, stamp, "ERROR" if i % 8 == 0 else "WARN", f"job {i // 8}x") for i in range(1600)]
+    found = spark.createDataFrame(rows, "source string, seq long, ts timestamp, level string, message string")
+    placed = order_by_time(found.repartition(parts))
+    first = cluster.patterns(placed.withColumn("message", F.concat(F.lit("m"), F.translate("message", "0123456789", "abcdefghij"))))
+    assert {r.level for r in first.collect()} == {"ERROR"}
+    assert placed.select("seq").distinct().count() == 1600
+
+
+def test_temporary_tables_go(spark):
+    with temporary_tables(spark):
+        kept = materialize(spark.range(5))
+        path = kept.inputFiles()[0].rsplit("/", 1)[0]
+        assert kept.count() == 5 and path_exists(spark, path)
+    assert not path_exists(spark, path)
