@@ -3,7 +3,7 @@
 1 - Jaccard is a metric, and with distance 1 between most texts pivots drawn at random tell
 nothing apart. Pivots are therefore drawn where texts meet: two sets that reach the threshold
 share one of their first shingles in any common order (prefix filter), and in each such list of
-sets the smallest is a pivot. Rounds, each of them exact:
+sets the most central one is a pivot. Rounds, each of them exact:
 
 1. Regions: every set is measured against the pivots of its lists and belongs to the nearest one
    it links with, or is a region of its own. All members of a region are linked through its pivot,
@@ -286,9 +286,16 @@ def groups(docs: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
     own_list = Window.partitionBy("hash", "part")
     lists = staged(entries.withColumn("part", part).select(
-        "hash", "part", "parts", "node", F.min("node").over(own_list).alias("pivot"),
-        F.count(F.lit(1)).over(own_list).alias("members"))
-        .filter("members > 1 OR parts > 1").drop("members"), "lists")
+        "hash", "part", "parts", "node", F.count(F.lit(1)).over(own_list).alias("members"))
+        .filter("members > 1 OR parts > 1").drop("members"), "list-entries")
+    # The pivot of a list is the set that meets others with the largest share of its first
+    # shingles: an original more likely than an altered copy, whose changes are its own.
+    met = lists.groupBy("node").agg(F.count(F.lit(1)).alias("met")).join(
+        profiles.select("node", "n"), "node").select(
+        "node", (F.col("met") / length).alias("share"))
+    central = F.max(F.struct("share", (-F.col("node")).alias("low"))).over(own_list)
+    lists = staged(lists.join(met, "node").select(
+        "hash", "part", "parts", "node", (-central["low"]).alias("pivot")), "lists")
 
     # Round 1: stars around the pivots, and around the first of the pivots of a list in parts.
     heads = lists.filter("parts > 1").groupBy("hash").agg(F.min("pivot").alias("b"))
