@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: Encoded matches that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Matches of more bytes have a queue of their own.
 LONG = 64
 #: Texts whose matches are encoded together.
-TOGETHER = 2_000
+TOGETHER = 1_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 

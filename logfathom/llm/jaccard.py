@@ -43,6 +43,8 @@ WORDS = 5
 SIMILAR = 80
 #: Shingles whose frequency is told to all tasks, at most; of a batch, and in all.
 FREQUENT_IN_BATCH, FREQUENT = 8_192, 65_536
+#: Bytes of texts whose shingles are made together.
+PART_BYTES = 4 << 20
 #: Lists longer than this are cut into parts.
 PART = 10_000
 #: Lists with more regions than this are cut by a second shingle.
@@ -57,8 +59,18 @@ SETS_SCHEMA = ("doc_id long, n int, digest binary, prefix array<long>, parts arr
                "bits binary")
 
 
-def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct 64-bit hashes of the shingles of each text."""
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
+    """The sorted distinct 64-bit hashes of the shingles of each text, some MB of texts at a time."""
+    begin, held = 0, 0
+    for i, size in enumerate(pc.binary_length(texts).to_pylist()):
+        if held and held + size > PART_BYTES:
+            yield from _part_sets(texts[begin:i], words)
+            begin, held = i, 0
+        held += size
+    yield from _part_sets(texts[begin:], words)
+
+
+def _part_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     import xxhash
 
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
@@ -197,7 +209,7 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = shingle_sets(batch["text"])
+        sets = list(shingle_sets(batch["text"]))
         yield pa.RecordBatch.from_arrays(
             [batch["key"], pa.array([_digest(s) for s in sets], pa.binary()),
              pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "digest", "shingles"])

@@ -39,7 +39,7 @@ QUANTUM = 64
 CHUNK_DOCUMENTS = 20_000
 #: Words whose ids a worker remembers, words that are tokenized together, and bytes of texts whose
 #: words are.
-REMEMBERED, TOGETHER, PART_BYTES = 400_000, 20_000, 16 << 20
+REMEMBERED, TOGETHER, PART_BYTES = 200_000, 10_000, 8 << 20
 
 TOKENS_SCHEMA = ("doc_id long, doc_tokens long, windows array<long>, quanta array<long>, "
                  "tail binary")

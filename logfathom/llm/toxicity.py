@@ -43,7 +43,7 @@ REPORTING = frozenset("said says wrote writes called calls quoted quote quotes w
                       "reported according".split())
 QUOTES = frozenset("\"'“”„«»‘’")
 #: Words a worker remembers; it starts anew beyond them.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 WORD = re.compile(r"[^\W_]+")
 FEATURES = 6
