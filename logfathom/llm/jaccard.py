@@ -53,10 +53,12 @@ MANY_REGIONS = 64
 REACH = 1 - SIMILAR / 100 + 1e-9
 #: Most bits that a set's parities take.
 MOST_BITS = 1 << 15
+#: Bits of the parities that column expressions compare.
+MARK_BITS = 1024
 NO_ID = -(1 << 63)
 
 SETS_SCHEMA = ("doc_id long, n int, digest binary, prefix array<long>, parts array<int>, "
-               "bits binary")
+               "bits binary, marks array<long>")
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -108,15 +110,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
 
 
-def parities(found: np.ndarray) -> bytes:
+def parities(found: np.ndarray, size: int | None = None) -> bytes:
     """For each value of the last bits of the hashes, whether an odd number of shingles has it.
 
     Every shingle that only one of two sets holds flips one bit, so the bits in which two sets
     differ are at most the shingles in which they do.
     """
-    size = 64
-    while size < min(2 * len(found), MOST_BITS):
-        size *= 2
+    if size is None:
+        size = 64
+        while size < min(2 * len(found), MOST_BITS):
+            size *= 2
     counts = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size)
     return np.packbits(counts & 1, bitorder="little").tobytes()
 
@@ -182,12 +185,13 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, firsts, parts, bits = [], [], [], [], []
+            sizes, digests, firsts, parts, bits, marks = [], [], [], [], [], []
             for found in shingle_sets(batch["text"]):
                 n = len(found)
                 sizes.append(n)
                 digests.append(_digest(found) if n else b"")
                 bits.append(parities(found))
+                marks.append(np.frombuffer(parities(found, MARK_BITS), np.int64))
                 if not n:
                     firsts.append([])
                     parts.append([])
@@ -202,8 +206,8 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()),
                  pa.array(firsts, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32())),
-                 pa.array(bits, pa.binary())],
-                ["doc_id", "n", "digest", "prefix", "parts", "bits"])
+                 pa.array(bits, pa.binary()), pa.array(marks, pa.list_(pa.int64()))],
+                ["doc_id", "n", "digest", "prefix", "parts", "bits", "marks"])
     return prefixes
 
 
@@ -288,7 +292,7 @@ def groups(docs: DataFrame) -> DataFrame:
     nodes = staged(rows.filter("n > 0").groupBy("digest").agg(
         F.min("row_no").alias("node"), F.min("doc_id").alias("doc")), "nodes")
     own_rows = nodes.select(F.col("node").alias("row_no")).join(rows, "row_no")
-    profiles = staged(own_rows.select(F.col("row_no").alias("node"), "n", "digest", "bits",
+    profiles = staged(own_rows.select(F.col("row_no").alias("node"), "n", "digest", "bits", "marks",
                                       F.coalesce("doc_id", F.lit(NO_ID)).alias("key")), "profiles")
     firsts = own_rows.select(F.col("row_no").alias("node"), "n",
                              F.arrays_zip("prefix", "parts").alias("first"))
@@ -356,13 +360,20 @@ def groups(docs: DataFrame) -> DataFrame:
     apart = apart.filter((F.col("r_a") + F.col("r_b") > 0)
                          & (F.col("d") - F.col("r_a") - F.col("r_b") <= REACH))
 
-    def member(end: str) -> DataFrame:
-        return regions.select(F.col("region").alias(end), F.col("node").alias(f"m_{end}"),
-                              F.col("d").alias(f"d_{end}"))
+    members = regions.join(profiles.select("node", "n", "marks"), "node")
 
-    windows = (apart.join(member("a"), "a").filter(F.col("d") - F.col("d_a") - F.col("r_b") <= REACH)
-               .join(member("b"), "b").filter(F.col("d") - F.col("d_a") - F.col("d_b") <= REACH)
-               .select(F.col("m_a").alias("a"), F.col("m_b").alias("b")).distinct())
+    def member(end: str) -> DataFrame:
+        return members.select(*[F.col(c).alias(f"{c}_{end}") for c in ("region", "node", "d", "n", "marks")])
+
+    # The condition is part of the join, so members that sizes and parities keep apart never meet.
+    differ = sum((F.bit_count(F.col("marks_a")[i].bitwiseXOR(F.col("marks_b")[i]))
+                  for i in range(MARK_BITS // 64)), F.lit(0))
+    near = (100 + SIMILAR) * differ <= (100 - SIMILAR) * (F.col("n_a") + F.col("n_b"))
+    sided = apart.join(member("a"), F.col("a") == F.col("region_a")).filter(
+        F.col("d") - F.col("d_a") - F.col("r_b") <= REACH)
+    windows = sided.join(member("b"), (F.col("b") == F.col("region_b")) & near & (
+        F.col("d") - F.col("d_a") - F.col("d_b") <= REACH)).select(
+        F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     windows = staged(possible(windows, profiles), "windows")
     last = measured(windows, shingles_of([windows], plain, profiles, sets)).filter("linked")
     final = components(links.union(staged(last.select("a", "b"), "window-links")))
