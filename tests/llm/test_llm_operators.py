@@ -318,6 +318,20 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_across_lines_and_in_sentences(spark):
+    mit = licenses.FULL_TEXTS["MIT"].split()
+    wrapped = "\n".join(" ".join(mit[i:i + 12]) for i in range(0, len(mit), 12))
+    short = "Released under the MIT License."
+    rows = [(1, "This work is licensed under the GNU\nGeneral Public License, version 3."),
+            (2, "Copyright 2020 Foo Bar, released under the MIT License"), (3, f"MIT\n\n{wrapped}\nend"),
+            (4, f"We say that it was {short[:-1]} and so on\n{short}"),
+            (5, "it is released under the BSD\nLicense"), (6, licenses.FULL_TEXTS["ISC"])]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.license): (r.dice, r.n_units) for r in got} == {
+        (1, "GPL-3.0"): (1.0, 1), (2, "MIT"): (1.0, 1), (3, "MIT"): (1.0, 1), (4, "MIT"): (1.0, 2),
+        (6, "ISC"): (1.0, 1)}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
