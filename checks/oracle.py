@@ -407,4 +407,5 @@ def oracle_sql() -> dict[str, str]:
         "own_parser": with_ev(f"""SELECT source, seq, {ts("date_trunc('second', ts)")} AS ts, level,
             replace(message, '|', '/') AS message FROM ev"""),
         "stream_alerts": with_ev(f"SELECT {ts('ts')} AS ts, source, level, message, status, push FROM al", ALERTS, True),
+        "stream_alerts_segments": with_ev(f"SELECT {ts('ts')} AS ts, source, level, message, status, push FROM al", ALERTS, True),
     }

@@ -292,12 +292,16 @@ def stream_incidents_segments(spark, sf):
     return stream_incidents(spark, sf, True)
 
 
-def stream_alerts(spark, sf):
+def stream_alerts(spark, sf, one_by_one=False):
     out = _streamed(spark, sf, lambda e, o, c: S.start_alerts(
-        e, o, c, "2 hours", "1 hour", HOUR, "topic", CONFIG))
+        e, o, c, "2 hours", "1 hour", HOUR, "topic", CONFIG), one_by_one)
     return spark.read.parquet(f"{out}/alerts").drop("epoch", "seq")
 
 
+def stream_alerts_segments(spark, sf):
+    return stream_alerts(spark, sf, True)
+
+
 # Lines that test the parsers, made from every event: the same key twice, several wrappers around
 # a line, and lines without a time between timed ones.
 def parse_json_duplicates(spark, sf):
@@ -452,7 +456,7 @@ def queries() -> dict:
     q.update({f.__name__: f for f in (
         stream_totals, stream_patterns, stream_ticks, stream_heartbeat, stream_recent_summary,
         stream_incidents, stream_alerts, stream_ticks_segments, stream_heartbeat_segments,
-        stream_incidents_segments, parse_json_duplicates, parse_docker_deep, parse_untimed, inspect_map,
+        stream_incidents_segments, stream_alerts_segments, parse_json_duplicates, parse_docker_deep, parse_untimed, inspect_map,
         heartbeat_lines, alert_log, own_parser, event_store, detect_sources, incident_signals_all)})
 
     def run(query):

@@ -5,9 +5,9 @@ for all of them. Counts of windows are additive: each batch writes its part unde
 and readers add the parts up, so late rows correct their window. A window is closed when its own
 source has moved on; readers tell closed windows from open ones.
 
-Rules that look across ticks (incidents, alerts) run the batch operators on each micro-batch and
-keep what they must remember (open ticks, last ticks, peaks, last report times) in a small table
-per batch. Every batch writes under its own number, so a repeated batch replaces its output
+Alerts look across sources and are judged anew from where a batch begins. Incidents run the batch
+operators on each micro-batch and keep what they must remember (open ticks, last ticks, peaks, last
+report times) in a small table per batch. Every batch writes under its own number, so a repeated batch replaces its output
 instead of adding to it. Memories older than the last batch are deleted.
 """
 
@@ -24,9 +24,10 @@ from ..operators import cluster as C
 from ..operators import incidents as I
 from ..operators import parse as R
 from ..operators import reports as G
+from ..operators.filters import signals
 from ..operators.rates import tick_counts, tick_index, tick_time
 from ..plans.running import rolling_ticks
-from ..plans.scale import delete_path, last_number, materialize, temporary_tables
+from ..plans.scale import delete_path, last_number, materialize, path_exists, temporary_tables
 from ..sources.logs import detect_sources, stream_logs
 from ..sources.state import partials, save_state
 
@@ -34,7 +35,9 @@ from ..sources.state import partials, save_state
 TICKS_DDL = "source string, idx bigint, errors bigint, warns bigint"
 CARRY_DDL = "source string, low bigint, top_errors bigint, top_warns bigint"
 LAST_DDL = "source string, last bigint, reported bigint"
-GATE_DDL = "alert_key string, last bigint"
+ALERTS_DDL = ("ts timestamp, source string, seq bigint, level string, message string, status string, "
+              "push boolean")
+SIGNALS_DDL = "source string, seq bigint, ts timestamp, level string, message string"
 OPEN_DDL = ("source string, idx bigint, t bigint, errors bigint, warns bigint, seq bigint, "
             "code bigint")
 MARKS_DDL = "source string, mark bigint"
@@ -90,6 +93,13 @@ def _remembered(spark: SparkSession, path: str, epoch: int, name: str, ddl: str)
     return spark.read.schema(ddl).parquet(f"{path}/epoch={epoch - 1}/{name}")
 
 
+def _before(spark: SparkSession, path: str, epoch: int, ddl: str) -> DataFrame:
+    """What the batches before this number wrote, with the number of each as ``epoch``."""
+    if last_number(spark, path) is None:
+        return spark.createDataFrame([], f"{ddl}, epoch bigint")
+    return spark.read.schema(f"{ddl}, epoch bigint").parquet(path).filter(F.col("epoch") < epoch)
+
+
 def start_counts(events: DataFrame, path: str, checkpoint: str, trigger=None) -> StreamingQuery:
     """Running totals, levels, patterns and variants as a saved state (see sources.state)."""
     return _start(events, lambda batch, epoch: save_state(partials(timed(batch), epoch), path, epoch),
@@ -299,8 +309,14 @@ def finish_incidents(spark: SparkSession, path: str, tick: str = "1 second",
 def start_alerts(events: DataFrame, path: str, checkpoint: str, cooldown: str = "20 seconds",
                  gap: str = "10 seconds", tick: str = "1 second", topic: str | None = None,
                  config: Config = DEFAULT, trigger=None) -> StreamingQuery:
-    """Throttled alerts under ``path/alerts``, in arrival order of the batches."""
-    state_path = f"{path}/state"
+    """Throttled alerts under ``path/alerts``: at any time those of all rows so far.
+
+    The cooldowns run across sources, so a row that arrives late, as those of a source that lags
+    behind, can change every alert after it. Signals and tick counts are kept as parts, and alerts
+    from the first tick of a batch on are judged anew. The folder of the batch then replaces those of
+    earlier batches that held some of them.
+    """
+    width = micros(tick)
 
     def step(batch: DataFrame, epoch: int) -> None:
         with temporary_tables(batch.sparkSession):
@@ -309,20 +325,40 @@ def start_alerts(events: DataFrame, path: str, checkpoint: str, cooldown: str =
     def judge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         rows = materialize(timed(batch).select("source", "seq", "ts", "level", "message"))
-        memory = _TickMemory(spark, state_path, epoch, config.rolling_ticks)
-        rates = memory.extend(tick_counts(rows, tick))
-        gate = _remembered(spark, state_path, epoch, "gate", GATE_DDL)
-        taken = materialize(A.throttle(rows, gap, gate.filter("alert_key = 'ALL'").select("last")))
-        marked = materialize(A.notify(taken, cooldown, gate.filter("alert_key <> 'ALL'")))
-        _write(A.with_push(marked, rates, tick, topic, config), f"{path}/alerts", epoch)
-        key = F.when(F.col("level") == "WARN", "WARN").otherwise("ERROR")
-        (gate.unionByName(taken.select(F.lit("ALL").alias("alert_key"),
-                                       F.unix_micros("ts").alias("last")))
-         .unionByName(marked.filter("status = 'NOTIFIED'")
-                      .select(key.alias("alert_key"), F.unix_micros("ts").alias("last")))
-         .groupBy("alert_key").agg(F.max("last").alias("last"))
-         .write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}/gate"))
-        memory.save()
-        _forget(spark, state_path, epoch)
+        began = rows.agg(F.unix_micros(F.min("ts"))).first()[0]
+        if began is None and epoch:
+            return
+        start = (began or 0) // width * width
+        done = (_before(spark, f"{path}/alerts", epoch, ALERTS_DDL)
+                .withColumn("late", F.unix_micros("ts") >= start))
+        # Few: batches that come in the order of time overlap with the one before at most.
+        replaced = [r["epoch"] for r in done.filter("late").select("epoch").distinct().collect()]
+        # A repeated batch that was already written only has to finish the replacement.
+        if not path_exists(spark, f"{path}/alerts/epoch={epoch}/_SUCCESS"):
+            _write(signals(rows), f"{path}/signals", epoch)
+            _write(tick_counts(rows, tick), f"{path}/ticks", epoch)
+            before = done.filter("NOT late")
+            again = (_before(spark, f"{path}/signals", epoch + 1, SIGNALS_DDL)
+                     .filter(F.col("ts") >= F.timestamp_micros(F.lit(start))))
+            last = F.max(F.unix_micros("ts")).alias("last")
+            taken = materialize(A.throttle(again.drop("epoch"), gap, before.agg(last)))
+            key = F.when(F.col("level") == "WARN", "WARN").otherwise("ERROR").alias("alert_key")
+            marked = materialize(A.notify(taken, cooldown, before.filter("status = 'NOTIFIED'")
+                                          .groupBy(key).agg(last)))
+            _write(A.with_push(marked, rates(spark, epoch, start // width), tick, topic, config)
+                   .unionByName(before.filter(F.col("epoch").isin(replaced)).drop("epoch", "late")),
+                   f"{path}/alerts", epoch)
+        for number in replaced:
+            delete_path(spark, f"{path}/alerts/epoch={number}")
+
+    def rates(spark: SparkSession, epoch: int, first: int) -> DataFrame:
+        """Rate table of the ticks from `first` on, over the parts of all batches."""
+        ticks = _before(spark, f"{path}/ticks", epoch + 1, TICKS_DDL)
+        reach = F.col("idx") >= first - config.rolling_ticks
+        carry = ticks.filter(~reach).groupBy("source").agg(
+            F.min("idx").alias("low"), F.max("errors").alias("top_errors"), F.max("warns").alias("top_warns"))
+        series = materialize(ticks.filter(reach).groupBy("source", "idx").agg(
+            F.sum("errors").alias("errors"), F.sum("warns").alias("warns")))
+        return rolling_ticks(series, config.rolling_ticks, carry=carry).filter(F.col("idx") >= first)
 
     return _start(events, step, checkpoint, trigger)

@@ -120,6 +120,13 @@ def test_alerts(spark, tmp_path, segments):
     same(spark.read.parquet(f"{out}/alerts"), A.alerts(events, topic="t", config=CONFIG), *columns)
 
 
+def test_alerts_of_a_late_source(spark, tmp_path, segments):
+    out, events = run(spark, tmp_path, segments[2:],
+                      lambda e, o, c: S.start_alerts(e, o, c, topic="t", config=CONFIG), True)
+    columns = ("ts", "source", "level", "message", "status", "push")
+    same(spark.read.parquet(f"{out}/alerts"), A.alerts(events, topic="t", config=CONFIG), *columns)
+
+
 def test_only_new_files(spark, tmp_path, segments):
     folder = tmp_path / "logs"
     folder.mkdir()
