@@ -8,6 +8,8 @@ are revisits that refer to it.
 Reading: each archive is parsed by the Content-Length of its records. The captures of an archive
 are sorted by (URL key, time, page_id, copy): a run. Runs are cut into ranges of that order, and in
 each range a loser tree merges the pieces of the runs into one globally ordered history.
+Different payloads of one page_id (or of none) share a record id, so a revisit finds its response by
+id and digest.
 
 Cases: a null html is an empty payload; empty payloads are equal to each other; a null url gives
 the URL key "-" and no WARC-Target-URI; line ends in a url are escaped; rows with a null page_id
@@ -248,9 +250,9 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     write_archives(typed(pages), path)
     index = staged(merged_index(staged(read_archives(spark, path), "runs")), "warc-index")
     responses = index.filter("record_type = 'response'").select(
-        F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"),
+        F.col("record_id").alias("refers_id"), "payload_digest", F.col("page_id").alias("refers_to"),
         F.col("payload_bytes").alias("full_bytes"))
-    return index.join(responses, "refers_id", "left").select(
+    return index.join(responses, ["refers_id", "payload_digest"], "left").select(
         "page_id", F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"),
         "payload_digest", "record_type", "refers_to", "url_key", "archive", "offset", "range_no",
         "position")

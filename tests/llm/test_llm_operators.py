@@ -298,6 +298,14 @@ def test_warc(spark, tmp_path):
     assert warc.archive_pages(pages.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_warc_revisits_of_pages_that_share_an_id(spark, tmp_path):
+    rows = [(None, "http://a/", text) for text in ("one", "one", "three", "three", "fifteen")]
+    rows += [(7, "http://b/", text) for text in ("sixteen", "sixteen", "four")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.archive_pages(pages, str(tmp_path / "warc")).collect()
+    assert Counter((r.page_id, r.payload_bytes) for r in got) == Counter((i, len(t)) for i, _, t in rows)
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 7, 16])
 def test_loser_tree(k):
     rng = random.Random(k)
