@@ -51,7 +51,8 @@ class WordIds:
     """Ids of whole texts, put together from the ids of their words.
 
     The tokenizers this serves drop white space and never join across it, so the ids of a text
-    are those of its words in turn, and every word is tokenized once.
+    are those of its words in turn, and every word is tokenized once. Literals of special tokens,
+    which hold no white space, become these tokens, as Tokenizer.encode has it.
     """
 
     def __init__(self, path: str) -> None:
@@ -59,7 +60,6 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}

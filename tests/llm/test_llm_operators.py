@@ -158,6 +158,18 @@ def test_packing(docs, plain, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_of_special_tokens(spark):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(1, "before<|endoftext|>after and on"), (2, "a <|startoftext|> b <|endoftext|>")]
+    want = {i: Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids + [1] for i, t in rows}
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), path, window=256).collect()
+    assert {r.doc_id: r.doc_tokens for r in got} == {i: len(ids) for i, ids in want.items()}
+    for r in got:
+        own = want[r.doc_id][r.start:r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(np.array(own, "<u4").tobytes())
+
+
 def test_least_squares_and_rounding():
     rng = np.random.default_rng(2)
     table = packing.combinations(8)
