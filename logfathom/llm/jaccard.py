@@ -58,7 +58,7 @@ MARK_BITS = 1024
 NO_ID = -(1 << 63)
 
 SETS_SCHEMA = ("doc_id long, n int, digest binary, prefix array<long>, parts array<int>, "
-               "bits binary, marks array<long>")
+               "bits binary, marks array<long>, text_digest binary")
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -206,8 +206,9 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()),
                  pa.array(firsts, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32())),
-                 pa.array(bits, pa.binary()), pa.array(marks, pa.list_(pa.int64()))],
-                ["doc_id", "n", "digest", "prefix", "parts", "bits", "marks"])
+                 pa.array(bits, pa.binary()), pa.array(marks, pa.list_(pa.int64())),
+                 batch["text_digest"]],
+                ["doc_id", "n", "digest", "prefix", "parts", "bits", "marks", "text_digest"])
     return prefixes
 
 
@@ -285,8 +286,13 @@ def _list_pairs(lists: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
+    return _grouped(docs, F.lit(None).cast("binary")).drop("text_digest")
+
+
+def _grouped(docs: DataFrame, text_digest: Column) -> DataFrame:
+    """What ``groups`` returns, with a value of the text of each row as ``text_digest``."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows = staged(plain.mapInArrow(_prefixes(frequent_shingles(plain)), SETS_SCHEMA)
+    rows = staged(plain.withColumn("text_digest", text_digest).mapInArrow(_prefixes(frequent_shingles(plain)), SETS_SCHEMA)
                   .withColumn("row_no", F.monotonically_increasing_id()), "shingled")
     # A node is a distinct set; it has the number of one of its rows.
     nodes = staged(rows.filter("n > 0").groupBy("digest").agg(
@@ -382,9 +388,10 @@ def groups(docs: DataFrame) -> DataFrame:
         "digest", "doc", F.coalesce("component", "node").alias("component"))
     named = labels.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = labels.join(named, "component").select("digest", "component_id")
-    return rows.select("doc_id", "n", "digest").join(named, "digest", "left").select(
+    return rows.select("doc_id", "n", "digest", "text_digest").join(named, "digest", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "text_digest")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -393,6 +400,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id stay when no document of their group has one; repeated rows are one
     document and stay or go together.
     """
-    stays = groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return docs.join(stays.select(F.col("doc_id").alias("__stays")).distinct(),
-                     F.col("doc_id").cast("long").eqNullSafe(F.col("__stays")), "left_semi")
+    digest = F.unhex(F.sha2(text_of(), 256))
+    stays = _grouped(docs, digest).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("__stays"), F.col("text_digest").alias("__text")).distinct()
+    # The id alone does not tell rows with a null doc_id apart.
+    return (docs.withColumn("__digest", digest)
+            .join(stays, (F.col("__digest") == F.col("__text"))
+                  & F.col("doc_id").cast("long").eqNullSafe(F.col("__stays")), "left_semi")
+            .drop("__digest"))

@@ -253,6 +253,13 @@ def test_jaccard_groups(docs, plain, empty):
     assert jaccard.groups(empty).count() == 0
 
 
+def test_near_copies_without_an_id_leave(spark):
+    own, other = (words(random.Random(n), 60) for n in (1, 2))
+    rows = [(1, own), (None, own + " more"), (None, other), (2, words(random.Random(3), 60))]
+    stay = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, stay.collect())) == Counter([rows[0], rows[2], rows[3]])
+
+
 @pytest.mark.parametrize("limits", [{}, {"MANY_REGIONS": 1}, {"PART": 3}, {"MANY_REGIONS": 1, "PART": 2}])
 def test_jaccard_chains(spark, monkeypatch, limits):
     """Chains of texts that drift apart, so that regions border on each other."""
