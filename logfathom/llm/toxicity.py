@@ -31,8 +31,6 @@ from .common import staged, text_of
 
 #: Labelled rows that fitting uses, about. This is the documented bound of the sample.
 FIT_ROWS = 6_000
-#: Entries of the lexicon, at most. Entries are ranked by the documents they tell apart.
-LEXICON = 512
 #: An entry occurs in so many toxic documents at least, and is so much likelier there (log odds).
 SUPPORT, ODDS = 4, 3.0
 #: Letters of stems, and of words that are also looked for with an edit.
@@ -216,7 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Learn lexicon and weights from labelled rows that are not held out.
 
     When there are more than about ``rows`` of them, those with the smallest hash of the doc_id
-    are taken. Lexicon (LEXICON entries) and features (``rows`` x 6 numbers) go to the driver.
+    are taken. Lexicon (all terms of these rows that pass SUPPORT and ODDS)
+    and features (``rows`` x 6 numbers) go to the driver.
     """
     usable = (labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
               .filter(F.col("toxic").isNotNull() & F.col("_id").isNotNull() & ~held_out("_id"))
@@ -237,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     entries = (terms.filter(F.col("toxic") >= SUPPORT).withColumn("odds", odds)
                .filter(F.col("odds") >= ODDS)
                .orderBy(F.desc(F.col("odds") * F.log1p("toxic")), F.length("term"), "term")
-               .limit(LEXICON).collect())
+               .collect())
     words = {r["term"]: r["odds"] for r in entries if r["term"][-1] != "*"}
     stems: dict[str, float] = {}
     for r in entries:

@@ -406,6 +406,17 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.scores(rows, labels.limit(0)).filter("score BETWEEN 0 AND 1").count() == 400
 
 
+def test_lexicon_holds_every_toxic_word(spark):
+    letters = "abcdefghijklmnopqrst"
+    bad = [f"{letters[i % 20]}{letters[i // 20]}{letters[i % 7]}{letters[i % 11]}{letters[i % 13]}wxyz"
+           for i in range(150)]
+    rows = [(i, " ".join(bad) if i % 2 else f"some clean text {i}", i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.fit(df, df.select("doc_id", "toxic")).lexicon
+    # Only whole words are also found with an edit.
+    assert all(lexicon.find(word) and lexicon.find(word[:2] + "_" + word[2:]) for word in bad)
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
