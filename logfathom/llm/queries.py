@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from logfathom.plans.scale import work_path
 
 from . import bpe, dedup, jaccard, licenses, packing, sharding, token_counts, topk, toxicity, warc
-from .common import staged, table
+from .common import staged, table, text_of
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +25,15 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = staged(token_counts.token_count(
         docs.select("doc_id", "source", "lang", "text"),
         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-        .drop("text").withColumn("tokenizer", F.lit("byte_bpe_50k")), "token-counts")
-    kept = dedup.exact_dedup(docs).select("doc_id", "kept")
-    marked = staged(counted.join(kept, "doc_id"), "kept-counts")
+        .withColumn("digest", F.unhex(F.sha2(text_of(), 256)))
+        .drop("text").withColumn("tokenizer", F.lit("byte_bpe_50k"))
+        .withColumn("row_no", F.monotonically_increasing_id()), "token-counts")
+    # Of equal texts the row with the largest doc_id is kept; a null doc_id loses against any other.
+    winners = counted.groupBy("digest").agg(
+        F.max(F.struct("doc_id", "row_no")).alias("best")).select(
+        F.col("best.row_no").alias("row_no"), F.lit(True).alias("kept"))
+    marked = staged(counted.join(winners, "row_no", "left").withColumn(
+        "kept", F.col("kept").isNotNull()), "kept-counts")
     none = F.lit(None).cast("long").alias("old_tokens")
     store = token_counts.TokenTotals(spark, work_path(spark, "token-totals"))
     arrived = counted.select(*token_counts.KEYS, F.lit(token_counts.INSERT).alias("change"),

@@ -55,6 +55,19 @@ def test_token_counts(spark):
     assert {(r.source, r.lang, r.tokenizer): [r.docs, r.tokens] for r in rows} == dict(want)
 
 
+def test_token_counts_of_rows_without_an_own_id(spark, tmp_path):
+    rows = [(None, "a b", "s", "en"), (1, "a b", "s", "en"), (2, "c d e", "s", "en"), (2, "f", "s", "en"),
+            (None, "only here", "s", "en"), (None, "only here", "s", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    [row] = contract.LLM["op2_token_counts"](spark, str(tmp_path)).collect()
+    import tiktoken
+    encoding = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, special_tokens={},
+                                 mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    kept = ["a b", "c d e", "f", "only here"]
+    assert (row.docs, row.tokens) == (4, sum(len(encoding.encode_ordinary(t)) + 1 for t in kept))
+
+
 def test_pipeline(spark):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
