@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from logfathom.plans.scale import work_path
 
-from . import bpe, dedup, jaccard, licenses, packing, sharding, token_counts, topk, toxicity, warc
+from . import (alignment, bpe, dedup, jaccard, licenses, line_dedup, packing, sharding, token_counts, topk,
+               toxicity, warc, whitening)
 from .common import staged, table, text_of
 
 
@@ -85,7 +86,21 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn(
+        "deviation", F.col("deviation").cast("long"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_exact_dedup, op2_token_counts, op3_packing, op4_sharding, op5_jaccard_join, op6_warc, op7_licenses,
-        op8_toxicity, op9_byte_bpe, op10_top_k)}
+        op8_toxicity, op9_byte_bpe, op10_top_k, op11_whitening, op12_line_dedup, op13_alignment)}

@@ -66,6 +66,22 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP12 = """
+WITH l AS (SELECT doc_id, unnest(list_zip(string_split(coalesce(text, ''), chr(10)),
+                                          range(len(string_split(coalesce(text, ''), chr(10)))))) AS z
+           FROM documents),
+k AS (SELECT doc_id, z[1] AS line, z[2] AS position,
+             translate(trim(z[1], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM l),
+r AS (SELECT body, max(doc_id) AS stays FROM k WHERE length(body) >= 40
+      GROUP BY body HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (stays <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY position) FILTER (stays IS NULL OR stays = doc_id),
+                       '')) AS kept_sha256
+FROM k LEFT JOIN r USING (body) GROUP BY doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op5_jaccard_join": OP5, "op7_licenses": OP7, "op10_top_k": OP10}
+    return {"op1_exact_dedup": OP1, "op5_jaccard_join": OP5, "op7_licenses": OP7, "op10_top_k": OP10,
+            "op12_line_dedup": OP12}

@@ -22,7 +22,7 @@ def documents(spark):
 
 def test_every_operator_is_registered():
     names = [name.split("_")[0] for name in contract.LLM if name.startswith("op")]
-    assert sorted(names) == sorted(f"op{n}" for n in range(1, 11)) and "pipeline" in contract.LLM
+    assert sorted(names) == sorted(f"op{n}" for n in range(1, 14)) and "pipeline" in contract.LLM
     assert set(contract.LLM_SQL) <= set(contract.LLM)
 
 
