@@ -19,19 +19,33 @@ doc_id stays null; an empty table gives an empty result. Only ``doc_id`` and ``t
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, text_of
+from .unit_ids import UnitIds, in_order
 
 #: Bytes of texts in a chunk, and of those tokenized together.
 CHUNK_BYTES, TOGETHER_BYTES = 8 << 20, 1 << 20
+#: Units that are tokenized together.
+TOGETHER = 10_000
+# Fixed value: how a byte-level tokenizer cuts texts of which units can be encoded on their own.
+BY_WORDS = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+#: White space beyond ASCII's, and separators that some take for it.
+ODD_TEXT = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+ODD = re.compile(b"[\x1c-\x1f]|" + "|".join(
+    f"{chr(c)}" for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030),
+                          *range(0x205F, 0x2065), 0x3000, 0xFEFF)).encode())
 #: Ends between those that are searched first, at each level.
 STRIDES = (256, 16, 1)
 #: Bits of an id of the second tokenizer in a pair.
@@ -52,7 +66,9 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class ByteLevel:
-    """Ids of a byte-level tokenizer, and the bytes of each id."""
+    """A byte-level tokenizer and the bytes of each id."""
+
+    prefix, spelt_prefix = "", b""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -65,37 +81,133 @@ class ByteLevel:
         self.bytes_of = [b""] * (entries[-1][0] + 1)
         for i, token in entries:
             self.bytes_of[i] = bytes(alphabet[c] for c in token)
+        config = json.loads(self.tokenizer.to_str())
+        # Its pattern leaves white space in front of a word, and the words apart.
+        self.by_units = config["normalizer"] is None and config["pre_tokenizer"] == BY_WORDS
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Pieces:
-    """Ids of a sentencepiece model that puts a space before the text, and the bytes of each id."""
+    """A sentencepiece model that puts a space before the text, and the bytes of each id."""
+
+    # With a letter in front, the space that the model adds stays away from the first unit.
+    prefix, spelt_prefix = "a", b" a"
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(self.model.get_piece_size())
-        self.bytes_of = [bytes([int(self.model.id_to_piece(i)[3:5], 16)]) if self.model.is_byte(i)
-                         else self.model.id_to_piece(i).replace("▁", " ").encode() for i in ids]
+        pieces = [self.model.id_to_piece(i) for i in ids]
+        self.bytes_of = [bytes([int(piece[3:5], 16)]) if self.model.is_byte(i)
+                         else piece.replace("▁", " ").encode() for i, piece in zip(ids, pieces)]
+        # No piece goes on with white space after another character, and all white space is kept.
+        probe = "a  b\n c  "
+        self.by_units = (not any(re.search("[^▁]▁|.\n", piece) for piece in pieces)
+                         and b"".join(self.bytes_of[i] for i in self.model.encode(probe)) == f" {probe}".encode())
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
 
-_LOADED: dict[tuple[str, str], tuple[ByteLevel, Pieces, list[bytes]]] = {}
+class SpeltIds:
+    """Ids of units under both tokenizers, of those that spell the unit byte by byte.
 
+    A unit is white space and the word that follows, up to the next space or line end. Neither
+    tokenizer joins these with what stands before, so the ids of a text are those of its units. Texts with other white space than ASCII's
+    are units themselves.
+    """
 
-def _loaded(first: str, second: str) -> tuple[ByteLevel, Pieces, list[bytes]]:
-    """Both tokenizers, and their ids as text with what may follow them."""
+    def __init__(self, first: str, second: str) -> None:
+        self.a, self.b = ByteLevel(first), Pieces(second)
+        self.by_units = self.a.by_units and self.b.by_units
+        self.memory = UnitIds(*[partial(self._ids_of, t, np.array([len(x) for x in t.bytes_of], np.int64))
+                                for t in (self.a, self.b)])
+        self.written = [b"%d%s" % (i, end) for size, end in (
+            (len(self.a.bytes_of), b","), (len(self.a.bytes_of), b"|"), (len(self.b.bytes_of), b","),
+            (len(self.b.bytes_of), b";"), (len(self.b.bytes_of), b"")) for i in range(size)]
+
+    def _ids_of(self, tokenizer: ByteLevel | Pieces, lengths: np.ndarray, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in a row, and how many each has: none if they don't spell it."""
+        alone = np.array([unit[-1:].isspace() or ODD.search(unit) is not None for unit in units], bool)
+        parts, sizes = [], []
+        for group, rest in ((np.nonzero(~alone)[0], False), (np.nonzero(alone)[0], True)):
+            for begin in range(0, len(group), TOGETHER):
+                some = [units[i] for i in group[begin:begin + TOGETHER]]
+                together = None if rest else self._joined(tokenizer, lengths, some)
+                ids, own = together or self._single(tokenizer, lengths, some)
+                parts.append(ids)
+                sizes.append(own)
+        order = np.empty(len(units), np.int64)
+        order[np.argsort(alone, kind="stable")] = np.arange(len(units))
+        return in_order(np.concatenate(parts), np.concatenate(sizes), order)
+
+    def _joined(self, tokenizer, lengths: np.ndarray, units: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Many units as one text, None if some are not spelt."""
+        text = b"".join(units)
+        ids = tokenizer.encode([tokenizer.prefix + text.decode()])[0]
+        if b"".join(map(tokenizer.bytes_of.__getitem__, ids)) != tokenizer.spelt_prefix + text:
+            return None
+        ids = np.array(ids, np.int64)
+        ends = np.cumsum(lengths[ids])
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))])
+        bounds += len(tokenizer.spelt_prefix)
+        at = np.searchsorted(ends, bounds, "left") + 1
+        if bounds[0] == 0:
+            at[0] = 0
+        if (ends[at[1:] - 1] != bounds[1:]).any() or at[0] and ends[at[0] - 1] != bounds[0]:
+            return None
+        return ids[at[0]:].astype(np.uint32), np.diff(at)
+
+    def _single(self, tokenizer, lengths: np.ndarray, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for unit, ids in zip(units, tokenizer.encode([tokenizer.prefix + unit.decode() for unit in units])):
+            begin, before = 0, len(tokenizer.spelt_prefix)
+            while before > 0 and begin < len(ids):
+                before -= int(lengths[ids[begin]])
+                begin += 1
+            spelt = b"".join(map(tokenizer.bytes_of.__getitem__, ids)) == tokenizer.spelt_prefix + unit
+            found.append(ids[begin:] if spelt and not before else [])
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def encode(self, texts: list[str]) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]:
+        """The texts that both spell, and for each tokenizer their ids in a row and how many each has."""
+        spaced = [" " + text for text in texts]
+        cut = [i for i, text in enumerate(spaced) if self.by_units and ODD_TEXT.search(text) is None]
+        whole = sorted({i for i, text in enumerate(texts) if text}.difference(cut))
+        cut = [i for i in cut if texts[i]]
+        marked = pc.replace_substring_regex(pa.array([spaced[i] for i in cut], pa.string()),
+                                            "([^ \\t-\\r])([ \\n])", "\\1\x1e\\2")
+        split = pc.split_pattern(marked, "\x1e")
+        coded = split.flatten().dictionary_encode()
+        units = coded.dictionary.cast(pa.binary()).to_pylist()
+        at = np.concatenate([np.asarray(coded.indices, np.int64), len(units) + np.arange(len(whole))])
+        counts = np.concatenate([np.diff(np.asarray(split.offsets, np.int64)), np.ones(len(whole), np.int64)])
+        if not len(counts):
+            return [], []
+        found = self.memory.find(units + [spaced[i].encode() for i in whole])[at]
+        doc = np.repeat(np.arange(len(counts)), counts)
+        both = [self.memory.gather(found, i) for i in range(2)]
+        bad = np.zeros(len(counts), bool)
+        for _, sizes in both:
+            bad[doc[sizes == 0]] = True
+        out = []
+        for ids, sizes in both:
+            keep = np.repeat(~bad[doc], sizes)
+            per = np.bincount(doc, weights=sizes, minlength=len(counts)).astype(np.int64)[~bad]
+            out.append((ids[keep].astype(np.int64), per))
+        return [i for i, lost in zip([*cut, *whole], bad.tolist()) if not lost], out
+
+
+_LOADED: dict[tuple[str, str], SpeltIds] = {}
+
+
+def _loaded(first: str, second: str) -> SpeltIds:
     if (first, second) not in _LOADED:
-        a, b = ByteLevel(first), Pieces(second)
-        written = [b"%d%s" % (i, end) for size, end in (
-            (len(a.bytes_of), b","), (len(a.bytes_of), b"|"), (len(b.bytes_of), b","),
-            (len(b.bytes_of), b";"), (len(b.bytes_of), b"")) for i in range(size)]
-        _LOADED[first, second] = a, b, written
+        _LOADED[first, second] = SpeltIds(first, second)
     return _LOADED[first, second]
 
 
@@ -145,11 +257,6 @@ def ranks(short: np.ndarray, begins: np.ndarray, sizes: np.ndarray, ends: np.nda
     return found
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
-
-
 def _ends(ids: np.ndarray, sizes: np.ndarray, bytes_of: list[bytes]) -> np.ndarray:
     """Byte offsets in its document at which each token ends."""
     lengths = np.fromiter(map(len, bytes_of), np.int64, len(bytes_of))[ids]
@@ -161,10 +268,10 @@ def _ends(ids: np.ndarray, sizes: np.ndarray, bytes_of: list[bytes]) -> np.ndarr
 class Aligned:
     """The alignment of a stretch of documents, none of them without tokens."""
 
-    def __init__(self, a_ids: list[list[int]], b_ids: list[list[int]], a_bytes: list[bytes],
-                 b_bytes: list[bytes]) -> None:
-        self.a, self.a_sizes = _flat(a_ids)
-        self.b, self.b_sizes = _flat(b_ids)
+    def __init__(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
+                 a_bytes: list[bytes], b_bytes: list[bytes]) -> None:
+        self.a, self.a_sizes = a
+        self.b, self.b_sizes = b
         ends = {"a": _ends(self.a, self.a_sizes, a_bytes), "b": _ends(self.b, self.b_sizes, b_bytes)}
         begins = {"a": np.cumsum(self.a_sizes) - self.a_sizes, "b": np.cumsum(self.b_sizes) - self.b_sizes}
         sizes = {"a": self.a_sizes, "b": self.b_sizes}
@@ -211,6 +318,17 @@ class Aligned:
             end += size
 
 
+def _stretches(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Begins and ends of stretches of about TOGETHER_BYTES."""
+    begin, held = 0, 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > TOGETHER_BYTES:
+            yield begin, i
+            begin, held = i, 0
+        held += len(text)
+    yield begin, len(texts)
+
+
 def _packed(numbers: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     """Numbers below 2^24 of each document, the bytes of equal weight together."""
     planes = [(numbers >> 8 * k & 255).astype(np.uint8).tobytes() for k in range(3)]
@@ -228,43 +346,36 @@ def _unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _aligner(first: str, second: str):
     def chunk_rows(number: int, doc_ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-        a, b, written = _loaded(first, second)
+        spelt = _loaded(first, second)
+        a_bytes, b_bytes = spelt.a.bytes_of, spelt.b.bytes_of
         n = len(texts)
-        own, a_ids, b_ids = [], [], []
-        begin = 0
-        while begin < n:
-            end, held = begin, 0
-            while end < n and (end == begin or held + len(texts[end]) <= TOGETHER_BYTES):
-                held += len(texts[end])
-                end += 1
-            some = [i for i in range(begin, end) if texts[i]]
-            for i, x, y in zip(some, a.encode([texts[i] for i in some]), b.encode([texts[i] for i in some])):
-                spelt = (" " + texts[i]).encode()
-                if (b"".join(map(a.bytes_of.__getitem__, x)) == spelt
-                        and b"".join(map(b.bytes_of.__getitem__, y)) == spelt):
-                    own.append(i)
-                    a_ids.append(x)
-                    b_ids.append(y)
-            begin = end
         columns = {name: np.zeros(n, np.int64) for name in ("n_a", "n_b", "n_groups", "n_links")}
-        shas, links = [""] * n, [b""] * n
+        shas, links, found, held = [""] * n, [b""] * n, [], []
+        for begin, end in _stretches(texts):
+            own, ids = spelt.encode(texts[begin:end])
+            if not own:
+                continue
+            own = [begin + i for i in own]
+            some = Aligned(*ids, a_bytes, b_bytes)
+            for name, values in (("n_a", some.a_sizes), ("n_b", some.b_sizes),
+                                 ("n_groups", some.n_groups), ("n_links", some.n_links)):
+                columns[name][own] = values
+            for i, text in zip(own, some.written_groups(spelt.written, len(a_bytes), len(b_bytes))):
+                shas[i] = hashlib.sha256(text).hexdigest()
+            held += own
+            found.append(some.pairs)
         pairs, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if own:
-            aligned = Aligned(a_ids, b_ids, a.bytes_of, b.bytes_of)
-            coded = pa.array(aligned.pairs).dictionary_encode()
+        if held:
+            coded = pa.chunked_array([pa.array(p) for p in found]).combine_chunks().dictionary_encode()
             codes = np.asarray(coded.indices)
             pairs, times = np.asarray(coded.dictionary), np.bincount(codes, minlength=len(coded.dictionary))
             # Frequent pairs have small numbers, which take less room.
             order = np.argsort(-times, kind="stable")
-            place = np.empty(len(order), np.int64)
+            place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order))
             pairs, times = pairs[order], times[order]
-            for name, values in (("n_a", aligned.a_sizes), ("n_b", aligned.b_sizes),
-                                 ("n_groups", aligned.n_groups), ("n_links", aligned.n_links)):
-                columns[name][own] = values
-            for i, text, packed in zip(own, aligned.written_groups(written, len(a.bytes_of), len(b.bytes_of)),
-                                       _packed(place[codes], aligned.n_links)):
-                shas[i], links[i] = hashlib.sha256(text).hexdigest(), packed
+            for i, packed in zip(held, _packed(place[codes], columns["n_links"][held])):
+                links[i] = packed
         longs = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays(
             [pa.array([number] * (n + 1), pa.int64()), pa.array([*doc_ids.to_pylist(), None], pa.int64()),

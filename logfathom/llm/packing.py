@@ -18,10 +18,12 @@ read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import combinations_with_replacement
+from itertools import chain, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prefix_sums, shares, staged, text_of
+from .unit_ids import LONGEST, UnitIds
 
 #: Pieces in a combination, at most.
 DEPTH = 4
@@ -37,9 +40,18 @@ DEPTH = 4
 QUANTUM = 64
 #: Documents that one task places, about.
 CHUNK_DOCUMENTS = 20_000
-#: Words whose ids a worker remembers, words that are tokenized together, and bytes of texts whose
-#: words are.
-REMEMBERED, TOGETHER, PART_BYTES = 200_000, 10_000, 8 << 20
+#: Words that are tokenized together, and bytes of texts whose words are.
+TOGETHER, PART_BYTES = 10_000, 8 << 20
+#: Parts of words whose ids a worker remembers, at most.
+MOST_PIECES = 100_000
+#: A text that shows whether a tokenizer joins across white space or keeps it.
+PROBE = "Some words, it's x1 \n\t  and\rMORE |"
+# How tokenizers of the given kind normalise a text and cut it, and the same cuts of an
+# ASCII word in lower case.
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+ASCII_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 TOKENS_SCHEMA = ("doc_id long, doc_tokens long, windows array<long>, quanta array<long>, "
                  "tail binary")
@@ -51,8 +63,8 @@ class WordIds:
     """Ids of whole texts, put together from the ids of their words.
 
     The tokenizers this serves drop white space and never join across it, so the ids of a text
-    are those of its words in turn, and every word is tokenized once. Literals of special tokens,
-    which hold no white space, become these tokens, as Tokenizer.encode has it.
+    are those of its words in turn, and a word that is remembered is not tokenized again. Literals
+    of special tokens, which hold no white space, become these tokens, as Tokenizer.encode has it.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,45 +73,57 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _ids_of(self, words: list[str]) -> list[bytes]:
-        """Ids of each word. Memory is bounded: what was not used since the last time it was full
-        goes."""
-        if len(self.recent) >= REMEMBERED:
-            self.older, self.recent = self.recent, {}
-        recent, older = self.recent, self.older
-        new = []
-        for word in words:
-            if word not in recent:
-                ids = older.get(word)
-                if ids is None:
-                    new.append(word)
-                else:
-                    recent[word] = ids
-        for begin in range(0, len(new), TOGETHER):
-            some = new[begin:begin + TOGETHER]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                recent[word] = np.array(got.ids, self.kind).tobytes()
-        return list(map(recent.__getitem__, words))
+        if self._of_text(PROBE) != [i for word in PROBE.split() for i in self._of_text(word)]:
+            raise ValueError("a tokenizer that drops white space is wanted")
+        # What ASCII words are cut into is known of one kind of tokenizer; others are asked for each word.
+        config = json.loads(self.tokenizer.to_str())
+        self.cuts = (config["normalizer"] == NORMALIZER and config["pre_tokenizer"]["type"] == "Sequence"
+                     and config["pre_tokenizer"]["pretokenizers"][0].get("pattern") == {"Regex": PATTERN})
+        special = [re.escape(t["content"].encode()) for t in config["added_tokens"]]
+        self.odd = re.compile(b"|".join([rb"[^!-~]", *special])).search
+        self.model = self.tokenizer.model
+        self.memory = UnitIds(self._ids_of)
+        self.pieces: dict[str, list[int]] = {}
+
+    def _of_text(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        found: list[list[int] | None] = [None] * len(words)
+        if len(self.pieces) > MOST_PIECES:
+            self.pieces = {}
+        if self.cuts:
+            known, cut, odd, tokenize = self.pieces, ASCII_PIECES.findall, self.odd, self.model.tokenize
+            for i, word in enumerate(words):
+                if odd(word):
+                    continue
+                ids: list[int] = []
+                for piece in cut(word.lower().decode()):
+                    own = known.get(piece)
+                    if own is None:
+                        own = [t.id for t in tokenize(piece)]
+                        if len(piece) <= LONGEST:
+                            known[piece] = own
+                    ids += own
+                found[i] = ids
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for begin in range(0, len(rest), TOGETHER):
+            some = rest[begin:begin + TOGETHER]
+            for i, got in zip(some, self.tokenizer.encode_batch_fast([words[i].decode() for i in some],
+                                                                     add_special_tokens=False)):
+                found[i] = got.ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum())), sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text ends in them."""
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        ids = self._ids_of(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
-        flat = np.frombuffer(b"".join(ids), self.kind)
-        codes = np.asarray(coded.indices)
-        counts = sizes[codes]
-        ends = np.cumsum(counts)
-        # Where each word's ids are, counted on from where they go.
-        shift = (np.cumsum(sizes) - sizes)[codes] - (ends - counts)
-        at = np.repeat(shift, counts)
-        at += np.arange(len(at))
+        found = self.memory.find(coded.dictionary.cast(pa.binary()).to_pylist())
+        ids, counts = self.memory.gather(found[np.asarray(coded.indices)])
         offsets = np.asarray(words.offsets, np.int64)
-        return flat[at], np.concatenate([[0], ends])[offsets[1:] - offsets[0]]
+        return ids, np.concatenate([[0], np.cumsum(counts)])[offsets[1:] - offsets[0]]
 
     def parts(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """What ``encode`` returns, for some MB of texts at a time."""

@@ -210,7 +210,8 @@ ODD_TEXTS = [None, "", " ", "a", "<|endoftext|> and <s> </s> <unk>", "two  space
 
 def token_spans(tokenizer, text):
     out, at = [], 0
-    for i in tokenizer.encode([text])[0]:
+    spaced = " " + text if isinstance(tokenizer, alignment.ByteLevel) else text
+    for i in tokenizer.encode([spaced])[0]:
         out.append((i, at, at + len(tokenizer.bytes_of[i])))
         at = out[-1][2]
     return out
@@ -299,5 +300,21 @@ def test_bytes_of_ids_are_those_of_the_tokenizers():
     a, b = alignment.ByteLevel(FIRST), alignment.Pieces(SECOND)
     assert sorted(a.bytes_of[i] for i in range(256)) == sorted(bytes([i]) for i in range(256))
     assert sorted(x for i, x in enumerate(b.bytes_of) if b.model.is_byte(i)) == [bytes([i]) for i in range(256)]
-    text = "Größe 你好 \x00\n"
-    assert b"".join(a.bytes_of[i] for i in a.encode([text])[0]) == (" " + text).encode()
+    text = " Größe 你好 \x00\n"
+    assert b"".join(a.bytes_of[i] for i in a.encode([text])[0]) == text.encode()
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_ids_of_units_are_those_of_whole_texts(seed):
+    rng = random.Random(seed)
+    spelt = alignment._loaded(FIRST, SECOND)
+    letters = "ab cd ef, 12 's é 你 🙂 ▁ . \n \t \r\n \x1c \xa0 \u2003 \u200b \x85 \x00 <s> ́ <|endoftext|>".split(" ") + [" ", "  "]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+    own, both = spelt.encode(texts)
+    ends = [np.cumsum(sizes).tolist() for _, sizes in both]
+    found = {t: [ids[e - s:e].tolist() for (ids, sizes), es in zip(both, ends)
+                 for e, s in [(es[k], int(sizes[k]))]] for k, t in enumerate(own)}
+    for i, text in enumerate(texts):
+        x, y = spelt.a.encode([" " + text])[0], spelt.b.encode([text])[0]
+        good = all(b"".join(t.bytes_of[j] for j in ids) == (" " + text).encode() for t, ids in ((spelt.a, x), (spelt.b, y)))
+        assert (found[i] == [x, y]) if good and text else i not in found, repr(text)

@@ -131,7 +131,6 @@ def test_packing(docs, plain, empty):
     from tokenizers import Tokenizer
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rows = packing.pack(docs, path, window=256).collect()
     ids = defaultdict(list)
     for doc_id, text in plain:

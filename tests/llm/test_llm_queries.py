@@ -71,7 +71,6 @@ def test_token_counts_of_rows_without_an_own_id(spark, tmp_path):
 def test_pipeline(spark):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     frame = spark.read.parquet(f"{SMALL}/documents.parquet")
     scores = toxicity.scores(frame, spark.read.parquet(f"{SMALL}/labels.parquet")).collect()
     docs = documents(spark)
