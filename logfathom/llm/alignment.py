@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import kept, staged, text_of
 from .unit_ids import UnitIds, in_order
 
 #: Bytes of texts in a chunk, and of those tokenized together.
@@ -202,13 +202,8 @@ class SpeltIds:
         return [i for i, lost in zip([*cut, *whole], bad.tolist()) if not lost], out
 
 
-_LOADED: dict[tuple[str, str], SpeltIds] = {}
-
-
 def _loaded(first: str, second: str) -> SpeltIds:
-    if (first, second) not in _LOADED:
-        _LOADED[first, second] = SpeltIds(first, second)
-    return _LOADED[first, second]
+    return kept(("alignment", first, second), lambda: SpeltIds(first, second))
 
 
 def gallop(keys: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import kept, text_of
 
-#: Encoded matches that a worker remembers.
+#: Encoded matches that a worker remembers; longer ones only for the texts at hand.
 REMEMBERED = 250_000
-#: Matches of more bytes have a queue of their own.
+#: Matches of more bytes have a queue of their own, and are not remembered.
 LONG = 64
 #: Texts whose matches are encoded together.
 TOGETHER = 1_000
@@ -109,6 +109,7 @@ class ByteBPE:
         self.key_ranks = np.array([self.pairs.get(k, -1) for k in self.keys.tolist()], np.int64)
         self.recent: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.long: dict[str, tuple[int, ...]] = {}
 
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of ids, or -1."""
@@ -209,7 +210,8 @@ class ByteBPE:
 
     def learn(self, matches: set[str]) -> None:
         """Remember the ids of these matches. Memory is bounded: what was not used since the
-        last time it was full goes."""
+        last time it was full goes, and long matches go with the next call."""
+        self.long = {}
         if len(self.recent) + len(matches) > REMEMBERED:
             self.older, self.recent = self.recent, {}
         new = []
@@ -226,7 +228,7 @@ class ByteBPE:
             self.recent[new[i]] = tuple(map(self.number, ids))
         for match, r in zip(new, raw):
             if len(r) > LONG:
-                self.recent[match] = tuple(map(self.number, self.merge_long(r)))
+                self.long[match] = tuple(map(self.number, self.merge_long(r)))
 
     def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of whole texts, some texts at a time so that their matches share a queue."""
@@ -241,8 +243,8 @@ class ByteBPE:
                 try:
                     for match in matches:
                         add(known[match])
-                except KeyError:  # the memory was renewed after a match had been looked up
-                    ids = [i for m in matches for i in known.get(m) or self.older[m]]
+                except KeyError:  # a long match, or one looked up before the memory was renewed
+                    ids = [i for m in matches for i in known.get(m) or self.long.get(m) or self.older[m]]
                 yield ids
 
     def encode(self, text: str) -> list[int]:
@@ -253,14 +255,9 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_LOADED: dict[tuple[str, str], ByteBPE] = {}
-
-
 def loaded(path: str, pattern: str) -> ByteBPE:
-    """The encoder of a rank file, kept for the life of the worker."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = ByteBPE(load_ranks(path), pattern)
-    return _LOADED[path, pattern]
+    """The encoder of a rank file, kept by the worker."""
+    return kept(("bpe", path, pattern), lambda: ByteBPE(load_ranks(path), pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:

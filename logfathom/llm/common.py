@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logfathom.plans.scale import work_path
 
+Kept = TypeVar("Kept")
+
+
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], Kept]) -> Kept:
+    """What a worker keeps from task to task (a tokenizer, a memory), until another is asked for.
+
+    Workers serve one stage after the other, so what an earlier operator kept goes.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the folder all executors share and read it again.

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logfathom.plans.scale import join_small
+
 from .common import shares, staged, text_of
 
 #: Digests in a bucket, on average.
@@ -189,12 +191,18 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_winners(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = exact_dedup(docs).filter("kept").select(
-        F.col("doc_id").alias("__kept_id"), F.unhex("text_sha256").alias("__kept_digest"))
-    marked = docs.withColumn("__digest", F.unhex(F.sha2(text_of(), 256)))
-    same = ((F.col("__digest") == F.col("__kept_digest"))
-            & F.col("doc_id").eqNullSafe(F.col("__kept_id")))
+    """The documents that stay, with all their columns.
+
+    Only what is dropped is joined to the texts: documents that lose, and rows that repeat a winner
+    with its doc_id, of which one stays. Texts move where these are too many to be told to all tasks.
+    """
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    fates = (exact_dedup(docs).groupBy(own.alias("__id"), F.unhex("text_sha256").alias("__digest"))
+             .agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+             .filter(~F.col("kept") | (F.col("rows") > 1))
+             .select("__id", "__digest", F.col("kept").alias("__repeats")))
+    marked = join_small(docs.withColumns({"__id": own, "__digest": F.unhex(F.sha2(text_of(), 256))}), fates,
+                        ["__id", "__digest"], "left")
     # Repeated rows have the same doc_id and text, so one of them is as good as another.
-    return (marked.join(kept, same, "left_semi")
-            .dropDuplicates(["doc_id", "__digest"]).drop("__digest"))
+    single = marked.filter(F.col("__repeats").isNull())
+    return single.union(marked.filter("__repeats").dropDuplicates(["__id", "__digest"])).select(*docs.columns)

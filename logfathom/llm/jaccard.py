@@ -14,6 +14,10 @@ sets the most central one is a pivot. Rounds, each of them exact:
    boundary) are copied to the other region and compared.
 3. Lists with many regions are cut first, by the second shingle that linked sets have to share.
 
+Where regions meet, a task takes a list as a cell and rules pairs of regions out by sizes, parities
+and radii; only what may hold a link leaves the task, so rows grow with the links that are left and
+not with the pairs of a list. A cell of many regions is dealt out in pairs of blocks.
+
 Texts with equal sets are one node throughout. The order of shingles puts frequent ones last; their
 counts only steer the order, and no result depends on them.
 
@@ -35,7 +39,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, text_of
+from logfathom.plans.scale import join_small
+
+from .common import kept, staged, text_of
 from .components import components
 
 WORDS = 5
@@ -48,7 +54,9 @@ PART_BYTES = 4 << 20
 #: Lists longer than this are cut into parts.
 PART = 10_000
 #: Lists with more regions than this are cut by a second shingle.
-MANY_REGIONS = 64
+MANY_REGIONS = 2_048
+#: Regions that one task compares with one another, and rows of them at a time.
+CELL, TILE = 2_048, 64
 #: Largest distance of a link, with room for rounding.
 REACH = 1 - SIMILAR / 100 + 1e-9
 #: Most bits that a set's parities take.
@@ -151,6 +159,7 @@ def _digest(found: np.ndarray) -> bytes:
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The most frequent shingles of a batch; equal sets count once."""
+    kept(("jaccard",), dict)
     for batch in batches:
         distinct = {_digest(s): s for s in shingle_sets(batch["text"]) if len(s)}
         if not distinct:
@@ -184,6 +193,7 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
     known, times = frequent
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(("jaccard",), dict)
         for batch in batches:
             sizes, digests, firsts, parts, bits, marks = [], [], [], [], [], []
             for found in shingle_sets(batch["text"]):
@@ -202,7 +212,8 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
                     often = np.where(known[at] == found, times[at], 0)
                 first = np.argsort(often, kind="stable")[:prefix_length(n) + 1]
                 firsts.append(found[first].view(np.int64))
-                parts.append(often[first] // PART + 1)
+                cut = often[first] // PART + 1
+                parts.append(cut if cut.max() > 1 else [])
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()),
                  pa.array(firsts, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32())),
@@ -277,11 +288,70 @@ def _differ(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.filter("c_a <> c_b").drop("c_a", "c_b")
 
 
-def _list_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of unconnected regions that meet in a list; ``lists``: hash, region, component."""
-    left = lists.select("hash", F.col("region").alias("a"), F.col("component").alias("c_a"))
-    right = lists.select("hash", F.col("region").alias("b"), F.col("component").alias("c_b"))
-    return left.join(right, "hash").filter("a < b AND c_a <> c_b").select("a", "b").distinct()
+def _folded(bits: list[bytes]) -> np.ndarray:
+    """Parities as rows of words, all folded to the length of the shortest."""
+    rows = [np.frombuffer(b, np.uint64) for b in bits]
+    least = min(map(len, rows))
+    return np.stack([np.bitwise_xor.reduce(r.reshape(-1, least), axis=0) for r in rows])
+
+
+def _cell_pairs(cell: pa.Table) -> pa.Table:
+    """Unconnected regions of a cell that may hold linked members, by the sizes and parities of their
+    pivots and by their radii. Columns: mine (block of the row), low, high (blocks that meet here),
+    region, component, n, radius, bits."""
+    found_a, found_b = [], []
+    mine, n = np.asarray(cell["mine"]), np.asarray(cell["n"]).astype(np.int64)
+    region, component = np.asarray(cell["region"]), np.asarray(cell["component"])
+    radius = np.asarray(cell["radius"])
+    low, high = cell["low"][0].as_py(), cell["high"][0].as_py()
+    bits = cell["bits"].to_pylist()
+    left, right = np.nonzero(mine == low)[0], np.nonzero(mine == high)[0]
+    left, right = left[np.argsort(n[left], kind="stable")], right[np.argsort(n[right], kind="stable")]
+    widest = float(radius.max(initial=0))
+    for begin in range(0, len(left), TILE):
+        some = left[begin:begin + TILE]
+        # Sets whose sizes differ by more can't be near enough; the rest lie together.
+        share = 1 - min(1.0, REACH + float(radius[some].max()) + widest)
+        least, most = n[some[0]] * share, n[some[-1]] / share if share > 0 else np.inf
+        near = right[np.searchsorted(n[right], least - 1e-6):np.searchsorted(n[right], most + 1e-6, "right")]
+        for start in range(0, len(near), 8 * TILE):
+            others = near[start:start + 8 * TILE]
+            words = _folded([bits[i] for i in [*some, *others]])
+            differ = np.bitwise_count(words[:len(some), None] ^ words[None, len(some):]).sum(axis=2, dtype=np.int64)
+            sizes = n[some][:, None] + n[others]
+            apart = np.maximum(np.abs(n[some][:, None] - n[others]), differ)
+            may = ((2.0 * apart <= (REACH + radius[some][:, None] + radius[others]) * (sizes + apart))
+                   & (component[some][:, None] != component[others]))
+            if low == high:
+                may &= region[some][:, None] < region[others]
+            x, y = np.nonzero(may)
+            found_a.append(region[some[x]])
+            found_b.append(region[others[y]])
+    a, b = (np.concatenate(found) if found else np.zeros(0, np.int64) for found in (found_a, found_b))
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
+def _meeting_pairs(lists: DataFrame, profiles: DataFrame, radii: DataFrame) -> DataFrame:
+    """Pairs of unconnected regions that meet in a list and may hold linked members, with their radii;
+    ``lists``: hash, region, component.
+
+    Of lists with the same regions one is enough. A list is a cell that one task compares; of a list
+    with many regions every two of its blocks are one.
+    """
+    lists = staged(lists, "cells")
+    signature = [F.count(F.lit(1)).alias("regions"), *[
+        F.sum(F.xxhash64("region", F.lit(i)).cast("decimal(20,0)")).alias(f"sum{i}") for i in range(2)]]
+    first = lists.groupBy("hash").agg(*signature).groupBy("regions", "sum0", "sum1").agg(
+        F.min("hash").alias("hash")).select("hash", (F.ceil(F.col("regions") / CELL)).cast("long").alias("blocks"))
+    own = profiles.select(F.col("node").alias("region"), "n", "bits").join(radii, "region")
+    blocks = lists.join(first, "hash").withColumn("mine", F.pmod(F.xxhash64("region"), F.col("blocks"))).join(own, "region")
+    placed = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cells = placed.select("hash", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
+                          "mine", "region", "component", "n", "radius", "bits")
+    pairs = cells.groupBy("hash", "low", "high").applyInArrow(_cell_pairs, "a long, b long").distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(radii.select(F.col("region").alias(end), F.col("radius").alias(f"r_{end}")), end)
+    return pairs
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -304,7 +374,7 @@ def _grouped(docs: DataFrame, text_digest: Column) -> DataFrame:
                              F.arrays_zip("prefix", "parts").alias("first"))
     length = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100).cast("int") + 1
     entries = firsts.select("node", F.explode(F.slice("first", F.lit(1), length)).alias("e")).select(
-        "node", F.col("e.prefix").alias("hash"), F.col("e.parts").alias("parts"))
+        "node", F.col("e.prefix").alias("hash"), F.coalesce("e.parts", F.lit(1)).alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
     own_list = Window.partitionBy("hash", "part")
     lists = staged(entries.withColumn("part", part).select(
@@ -343,19 +413,17 @@ def _grouped(docs: DataFrame, text_digest: Column) -> DataFrame:
     sizes = staged(meeting.groupBy("hash").agg(
         F.countDistinct("component").alias("components"), F.count(F.lit(1)).alias("regions"))
         .filter("components > 1"), "open-lists")
+    radii = staged(regions.groupBy("region").agg(F.max("d").alias("radius")), "radii")
     few, many = sizes.filter(F.col("regions") <= MANY_REGIONS), sizes.filter(F.col("regions") > MANY_REGIONS)
-    pairs = _list_pairs(meeting.join(few.select("hash"), "hash", "left_semi"))
+    cells = meeting.join(few.select("hash"), "hash", "left_semi")
     if not many.isEmpty():
         cut = placed.join(many.select("hash"), "hash", "left_semi").join(
             firsts.select("node", F.explode("first.prefix").alias("second")), "node").filter("hash <> second")
         cut = cut.select(F.xxhash64(F.least("hash", "second"), F.greatest("hash", "second")).alias("hash"),
                          "region", "component").distinct()
-        pairs = pairs.union(_list_pairs(cut)).distinct()
-    wide = staged(regions.groupBy("region").agg(F.max("d").alias("radius")), "radii")
-    for end in ("a", "b"):
-        pairs = pairs.join(wide.select(F.col("region").alias(end), F.col("radius").alias(f"r_{end}")), end)
+        cells = cells.union(cut)
     # No member of one region can link with one of the other beyond the sum of the radii.
-    pairs = staged(possible(pairs, profiles, F.col("r_a") + F.col("r_b")), "region-pairs")
+    pairs = staged(_meeting_pairs(cells, profiles, radii), "region-pairs")
     sets = shingles_of([pairs], plain, profiles, sets)
     pivots = staged(measured(pairs, sets), "pivot-distances")
     links = links.union(pivots.filter("linked").select("a", "b"))
@@ -398,13 +466,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with all its columns.
 
     Rows with a null doc_id stay when no document of their group has one; repeated rows are one
-    document and stay or go together.
+    document and stay or go together. Only documents that go are joined to the texts, which move
+    where these are too many to be told to all tasks.
     """
     digest = F.unhex(F.sha2(text_of(), 256))
-    stays = _grouped(docs, digest).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__stays"), F.col("text_digest").alias("__text")).distinct()
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     # The id alone does not tell rows with a null doc_id apart.
-    return (docs.withColumn("__digest", digest)
-            .join(stays, (F.col("__digest") == F.col("__text"))
-                  & F.col("doc_id").cast("long").eqNullSafe(F.col("__stays")), "left_semi")
-            .drop("__digest"))
+    gone = _grouped(docs, digest).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        key.alias("__id"), F.col("text_digest").alias("__digest")).distinct()
+    return join_small(docs.withColumns({"__id": key, "__digest": digest}), gone, ["__id", "__digest"],
+                      "left_anti").select(*docs.columns)

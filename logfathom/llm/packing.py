@@ -20,10 +20,9 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, combinations_with_replacement
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, shares, staged, text_of
-from .unit_ids import LONGEST, UnitIds
+from .common import kept, prefix_sums, shares, staged, text_of
 
 #: Pieces in a combination, at most.
 DEPTH = 4
@@ -42,16 +40,15 @@ QUANTUM = 64
 CHUNK_DOCUMENTS = 20_000
 #: Words that are tokenized together, and bytes of texts whose words are.
 TOGETHER, PART_BYTES = 10_000, 8 << 20
-#: Parts of words whose ids a worker remembers, at most.
-MOST_PIECES = 100_000
+#: Bytes of the words that a worker remembers (twice as many before the oldest go), what one takes
+#: with its ids, and the most characters of a word that is looked up again.
+REMEMBERED_BYTES, WORD_BYTES, LONGEST = 40 << 20, 200, 64
 #: A text that shows whether a tokenizer joins across white space or keeps it.
 PROBE = "Some words, it's x1 \n\t  and\rMORE |"
-# How tokenizers of the given kind normalise a text and cut it, and the same cuts of an
-# ASCII word in lower case.
+# How tokenizers of the given kind normalise a text and cut it.
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 NORMALIZER = {"type": "Sequence", "normalizers": [
     {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
-ASCII_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 TOKENS_SCHEMA = ("doc_id long, doc_tokens long, windows array<long>, quanta array<long>, "
                  "tail binary")
@@ -75,55 +72,77 @@ class WordIds:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         if self._of_text(PROBE) != [i for word in PROBE.split() for i in self._of_text(word)]:
             raise ValueError("a tokenizer that drops white space is wanted")
-        # What ASCII words are cut into is known of one kind of tokenizer; others are asked for each word.
+        # A word of ASCII letters is one piece, unless the tokenizer cuts in another way.
         config = json.loads(self.tokenizer.to_str())
-        self.cuts = (config["normalizer"] == NORMALIZER and config["pre_tokenizer"]["type"] == "Sequence"
-                     and config["pre_tokenizer"]["pretokenizers"][0].get("pattern") == {"Regex": PATTERN})
-        special = [re.escape(t["content"].encode()) for t in config["added_tokens"]]
-        self.odd = re.compile(b"|".join([rb"[^!-~]", *special])).search
+        special = any(t["content"].isalpha() for t in config["added_tokens"])
+        pieces = config["pre_tokenizer"].get("pretokenizers", [{}])
+        self.plain = not special and config["normalizer"] == NORMALIZER and pieces[0].get("pattern") == {"Regex": PATTERN}
         self.model = self.tokenizer.model
-        self.memory = UnitIds(self._ids_of)
-        self.pieces: dict[str, list[int]] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def _of_text(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and how many each has."""
-        found: list[list[int] | None] = [None] * len(words)
-        if len(self.pieces) > MOST_PIECES:
-            self.pieces = {}
-        if self.cuts:
-            known, cut, odd, tokenize = self.pieces, ASCII_PIECES.findall, self.odd, self.model.tokenize
-            for i, word in enumerate(words):
-                if odd(word):
-                    continue
-                ids: list[int] = []
-                for piece in cut(word.lower().decode()):
-                    own = known.get(piece)
-                    if own is None:
-                        own = [t.id for t in tokenize(piece)]
-                        if len(piece) <= LONGEST:
-                            known[piece] = own
-                    ids += own
-                found[i] = ids
-        rest = [i for i, ids in enumerate(found) if ids is None]
+    def _new(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Words that are not remembered, with their ids."""
+        rest = words
+        if self.plain:
+            tokenize, rest = self.model.tokenize, []
+            for word in words:
+                if word.isascii() and word.isalpha():
+                    yield word, [t.id for t in tokenize(word.lower())]
+                else:
+                    rest.append(word)
         for begin in range(0, len(rest), TOGETHER):
             some = rest[begin:begin + TOGETHER]
-            for i, got in zip(some, self.tokenizer.encode_batch_fast([words[i].decode() for i in some],
-                                                                     add_special_tokens=False)):
-                found[i] = got.ids
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum())), sizes
+            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                yield word, got.ids
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Memory is bounded in bytes: what was not used since the last time it
+        was full goes, and long words are not remembered."""
+        if self.held > REMEMBERED_BYTES:
+            self.older, self.recent, self.held = self.recent, {}, 0
+        recent, older = self.recent, self.older
+        new = []
+        for word in words:
+            if word not in recent:
+                ids = older.get(word)
+                if ids is None:
+                    new.append(word)
+                else:
+                    recent[word] = ids
+                    self.held += WORD_BYTES
+        long = {}
+        for word, ids in self._new(new):
+            raw = np.array(ids, self.kind).tobytes()
+            if len(word) <= LONGEST:
+                recent[word] = raw
+                self.held += WORD_BYTES
+            else:
+                long[word] = raw
+        if long:
+            return [long[word] if word in long else recent[word] for word in words]
+        return list(map(recent.__getitem__, words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text ends in them."""
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        found = self.memory.find(coded.dictionary.cast(pa.binary()).to_pylist())
-        ids, counts = self.memory.gather(found[np.asarray(coded.indices)])
+        ids = self._ids_of(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        codes = np.asarray(coded.indices)
+        counts = sizes[codes]
+        ends = np.cumsum(counts)
+        # Where each word's ids are, counted on from where they go.
+        shift = (np.cumsum(sizes) - sizes)[codes] - (ends - counts)
+        at = np.repeat(shift, counts)
+        at += np.arange(len(at))
         offsets = np.asarray(words.offsets, np.int64)
-        return ids, np.concatenate([[0], np.cumsum(counts)])[offsets[1:] - offsets[0]]
+        return flat[at], np.concatenate([[0], ends])[offsets[1:] - offsets[0]]
 
     def parts(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """What ``encode`` returns, for some MB of texts at a time."""
@@ -136,19 +155,10 @@ class WordIds:
         yield self.encode(texts[begin:])
 
 
-_LOADED: dict[str, WordIds] = {}
-
-
-def _loaded(path: str) -> WordIds:
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
-
-
 def tokenized(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
     """Per document its length, the checksums of its windows and quanta, and the ids of its tail."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _loaded(path)
+        words = kept(("packing", path), lambda: WordIds(path))
         for batch in batches:
             sizes, windows, quanta, tails = [], [], [], []
             for ids in (np.append(flat[a:b], end_id).astype("<u4") for flat, ends in words.parts(batch["text"])

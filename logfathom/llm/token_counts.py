@@ -23,27 +23,24 @@ from pyspark.sql import functions as F
 
 from logfathom.plans.scale import path_exists
 
-from .common import text_of
+from .common import kept, text_of
 
 KEYS = ["source", "lang", "tokenizer"]
 INSERT, DELETE, REVISE = "insert", "delete", "revise"
 DELTA_SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
 
-_ENCODINGS: dict[str, object] = {}
-
-
 def token_count(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The documents with ``tokens``, counted with a rank file that every executor can open."""
     @F.pandas_udf("long")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
-        if path not in _ENCODINGS:
+        def load() -> tiktoken.Encoding:
             with open(path, "rb") as lines:
                 ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
-            _ENCODINGS[path] = tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks=ranks,
-                                                 special_tokens={})
-        encode = _ENCODINGS[path].encode_ordinary
+            return tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+        encode = kept(("counted", path, pattern), load).encode_ordinary
         for part in texts:
             yield part.map(lambda text: len(encode(text))).astype("int64")
 

@@ -40,8 +40,8 @@ CONTEXT = 6
 REPORTING = frozenset("said says wrote writes called calls quoted quote quotes word term slur "
                       "reported according".split())
 QUOTES = frozenset("\"'“”„«»‘’")
-#: Words a worker remembers; it starts anew beyond them.
-REMEMBERED = 150_000
+#: Words a worker remembers (it starts anew beyond them), and the most letters of one.
+REMEMBERED, LONGEST = 150_000, 64
 
 WORD = re.compile(r"[^\W_]+")
 FEATURES = 6
@@ -81,7 +81,8 @@ class Lexicon:
         found = self._search(word) if self._may_match(word) else None
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        self.known[word] = found
+        if len(word) <= LONGEST:
+            self.known[word] = found
         return found
 
     def _may_match(self, word: str) -> bool:
