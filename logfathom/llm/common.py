@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 from typing import TypeVar
 
@@ -17,6 +19,15 @@ Kept = TypeVar("Kept")
 _KEPT: dict[tuple, object] = {}
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system, where the platform can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def kept(key: tuple, make: Callable[[], Kept]) -> Kept:
     """What a worker keeps from task to task (a tokenizer, a memory), until another is asked for.
 
@@ -24,7 +35,8 @@ def kept(key: tuple, make: Callable[[], Kept]) -> Kept:
     """
     if key not in _KEPT:
         _KEPT.clear()
-        pa.default_memory_pool().release_unused()
+        gc.collect()
+        release()
         _KEPT[key] = make()
     return _KEPT[key]
 

@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from logfathom.plans.scale import join_small
 
-from .common import kept, staged, text_of
+from .common import kept, release, staged, text_of
 from .components import components
 
 WORDS = 5
@@ -49,8 +49,10 @@ WORDS = 5
 SIMILAR = 80
 #: Shingles whose frequency is told to all tasks, at most; of a batch, and in all.
 FREQUENT_IN_BATCH, FREQUENT = 8_192, 65_536
+#: Shingles that are counted together.
+COUNTED_TOGETHER = 1_500_000
 #: Bytes of texts whose shingles are made together.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 #: Lists longer than this are cut into parts.
 PART = 10_000
 #: Lists with more regions than this are cut by a second shingle.
@@ -158,19 +160,32 @@ def _digest(found: np.ndarray) -> bytes:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The most frequent shingles of a batch; equal sets count once."""
+    """The most frequent shingles of some sets; equal sets count once."""
     kept(("jaccard",), dict)
-    for batch in batches:
-        distinct = {_digest(s): s for s in shingle_sets(batch["text"]) if len(s)}
-        if not distinct:
-            continue
+
+    def counted(distinct: dict[bytes, np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
         often = np.nonzero(counts >= 3)[0]
         often = often[np.argsort(-counts[often], kind="stable")][:FREQUENT_IN_BATCH]
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(values[often].view(np.int64)), pa.array(counts[often], pa.int64())],
             ["hash", "times"])
 
+    for batch in batches:
+        distinct: dict[bytes, np.ndarray] = {}
+        held = 0
+        for found in shingle_sets(batch["text"]):
+            if len(found) and (digest := _digest(found)) not in distinct:
+                distinct[digest] = found
+                held += len(found)
+            if held > COUNTED_TOGETHER:
+                yield counted(distinct)
+                distinct, held = {}, 0
+        if distinct:
+            yield counted(distinct)
+        del distinct
+        release()
+
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes in ascending order, and about how many sets each is in."""
@@ -220,6 +235,8 @@ def _prefixes(frequent: tuple[np.ndarray, np.ndarray]):
                  pa.array(bits, pa.binary()), pa.array(marks, pa.list_(pa.int64())),
                  batch["text_digest"]],
                 ["doc_id", "n", "digest", "prefix", "parts", "bits", "marks", "text_digest"])
+            del sizes, digests, firsts, parts, bits, marks
+            release()
     return prefixes
 
 

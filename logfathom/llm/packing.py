@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, prefix_sums, shares, staged, text_of
+from .common import kept, prefix_sums, release, shares, staged, text_of
 
 #: Pieces in a combination, at most.
 DEPTH = 4
@@ -39,7 +39,7 @@ QUANTUM = 64
 #: Documents that one task places, about.
 CHUNK_DOCUMENTS = 20_000
 #: Words that are tokenized together, and bytes of texts whose words are.
-TOGETHER, PART_BYTES = 10_000, 8 << 20
+TOGETHER, PART_BYTES = 10_000, 4 << 20
 #: Bytes of the words that a worker remembers (twice as many before the oldest go), what one takes
 #: with its ids, and the most characters of a word that is looked up again.
 REMEMBERED_BYTES, WORD_BYTES, LONGEST = 40 << 20, 200, 64
@@ -175,6 +175,7 @@ def tokenized(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame
                 [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(windows, longs),
                  pa.array(quanta, longs), pa.array(tails, pa.binary())],
                 ["doc_id", "doc_tokens", "windows", "quanta", "tail"])
+            release()
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
             .mapInArrow(encode, TOKENS_SCHEMA))

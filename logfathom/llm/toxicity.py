@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import kept, staged, text_of
 
 #: Labelled rows that fitting uses, about. This is the documented bound of the sample.
 FIT_ROWS = 6_000
@@ -267,8 +267,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 def _near(lexicon: Lexicon):
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [t for t in batch["term"].to_pylist() if (lexicon.find(t) or (0, False))[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], ["term"])
+            edited = [t for t in batch["term"].to_pylist() if (lexicon.find(t) or (0, False))[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(edited, pa.string())], ["term"])
     return near
 
 
@@ -276,6 +276,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """The documents with a column of scores: 0 to 1, higher where toxic is likelier."""
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
+        kept(("toxicity",), dict)
         return texts.map(model.score).astype(float)
 
     return docs.withColumn(name, scored(text_of()))

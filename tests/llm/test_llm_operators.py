@@ -117,6 +117,48 @@ def test_token_totals(spark, tmp_path):
         store.commit("bad", spark.createDataFrame([("s", "en", "v1", "drop", 1, None)], names))
 
 
+def test_token_totals_survive_compactions_and_crashes(spark, tmp_path, monkeypatch):
+    names = "source string, lang string, tokenizer string, change string, tokens long, old_tokens long"
+    batch = lambda n: spark.createDataFrame([("s", "en", "v", "insert", n, None)], names)
+    store = token_counts.TokenTotals(spark, str(tmp_path / "totals"))
+    tokens = lambda: sum(r.tokens for r in store.totals().collect())
+    store.commit("load", batch(100))
+    store.compact("all")
+    # The id of a compaction is taken, and so are those of what it folded.
+    for used in ("all", "load"):
+        with pytest.raises(ValueError):
+            store.commit(used, batch(1))
+    with pytest.raises(ValueError):
+        store.compact("all")
+    assert tokens() == 100
+    store.commit("more", batch(10))
+    store.commit("more", batch(20))
+    assert tokens() == 120
+    # A crash before the manifest is in place leaves everything as it was, and can be repeated.
+    publish = token_counts.TokenTotals._publish
+    monkeypatch.setattr(token_counts.TokenTotals, "_publish", lambda self, change: 1 / 0)
+    for act in (lambda: store.compact("again"), lambda: store.commit("lost", batch(7))):
+        with pytest.raises(ZeroDivisionError):
+            act()
+    assert tokens() == 120
+    monkeypatch.setattr(token_counts.TokenTotals, "_publish", publish)
+    # A batch that is replaced while it is folded is not lost.
+    sums = token_counts.TokenTotals._sums
+    def slow(self, live):
+        monkeypatch.setattr(token_counts.TokenTotals, "_sums", sums)
+        store.commit("more", batch(30))
+        return sums(self, live)
+    monkeypatch.setattr(token_counts.TokenTotals, "_sums", slow)
+    with pytest.raises(ValueError, match="changed"):
+        store.compact("again")
+    assert tokens() == 130
+    store.compact("again")
+    store.vacuum()
+    assert tokens() == 130 and len(list((tmp_path / "totals" / "parts").iterdir())) == 1
+    store.commit("last", batch(1))
+    assert tokens() == 131
+
+
 def test_token_counts_are_those_of_the_library(docs, plain):
     import tiktoken
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
