@@ -10,7 +10,8 @@ begins and ends with a bigram of the template, as trimming others only makes it
 at most (2 - t) / t times as many bigrams as the template, repeats counted. Bigrams of a unit that
 is alike by itself count for no window of that licence, so no place is counted twice.
 
-``n_units`` has the units and the windows that do not overlap, those of longer templates first.
+``n_units`` has the units and the windows that do not overlap: those of longer templates first, then
+the most alike, the longest and the first, so copies that follow one another count one by one.
 Licences whose texts are nearly equal (BSD-2-Clause and BSD-3-Clause) are both found; the larger
 dice tells which it is.
 
@@ -208,8 +209,10 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
                 end = t["hits"][last - 1]["at"]
                 common = F.array_distinct(F.slice(t["hits"], first, last - first + 1)["bigram"])
                 held = F.array_distinct(F.slice("bigrams", begin + 1, end - begin + 1))
-                return F.struct((-t["n"]).alias("n"), end.alias("end"), begin.alias("begin"),
-                                _dice(F.size(common), F.size(held), t["n"]).alias("dice"))
+                dice = _dice(F.size(common), F.size(held), t["n"])
+                # The order in which windows are taken: the most alike, then the longest, then the first.
+                return F.struct((-t["n"]).alias("n"), (-dice).alias("unlike"), (begin - end).alias("short"),
+                                begin.alias("begin"), end.alias("end"), dice.alias("dice"))
             last = F.sequence(first + t["need"] - 1, F.least(F.size(t["hits"]), first + t["span"] - 1))
             return F.filter(F.transform(F.filter(
                 last, lambda j: t["hits"][j - 1]["at"] - begin < t["span"]), window),

@@ -520,3 +520,14 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+
+
+@pytest.mark.parametrize("copies", [1, 2, 3, 9])
+def test_copies_of_a_licence_count_one_by_one(spark, copies):
+    """Copies side by side, and with text between them, of a full text and of a wrapped notice."""
+    full = licenses.FULL_TEXTS["MIT"] if "MIT" in licenses.FULL_TEXTS else next(iter(licenses.FULL_TEXTS.values()))
+    name = next(n for n, t in licenses.FULL_TEXTS.items() if t == full)
+    texts = [(1, "\n\n".join([full] * copies)), (2, " and then something else of some length ".join([full] * copies))]
+    rows = licenses.scan(with_clashes(spark.createDataFrame(texts, "doc_id long, text string"))).collect()
+    found = {r.doc_id: (r.n_units, r.dice) for r in rows if r.license == name}
+    assert found == {1: (copies, 1.0), 2: (copies, 1.0)}
