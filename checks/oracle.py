@@ -384,6 +384,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_recent_summary": with_ev(f"""SELECT source, {us(f'w * {DAY_US}')} AS window_start, errors, warns
             FROM rs""", recent(DAY_US)),
         "stream_incidents": STREAM_INCIDENTS, "stream_incidents_segments": STREAM_INCIDENTS,
+        "stream_incidents_late": STREAM_INCIDENTS,
         "parse_json_duplicates": with_ev("""SELECT source, seq, level, msg || ' | ' || k || '=' || v AS message FROM base"""),
         "parse_docker_deep": PARSED,
         "parse_untimed": with_ev(f"""SELECT source, seq, {ts("coalesce(last_value(CASE WHEN seq % 3 = 1 THEN ts END IGNORE NULLS) OVER (PARTITION BY source ORDER BY seq), first_value(CASE WHEN seq % 3 = 1 THEN ts END IGNORE NULLS) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")} AS ts,

@@ -213,8 +213,9 @@ def alert_rows(spark, sf):
     return A.alerts(ev(spark, sf), "2 hours", "1 hour", HOUR, "topic", CONFIG)
 
 
-def _segments(spark, sf) -> str:
-    """Log files of three sources, two segments each, one source wholly before the other.
+def _segments(spark, sf, newest_first=False) -> str:
+    """Log files of three sources, two segments each, one source wholly before the other; with
+    ``newest_first`` the later segment of each source comes first.
 
     Every first segment ends with a line without a time.
     """
@@ -222,7 +223,7 @@ def _segments(spark, sf) -> str:
     rows = tables.raw_lines(spark, sf).persist()
     middle = rows.agg(F.floor((F.min("seq") + F.max("seq")) / 2)).first()[0]
     for number in range(3):
-        for late in (False, True):
+        for late in ((True, False) if newest_first else (False, True)):
             own = rows.filter((F.col("source") == f"svc-{number}") & ((F.col("seq") > middle) == late))
             text = own.select(F.col("line").alias("value"))
             if not late:
@@ -240,9 +241,9 @@ def _all_files(spark, sf) -> str:
     return files
 
 
-def _streamed(spark, sf, start, one_by_one=False):
+def _streamed(spark, sf, start, one_by_one=False, newest_first=False):
     """Run a stream over written log files to its end and return where it wrote."""
-    files = _segments(spark, sf) if one_by_one else _all_files(spark, sf)
+    files = _segments(spark, sf, newest_first) if one_by_one else _all_files(spark, sf)
     events = S.stream_events(
         spark, files, "text", source=lambda c: F.regexp_extract(c, "source=([^/]*)/", 1),
         max_files_per_trigger=1 if one_by_one else None)
@@ -282,16 +283,20 @@ def stream_recent_summary(spark, sf):
     return S.read_recent_summary(spark, out, "1 day")
 
 
-def stream_incidents(spark, sf, one_by_one=False):
-    out = _streamed(spark, sf, lambda e, o, c: S.start_incidents(e, o, c, HOUR, CONFIG), one_by_one)
+def stream_incidents(spark, sf, one_by_one=False, newest_first=False):
+    out = _streamed(spark, sf, lambda e, o, c: S.start_incidents(e, o, c, HOUR, CONFIG), one_by_one, newest_first)
     S.finish_incidents(spark, out, HOUR, CONFIG)
-    return spark.read.parquet(f"{out}/incidents").drop("epoch", "idx", "trigger_seq")
+    return S.read_incidents(spark, out).drop("epoch", "idx", "trigger_seq")
 
 
 def stream_incidents_segments(spark, sf):
     return stream_incidents(spark, sf, True)
 
 
+def stream_incidents_late(spark, sf):
+    return stream_incidents(spark, sf, True, True)
+
+
 def stream_alerts(spark, sf, one_by_one=False):
     out = _streamed(spark, sf, lambda e, o, c: S.start_alerts(
         e, o, c, "2 hours", "1 hour", HOUR, "topic", CONFIG), one_by_one)
@@ -456,7 +461,7 @@ def queries() -> dict:
     q.update({f.__name__: f for f in (
         stream_totals, stream_patterns, stream_ticks, stream_heartbeat, stream_recent_summary,
         stream_incidents, stream_alerts, stream_ticks_segments, stream_heartbeat_segments,
-        stream_incidents_segments, stream_alerts_segments, parse_json_duplicates, parse_docker_deep, parse_untimed, inspect_map,
+        stream_incidents_segments, stream_incidents_late, stream_alerts_segments, parse_json_duplicates, parse_docker_deep, parse_untimed, inspect_map,
         heartbeat_lines, alert_log, own_parser, event_store, detect_sources, incident_signals_all)})
 
     def run(query):

@@ -5,15 +5,15 @@ for all of them. Counts of windows are additive: each batch writes its part unde
 and readers add the parts up, so late rows correct their window. A window is closed when its own
 source has moved on; readers tell closed windows from open ones.
 
-Alerts look across sources and are judged anew from where a batch begins. Incidents run the batch
-operators on each micro-batch and keep what they must remember (open ticks, last ticks, peaks, last
-report times) in a small table per batch. Every batch writes under its own number, so a repeated batch replaces its output
+Alerts look across sources and are judged anew from where a batch begins. Incidents are judged source
+by source: a batch goes on from what is known after the last tick before its own, or goes back to it
+when rows come late, and what was reported after that tick is replaced. Every batch writes under its own number, so a repeated batch replaces its output
 instead of adding to it. Memories older than the last batch are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,20 +27,25 @@ from ..operators import reports as G
 from ..operators.filters import signals
 from ..operators.rates import tick_counts, tick_index, tick_time
 from ..plans.running import rolling_ticks
-from ..plans.scale import delete_path, last_number, materialize, path_exists, temporary_tables
+from ..plans.scale import delete_path, join_small, last_number, materialize, path_exists, temporary_tables
 from ..sources.logs import detect_sources, stream_logs
 from ..sources.state import partials, save_state
 
 # Columns of the tables remembered between batches.
 TICKS_DDL = "source string, idx bigint, errors bigint, warns bigint"
-CARRY_DDL = "source string, low bigint, top_errors bigint, top_warns bigint"
-LAST_DDL = "source string, last bigint, reported bigint"
+JUDGED_DDL = ("source string, since bigint, upto bigint, last bigint, reported bigint, low bigint, "
+              "top_errors bigint, top_warns bigint")
 ALERTS_DDL = ("ts timestamp, source string, seq bigint, level string, message string, status string, "
               "push boolean")
 SIGNALS_DDL = "source string, seq bigint, ts timestamp, level string, message string"
 OPEN_DDL = ("source string, idx bigint, t bigint, errors bigint, warns bigint, seq bigint, "
             "code bigint")
 MARKS_DDL = "source string, mark bigint"
+OPEN_COLUMNS = ("source", "idx", "t", "errors", "warns", "seq", "code")
+#: Stands before every tick.
+BEFORE_ALL = -(1 << 62)
+#: Batches whose last states are kept; a source that goes back further is judged from its beginning.
+JUDGED_BATCHES = 64
 
 AVAILABLE_NOW = {"availableNow": True}
 
@@ -182,41 +187,6 @@ def _forget(spark: SparkSession, path: str, epoch: int) -> None:
         delete_path(spark, f"{path}/epoch={epoch - 2}")
 
 
-class _TickMemory:
-    """The tick series as far back as the next batch needs it."""
-
-    def __init__(self, spark: SparkSession, path: str, epoch: int, n: int):
-        self.path, self.epoch, self.n = path, epoch, n
-        self.tail = _remembered(spark, path, epoch, "ticks", TICKS_DDL)
-        self.carry = _remembered(spark, path, epoch, "carry", CARRY_DDL)
-
-    def extend(self, counts: DataFrame) -> DataFrame:
-        """Rate table over remembered and new ticks; `new` marks ticks of this batch."""
-        self.series = materialize(
-            self.tail.withColumn("new", F.lit(False))
-            .unionByName(counts.withColumn("new", F.lit(True)))
-            .groupBy("source", "idx")
-            .agg(F.sum("errors").alias("errors"), F.sum("warns").alias("warns"),
-                 F.max("new").alias("new")))
-        return rolling_ticks(self.series, self.n, carry=self.carry)
-
-    def save(self) -> None:
-        here = f"{self.path}/epoch={self.epoch}"
-        ends = self.series.groupBy("source").agg(F.max("idx").alias("high"))
-        # Twice the window: late rows of the last ticks still find their neighbours.
-        kept = (self.series.join(ends, "source")
-                .filter(F.col("idx") > F.col("high") - 2 * self.n)
-                .select("source", "idx", "errors", "warns"))
-        kept.write.mode("overwrite").parquet(f"{here}/ticks")
-        seen = self.series.groupBy("source").agg(
-            F.min("idx").alias("low"), F.max("errors").alias("top_errors"),
-            F.max("warns").alias("top_warns"))
-        (self.carry.unionByName(seen).groupBy("source")
-         .agg(F.min("low").alias("low"), F.max("top_errors").alias("top_errors"),
-              F.max("top_warns").alias("top_warns"))
-         .write.mode("overwrite").parquet(f"{here}/carry"))
-
-
 def signal_times(events: DataFrame, tick: str) -> DataFrame:
     """Ticks, reduced to one row per distinct signal time (and one for the rest)."""
     signal = is_signal("level")
@@ -232,7 +202,12 @@ def signal_times(events: DataFrame, tick: str) -> DataFrame:
 
 def _incident_step(spark: SparkSession, path: str, epoch: int, rows: DataFrame | None,
                    tick: str, config: Config, delay: str) -> None:
-    """Judge the ticks that their own source has left behind; all of them without new rows."""
+    """Judge the ticks that their own source has left behind; all of them without new rows.
+
+    Counts of ticks and signal times are kept as parts. A source whose rows come late is judged anew
+    from the last tick before them after which its state is known, and what it reported after that
+    tick is taken back.
+    """
     state = f"{path}/state"
     here = f"{state}/epoch={epoch}"
     waiting = _remembered(spark, state, epoch, "open", OPEN_DDL)
@@ -252,40 +227,85 @@ def _incident_step(spark: SparkSession, path: str, epoch: int, rows: DataFrame |
             .join(marks.select("source", limit.alias("limit")), "source", "left"))
         over = F.coalesce(F.col("idx") < F.col("limit"), F.lit(False))
         closed, still = found.filter(over).drop("limit"), found.filter(~over).drop("limit")
-    memory = _TickMemory(spark, state, epoch, config.rolling_ticks)
-    counts = closed.groupBy("source", "idx").agg(F.sum("errors").alias("errors"),
-                                                 F.sum("warns").alias("warns"))
-    rules = materialize(I.trigger_rules(memory.extend(counts), config)
+    parts = _before(spark, f"{path}/parts", epoch, OPEN_DDL)
+    judged = _before(spark, f"{path}/judged", epoch, JUDGED_DDL).filter(F.col("epoch") >= epoch - JUDGED_BATCHES)
+    begin = materialize(_entries(closed, judged))
+    # Ticks from there on, and as many before as a rolling rate looks back.
+    back = 2 * config.rolling_ticks
+    lowest = begin.agg(F.coalesce(F.min("since"), F.lit(-BEFORE_ALL))).first()[0]
+    earlier = materialize(join_small(parts.filter(F.col("idx") > F.lit(lowest - back)),
+                                     begin.select("source", "since"), ["source"])
+                          .filter(F.col("idx") > F.col("since") - back))
+    rows = earlier.select(*OPEN_COLUMNS, "since").unionByName(
+        join_small(closed, begin.select("source", "since"), ["source"]).select(*OPEN_COLUMNS, "since"))
+    rows = materialize(rows.groupBy("source", "since", "idx", "t").agg(
+        F.sum("errors").alias("errors"), F.sum("warns").alias("warns"),
+        F.min_by("code", "seq").alias("code"), F.min("seq").alias("seq")))
+    series = materialize(rows.groupBy("source", "idx").agg(
+        F.sum("errors").alias("errors"), F.sum("warns").alias("warns"),
+        F.bool_or(F.col("idx") > F.col("since")).alias("new")))
+    carry = begin.filter("low IS NOT NULL").select("source", "low", "top_errors", "top_warns")
+    rules = materialize(I.trigger_rules(rolling_ticks(series, config.rolling_ticks, carry=carry), config)
                         .filter("new").select(*I.RULE_COLUMNS))
-    last = _remembered(spark, state, epoch, "last", LAST_DDL)
-    found = I.report_times(rules, closed.filter("t is not null"), tick, config, SIGNAL_LEVELS,
-                           last.select("source", "last"))
+    found = I.report_times(rules, rows.filter("t IS NOT NULL AND idx > since").drop("since"), tick, config,
+                           SIGNAL_LEVELS, begin.select("source", "last"))
     found = materialize(
-        found.join(last.select("source", "reported"), "source", "left")
+        found.join(begin.select("source", "reported"), "source", "left")
         .withColumn("after_recovery", F.col("after_recovery") | (
             F.col("window_start").isNull() & F.col("reported").isNotNull()))
         .drop("reported"))
     _write(found, f"{path}/incidents", epoch)
-    newest = found.groupBy("source").agg(F.unix_micros(F.max("incident_ts")).alias("last"))
-    recovered = (rules.filter("recovered").groupBy("source")
-                 .agg((F.max("idx") * micros(tick)).alias("reset")))
-    merged = (last.unionByName(newest.withColumn("reported", F.col("last")))
-              .groupBy("source").agg(F.max("last").alias("last"),
-                                     F.max("reported").alias("reported")))
-    (merged.join(recovered, "source", "left")
-     .select("source", F.when(F.col("reset").isNull() | (F.col("reset") <= F.col("last")),
-                              F.col("last")).alias("last"), "reported")
-     .write.mode("overwrite").parquet(f"{here}/last"))
-    still.select(*waiting.columns).write.mode("overwrite").parquet(f"{here}/open")
+    _write(earlier.filter("idx > since").select("source", "since").distinct(), f"{path}/rewound", epoch)
+    newest = found.groupBy("source").agg(F.unix_micros(F.max("incident_ts")).alias("newest"))
+    recovered = rules.filter("recovered").groupBy("source").agg((F.max("idx") * micros(tick)).alias("reset"))
+    seen = series.filter("new").groupBy("source").agg(
+        F.max("idx").alias("upto"), F.min("idx").alias("low_now"), F.max("errors").alias("errors_now"),
+        F.max("warns").alias("warns_now"))
+    last = F.greatest("newest", "last")
+    _write(begin.join(seen, "source").join(newest, "source", "left").join(recovered, "source", "left").select(
+        "source", "since", "upto",
+        F.when(F.col("reset").isNull() | (F.col("reset") <= last), last).alias("last"),
+        F.greatest("newest", "reported").alias("reported"), F.least("low", "low_now").alias("low"),
+        F.greatest("top_errors", "errors_now").alias("top_errors"),
+        F.greatest("top_warns", "warns_now").alias("top_warns")), f"{path}/judged", epoch)
+    _write(closed.select(*OPEN_COLUMNS), f"{path}/parts", epoch)
+    still.select(*OPEN_COLUMNS).write.mode("overwrite").parquet(f"{here}/open")
     marks.write.mode("overwrite").parquet(f"{here}/marks")
-    memory.save()
+    delete_path(spark, f"{path}/judged/epoch={epoch - JUDGED_BATCHES - 1}")
     _forget(spark, state, epoch)
 
 
+def _entries(closed: DataFrame, judged: DataFrame) -> DataFrame:
+    """Per source of these ticks what was known after the last tick before them: since (that tick),
+    last, reported, low, top_errors, top_warns; from before all ticks where nothing is known.
+
+    ``judged`` has what each batch knew after its last tick (upto), and from where it had judged. A
+    batch that went back behind a tick has taken back what was known there.
+    """
+    later = Window.partitionBy("source").orderBy(F.desc("epoch")).rowsBetween(Window.unboundedPreceding, -1)
+    holds = judged.withColumn("back", F.min("since").over(later)).filter("back IS NULL OR back >= upto")
+    first = closed.groupBy("source").agg(F.min("idx").alias("first"))
+    known = ("upto", "last", "reported", "low", "top_errors", "top_warns")
+    best = holds.join(first, "source").filter("upto < first").groupBy("source").agg(
+        F.max_by(F.struct(*known), "upto").alias("known"))
+    return first.join(best, "source", "left").select(
+        "source", F.coalesce("known.upto", F.lit(BEFORE_ALL)).alias("since"), *[f"known.{c}" for c in known[1:]])
+
+
+def read_incidents(spark: SparkSession, path: str) -> DataFrame:
+    """The incidents that hold: those that no later batch has judged anew."""
+    rows = spark.read.parquet(f"{path}/incidents")
+    rewound = spark.read.parquet(f"{path}/rewound").groupBy("source", F.col("epoch").alias("by")).agg(
+        F.min("since").alias("since"))
+    return rows.join(rewound, (rows["source"] == rewound["source"]) & (F.col("epoch") < F.col("by"))
+                     & (F.col("idx") > F.col("since")), "left_anti")
+
+
 def start_incidents(events: DataFrame, path: str, checkpoint: str, tick: str = "1 second",
                     config: Config = DEFAULT, delay: str = "10 seconds", trigger=None) -> StreamingQuery:
-    """Incidents under ``path/incidents``, found when their source has left their tick behind by
-    `delay`. `finish_incidents` judges the ticks that are open when a stream has ended."""
+    """Incidents, found when their source has left their tick behind by `delay`; rows that come later
+    than that have their source judged anew from there. `read_incidents` has those that hold, and
+    `finish_incidents` judges the ticks that are open when a stream has ended."""
     def step(batch: DataFrame, epoch: int) -> None:
         with temporary_tables(batch.sparkSession):
             rows = materialize(timed(batch).select("source", "event_ts", "ts", "seq", "level"))

@@ -47,17 +47,18 @@ def source_of(path):
     return F.regexp_extract(path, "([^/]*)/[^/]*$", 1)
 
 
-def run(spark, tmp_path, segments, start, apart=False):
+def run(spark, tmp_path, segments, start, apart=False, order=None):
     """Feed the files in turn; after each one the stream runs to its end and stops.
 
-    With `apart` the files of one source all come before those of the other.
+    With `apart` the files of one source all come before those of the other; `order` has the numbers
+    of the files in the order in which they come, if it is another.
     """
     folder = tmp_path / "logs"
     for svc in "ab":
         (folder / svc).mkdir(parents=True)
     out = str(tmp_path / "out")
     turns = [(n, svc) for svc in "ab" for n in range(len(segments))] if apart else [
-        (n, "ab") for n in range(len(segments))]
+        (n, "ab") for n in order or range(len(segments))]
     for number, sources in turns:
         for svc in sources:
             (folder / svc / f"{number}.log").write_text(
@@ -108,11 +109,24 @@ def test_incidents(spark, tmp_path, segments, apart):
                       lambda e, o, c: S.start_incidents(e, o, c, config=CONFIG), apart)
     S.finish_incidents(spark, out, config=CONFIG)
     columns = ("source", "incident_ts", "level", "window_start", "after_recovery", "peak_eps", "peak_wps")
-    same(spark.read.parquet(f"{out}/incidents"), I.incidents(events, config=CONFIG), *columns)
+    same(S.read_incidents(spark, out), I.incidents(events, config=CONFIG), *columns)
     epochs = list((tmp_path / "out" / "state").glob("epoch=*"))
     assert len(epochs) == 2
 
 
+@pytest.mark.parametrize("order", ["last first", "backwards", "shuffled"])
+def test_incidents_of_late_segments(spark, tmp_path, segments, order):
+    """Segments of one source in any order give the incidents of the batch."""
+    numbers = list(range(len(segments)))
+    numbers = {"last first": numbers[-1:] + numbers[:-1], "backwards": numbers[::-1],
+               "shuffled": random.Random(3).sample(numbers, len(numbers))}[order]
+    out, events = run(spark, tmp_path, segments, lambda e, o, c: S.start_incidents(e, o, c, config=CONFIG),
+                      order=numbers)
+    S.finish_incidents(spark, out, config=CONFIG)
+    columns = ("source", "incident_ts", "level", "window_start", "after_recovery", "peak_eps", "peak_wps")
+    same(S.read_incidents(spark, out), I.incidents(events, config=CONFIG), *columns)
+
+
 def test_alerts(spark, tmp_path, segments):
     out, events = run(spark, tmp_path, segments,
                       lambda e, o, c: S.start_alerts(e, o, c, topic="t", config=CONFIG))
