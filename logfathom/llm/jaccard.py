@@ -316,7 +316,7 @@ def _cell_pairs(cell: pa.Table) -> pa.Table:
     """Unconnected regions of a cell that may hold linked members, by the sizes and parities of their
     pivots and by their radii. Columns: mine (block of the row), low, high (blocks that meet here),
     region, component, n, radius, bits."""
-    found_a, found_b = [], []
+    found_a, found_b, least = [], [], []
     mine, n = np.asarray(cell["mine"]), np.asarray(cell["n"]).astype(np.int64)
     region, component = np.asarray(cell["region"]), np.asarray(cell["component"])
     radius = np.asarray(cell["radius"])
@@ -329,8 +329,8 @@ def _cell_pairs(cell: pa.Table) -> pa.Table:
         some = left[begin:begin + TILE]
         # Sets whose sizes differ by more can't be near enough; the rest lie together.
         share = 1 - min(1.0, REACH + float(radius[some].max()) + widest)
-        least, most = n[some[0]] * share, n[some[-1]] / share if share > 0 else np.inf
-        near = right[np.searchsorted(n[right], least - 1e-6):np.searchsorted(n[right], most + 1e-6, "right")]
+        fewest, most = n[some[0]] * share, n[some[-1]] / share if share > 0 else np.inf
+        near = right[np.searchsorted(n[right], fewest - 1e-6):np.searchsorted(n[right], most + 1e-6, "right")]
         for start in range(0, len(near), 8 * TILE):
             others = near[start:start + 8 * TILE]
             words = _folded([bits[i] for i in [*some, *others]])
@@ -344,13 +344,15 @@ def _cell_pairs(cell: pa.Table) -> pa.Table:
             x, y = np.nonzero(may)
             found_a.append(region[some[x]])
             found_b.append(region[others[y]])
+            least.append((2.0 * apart / (sizes + apart))[x, y])
     a, b = (np.concatenate(found) if found else np.zeros(0, np.int64) for found in (found_a, found_b))
-    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)),
+                     "least": pa.array(np.concatenate(least) if least else np.zeros(0))})
 
 
 def _meeting_pairs(lists: DataFrame, profiles: DataFrame, radii: DataFrame) -> DataFrame:
-    """Pairs of unconnected regions that meet in a list and may hold linked members, with their radii;
-    ``lists``: hash, region, component.
+    """Pairs of unconnected regions that meet in a list and may hold linked members, with their radii
+    and a distance that their pivots have at least; ``lists``: hash, region, component.
 
     Of lists with the same regions one is enough. A list is a cell that one task compares; of a list
     with many regions every two of its blocks are one.
@@ -365,7 +367,8 @@ def _meeting_pairs(lists: DataFrame, profiles: DataFrame, radii: DataFrame) -> D
     placed = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     cells = placed.select("hash", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
                           "mine", "region", "component", "n", "radius", "bits")
-    pairs = cells.groupBy("hash", "low", "high").applyInArrow(_cell_pairs, "a long, b long").distinct()
+    pairs = cells.groupBy("hash", "low", "high").applyInArrow(_cell_pairs, "a long, b long, least double").groupBy(
+        "a", "b").agg(F.max("least").alias("least"))
     for end in ("a", "b"):
         pairs = pairs.join(radii.select(F.col("region").alias(end), F.col("radius").alias(f"r_{end}")), end)
     return pairs
@@ -441,13 +444,18 @@ def _grouped(docs: DataFrame, text_digest: Column) -> DataFrame:
         cells = cells.union(cut)
     # No member of one region can link with one of the other beyond the sum of the radii.
     pairs = staged(_meeting_pairs(cells, profiles, radii), "region-pairs")
-    sets = shingles_of([pairs], plain, profiles, sets)
-    pivots = staged(measured(pairs, sets), "pivot-distances")
+    # Sets move only where the pivots themselves may link. For windows a distance that the pivots have
+    # at least will do, as it only makes them wider.
+    close = pairs.filter(F.col("least") <= REACH)
+    sets = shingles_of([close], plain, profiles, sets)
+    pivots = staged(measured(close, sets), "pivot-distances")
     links = links.union(pivots.filter("linked").select("a", "b"))
     second = staged(components(links), "second")
 
     # Windows: members of two regions that the triangle inequality allows to link.
-    apart = _differ(second, pivots.filter("NOT linked").select("a", "b", "d", "r_a", "r_b"))
+    apart = pivots.filter("NOT linked").select("a", "b", "d", "r_a", "r_b").union(
+        pairs.filter(F.col("least") > REACH).select("a", "b", F.col("least").alias("d"), "r_a", "r_b"))
+    apart = _differ(second, apart)
     apart = apart.filter((F.col("r_a") + F.col("r_b") > 0)
                          & (F.col("d") - F.col("r_a") - F.col("r_b") <= REACH))
 
