@@ -65,7 +65,8 @@ def merged_window_messages(parts: DataFrame) -> DataFrame:
     """Sum of several parts of `window_messages`."""
     return parts.groupBy("source", "window_start", "message").agg(
         *[F.sum(c).alias(c) for c in ("count", "errors", "warns", "infos")],
-        F.max_by("is_error", "last_seq").alias("is_error"), F.max("last_ts").alias("last_ts"))
+        F.max_by("is_error", "last_seq").alias("is_error"), F.max("last_seq").alias("last_seq"),
+        F.max("last_ts").alias("last_ts"))
 
 
 def heartbeat(events: DataFrame, every: str = "60 minutes") -> DataFrame:

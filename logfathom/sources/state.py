@@ -1,6 +1,7 @@
 """Counters that survive a restart, as mergeable partial aggregates.
 
-A run saves what it counted; a later run adds its own part. Reading sums the parts.
+A run saves what it counted; a later run adds its own part. Reading sums the parts, which are merged
+by levels meanwhile (sources.parts).
 Each part carries an epoch, so `seq` of a later run never sorts before an earlier one.
 """
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint, is_signal
 from ..plans.scale import path_exists
+from .parts import Parts
 
 # The persisted columns. `message` is null for rows that only count lines.
 STATE_DDL = ("source string, level string, message string, count bigint, "
@@ -44,16 +46,19 @@ def merge(*parts: DataFrame) -> DataFrame:
 
 
 def save_state(state: DataFrame, path: str, epoch: int = 0) -> None:
-    """Write one part; saving the same epoch again replaces it, so a retry cannot double counts."""
-    state.select(*[c.split()[0] for c in STATE_DDL.split(", ")]).write.mode("overwrite").parquet(
-        f"{path.rstrip('/')}/epoch={epoch}")
+    """Write one part; saving the same epoch again replaces it, so a retry cannot double counts.
+
+    Epochs that were merged with others since are closed: saving them again is an error.
+    """
+    Parts(state.sparkSession, path, merge, ddl=STATE_DDL).commit(
+        state.select(*[c.split()[0] for c in STATE_DDL.split(", ")]), epoch)
 
 
 def load_state(spark: SparkSession, path: str, reset: bool = False) -> DataFrame:
     """All saved parts merged; an empty state when nothing was saved or on reset."""
     if reset or not path_exists(spark, path):
         return spark.createDataFrame([], STATE_DDL)
-    return merge(spark.read.schema(STATE_DDL).parquet(path))
+    return merge(Parts(spark, path, ddl=STATE_DDL).read())
 
 
 def compact_state(spark: SparkSession, path: str, into: str, epoch: int = 0) -> None:

@@ -2,7 +2,8 @@
 
 Files of different sources reach a stream in any order, so nothing here depends on one watermark
 for all of them. Counts of windows are additive: each batch writes its part under its own number,
-and readers add the parts up, so late rows correct their window. A window is closed when its own
+and readers add the parts up, so late rows correct their window. Parts are merged by levels as the
+stream goes on (sources.parts). A window is closed when its own
 source has moved on; readers tell closed windows from open ones.
 
 Alerts look across sources and are judged anew from where a batch begins. Incidents are judged source
@@ -29,6 +30,7 @@ from ..operators.rates import tick_counts, tick_index, tick_time
 from ..plans.running import rolling_ticks
 from ..plans.scale import delete_path, join_small, last_number, materialize, path_exists, temporary_tables
 from ..sources.logs import detect_sources, stream_logs
+from ..sources.parts import Parts
 from ..sources.state import partials, save_state
 
 # Columns of the tables remembered between batches.
@@ -111,12 +113,11 @@ def start_counts(events: DataFrame, path: str, checkpoint: str, trigger=None) ->
                   checkpoint, trigger)
 
 
-def _start_parts(events: DataFrame, path: str, checkpoint: str, part, trigger) -> StreamingQuery:
-    return _start(events, lambda batch, epoch: _write(part(timed(batch)), path, epoch), checkpoint, trigger)
-
+def _start_parts(events: DataFrame, path: str, checkpoint: str, part, merge, trigger) -> StreamingQuery:
+    def step(batch: DataFrame, epoch: int) -> None:
+        Parts(batch.sparkSession, path, merge).commit(part(timed(batch)), epoch)
 
-def _parts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "false").parquet(path).drop("epoch")
+    return _start(events, step, checkpoint, trigger)
 
 
 def _closed(windows: DataFrame, end, delay: str | None) -> DataFrame:
@@ -138,14 +139,18 @@ def start_ticks(events: DataFrame, path: str, checkpoint: str, tick: str = "1 se
                 .agg(F.count_if(F.col("level") == "ERROR").alias("errors"),
                      F.count_if(F.col("level") == "WARN").alias("warns"), F.max("ts").alias("last_ts")))
 
-    return _start_parts(events, path, checkpoint, part, trigger)
+    return _start_parts(events, path, checkpoint, part, _merged_ticks, trigger)
+
+
+def _merged_ticks(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("source", "idx").agg(
+        F.sum("errors").alias("errors"), F.sum("warns").alias("warns"), F.max("last_ts").alias("last_ts"))
 
 
 def read_ticks(spark: SparkSession, path: str, tick: str = "1 second",
                delay: str | None = None) -> DataFrame:
     """(source, tick, errors, warns): all ticks so far, or with a delay those that are closed."""
-    rows = _parts(spark, path).groupBy("source", "idx").agg(
-        F.sum("errors").alias("errors"), F.sum("warns").alias("warns"), F.max("last_ts").alias("last_ts"))
+    rows = _merged_ticks(Parts(spark, path).read())
     end = F.timestamp_micros((F.col("idx") + 1) * micros(tick))
     return _closed(rows, end, delay).select("source", tick_time(tick).alias("tick"), "errors", "warns")
 
@@ -153,13 +158,14 @@ def read_ticks(spark: SparkSession, path: str, tick: str = "1 second",
 def start_heartbeat(events: DataFrame, path: str, checkpoint: str, every: str = "60 minutes",
                     trigger=None) -> StreamingQuery:
     """Parts of the heartbeats of each source and window."""
-    return _start_parts(events, path, checkpoint, lambda rows: G.window_messages(rows, every), trigger)
+    return _start_parts(events, path, checkpoint, lambda rows: G.window_messages(rows, every),
+                        G.merged_window_messages, trigger)
 
 
 def read_heartbeat(spark: SparkSession, path: str, every: str = "60 minutes",
                    delay: str | None = None) -> DataFrame:
     """A heartbeat per source and window: of all windows, or with a delay of closed ones."""
-    counts = G.merged_window_messages(_parts(spark, path))
+    counts = G.merged_window_messages(Parts(spark, path).read())
     return G.heartbeat_of(_closed(counts, _window_end(every), delay), every)
 
 
@@ -167,13 +173,13 @@ def start_recent_summary(events: DataFrame, path: str, checkpoint: str, every: s
                          trigger=None) -> StreamingQuery:
     """Parts of the message counts of each source and window."""
     return _start_parts(events, path, checkpoint,
-                        lambda rows: C.all_window_message_counts(rows, every), trigger)
+                        lambda rows: C.all_window_message_counts(rows, every), C.merged_window_counts, trigger)
 
 
 def read_recent_summary(spark: SparkSession, path: str, every: str = "60 seconds", k: int = 3,
                         delay: str | None = None) -> DataFrame:
     """The top patterns of every window, or with a delay of closed ones."""
-    counts = _closed(C.merged_window_counts(_parts(spark, path)), _window_end(every), delay)
+    counts = _closed(C.merged_window_counts(Parts(spark, path).read()), _window_end(every), delay)
     return C.recent_summary_of(counts.filter("message is not null"), k)
 
 
@@ -200,6 +206,13 @@ def signal_times(events: DataFrame, tick: str) -> DataFrame:
                        F.min_by("code", "seq").cast("bigint").alias("code")))
 
 
+def _merged_times(parts: DataFrame, *more: str) -> DataFrame:
+    """Sum of several parts of `signal_times`."""
+    return parts.groupBy("source", *more, "idx", "t").agg(
+        F.sum("errors").alias("errors"), F.sum("warns").alias("warns"),
+        F.min_by("code", "seq").alias("code"), F.min("seq").alias("seq"))
+
+
 def _incident_step(spark: SparkSession, path: str, epoch: int, rows: DataFrame | None,
                    tick: str, config: Config, delay: str) -> None:
     """Judge the ticks that their own source has left behind; all of them without new rows.
@@ -221,26 +234,22 @@ def _incident_step(spark: SparkSession, path: str, epoch: int, rows: DataFrame |
         marks = materialize(marks.unionByName(now).groupBy("source").agg(F.max("mark").alias("mark")))
         limit = F.floor((F.col("mark") - micros(delay)) / micros(tick))
         found = materialize(
-            waiting.unionByName(new.select(*waiting.columns)).groupBy("source", "idx", "t")
-            .agg(F.sum("errors").alias("errors"), F.sum("warns").alias("warns"),
-                 F.min_by("code", "seq").alias("code"), F.min("seq").alias("seq"))
+            _merged_times(waiting.unionByName(new.select(*waiting.columns)))
             .join(marks.select("source", limit.alias("limit")), "source", "left"))
         over = F.coalesce(F.col("idx") < F.col("limit"), F.lit(False))
         closed, still = found.filter(over).drop("limit"), found.filter(~over).drop("limit")
-    parts = _before(spark, f"{path}/parts", epoch, OPEN_DDL)
+    parts = Parts(spark, f"{path}/parts", _merged_times, F.col("idx"), OPEN_DDL)
     judged = _before(spark, f"{path}/judged", epoch, JUDGED_DDL).filter(F.col("epoch") >= epoch - JUDGED_BATCHES)
     begin = materialize(_entries(closed, judged))
     # Ticks from there on, and as many before as a rolling rate looks back.
     back = 2 * config.rolling_ticks
     lowest = begin.agg(F.coalesce(F.min("since"), F.lit(-BEFORE_ALL))).first()[0]
-    earlier = materialize(join_small(parts.filter(F.col("idx") > F.lit(lowest - back)),
+    earlier = materialize(join_small(parts.read(lowest - back, epoch).filter(F.col("idx") > F.lit(lowest - back)),
                                      begin.select("source", "since"), ["source"])
                           .filter(F.col("idx") > F.col("since") - back))
     rows = earlier.select(*OPEN_COLUMNS, "since").unionByName(
         join_small(closed, begin.select("source", "since"), ["source"]).select(*OPEN_COLUMNS, "since"))
-    rows = materialize(rows.groupBy("source", "since", "idx", "t").agg(
-        F.sum("errors").alias("errors"), F.sum("warns").alias("warns"),
-        F.min_by("code", "seq").alias("code"), F.min("seq").alias("seq")))
+    rows = materialize(_merged_times(rows, "since"))
     series = materialize(rows.groupBy("source", "idx").agg(
         F.sum("errors").alias("errors"), F.sum("warns").alias("warns"),
         F.bool_or(F.col("idx") > F.col("since")).alias("new")))
@@ -268,7 +277,7 @@ def _incident_step(spark: SparkSession, path: str, epoch: int, rows: DataFrame |
         F.greatest("newest", "reported").alias("reported"), F.least("low", "low_now").alias("low"),
         F.greatest("top_errors", "errors_now").alias("top_errors"),
         F.greatest("top_warns", "warns_now").alias("top_warns")), f"{path}/judged", epoch)
-    _write(closed.select(*OPEN_COLUMNS), f"{path}/parts", epoch)
+    parts.commit(closed.select(*OPEN_COLUMNS), epoch)
     still.select(*OPEN_COLUMNS).write.mode("overwrite").parquet(f"{here}/open")
     marks.write.mode("overwrite").parquet(f"{here}/marks")
     delete_path(spark, f"{path}/judged/epoch={epoch - JUDGED_BATCHES - 1}")
@@ -326,13 +335,18 @@ def finish_incidents(spark: SparkSession, path: str, tick: str = "1 second",
             _incident_step(spark, path, newest + 1, None, tick, config, "0 seconds")
 
 
+def _summed_ticks(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("source", "idx").agg(F.sum("errors").alias("errors"), F.sum("warns").alias("warns"))
+
+
 def start_alerts(events: DataFrame, path: str, checkpoint: str, cooldown: str = "20 seconds",
                  gap: str = "10 seconds", tick: str = "1 second", topic: str | None = None,
                  config: Config = DEFAULT, trigger=None) -> StreamingQuery:
     """Throttled alerts under ``path/alerts``: at any time those of all rows so far.
 
     The cooldowns run across sources, so a row that arrives late, as those of a source that lags
-    behind, can change every alert after it. Signals and tick counts are kept as parts, and alerts
+    behind, can change every alert after it. Signals and tick counts are kept as parts, of which those
+    that end before a batch begins are not read for their signals, and alerts
     from the first tick of a batch on are judged anew. The folder of the batch then replaces those of
     earlier batches that held some of them.
     """
@@ -355,30 +369,30 @@ def start_alerts(events: DataFrame, path: str, checkpoint: str, cooldown: str =
         replaced = [r["epoch"] for r in done.filter("late").select("epoch").distinct().collect()]
         # A repeated batch that was already written only has to finish the replacement.
         if not path_exists(spark, f"{path}/alerts/epoch={epoch}/_SUCCESS"):
-            _write(signals(rows), f"{path}/signals", epoch)
-            _write(tick_counts(rows, tick), f"{path}/ticks", epoch)
+            kept = Parts(spark, f"{path}/signals", span=F.unix_micros("ts"), ddl=SIGNALS_DDL)
+            kept.commit(signals(rows), epoch)
+            counted = Parts(spark, f"{path}/ticks", _summed_ticks, F.col("idx"), TICKS_DDL)
+            counted.commit(tick_counts(rows, tick), epoch)
             before = done.filter("NOT late")
-            again = (_before(spark, f"{path}/signals", epoch + 1, SIGNALS_DDL)
-                     .filter(F.col("ts") >= F.timestamp_micros(F.lit(start))))
+            again = kept.read(start, epoch + 1).filter(F.col("ts") >= F.timestamp_micros(F.lit(start)))
             last = F.max(F.unix_micros("ts")).alias("last")
-            taken = materialize(A.throttle(again.drop("epoch"), gap, before.agg(last)))
+            taken = materialize(A.throttle(again, gap, before.agg(last)))
             key = F.when(F.col("level") == "WARN", "WARN").otherwise("ERROR").alias("alert_key")
             marked = materialize(A.notify(taken, cooldown, before.filter("status = 'NOTIFIED'")
                                           .groupBy(key).agg(last)))
-            _write(A.with_push(marked, rates(spark, epoch, start // width), tick, topic, config)
+            _write(A.with_push(marked, rates(counted, epoch, start // width), tick, topic, config)
                    .unionByName(before.filter(F.col("epoch").isin(replaced)).drop("epoch", "late")),
                    f"{path}/alerts", epoch)
         for number in replaced:
             delete_path(spark, f"{path}/alerts/epoch={number}")
 
-    def rates(spark: SparkSession, epoch: int, first: int) -> DataFrame:
+    def rates(counted: Parts, epoch: int, first: int) -> DataFrame:
         """Rate table of the ticks from `first` on, over the parts of all batches."""
-        ticks = _before(spark, f"{path}/ticks", epoch + 1, TICKS_DDL)
-        reach = F.col("idx") >= first - config.rolling_ticks
-        carry = ticks.filter(~reach).groupBy("source").agg(
+        edge = first - config.rolling_ticks
+        reach = F.col("idx") >= edge
+        carry = _summed_ticks(counted.read(before=epoch + 1).filter(~reach)).groupBy("source").agg(
             F.min("idx").alias("low"), F.max("errors").alias("top_errors"), F.max("warns").alias("top_warns"))
-        series = materialize(ticks.filter(reach).groupBy("source", "idx").agg(
-            F.sum("errors").alias("errors"), F.sum("warns").alias("warns")))
+        series = materialize(_summed_ticks(counted.read(edge, epoch + 1).filter(reach)))
         return rolling_ticks(series, config.rolling_ticks, carry=carry).filter(F.col("idx") >= first)
 
     return _start(events, step, checkpoint, trigger)
