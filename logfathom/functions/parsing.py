@@ -236,7 +236,7 @@ def unwrapped(line, depth: int | None = None) -> Column:
     ``struct<text, json>``.
 
     A line can't hold more wrappers than keys named log, so their number ends the walk; a
-    `depth` ends it earlier.
+    `depth` ends it earlier, and so does a step that finds nothing to take off.
     """
     line = col(line)
     mark = F.lit('"log')
@@ -246,9 +246,13 @@ def unwrapped(line, depth: int | None = None) -> Column:
     steps = F.when(F.contains(line, F.lit('"stream"')) & (mentions > 0), F.sequence(F.lit(1), mentions)) \
              .otherwise(F.array().cast("array<int>"))
 
+    def state(text, json, more):
+        return F.struct(text.alias("text"), json.alias("json"), more.alias("more"))
+
     def inside(now, _):
-        return bind(wrapped_line(now["text"], F.when(now["json"], json_fields(now["text"]))),
-                    lambda inner: F.when(inner.isNull(), now).otherwise(F.struct(
-                        inner.alias("text"), inner.startswith("{").alias("json"))))
+        taken = bind(wrapped_line(now["text"], F.when(now["json"], json_fields(now["text"]))),
+                     lambda inner: F.when(inner.isNull(), state(now["text"], now["json"], F.lit(False)))
+                     .otherwise(state(inner, inner.startswith("{"), F.lit(True))))
+        return F.when(now["more"], taken).otherwise(now)
 
-    return F.aggregate(steps, F.struct(line.alias("text"), F.lit(True).alias("json")), inside)
+    return F.aggregate(steps, state(line, F.lit(True), F.lit(True)), inside)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing as P
 from ..functions.text import clean_line, strip
-from ..plans.position import TURNS, stretch, top_per_key
+from ..plans.position import TURNS, carried_values, stretch, top_per_key, turns
 from ..plans.scale import compute_once, join_small
 from ..sources.logs import SAMPLE_LINES
 
@@ -97,15 +97,15 @@ def parse_logs(raw: DataFrame, formats: DataFrame | str | None = None,
 def order_by_time(events: DataFrame) -> DataFrame:
     """Take the arrival position from the event time, for streams and rotated segments.
 
-    Positions are total: rows of the same time follow each other by their position in the file.
-    A stream has no such positions; there the hash of the message decides, so that the order does
-    at least not depend on how rows are dealt to tasks.
+    In batch positions are total up to 1,024 rows a microsecond: rows of the same time follow each other
+    by their position in the file. A stream has no such positions; there the hash of the message decides,
+    so that the order does at least not depend on how rows are dealt to tasks, and rows may tie.
     """
     if events.isStreaming:
-        turn = F.pmod(F.xxhash64("message"), F.lit(TURNS))
+        placed = events.withColumn("turn", F.pmod(F.xxhash64("message"), F.lit(TURNS)))
     else:
-        turn = F.row_number().over(Window.partitionBy("source", "ts").orderBy("seq", "message")) - 1
-    return events.withColumn("seq", F.unix_micros("ts") * F.lit(TURNS) + turn)
+        placed = turns(events)
+    return placed.withColumn("seq", F.unix_micros("ts") * F.lit(TURNS) + F.col("turn")).drop("turn")
 
 
 def times_from_neighbours(events: DataFrame) -> DataFrame:
@@ -120,16 +120,9 @@ def times_from_neighbours(events: DataFrame) -> DataFrame:
     ends = rows.groupBy("source", "stretch").agg(
         F.max_by("event_ts", F.when(F.col("event_ts").isNotNull(), F.col("seq"))).alias("last"),
         F.min_by("event_ts", F.when(F.col("event_ts").isNotNull(), F.col("seq"))).alias("first"))
-    order = Window.partitionBy("source").orderBy("stretch")
-    ends = ends.select(
-        "source", "stretch",
-        F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-         .alias("before"),
-        F.first("first", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-         .alias("after"))
     upto = Window.partitionBy("source", "stretch").orderBy("seq").rowsBetween(
         Window.unboundedPreceding, 0)
-    return (rows.join(ends, ["source", "stretch"])
+    return (rows.join(carried_values(ends), ["source", "stretch"])
             .withColumn("near", F.last("event_ts", ignorenulls=True).over(upto))
             .select(*[c for c in events.columns if c not in ("ts", "timed")],
                     F.coalesce("near", "before", "after", "ingest_ts").alias("ts"),

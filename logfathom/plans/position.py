@@ -29,8 +29,9 @@ def stretch(position: str = "seq") -> Column:
         F.shiftright(place, STRETCH_BITS))
 
 
-def running_total(counts: DataFrame, newest: bool = False) -> DataFrame:
-    """Add `before`: rows of the source in the stretches before (or, newest first, behind) each.
+def running_total(counts: DataFrame, newest: bool = False, keys: tuple[str, ...] = ("source",)) -> DataFrame:
+    """Add `before`: rows of the source (or other keys) in the stretches before (or, newest first,
+    behind) each.
 
     In two levels: a task sums up the stretches of one group, and one row per group is left to
     carry over, so a source of millions of stretches is no single task's work.
@@ -40,15 +41,58 @@ def running_total(counts: DataFrame, newest: bool = False) -> DataFrame:
 
     grouped = counts.withColumn("_group", F.floor(F.col("stretch") / STRETCHES).cast("bigint"))
     past = Window.unboundedPreceding, -1
-    sums = grouped.groupBy("source", "_group").agg(F.sum("n").alias("_n"))
-    sums = sums.select("source", "_group", F.coalesce(F.sum("_n").over(
-        Window.partitionBy("source").orderBy(ordered("_group")).rowsBetween(*past)), F.lit(0)).alias("_carry"))
-    inner = Window.partitionBy("source", "_group").orderBy(ordered("stretch")).rowsBetween(*past)
+    sums = grouped.groupBy(*keys, "_group").agg(F.sum("n").alias("_n"))
+    sums = sums.select(*keys, "_group", F.coalesce(F.sum("_n").over(
+        Window.partitionBy(*keys).orderBy(ordered("_group")).rowsBetween(*past)), F.lit(0)).alias("_carry"))
+    inner = Window.partitionBy(*keys, "_group").orderBy(ordered("stretch")).rowsBetween(*past)
     return (grouped.withColumn("_inner", F.coalesce(F.sum("n").over(inner), F.lit(0)))
-            .join(sums, ["source", "_group"])
+            .join(sums, [*keys, "_group"])
             .withColumn("before", F.col("_inner") + F.col("_carry")).drop("_group", "_inner", "_carry"))
 
 
+def carried_values(ends: DataFrame) -> DataFrame:
+    """(source, stretch, before, after) of a table (source, stretch, first, last) of the first and last
+    known value of each stretch: the last one before it, and the first one in it or behind it.
+
+    In the two levels of `running_total`.
+    """
+    grouped = ends.withColumn("_group", F.floor(F.col("stretch") / STRETCHES).cast("bigint"))
+
+    def known(c):
+        return F.when(F.col(c).isNotNull(), F.col("stretch"))
+
+    past, coming = (Window.unboundedPreceding, -1), (0, Window.unboundedFollowing)
+    over = Window.partitionBy("source").orderBy("_group")
+    sums = grouped.groupBy("source", "_group").agg(
+        F.max_by("last", known("last")).alias("last"), F.min_by("first", known("first")).alias("first"))
+    sums = sums.select(
+        "source", "_group", F.last("last", ignorenulls=True).over(over.rowsBetween(*past)).alias("_before"),
+        F.first("first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    inner = Window.partitionBy("source", "_group").orderBy("stretch")
+    return (grouped.withColumn("_last", F.last("last", ignorenulls=True).over(inner.rowsBetween(*past)))
+            .withColumn("_first", F.first("first", ignorenulls=True).over(inner.rowsBetween(*coming)))
+            .join(sums, ["source", "_group"])
+            .select("source", "stretch", F.coalesce("_last", "_before").alias("before"),
+                    F.coalesce("_first", "_after").alias("after")))
+
+
+def turns(events: DataFrame) -> DataFrame:
+    """Add `turn`: the place of a row among those of its source and time, from 0, by position and
+    message. Times that go over several stretches of positions, as that of a whole untimed file, are
+    counted per stretch first, so that no task ranks more than a stretch.
+    """
+    rows = events.withColumn("stretch", stretch())
+    long = (rows.groupBy("source", "ts").agg(F.min("stretch").alias("a"), F.max("stretch").alias("b"))
+            .filter("a < b").select("source", "ts"))
+    counts = (join_small(rows.select("source", "ts", "stretch"), long, ["source", "ts"], "left_semi")
+              .groupBy("source", "ts", "stretch").agg(F.count(F.lit(1)).alias("n")))
+    before = running_total(counts, keys=("source", "ts")).select("source", "ts", "stretch", "before")
+    near = F.row_number().over(Window.partitionBy("source", "ts", "stretch").orderBy("seq", "message"))
+    return (join_small(rows, before, ["source", "ts", "stretch"], "left")
+            .withColumn("turn", F.coalesce("before", F.lit(0)) + near - 1)
+            .select(*events.columns, "turn"))
+
+
 def stretch_counts(df: DataFrame, position: str = "seq") -> DataFrame:
     """(source, stretch, n, before): rows per stretch and rows of the source in earlier stretches."""
     counts = (df.select("source", stretch(position).alias("stretch"))

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..plans.scale import path_exists
 
 SAMPLE_LINES = 10
+#: Files up to this size are scanned whole for their heads; of a larger one a task reads the beginning.
+HEAD_BYTES = 1 << 20
 _ROW_BITS = (1 << 33) - 1
 
 
@@ -94,23 +97,47 @@ def head_lines(spark: SparkSession, path: str, n: int) -> list[str]:
         stream.close()
 
 
+def file_heads(spark: SparkSession, files: list[str], n: int = SAMPLE_LINES) -> dict[str, tuple[int, int]]:
+    """Of each file, named as `inputFiles` does: how many of its first n non-blank lines there are, and how many of these begin
+    with a brace. Tasks read the files; the driver opens none.
+
+    Files up to HEAD_BYTES share the tasks of one scan. A larger one has a task of its own, which is a
+    limit over a single split and so ends at the n-th line that is not blank.
+    """
+    if not files:
+        return {}
+    mark = F.substring(strip("value"), 1, 1).alias("mark")
+    lines = spark.read.text([unquote(f) for f in files]).filter(F.col("_metadata.file_size") <= HEAD_BYTES).select(
+        F.col("_metadata.file_path").alias("path"), _position().alias("at"), mark).filter("mark <> ''")
+    first = lines.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy("at"))) \
+                 .filter(F.col("rank") <= n)
+    found = {r.path: (r.lines, r.json) for r in first.groupBy("path").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("mark") == "{").alias("json")).collect()}
+    # A session of its own, in which a file is one split, whatever its size.
+    own = spark.newSession()
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        own.conf.set(f"spark.sql.files.{name}", str(1 << 50))
+
+    def beginning(path: str) -> tuple[int, int]:
+        marks = [r.mark for r in own.read.text(unquote(path)).select(mark).filter("mark <> ''").limit(n).collect()]
+        return len(marks), marks.count("{")
+
+    rest = [path for path in files if path not in found]
+    with ThreadPoolExecutor(8) as pool:
+        return found | dict(zip(rest, pool.map(beginning, rest)))
+
+
 def detect_sources(spark: SparkSession, paths: str | list[str], source=None) -> DataFrame:
     """(source, format) of log files by their first ten non-blank lines, for `parse_logs`.
 
-    Spark cannot stop a scan at the tenth line of every file, so the heads are read through the
-    file system, a few files at a time. Sources of several files are voted on by the first file
-    in the order of names. `source` is as in `stream_events`.
+    Sources of several files are voted on by the first file in the order of names. `source` is as in
+    `stream_events`.
     """
     files = sorted(spark.read.text(split_paths(paths)).inputFiles())
     named = spark.createDataFrame([(f, f) for f in files], "path string, source string")
     if source is not None:
         named = named.withColumn("source", source("source"))
     first = {r.source: r.path for r in named.groupBy("source").agg(F.min("path").alias("path")).collect()}
-
-    def vote(path: str) -> str:
-        lines = head_lines(spark, path, SAMPLE_LINES)
-        return "json" if sum(line.startswith("{") for line in lines) > len(lines) // 2 else "text"
-
-    with ThreadPoolExecutor(8) as pool:
-        formats = list(pool.map(vote, first.values()))
-    return spark.createDataFrame(list(zip(first, formats)), "source string, format string")
+    heads = file_heads(spark, sorted(first.values()))
+    formats = [(name, "json" if heads[path][1] > heads[path][0] // 2 else "text") for name, path in first.items()]
+    return spark.createDataFrame(formats, "source string, format string")

@@ -10,7 +10,8 @@ from logfathom.operators import cluster as C
 from logfathom.operators import cluster
 from logfathom.operators import incidents as I
 from logfathom.operators import reports as G
-from logfathom.operators.parse import order_by_time, parse_logs
+from logfathom.operators.parse import order_by_time, parse_logs, times_from_neighbours
+from logfathom.plans import position
 from logfathom.plans.scale import materialize, path_exists, temporary_tables
 from logfathom.sources import events, logs, reports, state
 
@@ -136,11 +137,12 @@ def test_heads_of_files_tell_their_format(spark, tmp_path):
     (tmp_path / "a" / "x.log").write_text("\n \n" + '{"m":1}\n' * 6 + "text\n" * 500)
     (tmp_path / "b.log").write_text("text\n" * 6 + '{"m":1}\n' * 500)
     (tmp_path / "c.log").write_text("")
+    (tmp_path / "e f.log").write_text('{"m":1}\n')
     with gzip.open(tmp_path / "d.log.gz", "wt") as f:
         f.write('{"m":1}\n' * 3)
     rows = logs.detect_sources(spark, f"{tmp_path}/*").collect()
     assert {r.source.rsplit("/", 1)[-1]: r.format for r in rows} == {
-        "x.log": "json", "b.log": "text", "c.log": "text", "d.log.gz": "json"}
+        "x.log": "json", "b.log": "text", "c.log": "text", "d.log.gz": "json", "e%20f.log": "json"}
     assert logs.head_lines(spark, str(tmp_path / "b.log"), 3) == ["text"] * 3
 
 
@@ -161,3 +163,47 @@ def test_temporary_tables_go(spark):
         path = kept.inputFiles()[0].rsplit("/", 1)[0]
         assert kept.count() == 5 and path_exists(spark, path)
     assert not path_exists(spark, path)
+
+
+def test_heads_are_read_by_tasks_and_end_early(spark, tmp_path, monkeypatch):
+    (tmp_path / "many").mkdir()
+    for i in range(200):
+        (tmp_path / "many" / f"{i}.log").write_text(('{"m":1}\n' if i % 2 else "text\n") * 12)
+    for name, line in (("big.log", '{"m":"' + "x" * 90 + '"}\n'), ("plain.log", "y" * 99 + "\n")):
+        (tmp_path / "many" / name).write_text("\n \n" + line * 300_000)
+
+    def opened(*_):
+        raise AssertionError("the driver opens no file")
+
+    def read():
+        return spark._jsc.sc().statusStore().executorList(False).apply(0).totalInputBytes()
+
+    monkeypatch.setattr(logs, "head_lines", opened)
+    before = read()
+    found = {r.source.rsplit("/", 1)[-1]: r.format for r in logs.detect_sources(spark, f"{tmp_path}/many").collect()}
+    assert found == {"big.log": "json", "plain.log": "text"} | {
+        f"{i}.log": "json" if i % 2 else "text" for i in range(200)}
+    assert read() - before < 8 << 20   # of 60 MB
+
+
+def test_one_time_over_several_stretches(spark):
+    """A file without times: all rows of one time, over positions of several stretches."""
+    stamp = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    rows = [("s" if i % 3 else "t", i * 40_000, stamp, "INFO", str(i)) for i in range(12)]
+    placed = order_by_time(spark.createDataFrame(rows, "source string, seq long, ts timestamp, level string, message string"))
+    for source in "st":
+        own = placed.filter(F.col("source") == source).orderBy("seq").collect()
+        assert [int(r.message) for r in own] == [i for i in range(12) if ("s" if i % 3 else "t") == source]
+        assert [r.seq - own[0].seq for r in own] == list(range(len(own)))
+
+
+def test_times_are_carried_over_groups_of_stretches(spark, monkeypatch):
+    monkeypatch.setattr(position, "STRETCHES", 2)
+    step = 1 << position.STRETCH_BITS
+    times = {3 * step: 10, 3 * step + 1: 11, 9 * step: 20}
+    at = [0, step, 3 * step, 3 * step + 1, 3 * step + 2, 4 * step, 7 * step, 9 * step, 9 * step + 5, 12 * step]
+    rows = [("s", seq, datetime.fromtimestamp(times[seq], timezone.utc) if seq in times else None, None) for seq in at]
+    found = times_from_neighbours(spark.createDataFrame(
+        rows, "source string, seq long, event_ts timestamp, ingest_ts timestamp").withColumn("ts", F.col("event_ts")))
+    got = [r.t for r in found.orderBy("seq").select(F.unix_seconds("ts").alias("t")).collect()]
+    assert got == [10, 10, 10, 11, 11, 11, 11, 20, 20, 20]
