@@ -5,7 +5,8 @@ record, so the files are committed and retried as Spark does it, on any file sys
 Of records with equal payloads the one with the largest page_id is a response and the others
 are revisits that refer to it.
 
-Reading: each archive is parsed by the Content-Length of its records. The captures of an archive
+Reading: a task streams through an archive, cut at the separator, and puts records together by
+their Content-Length, so it holds a record at a time and archives may be of any size. The captures of an archive
 are sorted by (URL key, time, page_id, copy): a run. Runs are cut into ranges of that order, and in
 each range a loser tree merges the pieces of the runs into one globally ordered history.
 Different payloads of one page_id (or of none) share a record id, so a revisit finds its response by
@@ -21,19 +22,20 @@ and ``html`` are read.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logfathom.plans.scale import work_path
+from logfathom.plans.scale import compute_once, work_path
 
 from .common import shares, staged, text_of
 
-#: Records in an archive, at most, so that a task can read a whole one.
+#: Records in an archive, at most: their captures are sorted by one task.
 ARCHIVE_RECORDS = 5_000
 #: Captures that one task merges, about.
 RANGE_CAPTURES = 20_000
@@ -47,9 +49,9 @@ READ_ARROW = pa.schema([(name, pa.int64() if kind == "long" else pa.string())
 NO_ID = -(1 << 63)
 
 
-def base32_digest(payload: Column) -> Column:
-    """SHA-1 in upper-case base 32: eight pieces of 20 bits, four letters each."""
-    hexed, out = F.sha1(payload), []
+def base32(hexed: Column) -> Column:
+    """A SHA-1 in hex as upper-case base 32: eight pieces of 20 bits, four letters each."""
+    out = []
     for i in range(8):
         piece = F.conv(F.substring(hexed, 5 * i + 1, 5), 16, 10).cast("int")
         out += [F.substring(F.lit(ALPHABET), F.shiftright(piece, 15 - 5 * j).bitwiseAND(31) + 1,
@@ -72,12 +74,12 @@ def typed(pages: DataFrame) -> DataFrame:
     Only digests are grouped. The payloads move once, to meet their group, and are dealt into
     archives by that same shuffle. Repeated rows (same page_id and html) are numbered as copies.
     """
-    html = text_of("html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"),
                         F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page"),
-                        base32_digest(html.cast("binary")).alias("digest"),
-                        F.octet_length(html).alias("bytes"), F.col("url").cast("string").alias("url"),
-                        html.alias("html"))
+                        F.col("url").cast("string").alias("url"), text_of("html").alias("html"))
+    # Joins ask whether their keys are null; the digest must not be made anew for each of its letters.
+    rows = compute_once(rows, sha=F.sha1(F.col("html").cast("binary")), bytes=F.octet_length("html"))
+    rows = compute_once(rows, digest=base32(F.col("sha"))).drop("sha")
     narrow = staged(rows.select("page", "digest", "bytes"), "payload-digests")
     winners = narrow.groupBy("digest", "bytes").agg(F.max("page").alias("win"))
     marks = narrow.distinct().join(winners, ["digest", "bytes"]).select("page", "digest", "win")
@@ -129,42 +131,68 @@ def write_archives(pages: DataFrame, path: str) -> None:
      .option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path))
 
 
-def parse_archive(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Offset, headers and payload of each record of an uncompressed archive."""
-    at = 0
-    while at < len(content):
-        split = content.index(b"\r\n\r\n", at)
-        version, *lines = content[at:split].decode().split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = dict(line.split(": ", 1) for line in lines)
-        begin = split + 4
-        end = begin + int(headers["Content-Length"])
-        if content[end:end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where it says")
-        yield at, headers, content[begin:end]
-        at = end + 4
+def parse_archive(pieces: Iterable[bytes]) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """Offset, headers and payload of each record of an archive that was cut at every ``END``.
+
+    A payload may hold the separator, or line ends that make one with it, so cuts say nothing about
+    records: pieces are put together again as far as the record at hand goes. Offsets are those of
+    the uncompressed archive.
+    """
+    end, at, have = END.encode(), 0, bytearray()
+    stream = (piece + end for piece in pieces)
+
+    def more() -> None:
+        piece = next(stream, None)
+        if piece is None:
+            raise ValueError(f"the record at byte {at} is cut off")
+        have.extend(piece)
+
+    for piece in stream:
+        have.extend(piece)
+        while have:
+            while (split := have.find(end)) < 0:
+                more()
+            # Behind a last piece that no separator ended, one too many was put.
+            if not split and next(stream, None) is None:
+                return
+            version, *lines = have[:split].decode().split("\r\n")
+            if not version.startswith("WARC/"):
+                raise ValueError(f"no record at byte {at}")
+            headers = dict(line.split(": ", 1) for line in lines)
+            begin = split + len(end)
+            stop = begin + int(headers["Content-Length"])
+            while len(have) < stop + len(end):
+                more()
+            if have[stop:stop + len(end)] != end:
+                raise ValueError(f"the record at byte {at} does not end where it says")
+            yield at, headers, bytes(have[begin:stop])
+            at += stop + len(end)
+            del have[:stop + len(end)]
+
+
+def _capture(archive: str, offset: int, h: dict[str, str], payload: bytes) -> dict:
+    digest, full = h["WARC-Payload-Digest"].removeprefix("sha1:"), None
+    if h["WARC-Type"] == "response":
+        full = len(payload)
+        if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+            raise ValueError(f"{archive}: payload at byte {offset} is not what was written")
+    page, copy = h["WARC-Record-ID"][len("<urn:page:"):-1].split(":")
+    return {"archive": archive, "offset": offset, "url": h.get("WARC-Target-URI"),
+            "page_id": None if page == "null" else int(page), "url_key": h["X-URL-Key"],
+            "copy": int(copy), "at": h["WARC-Date"], "record_id": h["WARC-Record-ID"],
+            "record_type": h["WARC-Type"], "payload_bytes": full, "payload_digest": digest,
+            "refers_id": h.get("WARC-Refers-To")}
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
-            archive, found = path.rsplit("/", 1)[-1], []
-            for offset, h, payload in parse_archive(gzip.decompress(content)):
-                digest, full = h["WARC-Payload-Digest"].removeprefix("sha1:"), None
-                if h["WARC-Type"] == "response":
-                    full = len(payload)
-                    if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                        raise ValueError(f"{archive}: payload at byte {offset} is not what was written")
-                page, copy = h["WARC-Record-ID"][len("<urn:page:"):-1].split(":")
-                found.append({
-                    "archive": archive, "offset": offset, "url": h.get("WARC-Target-URI"),
-                    "page_id": None if page == "null" else int(page), "url_key": h["X-URL-Key"],
-                    "copy": int(copy), "at": h["WARC-Date"], "record_id": h["WARC-Record-ID"],
-                    "record_type": h["WARC-Type"], "payload_bytes": full, "payload_digest": digest,
-                    "refers_id": h.get("WARC-Refers-To")})
-            # A run: the captures of one archive in the order of the index.
-            yield pa.RecordBatch.from_pylist(sorted(found, key=_order), READ_ARROW)
+    pieces = ((path, piece) for batch in batches
+              for path, piece in zip(batch["path"].to_pylist(), batch["piece"].to_pylist()))
+    # A task reads one archive after the other, each from its beginning to its end.
+    for path, of_archive in groupby(pieces, key=itemgetter(0)):
+        archive = path.rsplit("/", 1)[-1]
+        found = [_capture(archive, *record) for record in parse_archive(map(itemgetter(1), of_archive))]
+        # A run: the captures of one archive in the order of the index.
+        yield pa.RecordBatch.from_pylist(sorted(found, key=_order), READ_ARROW)
 
 
 def _order(capture: dict) -> tuple:
@@ -174,8 +202,9 @@ def _order(capture: dict) -> tuple:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Captures of all archives under a path, each archive a sorted run."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_read, READ_SCHEMA)
+    pieces = spark.read.option("lineSep", END).text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("piece"))
+    return pieces.mapInArrow(_read, READ_SCHEMA)
 
 
 def merge_runs(runs: Sequence[Sequence[tuple]]) -> Iterator[tuple[tuple, int]]:

@@ -1,11 +1,13 @@
 """Operators against brute force on a small fixture, with every odd case in it."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import count, islice
 
 import numpy as np
 import public_tokenizers
@@ -358,6 +360,45 @@ def test_warc(spark, tmp_path):
     assert warc.archive_pages(pages.limit(0), str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("records", [1, 5_000])
+def test_warc_payloads_that_hold_separators(spark, tmp_path, monkeypatch, records):
+    """Each alone in an archive, and all in one."""
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", records)
+    payloads = ["", "a", "\r\n", "\r\n\r\n", "\r\na\r\n", "a\r\n\r\n\r", "\r\n" * 5, "WARC/1.1\r\n\r\nx"]
+    pages = spark.createDataFrame([(i, "http://a.example/", p) for i, p in enumerate(payloads)],
+                                  "page_id long, url string, html string")
+    path = tmp_path / "warc"
+    warc.write_archives(warc.typed(pages).coalesce(1), str(path))
+    got = {r.page_id: r for r in warc.read_archives(spark, str(path)).collect()}
+    assert len(list(path.glob("*.gz"))) == (8 if records == 1 else 1)
+    for i, payload in enumerate(payloads):
+        digest = base64.b32encode(hashlib.sha1(payload.encode()).digest()).decode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(payload), digest)
+        content = gzip.decompress((path / got[i].archive).read_bytes())[got[i].offset:]
+        assert content.startswith(b"WARC/1.1\r\n") and f"Record-ID: <urn:page:{i}:1>".encode() in content[:200]
+
+
+def test_warc_archives_are_read_a_record_at_a_time():
+    """Of an archive without end, whose records come out as they are read."""
+    def pieces():
+        for i in count():
+            yield f"WARC/1.1\r\nX-Number: {i}\r\nContent-Length: 7".encode()
+            yield b"abc\r"
+            yield b""
+    with pytest.raises(ValueError, match="does not end"):
+        list(islice(warc.parse_archive(pieces()), 3))
+
+    def sound():
+        for i in count():
+            yield f"WARC/1.1\r\nX-Number: {i}\r\nContent-Length: 8".encode()
+            yield b"abc\r"[:3]
+            yield b"d"
+    found = list(islice(warc.parse_archive(sound()), 1000))
+    assert [(int(h["X-Number"]), p) for _, h, p in found] == [(i, b"abc\r\n\r\nd") for i in range(1000)]
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.parse_archive(islice(sound(), 4)))
+
+
 def test_warc_revisits_of_pages_that_share_an_id(spark, tmp_path):
     rows = [(None, "http://a/", text) for text in ("one", "one", "three", "three", "fifteen")]
     rows += [(7, "http://b/", text) for text in ("sixteen", "sixteen", "four")]
