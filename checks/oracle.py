@@ -366,6 +366,11 @@ def oracle_sql() -> dict[str, str]:
         "incident_list": with_ev("""SELECT incident_id || '.json' AS filename,
             replace(replace(incident_id, 'incident_', ''), '_', ' ') AS timestamp, reason, source, peak_eps, peak_wps,
             total_lines, started_at, ended_at FROM heads""", RULES, True),
+        "incident_fetch": with_ev("""
+            , sg AS (SELECT source, t, string_agg(message, ',' ORDER BY seq) AS signal_messages FROM isig GROUP BY source, t),
+            cx AS (SELECT source, t, string_agg(message, ',' ORDER BY seq) AS context_messages FROM ictx GROUP BY source, t)
+            SELECT source, incident_id || '.json' AS filename, total_lines, signal_messages, context_messages
+            FROM heads JOIN sg USING (source, t) JOIN cx USING (source, t)""", RULES, True),
         "throttle": with_ev(f"SELECT {ts('ts')} AS ts, source, seq, level, message FROM taken", THROTTLE, True),
         "alerts": with_ev(f"SELECT {ts('ts')} AS ts, source, seq, level, message, status, push FROM al", ALERTS, True),
         "alert_lines": with_ev(f"""SELECT {ts('ts')} AS ts, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] [' || status || '] '

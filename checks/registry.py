@@ -197,6 +197,19 @@ def incident_list(spark, sf):
     return reports.list_incidents(spark, path)
 
 
+def incident_fetch(spark, sf):
+    """The documents of all listed incidents, as the fields that an incident page shows first."""
+    path = work_path(spark, "incidents")
+    reports.write_incidents(I.incident_reports(ev(spark, sf), HOUR, CONFIG), path)
+    found = reports.fetch_incidents(reports.list_incidents(spark, path), path)
+    row = "struct<message: string>"
+    body = F.from_json("document", f"total_lines long, signal_history array<{row}>, full_context array<{row}>")
+    return found.select("source", "filename", body.alias("d")).select(
+        "source", "filename", "d.total_lines",
+        F.array_join("d.signal_history.message", ",").alias("signal_messages"),
+        F.array_join("d.full_context.message", ",").alias("context_messages"))
+
+
 def incident_part(part):
     def run(spark, sf):
         rows = ev(spark, sf)
@@ -462,7 +475,8 @@ def queries() -> dict:
         stream_totals, stream_patterns, stream_ticks, stream_heartbeat, stream_recent_summary,
         stream_incidents, stream_alerts, stream_ticks_segments, stream_heartbeat_segments,
         stream_incidents_segments, stream_incidents_late, stream_alerts_segments, parse_json_duplicates, parse_docker_deep, parse_untimed, inspect_map,
-        heartbeat_lines, alert_log, own_parser, event_store, detect_sources, incident_signals_all)})
+        heartbeat_lines, alert_log, own_parser, event_store, detect_sources, incident_signals_all,
+        incident_fetch)})
 
     def run(query):
         def call(spark: SparkSession, sf_dir: str) -> DataFrame:

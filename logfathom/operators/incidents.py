@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, SIGNAL_LEVELS, Config, micros
+from ..config import DEFAULT, LEVEL_WEIGHTS, SIGNAL_LEVELS, Config, micros
+from ..functions.text import is_signal, level_weight
 from ..plans.cooldown import cooldown_picks
-from ..plans.position import count_until, rows_before
+from ..plans.position import count_until, kind_counts, kind_ranks, rows_before
+from ..plans.running import rolling_ticks
 from ..plans.scale import join_small, materialize
 from .filters import min_level, signals
 from .rates import rate_table, tick_counts, tick_index
@@ -48,14 +50,15 @@ def spike_candidates(events: DataFrame, tick: str = "1 second", config: Config =
 
 
 def incidents(events: DataFrame, tick: str = "1 second", config: Config = DEFAULT,
-              levels=SIGNAL_LEVELS) -> DataFrame:
+              levels=SIGNAL_LEVELS, counts: DataFrame | None = None) -> DataFrame:
     """One row per report: the candidates that pass the cooldown.
 
     (source, incident_ts, trigger_seq, level, window_start, after_recovery, peak_eps,
     peak_wps). `window_start` is the time of the report before, null when there is
-    none or the source recovered since.
+    none or the source recovered since. `counts` are the tick counts of the events, where known.
     """
-    rules = materialize(trigger_ticks(events, tick, config).select(*RULE_COLUMNS))
+    counts = tick_counts(events, tick) if counts is None else counts
+    rules = materialize(trigger_rules(rolling_ticks(counts, config.rolling_ticks), config).select(*RULE_COLUMNS))
     rows = signals(events, levels).select("source", "seq", F.unix_micros("ts").alias("t"),
                                           level_code(levels).alias("code"),
                                           tick_index(tick).alias("idx"))
@@ -109,11 +112,12 @@ def _marks(found: DataFrame) -> DataFrame:
 
 
 def incident_signals(found: DataFrame, events: DataFrame,
-                     cap: int | None = DEFAULT.signal_rows) -> DataFrame:
+                     cap: int | None = DEFAULT.signal_rows, placed: tuple = ()) -> DataFrame:
     """Signals of each incident: of the last `cap` before the trigger, those after the last report.
 
     Without a cap these are all signals since the last report. Incidents and signals then meet by
-    source and day, so a long period is spread over its days.
+    source and day, so a long period is spread over its days. `placed` are the counts and ranks of
+    signals for `rows_before`, where known.
     """
     starts = found.select("source", F.unix_micros("incident_ts").alias("mark"),
                           "incident_ts", "window_start")
@@ -126,23 +130,26 @@ def incident_signals(found: DataFrame, events: DataFrame,
         recent = signals(events).withColumn("day", F.to_date("ts")).join(frames, ["source", "day"]).filter(
             F.col("seq") <= F.col("trigger_seq"))
     else:
-        recent = join_small(rows_before(_marks(found), signals(events), cap), starts, ["source", "mark"])
+        recent = join_small(rows_before(_marks(found), signals(events), cap, *placed), starts, ["source", "mark"])
     return (recent.filter(F.col("window_start").isNull() | (F.col("ts") > F.col("window_start")))
             .select("source", "incident_ts", "seq", "ts", "level", "message"))
 
 
 def incident_context(found: DataFrame, events: DataFrame, n: int = DEFAULT.context_rows,
-                     level: str | None = None) -> DataFrame:
-    """The last n history rows up to the trigger of each incident."""
-    rows = rows_before(_marks(found), min_level(events, level), n)
+                     level: str | None = None, placed: tuple = ()) -> DataFrame:
+    """The last n history rows up to the trigger of each incident.
+
+    `placed` are the counts and ranks of history rows for `rows_before`, where known.
+    """
+    rows = rows_before(_marks(found), min_level(events, level), n, *placed)
     return rows.select("source", F.timestamp_micros("mark").alias("incident_ts"),
                        "seq", "ts", "level", "message")
 
 
 def incident_trends(found: DataFrame, events: DataFrame, tick: str = "1 second",
-                    n: int = DEFAULT.hourly_ticks) -> DataFrame:
+                    n: int = DEFAULT.hourly_ticks, counts: DataFrame | None = None) -> DataFrame:
     """(source, incident_ts, tick index, errors, warns): the n ticks completed before each trigger."""
-    counts = tick_counts(events, tick)
+    counts = tick_counts(events, tick) if counts is None else counts
     starts = counts.groupBy("source").agg(F.min("idx").alias("low"))
     frame = (found.select("source", "incident_ts", "idx").join(starts, "source")
                   .select("source", "incident_ts", F.explode(F.sequence(
@@ -154,11 +161,16 @@ def incident_trends(found: DataFrame, events: DataFrame, tick: str = "1 second",
 
 
 def incident_summaries(events: DataFrame, tick: str = "1 second", config: Config = DEFAULT,
-                       found: DataFrame | None = None) -> DataFrame:
-    """Report headers: reason, peaks, total lines and the period covered."""
+                       found: DataFrame | None = None, lines: DataFrame | None = None,
+                       begun: DataFrame | None = None) -> DataFrame:
+    """Report headers: reason, peaks, total lines and the period covered.
+
+    `lines` (source, mark, total) and `begun` (source, begun) are made here where they are not known.
+    """
     found = materialize(incidents(events, tick, config)) if found is None else found
-    lines = count_until(_marks(found), events)
-    begun = events.groupBy("source").agg(F.min_by("ts", "seq").alias("begun"))
+    lines = count_until(_marks(found), events) if lines is None else lines
+    if begun is None:
+        begun = events.groupBy("source").agg(F.min_by("ts", "seq").alias("begun"))
     stamp = "yyyy-MM-dd'T'HH:mm:ssXXX"
     keyed = found.withColumn("mark", F.unix_micros("incident_ts"))
     return (keyed.join(lines, ["source", "mark"]).join(begun, "source")
@@ -179,9 +191,24 @@ def incident_reports(events: DataFrame, tick: str = "1 second", config: Config =
 
     The arrays have fixed upper sizes (trend ticks, signals and context rows of the
     configuration), so a report is a bounded row.
+
+    Events are passed over for their ticks, the candidates, the counts of all kinds of rows per stretch of
+    positions, the ranks of the triggers, and the signals and rows of context in the stretches that hold some.
     """
-    found = materialize(incidents(events, tick, config))
-    heads = incident_summaries(events, tick, config, found)
+    ticks = materialize(tick_counts(events, tick))
+    found = materialize(incidents(events, tick, config, counts=ticks))
+    kinds = {"lines": F.lit(True), "signals": is_signal("level", SIGNAL_LEVELS),
+             "context": level_weight("level") >= LEVEL_WEIGHTS.get((level or "").upper(), 0)}
+    stretches = materialize(kind_counts(events, kinds))
+    ranks = materialize(kind_ranks(_marks(found), events, stretches, kinds))
+
+    def placed(kind):
+        return (stretches.filter(F.col(kind) > 0).select("source", "stretch", F.col(kind).alias("n"),
+                                                         F.col(f"before_{kind}").alias("before")),
+                ranks.select("source", "mark", F.col(kind).alias("total")))
+
+    begun = stretches.groupBy("source").agg(F.min_by("first_ts", "stretch").alias("begun"))
+    heads = incident_summaries(events, tick, config, found, placed("lines")[1], begun)
     key = ["source", "incident_ts"]
     event = F.struct("seq", F.col("ts").alias("timestamp"), "level", "message", "source")
 
@@ -191,16 +218,16 @@ def incident_reports(events: DataFrame, tick: str = "1 second", config: Config =
             "rows", lambda r: r.dropFields("seq")).alias(name))
 
     order = F.array_sort(F.collect_list(F.struct("idx", "errors", "warns")))
-    trends = (incident_trends(found, events, tick, config.hourly_ticks)
+    trends = (incident_trends(found, events, tick, config.hourly_ticks, ticks)
               .groupBy(*key).agg(order.alias("rows"))
               .select(*key, F.col("rows.errors").alias("hourly_trend_errors"),
                       F.col("rows.warns").alias("hourly_trend_warns")))
     empty = F.array().cast("array<struct<timestamp: timestamp, level: string, "
                            "message: string, source: string>>")
     return (heads.join(trends, key, "left")
-            .join(listed(incident_signals(found, events, config.signal_rows),
+            .join(listed(incident_signals(found, events, config.signal_rows, placed("signals")),
                          "signal_history"), key, "left")
-            .join(listed(incident_context(found, events, config.context_rows, level),
+            .join(listed(incident_context(found, events, config.context_rows, level, placed("context")),
                          "full_context"), key, "left")
             .withColumn("signal_history", F.coalesce("signal_history", empty))
             .withColumn("full_context", F.coalesce("full_context", empty)))

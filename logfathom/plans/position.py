@@ -29,9 +29,10 @@ def stretch(position: str = "seq") -> Column:
         F.shiftright(place, STRETCH_BITS))
 
 
-def running_total(counts: DataFrame, newest: bool = False, keys: tuple[str, ...] = ("source",)) -> DataFrame:
+def running_total(counts: DataFrame, newest: bool = False, keys: tuple[str, ...] = ("source",),
+                  of: tuple[str, ...] = ("n",)) -> DataFrame:
     """Add `before`: rows of the source (or other keys) in the stretches before (or, newest first,
-    behind) each.
+    behind) each. Of counts with other names than `n` it is called `before_<name>`.
 
     In two levels: a task sums up the stretches of one group, and one row per group is left to
     carry over, so a source of millions of stretches is no single task's work.
@@ -41,13 +42,16 @@ def running_total(counts: DataFrame, newest: bool = False, keys: tuple[str, ...]
 
     grouped = counts.withColumn("_group", F.floor(F.col("stretch") / STRETCHES).cast("bigint"))
     past = Window.unboundedPreceding, -1
-    sums = grouped.groupBy(*keys, "_group").agg(F.sum("n").alias("_n"))
-    sums = sums.select(*keys, "_group", F.coalesce(F.sum("_n").over(
-        Window.partitionBy(*keys).orderBy(ordered("_group")).rowsBetween(*past)), F.lit(0)).alias("_carry"))
+    outer = Window.partitionBy(*keys).orderBy(ordered("_group")).rowsBetween(*past)
     inner = Window.partitionBy(*keys, "_group").orderBy(ordered("stretch")).rowsBetween(*past)
-    return (grouped.withColumn("_inner", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    sums = grouped.groupBy(*keys, "_group").agg(*[F.sum(c).alias(f"_sum_{c}") for c in of])
+    sums = sums.select(*keys, "_group", *[
+        F.coalesce(F.sum(f"_sum_{c}").over(outer), F.lit(0)).alias(f"_carry_{c}") for c in of])
+    return (grouped.withColumns({f"_inner_{c}": F.coalesce(F.sum(c).over(inner), F.lit(0)) for c in of})
             .join(sums, [*keys, "_group"])
-            .withColumn("before", F.col("_inner") + F.col("_carry")).drop("_group", "_inner", "_carry"))
+            .withColumns({"before" if c == "n" else f"before_{c}": F.col(f"_inner_{c}") + F.col(f"_carry_{c}")
+                          for c in of})
+            .drop("_group", *[f"_{part}_{c}" for part in ("inner", "carry") for c in of]))
 
 
 def carried_values(ends: DataFrame) -> DataFrame:
@@ -169,6 +173,33 @@ def mark_ranks(marks: DataFrame, df: DataFrame, counts: DataFrame) -> DataFrame:
                 .filter(F.col("mark").isNotNull()).select("source", "mark", "total"))
 
 
+def kind_counts(df: DataFrame, kinds: dict[str, Column]) -> DataFrame:
+    """Several `stretch_counts` in one pass: per stretch and kind of rows, which a condition tells, the
+    rows `<kind>` and those in earlier stretches `before_<kind>`; also the time `first_ts` of the first row.
+    """
+    counts = (df.select("source", "seq", "ts", stretch().alias("stretch"), *[c.alias(k) for k, c in kinds.items()])
+              .groupBy("source", "stretch")
+              .agg(F.min_by("ts", "seq").alias("first_ts"), *[F.count_if(k).alias(k) for k in kinds]))
+    return running_total(counts, of=tuple(kinds))
+
+
+def kind_ranks(marks: DataFrame, df: DataFrame, counts: DataFrame, kinds: dict[str, Column]) -> DataFrame:
+    """(source, mark, <kind>...): rows of each kind that arrived no later than each mark, in one pass."""
+    before = [f"before_{kind}" for kind in kinds]
+    at = (marks.select("source", "mark", "mark_seq").withColumn("stretch", stretch("mark_seq"))
+               .join(counts.select("source", "stretch", *before), ["source", "stretch"]))
+    rows = join_small(df.select("source", "seq", stretch().alias("stretch"), *[c.alias(k) for k, c in kinds.items()]),
+                      at.select("source", "stretch").distinct(), ["source", "stretch"], "left_semi")
+    line = (rows.withColumns({"mark": F.lit(None).cast("bigint")} | {b: F.lit(0).cast("bigint") for b in before})
+                .unionByName(at.select("source", F.col("mark_seq").alias("seq"), "stretch", "mark", *before,
+                                       *[F.lit(False).alias(kind) for kind in kinds])))
+    upto = (Window.partitionBy("source", "stretch").orderBy("seq", F.col("mark").asc_nulls_first())
+            .rowsBetween(Window.unboundedPreceding, 0))
+    return (line.select("source", "mark", *[(F.col(f"before_{kind}") + F.count_if(kind).over(upto)).alias(kind)
+                                            for kind in kinds])
+                .filter(F.col("mark").isNotNull()))
+
+
 def count_until(marks: DataFrame, df: DataFrame) -> DataFrame:
     """(source, mark, total): rows of the source that arrived no later than each mark.
 
@@ -177,16 +208,18 @@ def count_until(marks: DataFrame, df: DataFrame) -> DataFrame:
     return mark_ranks(marks, df, stretch_counts(df))
 
 
-def rows_before(marks: DataFrame, df: DataFrame, n: int) -> DataFrame:
+def rows_before(marks: DataFrame, df: DataFrame, n: int, counts: DataFrame | None = None,
+                ranks: DataFrame | None = None) -> DataFrame:
     """For every mark, the last n rows of its source that arrived no later than the mark.
 
     `marks` has columns (source, mark, mark_seq); the result has the columns of `df`
     plus `mark` and `rank` (1 = newest). Marks and rows are laid on a grid of arrival
     ranks with cells of n: a row can only belong to marks in its own cell and the next,
     so they meet in an equi-join, and every joined pair but the border ones is a result.
+    `counts` and `ranks` are what `stretch_counts` and `mark_ranks` tell of `df`, where known.
     """
-    counts = materialize(stretch_counts(df))
-    ranks = materialize(mark_ranks(marks, df, counts))
+    counts = materialize(stretch_counts(df)) if counts is None else counts
+    ranks = materialize(mark_ranks(marks, df, counts)) if ranks is None else ranks
     wide = max(n, 1 << STRETCH_BITS)
 
     def cells(first: Column, last: Column) -> Column:

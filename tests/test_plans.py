@@ -180,3 +180,20 @@ def test_staged_columns_are_not_substituted(spark):
     df = scale.compute_once(spark.range(5), x=F.upper(F.col("id").cast("string")))
     plan = df.filter("x = '3'")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("upper(") == 1 and df.filter("x = '3'").count() == 1
+
+
+@pytest.mark.parametrize("group", [1, 3, 4096])
+def test_ranks_of_several_kinds_of_rows(spark, monkeypatch, group):
+    """Against counting, with stretches that hold none of a kind, or a mark and no row of it."""
+    monkeypatch.setattr(position, "STRETCHES", group)
+    rng = random.Random(group)
+    rows = [(s, seq, None, "ERROR" if seq < 200_000 and rng.random() < 0.4 else "INFO")
+            for s in "ab" for seq in sorted(rng.sample(range(700_000), 300))]
+    df = spark.createDataFrame(rows, "source string, seq long, ts timestamp, level string")
+    chosen = [(s, i, seq) for i, (s, seq, *_) in enumerate(rng.sample(rows, 40))]
+    marks = spark.createDataFrame(chosen, "source string, mark long, mark_seq long")
+    kinds = {"lines": F.lit(True), "errors": F.col("level") == "ERROR"}
+    counts = position.kind_counts(df, kinds)
+    got = {(r.source, r.mark): (r.lines, r.errors) for r in position.kind_ranks(marks, df, counts, kinds).collect()}
+    assert got == {(s, i): (sum(r[0] == s and r[1] <= seq for r in rows),
+                            sum(r[0] == s and r[1] <= seq and r[3] == "ERROR" for r in rows)) for s, i, seq in chosen}

@@ -84,6 +84,47 @@ def test_corrupt_documents_are_skipped(spark, incident_store):
     assert reports.list_incidents(spark, incident_store).count() == 2
 
 
+def test_incident_archive_opens_what_it_needs(spark, tmp_path):
+    """Listing opens no document and a fetch one file; the last batch of an incident wins."""
+    path = tmp_path / "archive"
+
+    def found(batch, reason="first"):
+        rows = [(src, f"incident_2026-03-08_12-00-{batch:02}", reason, 1.0, 0.0, batch, "a", "b", [f"row {batch}"])
+                for src in ("a", "b")]
+        return spark.createDataFrame(rows, "source string, incident_id string, reason string, peak_eps double, peak_wps double, "
+                                     "total_lines long, started_at string, ended_at string, full_context array<string>")
+
+    for batch in range(20):
+        reports.write_incidents(found(batch), str(path))
+    listed = reports.list_incidents(spark, str(path))
+    once = listed.collect()
+    assert len(once) == 40 and listed.inputFiles() and all("/headers/" in f for f in listed.inputFiles())
+    assert len(list((path / "headers" / "parts").iterdir())) < 40
+    name = once[7].filename
+    page = reports.get_incident(spark, str(path), name, once[7].source)
+    assert len([f for f in page.inputFiles() if "/documents/" in f]) == 1 and page.count() == 1
+    assert reports.get_incident(spark, str(path), name).count() == 2
+
+    for _ in range(2):
+        reports.write_incidents(found(19, "again"), str(path), 20)
+    last = reports.list_incidents(spark, str(path)).collect()
+    assert [(r.filename, r.source) for r in last] == [(r.filename, r.source) for r in once]
+    assert [r.reason for r in last].count("again") == 2 == [r.reason for r in last[:2]].count("again")
+    page = reports.get_incident(spark, str(path), last[0].filename, "a").collect()
+    assert len(page) == 1 and '"reason":"again"' in page[0].document
+    documents = reports.fetch_incidents(listed.select("source", "filename"), str(path)).collect()
+    assert len(documents) == 40 and sum('"again"' in r.document for r in documents) == 2
+    assert reports.fetch_incidents(listed.select("source", F.lit("incident_x.json").alias("filename")), str(path)).count() == 0
+
+
+def test_numbered_alert_lines_replace_themselves(spark, tmp_path):
+    path = str(tmp_path / "alerts")
+    for batch, lines in ((0, ["a", "b"]), (1, ["c"]), (1, ["c"])):
+        reports.write_alerts(spark.createDataFrame([(line,) for line in lines], "line string"), path, batch)
+    reports.write_alerts(spark.createDataFrame([("d",)], "line string"), path)
+    assert sorted(r.line for r in reports.read_alerts(spark, path).collect()) == ["a", "b", "c", "d"]
+
+
 def test_alert_log_is_appended(spark, make_events, tmp_path):
     path = str(tmp_path / "alerts")
     events = make_events([(0, "ERROR", "a"), (30, "WARN", "b")])
