@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 # A side is broadcast up to so many rows and so many bytes of values.
 MAX_BROADCAST_ROWS = 250_000
 MAX_BROADCAST_BYTES = 64 << 20
+#: Rows that one task of a spread input takes at most.
+ROWS_PER_TASK = 50_000
 
 _SCOPE = threading.local()
 
@@ -117,10 +119,15 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return big.join(small, on, how)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Input that arrives in fewer splits than there are cores, dealt out to all of them."""
+def spread(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Input dealt out to all cores, and to as many tasks as keep each at ``rows_per_task`` rows.
+
+    Splits follow files and row groups, so one split can hold any share of a table; the heavy
+    per-row work that follows would then grow in one task with the input.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    tasks = max(cores, -(-df.count() // rows_per_task))
+    return df.repartition(tasks)
 
 
 def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
