@@ -59,6 +59,8 @@ PART = 10_000
 MANY_REGIONS = 2_048
 #: Regions that one task compares with one another, and rows of them at a time.
 CELL, TILE = 2_048, 64
+#: Shingles of the sets of one block of nodes that pairs are measured in, and the fewest and most blocks.
+BLOCK_SHINGLES, FEWEST_BLOCKS, MOST_BLOCKS = 1 << 21, 16, 1_024
 #: Largest distance of a link, with room for rounding.
 REACH = 1 - SIMILAR / 100 + 1e-9
 #: Most bits that a set's parities take.
@@ -248,11 +250,10 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "digest", "shingles"])
 
 
-@F.pandas_udf(T.IntegerType())
-def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Number of shingles two sets share."""
-    return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64),
-                                         assume_unique=True)) for x, y in zip(a, b)], dtype="int32")
+def _set_blocks(sets: DataFrame) -> int:
+    """Blocks of nodes, so that the sets of a block take about ``BLOCK_SHINGLES`` shingles."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    return max(FEWEST_BLOCKS, min(MOST_BLOCKS, -(-total // BLOCK_SHINGLES)))
 
 
 def possible(pairs: DataFrame, profiles: DataFrame, slack=0.0) -> DataFrame:
@@ -269,11 +270,44 @@ def possible(pairs: DataFrame, profiles: DataFrame, slack=0.0) -> DataFrame:
         "n_a", "n_b", "bits_a", "bits_b", "least")
 
 
+def _cell_shared(pairs: pa.Table, held: pa.Table) -> pa.Table:
+    """Shingles that the pairs of a cell share, each distinct pair once; ``held``: side, node, n,
+    shingles of the ends that the cell's pairs name."""
+    own = [{}, {}]
+    for side, node, n, found in zip(*(held[c].to_pylist() for c in ("side", "node", "n", "shingles"))):
+        own[side][node] = (n, found)
+    met = pa.table({"a": pairs["a"], "b": pairs["b"]}).group_by(["a", "b"]).aggregate([])
+    a, b = met["a"].to_pylist(), met["b"].to_pylist()
+    found_a, found_b = [own[0][x] for x in a], [own[1][y] for y in b]
+    shared = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+              for (_, x), (_, y) in zip(found_a, found_b)]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()),
+                     "n_a": pa.array([m for m, _ in found_a], pa.int32()),
+                     "n_b": pa.array([m for m, _ in found_b], pa.int32()),
+                     "shared": pa.array(shared, pa.int32())})
+
+
+def _placed(pairs: DataFrame, sets: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs with the blocks of their ends (k_a, k_b), and the sets that go to each cell of two blocks
+    (h_a, h_b)."""
+    keyed = pairs.select("a", "b", *[F.pmod(F.xxhash64(end), F.lit(blocks)).alias(f"k_{end}") for end in ("a", "b")])
+    ends = F.array(*[F.struct(F.lit(side).alias("side"), F.col(end).alias("node")) for side, end in enumerate("ab")])
+    held = keyed.select(F.col("k_a").alias("h_a"), F.col("k_b").alias("h_b"), F.explode(ends).alias("end")).select(
+        "h_a", "h_b", "end.side", "end.node")
+    return keyed, held.distinct().join(sets.select("node", "n", "shingles"), "node")
+
+
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their exact distance and whether they link."""
-    first = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
-    second = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
-    shared = pairs.join(first, "a").join(second, "b").withColumn("shared", _shared("s_a", "s_b"))
+    """Pairs (a, b) with their exact distance and whether they link.
+
+    Nodes fall into blocks, and a task measures the pairs of one block of ``a`` with one of ``b``; a
+    set moves once to each block of its partners, not once for each pair, so a set in many pairs
+    (the pivot of a large group) is not copied with each of them.
+    """
+    keyed, held = _placed(pairs, sets, _set_blocks(sets))
+    counted = keyed.groupBy("k_a", "k_b").cogroup(held.groupBy("h_a", "h_b")).applyInArrow(
+        _cell_shared, "a long, b long, n_a int, n_b int, shared int")
+    shared = pairs.join(counted, ["a", "b"])
     union = F.col("n_a") + F.col("n_b") - F.col("shared")
     return shared.select(*pairs.columns, (F.lit(1.0) - F.col("shared") / union).alias("d"),
                          (100 * F.col("shared").cast("long") >= SIMILAR * union.cast("long")).alias("linked"))
