@@ -246,8 +246,8 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = list(shingle_sets(batch["text"]))
         yield pa.RecordBatch.from_arrays(
-            [batch["key"], pa.array([_digest(s) for s in sets], pa.binary()),
-             pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "digest", "shingles"])
+            [batch["key"], pa.array([_digest(s) for s in sets], pa.binary()), batch["text"]],
+            ["key", "digest", "text"])
 
 
 def _set_blocks(sets: DataFrame) -> int:
@@ -272,15 +272,16 @@ def possible(pairs: DataFrame, profiles: DataFrame, slack=0.0) -> DataFrame:
 
 def _cell_shared(pairs: pa.Table, held: pa.Table) -> pa.Table:
     """Shingles that the pairs of a cell share, each distinct pair once; ``held``: side, node, n,
-    shingles of the ends that the cell's pairs name."""
+    text of the ends that the cell's pairs name. Sets are made here from the texts, which are
+    smaller than the sets and compress."""
     own = [{}, {}]
-    for side, node, n, found in zip(*(held[c].to_pylist() for c in ("side", "node", "n", "shingles"))):
-        own[side][node] = (n, found)
+    found = shingle_sets(held["text"].combine_chunks())
+    for side, node, n, one in zip(*(held[c].to_pylist() for c in ("side", "node", "n")), found):
+        own[side][node] = (n, one)
     met = pa.table({"a": pairs["a"], "b": pairs["b"]}).group_by(["a", "b"]).aggregate([])
     a, b = met["a"].to_pylist(), met["b"].to_pylist()
     found_a, found_b = [own[0][x] for x in a], [own[1][y] for y in b]
-    shared = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-              for (_, x), (_, y) in zip(found_a, found_b)]
+    shared = [len(np.intersect1d(x, y, assume_unique=True)) for (_, x), (_, y) in zip(found_a, found_b)]
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()),
                      "n_a": pa.array([m for m, _ in found_a], pa.int32()),
                      "n_b": pa.array([m for m, _ in found_b], pa.int32()),
@@ -294,7 +295,7 @@ def _placed(pairs: DataFrame, sets: DataFrame, blocks: int) -> tuple[DataFrame,
     ends = F.array(*[F.struct(F.lit(side).alias("side"), F.col(end).alias("node")) for side, end in enumerate("ab")])
     held = keyed.select(F.col("k_a").alias("h_a"), F.col("k_b").alias("h_b"), F.explode(ends).alias("end")).select(
         "h_a", "h_b", "end.side", "end.node")
-    return keyed, held.distinct().join(sets.select("node", "n", "shingles"), "node")
+    return keyed, held.distinct().join(sets.select("node", "n", "text"), "node")
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -314,7 +315,8 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def shingles_of(pairs: list[DataFrame], plain: DataFrame, profiles: DataFrame, have: DataFrame | None) -> DataFrame:
-    """Sets of all nodes in some pairs, made anew from their texts; those at hand are not."""
+    """Texts of all nodes in some pairs, of which sets are made where pairs are measured; those at
+    hand are not looked up again."""
     ends = [p.select(F.col(end).alias("node")) for p in pairs for end in ("a", "b")]
     nodes = ends[0]
     for more in ends[1:]:
@@ -325,9 +327,9 @@ def shingles_of(pairs: list[DataFrame], plain: DataFrame, profiles: DataFrame, h
     wanted = staged(nodes.join(profiles.select("node", "key", "n", "digest"), "node"), "wanted")
     keyed = plain.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text")
     made = keyed.join(wanted.select("key").distinct(), "key", "left_semi").mapInArrow(
-        _set_rows, "key long, digest binary, shingles binary")
+        _set_rows, "key long, digest binary, text string")
     made = staged(made.join(wanted, ["key", "digest"]).dropDuplicates(["node"])
-                  .select("node", "n", "shingles"), "sets")
+                  .select("node", "n", "text"), "sets")
     return made if have is None else have.union(made)
 
 

@@ -18,8 +18,8 @@ def test_a_set_in_many_pairs_moves_once_a_block(spark):
         texts.append(" ".join(own))
     found = [np.array(sorted(set(s.tolist())), np.uint64)
              for s in jaccard.shingle_sets(__import__("pyarrow").array(texts))]
-    sets = spark.createDataFrame([(i, len(s), s.tobytes()) for i, s in enumerate(found)],
-                                 "node long, n int, shingles binary")
+    sets = spark.createDataFrame([(i, len(s), t) for i, (s, t) in enumerate(zip(found, texts))],
+                                 "node long, n int, text string")
     pairs = spark.createDataFrame([(i, 0, float(i)) for i in range(1, len(texts))] + [(1, 0, 1.0)],
                                   "a long, b long, extra double")
 
