@@ -59,6 +59,8 @@ PART = 10_000
 MANY_REGIONS = 2_048
 #: Regions that one task compares with one another, and rows of them at a time.
 CELL, TILE = 2_048, 64
+#: Rows that repeat the set of another one and are told to all tasks, at most.
+MANY_REPEATS = 1 << 21
 #: Shingles of the sets of one block of nodes that pairs are measured in, and the fewest and most blocks.
 BLOCK_SHINGLES, FEWEST_BLOCKS, MOST_BLOCKS = 1 << 21, 16, 1_024
 #: Largest distance of a link, with room for rounding.
@@ -348,6 +350,19 @@ def _folded(bits: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(r.reshape(-1, least), axis=0) for r in rows])
 
 
+def _runs(rows: np.ndarray, lengths: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Rows, which stand by their sizes, in runs of at most ``most`` whose parities are equally long.
+
+    Parities that are folded tell less, so those of a large set must not be folded to the length of a
+    small one's only because both are in one tile.
+    """
+    own, begin = lengths[rows], 0
+    while begin < len(rows):
+        end = min(begin + most, int(np.searchsorted(own, own[begin], "right")))
+        yield rows[begin:end]
+        begin = end
+
+
 def _cell_pairs(cell: pa.Table) -> pa.Table:
     """Unconnected regions of a cell that may hold linked members, by the sizes and parities of their
     pivots and by their radii. Columns: mine (block of the row), low, high (blocks that meet here),
@@ -358,17 +373,16 @@ def _cell_pairs(cell: pa.Table) -> pa.Table:
     radius = np.asarray(cell["radius"])
     low, high = cell["low"][0].as_py(), cell["high"][0].as_py()
     bits = cell["bits"].to_pylist()
+    lengths = np.fromiter(map(len, bits), np.int64, len(bits))
     left, right = np.nonzero(mine == low)[0], np.nonzero(mine == high)[0]
     left, right = left[np.argsort(n[left], kind="stable")], right[np.argsort(n[right], kind="stable")]
     widest = float(radius.max(initial=0))
-    for begin in range(0, len(left), TILE):
-        some = left[begin:begin + TILE]
+    for some in _runs(left, lengths, TILE):
         # Sets whose sizes differ by more can't be near enough; the rest lie together.
         share = 1 - min(1.0, REACH + float(radius[some].max()) + widest)
         fewest, most = n[some[0]] * share, n[some[-1]] / share if share > 0 else np.inf
         near = right[np.searchsorted(n[right], fewest - 1e-6):np.searchsorted(n[right], most + 1e-6, "right")]
-        for start in range(0, len(near), 8 * TILE):
-            others = near[start:start + 8 * TILE]
+        for others in _runs(near, lengths, 8 * TILE):
             words = _folded([bits[i] for i in [*some, *others]])
             differ = np.bitwise_count(words[:len(some), None] ^ words[None, len(some):]).sum(axis=2, dtype=np.int64)
             sizes = n[some][:, None] + n[others]
@@ -386,28 +400,55 @@ def _cell_pairs(cell: pa.Table) -> pa.Table:
                      "least": pa.array(np.concatenate(least) if least else np.zeros(0))})
 
 
+def _with_partner(regions: DataFrame) -> DataFrame:
+    """Regions of a cell that another one of it is near enough to by size, so that no parities move
+    for the rest. Of compatible sizes those next to each other in order are compatible too, so every
+    region is held against its neighbours. Lists of several blocks stay whole."""
+    alone = F.when(F.col("blocks") > 1, F.col("region"))
+    cell = Window.partitionBy("cell", "merged", alone)
+    by_size = cell.orderBy("n")
+    share = F.greatest(F.lit(0.0), 1 - F.lit(REACH) - 2 * F.max("radius").over(cell))
+    near = regions.select("*", F.lag("n").over(by_size).alias("before"), F.lead("n").over(by_size).alias("after"),
+                          share.alias("share"))
+    return near.filter((F.col("blocks") > 1) | (F.col("n") * F.col("share") <= F.col("before") + 1e-6)
+                       | (F.col("after") * F.col("share") <= F.col("n") + 1e-6)).drop("before", "after", "share")
+
+
 def _meeting_pairs(lists: DataFrame, profiles: DataFrame, radii: DataFrame) -> DataFrame:
-    """Pairs of unconnected regions that meet in a list and may hold linked members, with their radii
-    and a distance that their pivots have at least; ``lists``: hash, region, component.
+    """Pairs of unconnected regions that meet in a list and may hold linked members, with their radii (the
+    region with fewer members first) and a distance that their pivots have at least; ``lists``: hash, region, component.
 
-    Of lists with the same regions one is enough. A list is a cell that one task compares; of a list
-    with many regions every two of its blocks are one.
+    Of lists with the same regions one is enough. Lists that are much alike, as those of the shingles
+    of one passage, mostly have the same region first in a random order; while they are small together
+    they are one cell that one task compares. Any other list is a cell of its own, and of one with many
+    regions every two of its blocks are a cell.
     """
     lists = staged(lists, "cells")
-    signature = [F.count(F.lit(1)).alias("regions"), *[
+    signature = [F.count(F.lit(1)).alias("regions"), F.min(F.xxhash64("region", F.lit(2))).alias("key"), *[
         F.sum(F.xxhash64("region", F.lit(i)).cast("decimal(20,0)")).alias(f"sum{i}") for i in range(2)]]
-    first = lists.groupBy("hash").agg(*signature).groupBy("regions", "sum0", "sum1").agg(
-        F.min("hash").alias("hash")).select("hash", (F.ceil(F.col("regions") / CELL)).cast("long").alias("blocks"))
-    own = profiles.select(F.col("node").alias("region"), "n", "bits").join(radii, "region")
-    blocks = lists.join(first, "hash").withColumn("mine", F.pmod(F.xxhash64("region"), F.col("blocks"))).join(own, "region")
+    first = lists.groupBy("hash").agg(*signature).groupBy("key", "regions", "sum0", "sum1").agg(
+        F.min("hash").alias("hash"))
+    merged = F.col("together") <= CELL
+    first = first.join(first.groupBy("key").agg(F.sum("regions").alias("together")), "key").select(
+        "hash", F.when(merged, F.col("key")).otherwise(F.col("hash")).alias("cell"), merged.alias("merged"),
+        F.when(merged, 1).otherwise(F.ceil(F.col("regions") / CELL)).cast("long").alias("blocks"))
+    met = lists.join(first, "hash").select("cell", "merged", "blocks", "region", "component").distinct()
+    own = profiles.select(F.col("node").alias("region"), "n").join(radii.select("region", "radius"), "region")
+    blocks = _with_partner(met.join(own, "region")).withColumn(
+        "mine", F.pmod(F.xxhash64("region"), F.col("blocks"))).join(
+        profiles.select(F.col("node").alias("region"), "bits"), "region")
     placed = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    cells = placed.select("hash", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
+    cells = placed.select("cell", "merged", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
                           "mine", "region", "component", "n", "radius", "bits")
-    pairs = cells.groupBy("hash", "low", "high").applyInArrow(_cell_pairs, "a long, b long, least double").groupBy(
+    pairs = cells.groupBy("cell", "merged", "low", "high").applyInArrow(_cell_pairs, "a long, b long, least double").groupBy(
         "a", "b").agg(F.max("least").alias("least"))
     for end in ("a", "b"):
-        pairs = pairs.join(radii.select(F.col("region").alias(end), F.col("radius").alias(f"r_{end}")), end)
-    return pairs
+        pairs = pairs.join(radii.select(F.col("region").alias(end), F.col("radius").alias(f"r_{end}"),
+                                        F.col("members").alias(f"m_{end}")), end)
+    # ``a`` is the region with fewer members, which are those that windows copy first.
+    swapped = F.col("m_a") > F.col("m_b")
+    return pairs.select(*[F.when(swapped, F.col(f"{c}{y}")).otherwise(F.col(f"{c}{x}")).alias(f"{c}{x}")
+                          for c in ("", "r_") for x, y in ("ab", "ba")], "least")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -423,7 +464,10 @@ def _grouped(docs: DataFrame, text_digest: Column) -> DataFrame:
     # A node is a distinct set; it has the number of one of its rows.
     nodes = staged(rows.filter("n > 0").groupBy("digest").agg(
         F.min("row_no").alias("node"), F.min("doc_id").alias("doc")), "nodes")
-    own_rows = nodes.select(F.col("node").alias("row_no")).join(rows, "row_no")
+    # Rows are far wider than their numbers: those that only repeat a set are told to all tasks.
+    own_rows = rows.filter("n > 0")
+    repeats = own_rows.select("row_no").join(nodes.select(F.col("node").alias("row_no")), "row_no", "left_anti")
+    own_rows = join_small(own_rows, repeats, ["row_no"], "left_anti", max_rows=MANY_REPEATS)
     profiles = staged(own_rows.select(F.col("row_no").alias("node"), "n", "digest", "bits", "marks",
                                       F.coalesce("doc_id", F.lit(NO_ID)).alias("key")), "profiles")
     firsts = own_rows.select(F.col("row_no").alias("node"), "n",
@@ -440,16 +484,22 @@ def _grouped(docs: DataFrame, text_digest: Column) -> DataFrame:
     # shingles: an original more likely than an altered copy, whose changes are its own.
     met = lists.groupBy("node").agg(F.count(F.lit(1)).alias("met")).join(
         profiles.select("node", "n"), "node").select(
-        "node", (F.col("met") / length).alias("share"))
-    central = F.max(F.struct("share", (-F.col("node")).alias("low"))).over(own_list)
-    lists = staged(lists.join(met, "node").select(
-        "hash", "part", "parts", "node", (-central["low"]).alias("pivot")), "lists")
+        "node", "n", F.col("met").cast("int").alias("met"))
+    central = F.max(F.struct((F.col("met") / length).alias("share"), (-F.col("node")).alias("low"), "n")).over(own_list)
+    # Dealt out here, so that what the window compares is made behind the shuffle.
+    lists = staged(lists.join(met, "node").repartition("hash", "part").select(
+        "hash", "part", "parts", "node", "n", (-central["low"]).alias("pivot"), central["n"].alias("pivot_n")), "lists")
 
     # Round 1: stars around the pivots, and around the first of the pivots of a list in parts.
-    heads = lists.filter("parts > 1").groupBy("hash").agg(F.min("pivot").alias("b"))
-    stars = lists.select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(
-        lists.filter("parts > 1").select("hash", F.col("pivot").alias("a")).distinct()
-        .join(heads, "hash").select("a", "b")).filter("a <> b").distinct()
+    cut_lists = lists.filter("parts > 1").select("hash", F.struct(F.col("pivot").alias("node"), F.col("pivot_n").alias("n"))
+                                                 .alias("pivot")).distinct()
+    heads = cut_lists.groupBy("hash").agg(F.min("pivot").alias("head"))
+    stars = lists.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("pivot").alias("b"),
+                         F.col("pivot_n").alias("n_b")).union(
+        cut_lists.join(heads, "hash").select("pivot.node", "pivot.n", "head.node", "head.n")).filter("a <> b")
+    # Sizes rule out most of them before parities move.
+    apart = F.abs(F.col("n_a") - F.col("n_b"))
+    stars = stars.filter(2 * apart <= F.lit(REACH) * (F.col("n_a") + F.col("n_b") + apart)).select("a", "b").distinct()
     stars = staged(possible(stars, profiles), "stars")
     sets = shingles_of([stars], plain, profiles, None)
     close = staged(measured(stars, sets).filter("linked"), "star-links")
@@ -469,7 +519,7 @@ def _grouped(docs: DataFrame, text_digest: Column) -> DataFrame:
     sizes = staged(meeting.groupBy("hash").agg(
         F.countDistinct("component").alias("components"), F.count(F.lit(1)).alias("regions"))
         .filter("components > 1"), "open-lists")
-    radii = staged(regions.groupBy("region").agg(F.max("d").alias("radius")), "radii")
+    radii = staged(regions.groupBy("region").agg(F.max("d").alias("radius"), F.count(F.lit(1)).alias("members")), "radii")
     few, many = sizes.filter(F.col("regions") <= MANY_REGIONS), sizes.filter(F.col("regions") > MANY_REGIONS)
     cells = meeting.join(few.select("hash"), "hash", "left_semi")
     if not many.isEmpty():
